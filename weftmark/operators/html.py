@@ -133,7 +133,7 @@ def decode_entity(tok: Column) -> Column:
     digits = F.regexp_extract(body, "^#[xX]?([0-9a-fA-F]+)$", 1)
     dec_cp = F.when(F.length(digits) <= 8, digits.try_cast("bigint"))
     hex_cp = F.when(F.length(digits) <= 7, F.conv(digits, 16, 10).try_cast("bigint"))
-    named = F.element_at(_entity_lit(), body)
+    named = F.try_element_at(_entity_lit(), body)
     return (
         F.when(is_dec, _codepoint_to_str(dec_cp))
         .when(is_hex, _codepoint_to_str(hex_cp))
@@ -407,6 +407,11 @@ def block_segments(region_rows: DataFrame, key: str = "page_id", part: str | Non
     df = df.withColumn("_start", start)
     df = df.withColumn("blk", F.sum(F.when(F.col("_start"), 1).otherwise(0)).over(_running(w_pos)))
     in_blk = ~F.col("_hidden") & (F.col("_start") | ~F.col("_walk"))
+    if part:
+        # rows of the other copies (whole-page text, anchor) form one block each
+        is_walk = F.col(part) == "walk"
+        df = df.withColumn("blk", F.when(is_walk, F.col("blk")).otherwise(F.lit(0).cast("bigint")))
+        in_blk = in_blk | ~is_walk
     return df.filter(in_blk).drop("_walk", "_hidden", "_start")
 
 
@@ -426,6 +431,8 @@ def block_units(blocks: DataFrame, key: str = "page_id", part: str | None = None
     unit_start = top & (opening | (kind == "text"))
     df = df.withColumn("_unit_start", unit_start)
     df = df.withColumn("unit", F.sum(F.when(F.col("_unit_start"), 1).otherwise(0)).over(run))
+    if part:
+        df = df.withColumn("unit", F.when(F.col(part) == "walk", F.col("unit")).otherwise(F.lit(0).cast("bigint")))
 
     def last_el(cond: Column, c: str) -> Column:
         return F.last(F.when(cond, F.col(c)), ignorenulls=True).over(run)
@@ -481,7 +488,10 @@ def render_blocks(units: DataFrame, key: str = "page_id", part: str | None = Non
     head = F.min_by(F.struct(kind.alias("kind"), tag.alias("tag"), F.col("attrs").alias("attrs"), pos.alias("pos")), pos)
     is_root = pos == F.col("root_s")
 
+    url_cols = [F.max("url").alias("url")] if "url" in units.columns else []
     units1 = units.groupBy(*keys, "blk", "trk", "cell", "unit").agg(
+        *url_cols,
+        _ordered_join(nonempty, "\n").alias("txt_nl"),
         head.alias("head"),
         F.first(F.when(is_root, F.struct(kind.alias("kind"), tag.alias("tag"), F.col("attrs").alias("attrs"))), ignorenulls=True).alias("root"),
         F.first("code_el", ignorenulls=True).alias("code_el"),
@@ -512,7 +522,10 @@ def render_blocks(units: DataFrame, key: str = "page_id", part: str | None = Non
         F.col("is_li").alias("is_li"), F.col("txt").alias("txt"), F.col("raw").alias("raw"),
         F.col("code_raw").alias("code_raw"),
     )
+    url_cols2 = [F.max("url").alias("url")] if "url" in units.columns else []
     rows2 = units1.groupBy(*keys, "blk", "trk").agg(
+        *url_cols2,
+        F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct(F.col("cell"), F.col("unit"), F.col("txt_nl")))), lambda x: x["txt_nl"]), lambda x: x != ""), "\n").alias("txt_nl"),
         F.first("root", ignorenulls=True).alias("root"),
         F.first("code_el", ignorenulls=True).alias("code_el"),
         F.array_sort(F.collect_list(u)).alias("units"),
@@ -530,12 +543,15 @@ def render_blocks(units: DataFrame, key: str = "page_id", part: str | None = Non
         F.col("sig").alias("sig"), F.col("n_cells").alias("n"), F.col("units").alias("units"),
     )
     blocks = rows2.groupBy(*keys, "blk").agg(
+        *url_cols2,
+        F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct(F.col("trk"), F.col("txt_nl")))), lambda x: x["txt_nl"]), lambda x: x != ""), "\n").alias("txt_nl"),
         F.first("root", ignorenulls=True).alias("root"),
         F.first("code_el", ignorenulls=True).alias("code_el"),
         F.array_sort(F.collect_list(r)).alias("rows"),
     )
+    extra = ["url", "txt_nl"] if "url" in units.columns else ["txt_nl"]
     return blocks.withColumn("md", _render_block(F.col("root"), F.col("rows"), F.col("code_el"))).select(
-        *keys, "blk", F.col("root")["tag"].alias("block_tag"), F.col("root")["kind"].alias("block_kind"), "md"
+        *keys, "blk", F.col("root")["tag"].alias("block_tag"), F.col("root")["kind"].alias("block_kind"), "md", *extra
     )
 
 
@@ -570,14 +586,14 @@ def _render_block(root: Column, rows: Column, code_el: Column) -> Column:
     # H18 code block: text of the first inner code element (else of pre), language from its class
     classes = F.split(F.trim(F.coalesce(code_el["attrs"]["class"], F.lit(""))), "[ \\t\\n\\r\\x0c]+")
     lang_cls = F.filter(classes, lambda c: c.contains("language-"))
-    lang = F.when(code_el.isNotNull() & (F.size(lang_cls) > 0), F.replace(F.element_at(lang_cls, 1), F.lit("language-"), F.lit(""))).otherwise(F.lit(""))
+    lang = F.when(code_el.isNotNull() & (F.size(lang_cls) > 0), F.replace(F.try_element_at(lang_cls, F.lit(1)), F.lit("language-"), F.lit(""))).otherwise(F.lit(""))
     pre_txt = F.when(code_el.isNotNull(), code_raw).otherwise(full_raw)
     pre = F.when(pre_txt != "", F.concat(F.lit("\n```"), lang, F.lit("\n"), py_strip(pre_txt), F.lit("\n```\n")))
     # H19 block-level code
     code = F.when(full_raw != "", F.concat(F.lit("`"), full_raw, F.lit("`")))
     # H20 table: every tr with cells; separator after a row equal to the first row that has th
     trs = F.filter(rows, lambda r: r["trk"] >= 0)
-    first_sig = F.element_at(trs, 1)["sig"]
+    first_sig = F.try_element_at(trs, F.lit(1))["sig"]
     tlines = F.transform(
         F.filter(trs, lambda r: r["line"].isNotNull()),
         lambda r: F.when(
@@ -648,28 +664,17 @@ def page_markdown(pages: DataFrame, key: str = "page_id", chrome: bool = True, c
         lambda x: x.isNotNull(),
     )
     rows = reg.select("*", F.explode(copies).alias("part"))
-    walk_rows = rows.filter(F.col("part") == "walk")
-    blocks = render_blocks(block_units(block_segments(walk_rows, key, "part"), key, "part"), key, "part")
-
-    other = rows.filter(F.col("part") != "walk").select(
-        key, "part", "pos", "url",
-        F.when(F.col("part") == "fallback", py_strip(F.col("text"))).alias("fbtxt"),
-    )
+    blocks = render_blocks(block_units(block_segments(rows, key, "part"), key, "part"), key, "part")
+    walk_md = F.when(F.col("part") == "walk", F.struct(F.col("blk").alias("p"), F.col("md").alias("v")))
     # H24 assembly + H26 fallback, one aggregate per page
-    b = blocks.select(key, F.struct(F.col("blk").alias("p"), F.col("md").alias("v")).alias("blk_md"),
-                      F.lit(None).cast("struct<p:bigint,v:string>").alias("fb"), F.lit(None).cast("string").alias("url"))
-    o = other.select(key, F.lit(None).cast("struct<p:bigint,v:string>").alias("blk_md"),
-                     F.when(F.length(F.col("fbtxt")) > 0, F.struct(F.col("pos").cast("bigint").alias("p"), F.col("fbtxt").alias("v"))).alias("fb"),
-                     F.col("url"))
-    both = b.unionByName(o)
-    page = both.groupBy(key).agg(
+    page = blocks.groupBy(key).agg(
         F.max("url").alias("url"),
-        F.array_sort(F.collect_list(F.col("blk_md"))).alias("_blocks"),
-        F.array_sort(F.collect_list(F.col("fb"))).alias("_fb"),
+        F.array_sort(F.collect_list(walk_md)).alias("_blocks"),
+        F.max(F.when(F.col("part") == "fallback", F.col("txt_nl"))).alias("_fb"),
     )
     mds = F.filter(F.transform(F.col("_blocks"), lambda x: x["v"]), lambda x: x.isNotNull())
     md = normalize_lines(F.array_join(mds, "\n"))
-    fallback = F.array_join(F.transform(F.col("_fb"), lambda x: x["v"]), "\n")
+    fallback = F.coalesce(F.col("_fb"), F.lit(""))
     md = F.when(md == "", fallback).otherwise(md)
     if denoise:
         md = noise_filter(md)
