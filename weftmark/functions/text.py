@@ -100,12 +100,16 @@ def noise_step(c, name: str) -> Column:
     return F.regexp_replace(_col(c), _java_pattern(pat), "")
 
 
-def noise_filter(c) -> Column:
-    """The sequential boilerplate filter, all native ``regexp_replace``."""
+def noise_filter(c, patterns: list[str] | None = None) -> Column:
+    """The sequential boilerplate filter, all native ``regexp_replace``.
+
+    ``patterns`` selects a subset of N1-N7 by name (all by default); N8-N10 always run.
+    """
     src = _col(c)
     s = src
     for name, _ in NOISE_PATTERNS:
-        s = noise_step(s, name)
+        if patterns is None or name in patterns:
+            s = noise_step(s, name)
     s = F.regexp_replace(s, f"(?U)\\n{WS_CLASS}*\\n{WS_CLASS}*\\n", "\n\n")
     s = F.regexp_replace(s, "[ \\t]+", " ")
     s = py_strip(s)

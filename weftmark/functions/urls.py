@@ -32,13 +32,13 @@ def url_clean(url) -> Column:
 def _split_parts(clean: Column):
     """netloc / path / query of an http(s) URL the way ``urlsplit`` cuts them."""
     u = F.regexp_replace(clean, _UNSAFE, "")
-    rest = F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*:(.*)$", 1)
+    rest = F.regexp_extract(u, "(?s)^[A-Za-z][A-Za-z0-9+.-]*:(.*)$", 1)
     has_auth = rest.startswith("//")
     netloc = F.when(has_auth, F.regexp_extract(rest, "^//([^/?#]*)", 1)).otherwise(F.lit(""))
-    after = F.when(has_auth, F.regexp_extract(rest, "^//[^/?#]*(.*)$", 1)).otherwise(rest)
+    after = F.when(has_auth, F.regexp_extract(rest, "(?s)^//[^/?#]*(.*)$", 1)).otherwise(rest)
     no_frag = F.regexp_extract(after, "^([^#]*)", 1)
     path = F.regexp_extract(no_frag, "^([^?]*)", 1)
-    query = F.regexp_extract(no_frag, "^[^?]*\\??(.*)$", 1)
+    query = F.regexp_extract(no_frag, "(?s)^[^?]*\\??(.*)$", 1)
     return netloc, path, query
 
 

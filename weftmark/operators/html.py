@@ -39,7 +39,8 @@ from ..functions.text import WS_CLASS, noise_filter, normalize_lines, py_strip,
 # engine's stack), declarations, character references, text.
 TOKEN_RE = (
     "(?is)<!--.*?-->"
-    "|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<textarea\\b.*?</textarea\\s*>"
+    "|<script\\b.*?</script[\\t\\n\\x0b\\x0c\\r ]*>|<style\\b.*?</style[\\t\\n\\x0b\\x0c\\r ]*>"
+    "|<textarea\\b.*?</textarea[\\t\\n\\x0b\\x0c\\r ]*>"
     "|</?[a-z][^'\">]*(?:\"[^\"]*\"[^'\">]*|'[^']*'[^'\">]*){0,200}>"
     "|<[!?][^>]*>"
     "|&(?:#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);"

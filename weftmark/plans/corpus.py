@@ -111,7 +111,7 @@ def url_variants(pages: DataFrame) -> DataFrame:
         F.struct(F.lit("blank").alias("variant"), F.regexp_replace(host, ".", " ").alias("url")),
         F.struct(F.lit("empty").alias("variant"), F.lit("").alias("url")),
     )
-    return pages.select("page_id", F.explode(variants).alias("v")).select("page_id", "v.variant", "v.url")
+    return pages.select("page_id", F.posexplode(variants).alias("variant_no", "v")).select("page_id", "variant_no", "v.variant", "v.url")
 
 
 def _esc(c):
