@@ -114,11 +114,16 @@ def _whole(w):
     return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# one SQL literal (a single driver-to-JVM call) instead of 504 literal columns
+_ENTITY_SQL = "map(" + ", ".join(f"{_sql_str(k)}, {_sql_str(chr(v))}" for k, v in sorted(_ENTITY_MAP.items())) + ")"
+
+
 def _entity_lit() -> Column:
-    items = []
-    for name, cp in sorted(_ENTITY_MAP.items()):
-        items += [F.lit(name), F.lit(chr(cp))]
-    return F.create_map(*items)
+    return F.expr(_ENTITY_SQL)
 
 
 def _codepoint_to_str(cp: Column) -> Column:
@@ -191,10 +196,12 @@ def classify_tokens(tokens: DataFrame) -> DataFrame:
     )
     df = tokens.withColumn("kind", kind)
     opening = _in(F.col("kind"), OPENING)
-    df = df.withColumn("tag", F.when(opening | (F.col("kind") == "close"), tag))
-    df = df.withColumn("attrs", F.when(opening, parse_attrs(tok)))
     val = F.when(F.col("kind") == "text", tok).when(F.col("kind") == "entity", decode_entity(tok))
-    return df.withColumn("val", val)
+    return df.withColumns({
+        "tag": F.when(opening | (F.col("kind") == "close"), tag),
+        "attrs": F.when(opening, parse_attrs(tok)),
+        "val": val,
+    })
 
 
 def parse_attrs(tok: Column) -> Column:
@@ -231,8 +238,10 @@ def text_nodes(tokens: DataFrame, key: str = "page_id") -> DataFrame:
         "_node", F.sum(F.when(is_text, 0).otherwise(1)).over(_running(w_pos))
     )
     w_node = _whole(_w(key, "_node"))
-    df = df.withColumn("_run", F.array_join(F.collect_list(F.when(F.col("_is_text"), F.col("val"))).over(w_node), ""))
-    df = df.withColumn("_first", F.col("pos") == F.min(F.when(F.col("_is_text"), F.col("pos"))).over(w_node))
+    df = df.withColumns({
+        "_run": F.array_join(F.collect_list(F.when(F.col("_is_text"), F.col("val"))).over(w_node), ""),
+        "_first": F.col("pos") == F.min(F.when(F.col("_is_text"), F.col("pos"))).over(w_node),
+    })
     df = df.filter(~F.col("_is_text") | F.col("_first"))
     return df.select(
         *[c for c in tokens.columns if c not in ("kind", "val")],
@@ -265,37 +274,36 @@ def html_elements(items: DataFrame, key: str = "page_id") -> DataFrame:
     )
     df = df.withColumn("_k", F.when(is_open, F.col("_lvl")).when(is_close, F.col("_lvl") + 1))
     w_pair = _w(key, "tag", "_k")
-    df = df.withColumn(
-        "_pair_close", F.when(is_open & (F.lead("kind").over(w_pair) == "close"), F.lead("pos").over(w_pair))
-    ).withColumn("_paired_close", is_close & (F.lag("kind").over(w_pair) == "open") & F.col("_k").isNotNull())
+    df = df.withColumns({
+        "_pair_close": F.when(is_open & (F.lead("kind").over(w_pair) == "close"), F.lead("pos").over(w_pair)),
+        "_paired_close": is_close & (F.lag("kind").over(w_pair) == "open") & F.col("_k").isNotNull(),
+    })
     d = F.when(is_open & F.col("_pair_close").isNotNull(), 1).when(F.col("_paired_close"), -1).otherwise(0)
     w_pos = _w(key)
-    df = df.withColumn("_D", F.coalesce(F.sum(d).over(_before(w_pos)), F.lit(0))).withColumn(
-        "_page_end", F.max("pos").over(_whole(w_pos))
-    )
+    df = df.withColumns({"_D": F.coalesce(F.sum(d).over(_before(w_pos)), F.lit(0)), "_page_end": F.max("pos").over(_whole(w_pos))})
     w_scope = _before(_w(key, "_D", desc=True))
     opening = _in(kind, ["open", "void"])
 
     def nxt(cond: Column) -> Column:
         return F.min(F.when(cond, pos)).over(w_scope)
 
-    df = df.withColumn("_scope_close", nxt(F.col("_paired_close")))
-    df = df.withColumn("_nxt_p", nxt(opening & _in(tag, P_CLOSERS)))
     groups = {}
     for t, enders in IMPLIED_END.items():
         groups.setdefault(tuple(enders), []).append(t)
+    nxt_cols = {"_scope_close": nxt(F.col("_paired_close")), "_nxt_p": nxt(opening & _in(tag, P_CLOSERS))}
     term = F.when(_in(tag, ["p"] + INLINE_TAGS), F.col("_nxt_p"))
     for i, (enders, tags) in enumerate(groups.items()):
         c = f"_nxt_{i}"
-        df = df.withColumn(c, nxt(opening & _in(tag, list(enders))))
+        nxt_cols[c] = nxt(opening & _in(tag, list(enders)))
         term = term.when(_in(tag, tags), F.col(c))
+    df = df.withColumns(nxt_cols)
     limit = F.least(F.col("_scope_close"), term)
     e = (
         F.when(_in(kind, ["void", "raw"]), pos)
         .when(is_open & F.col("_pair_close").isNotNull(), F.col("_pair_close"))
         .when(is_open, F.coalesce(limit - 1, F.col("_page_end")))
     )
-    df = df.withColumn("e", e).withColumn("paired", F.when(is_open, F.col("_pair_close").isNotNull()))
+    df = df.withColumns({"e": e, "paired": F.when(is_open, F.col("_pair_close").isNotNull())})
     return df.drop(*[c for c in df.columns if c.startswith("_") and c != "_page_end"]).withColumnRenamed("_page_end", "page_end")
 
 
@@ -440,12 +448,10 @@ def block_units(blocks: DataFrame, key: str = "page_id", part: str | None = None
 
     is_cell = inner & (kind == "open") & _in(tag, ["td", "th"])
     is_tr = inner & (kind == "open") & (tag == "tr")
-    df = (
-        df.withColumn("_cell_s", last_el(is_cell, "pos"))
-        .withColumn("_cell_e", last_el(is_cell, "e"))
-        .withColumn("_tr_s", last_el(is_tr, "pos"))
-        .withColumn("_tr_e", last_el(is_tr, "e"))
-    )
+    df = df.withColumns({
+        "_cell_s": last_el(is_cell, "pos"), "_cell_e": last_el(is_cell, "e"),
+        "_tr_s": last_el(is_tr, "pos"), "_tr_e": last_el(is_tr, "e"),
+    })
     in_tr = F.col("_is_table") & F.coalesce(F.col("_tr_e") >= pos, F.lit(False))
     in_cell = in_tr & F.coalesce((F.col("_cell_e") >= pos) & (F.col("_cell_s") > F.col("_tr_s")), F.lit(False))
     df = df.withColumn("trk", F.when(in_tr, F.col("_tr_s")).otherwise(F.lit(-1)))
