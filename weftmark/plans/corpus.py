@@ -142,6 +142,19 @@ def rich_pages(documents: DataFrame) -> DataFrame:
         F.lit("<div style=\"display: none\">hidden "), did, F.lit("</div><div class=\"ads\">ad "), did, F.lit("</div>"),
         F.lit("<div><span> </span></div><img src=\"/img/"), did, F.lit(".png\" alt=\""), F.col("lang"), F.lit("\">"),
         F.lit("<a href=\"javascript:void(0)\">"), F.col("source"), F.lit("</a>"),
+        F.lit("<code>"), F.col("lang"), F.lit("</code><small>"), F.col("source"), F.lit("</small>"),
+        F.lit("<div class=\"cookie-consent\">consent "), did, F.lit("</div>"),
         F.lit("</main><footer>footer "), did, F.lit("</footer></body></html>"),
     )
     return documents.select(F.col("doc_id").alias("page_id"), doc_url(F.col("lang"), F.col("doc_id")).alias("url"), html.alias("html"))
+
+
+def chrome_only_pages(documents: DataFrame) -> DataFrame:
+    """Pages whose body holds only removed chrome, so the whole-page text fallback
+    (H26) decides the output: the title survives, navigation does not."""
+    first = F.regexp_extract(F.col("text"), "^(\\S+)", 1)
+    html = F.concat(
+        F.lit("<html><head><title>"), _esc(first), F.lit("</title></head><body><nav>"), F.col("lang"),
+        F.lit("</nav><div><span> </span></div></body></html>"),
+    )
+    return documents.select(F.col("doc_id").alias("page_id"), doc_url(F.col("lang"), F.col("doc_id")).alias("url"), html.alias("html"))

@@ -8,9 +8,11 @@ statement here; they are checked against hand-derived rows in ``tests/``.
 
 from __future__ import annotations
 
-from ..functions.text import WS
+from ..functions.text import HWS_CLASS, WS
 from ..operators.html import _ENTITY_MAP, TOKEN_RE
 
+HWS = HWS_CLASS[1:-1]
+
 NL = "chr(10)"
 
 
@@ -234,6 +236,13 @@ ORACLES = {
   SELECT doc_id, CAST(n AS INTEGER) AS n_chunks, {_chunk_target('2000', 'n')} AS chunk_target
   FROM (SELECT doc_id, (length(text) - 1) // 12000 + 1 AS n FROM documents WHERE length(text) > 0)""",
     "summarize_documents": _summarize_sql(),
+    "summary_decision": _summarize_sql(),
+    "summary_meta": _summarize_sql(),
+    "summarize_needed": f"SELECT doc_id, enabled, active, needed FROM ({PLANNED})",
+    "summary_strategy": f"SELECT doc_id, strategy FROM ({PLANNED})",
+    "normalize_lines": f"""
+  SELECT doc_id, {_strip(f"regexp_replace(regexp_replace(text, '[{HWS}]*\\n[{HWS}]*', {NL}, 'g'), '\\n{{3,}}', {NL} || {NL}, 'g')")} AS content
+  FROM documents""",
     "html_tokens": TOKENS,
     "entity_decode": ENTITIES,
     "text_nodes": TEXT_NODES,

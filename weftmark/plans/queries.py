@@ -303,6 +303,55 @@ def rich_page_markdown(spark, d):
     return H.page_markdown(C.rich_pages(_t(spark, d, "documents")))
 
 
+def prune_consent_nodes(spark, d):
+    """H6 (opt-in): class or id containing cookie/banner; compare with the default run."""
+    r = H.prepare(C.rich_pages(_t(spark, d, "documents")), consent=True)
+    return r.filter(F.col("pruned") & (F.col("kind") == "open") & F.coalesce(F.col("attrs")["class"], F.lit("")).contains("cookie")).select("page_id", "pos", "tag")
+
+
+def render_other(spark, d):
+    b = _blocks(spark, d)
+    known = H.HEADING_TAGS + ["p", "ul", "ol", "blockquote", "pre", "code", "table", "img", "a"]
+    return b.filter(~F.col("block_tag").isin(known) & (F.col("block_kind") != "text")).select("page_id", "blk", "block_tag", "md")
+
+
+def min_text_filter(spark, d):
+    """loose text nodes need more than 1 character, other elements more than 2."""
+    b = _blocks(spark, d)
+    return b.filter((F.col("block_kind") == "text") | ~F.col("block_tag").isin(H.HEADING_TAGS + ["p", "ul", "ol", "blockquote", "pre", "code", "table", "img", "a"])).select(
+        "page_id", "blk", "block_kind", "block_tag", F.col("md").isNotNull().alias("kept"))
+
+
+def normalize_lines(spark, d):
+    doc = _t(spark, d, "documents")
+    return doc.select("doc_id", T.normalize_lines(F.col("text")).alias("content"))
+
+
+def empty_fallback(spark, d):
+    return H.page_markdown(C.chrome_only_pages(_t(spark, d, "documents")))
+
+
+def summarize_needed(spark, d):
+    return summary_options(spark, d).select("doc_id", "enabled", "active", "needed")
+
+
+def summary_strategy(spark, d):
+    return summary_options(spark, d).select("doc_id", "strategy")
+
+
+def render_route(spark, d):
+    return request_response_join(spark, d).select("request_id", "clean_url", "render_method")
+
+
+def result_envelope(spark, d):
+    return result_sink(spark, d).select("request_id", "json")
+
+
+def error_envelope(spark, d):
+    _, err = _read(spark, d)
+    return err.select("request_id", "json")
+
+
 # --- results ---------------------------------------------------------------------
 
 def _read(spark, d):
@@ -414,6 +463,22 @@ QUERIES = {
     "render_table": _render(["table"]),
     "render_image": _render(["img"]),
     "render_link": _render(["a"]),
+    "render_inline": _render(["p"]),
+    "render_inline_code_block": _render(["code"]),
+    "render_other": render_other,
+    "min_text_filter": min_text_filter,
+    "prune_consent_nodes": prune_consent_nodes,
+    "prune_hidden": hidden_filter,
+    "normalize_lines": normalize_lines,
+    "assemble_markdown": page_markdown,
+    "empty_fallback": empty_fallback,
+    "summarize_needed": summarize_needed,
+    "summary_strategy": summary_strategy,
+    "summary_decision": summarize_documents,
+    "summary_meta": summarize_documents,
+    "render_route": render_route,
+    "result_envelope": result_envelope,
+    "error_envelope": error_envelope,
     "link_filter": link_filter,
     "page_markdown": page_markdown,
     "rich_page_markdown": rich_page_markdown,
