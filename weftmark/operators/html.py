@@ -46,7 +46,14 @@ TOKEN_RE = (
     "|&(?:#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);"
     "|[^<&]+|<|&"
 )
-ATTR_RE = "([^\\s\"'>/=]+)(?:\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s\"'>]+))?"
+# ASCII whitespace spelled out so the same patterns mean the same in Java and RE2
+SP = "\\t\\n\\x0b\\x0c\\r "
+ATTR_NAME = f"[^{SP}\"'>/=]+"
+ATTR_RE = f"({ATTR_NAME})(?:[{SP}]*=[{SP}]*(?:\"[^\"]*\"|'[^']*'|[^{SP}\"'>]+))?"
+RAW_RE = "(?is)^(?:" + "|".join(f"<{t}\\b.*</{t}[{SP}]*>" for t in ["script", "style", "textarea"]) + ")$"
+SELF_CLOSE_RE = f"/[{SP}]*>$"
+TAG_NAME_RE = "^</?([A-Za-z][A-Za-z0-9:_-]*)"
+ENTITY_TOKEN_RE = "^&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);$"
 
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "meta", "param", "source", "track", "wbr"]
 RAW_TAGS = ["script", "style", "textarea"]
@@ -147,9 +154,14 @@ def decode_entity(tok: Column) -> Column:
     )
 
 
+# character references decoded inside attribute values, in this order (&amp; last)
+ATTR_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
+                 ("&#x27;", "'"), ("&#34;", '"'), ("&amp;", "&")]
+
+
 def decode_attr_value(v: Column) -> Column:
     """Character references inside attribute values (the common named ones and numeric)."""
-    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&#x27;", "'"), ("&#34;", '"'), ("&amp;", "&")]:
+    for ent, ch in ATTR_ENTITIES:
         v = F.replace(v, F.lit(ent), F.lit(ch))
     return v
 
@@ -181,17 +193,17 @@ def html_tokens(pages: DataFrame, key: str = "page_id", html_col: str = "html",
 def classify_tokens(tokens: DataFrame) -> DataFrame:
     """Kind, tag, attributes (H3) and decoded value (H4) of each token."""
     tok = F.col("tok")
-    tag = F.lower(F.regexp_extract(tok, "^</?([A-Za-z][A-Za-z0-9:_-]*)", 1))
+    tag = F.lower(F.regexp_extract(tok, TAG_NAME_RE, 1))
     is_tag_open = tok.rlike("^<[A-Za-z]")
     kind = (
         F.when(tok.isNull(), F.lit("none"))
         .when(tok.startswith("<!--"), F.lit("comment"))
         .when(tok.rlike("^<[!?]"), F.lit("decl"))
-        .when(tok.rlike("(?is)^<(script|style|textarea)\\b.*</\\1\\s*>$"), F.lit("raw"))
+        .when(tok.rlike(RAW_RE), F.lit("raw"))
         .when(tok.rlike("^</[A-Za-z]"), F.lit("close"))
-        .when(is_tag_open & (_in(tag, VOID_TAGS) | tok.rlike("/\\s*>$")), F.lit("void"))
+        .when(is_tag_open & (_in(tag, VOID_TAGS) | tok.rlike(SELF_CLOSE_RE)), F.lit("void"))
         .when(is_tag_open, F.lit("open"))
-        .when(tok.rlike("^&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);$"), F.lit("entity"))
+        .when(tok.rlike(ENTITY_TOKEN_RE), F.lit("entity"))
         .otherwise(F.lit("text"))
     )
     df = tokens.withColumn("kind", kind)
@@ -207,16 +219,16 @@ def classify_tokens(tokens: DataFrame) -> DataFrame:
 def parse_attrs(tok: Column) -> Column:
     """H3: attribute map of an opening tag; names lower-cased, first one of a name wins."""
     open_tag = F.regexp_extract(tok, "^(<[^>]*>?)", 1)
-    region = F.regexp_replace(open_tag, "^<[A-Za-z][^\\s/>]*", "")
+    region = F.regexp_replace(open_tag, f"^<[A-Za-z][^{SP}/>]*", "")
     pairs = F.regexp_extract_all(region, F.lit(ATTR_RE), 0)
     entries = F.transform(
         pairs,
         lambda p: F.struct(
-            F.lower(F.regexp_extract(p, "^([^\\s\"'>/=]+)", 1)).alias("k"),
+            F.lower(F.regexp_extract(p, f"^({ATTR_NAME})", 1)).alias("k"),
             decode_attr_value(
                 F.when(
                     p.contains("="),
-                    F.regexp_replace(F.regexp_replace(p, "^[^=]*=\\s*", ""), "(?s)^\"(.*)\"$|^'(.*)'$", "$1$2"),
+                    F.regexp_replace(F.regexp_replace(p, f"^[^=]*=[{SP}]*", ""), "(?s)^\"(.*)\"$|^'(.*)'$", "$1$2"),
                 ).otherwise(F.lit(""))
             ).alias("v"),
         ),

@@ -9,7 +9,8 @@ statement here; they are checked against hand-derived rows in ``tests/``.
 from __future__ import annotations
 
 from ..functions.text import HWS_CLASS, WS
-from ..operators.html import _ENTITY_MAP, TOKEN_RE
+from ..operators.html import _ENTITY_MAP, HEADING_TAGS, TOKEN_RE
+from . import oracle_html as OH
 
 HWS = HWS_CLASS[1:-1]
 
@@ -246,4 +247,19 @@ ORACLES = {
     "html_tokens": TOKENS,
     "entity_decode": ENTITIES,
     "text_nodes": TEXT_NODES,
+    "page_markdown_raw": OH.page_markdown_sql(OH.PAGES),
+    "rich_page_markdown_raw": OH.page_markdown_sql(OH.rich_pages_sql()),
+    "html_elements": OH.elements_sql(OH.PAGES),
+    "main_region": OH.main_region_sql(OH.PAGES),
+    "block_segments": f"WITH {OH.chain_ctes(OH.PAGES)}\nSELECT page_id, blk, block_tag, block_kind, md FROM blocks",
+    "render_heading": OH.blocks_sql(OH.rich_pages_sql(), HEADING_TAGS),
+    "render_paragraph": OH.blocks_sql(OH.rich_pages_sql(), ["p"]),
+    "render_inline": OH.blocks_sql(OH.rich_pages_sql(), ["p"]),
+    "render_list": OH.blocks_sql(OH.rich_pages_sql(), ["ul", "ol"]),
+    "render_blockquote": OH.blocks_sql(OH.rich_pages_sql(), ["blockquote"]),
+    "render_code_block": OH.blocks_sql(OH.rich_pages_sql(), ["pre"]),
+    "render_inline_code_block": OH.blocks_sql(OH.rich_pages_sql(), ["code"]),
+    "render_table": OH.blocks_sql(OH.rich_pages_sql(), ["table"]),
+    "render_image": OH.blocks_sql(OH.rich_pages_sql(), ["img"]),
+    "render_link": OH.blocks_sql(OH.rich_pages_sql(), ["a"]),
 }

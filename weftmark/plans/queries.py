@@ -299,6 +299,15 @@ def page_markdown(spark, d):
     return H.page_markdown(_t(spark, d, "pages"))
 
 
+def page_markdown_raw(spark, d):
+    """H27 without the noise filter (whose back-reference steps DuckDB cannot run)."""
+    return H.page_markdown(_t(spark, d, "pages"), denoise=False)
+
+
+def rich_page_markdown_raw(spark, d):
+    return H.page_markdown(C.rich_pages(_t(spark, d, "documents")), denoise=False)
+
+
 def rich_page_markdown(spark, d):
     return H.page_markdown(C.rich_pages(_t(spark, d, "documents")))
 
@@ -482,6 +491,8 @@ QUERIES = {
     "link_filter": link_filter,
     "page_markdown": page_markdown,
     "rich_page_markdown": rich_page_markdown,
+    "page_markdown_raw": page_markdown_raw,
+    "rich_page_markdown_raw": rich_page_markdown_raw,
     "extraction_report": extraction_report,
     "summary_plan_report": summary_plan_report,
     "noise_audit": noise_audit,
