@@ -17,6 +17,9 @@ HWS = HWS_CLASS[1:-1]
 OPENING = "('open', 'void', 'raw')"
 
 
+HIDDEN = "(contains(replace(coalesce(a_style, ''), ' ', ''), 'display:none') OR contains(replace(coalesce(a_style, ''), ' ', ''), 'visibility:hidden'))"
+
+
 def _sq(s: str) -> str:
     return s.replace("'", "''")
 
@@ -41,13 +44,21 @@ def _classes(x: str) -> str:
     return f"regexp_split_to_array(trim(coalesce({x}, '')), '[ \\t\\n\\r\\x0c]+')"
 
 
-def _attr(name: str) -> str:
-    pick = f"list_filter(pairs, lambda p: lower(regexp_extract(p, '^({_sq(H.ATTR_NAME)})', 1)) = '{name}')[1]"
-    val = (f"regexp_replace(regexp_replace({pick}, '^[^=]*=[{H.SP}]*', ''), "
+def _attr_value(pair: str) -> str:
+    val = (f"regexp_replace(regexp_replace({pair}, '^[^=]*=[{H.SP}]*', ''), "
            f"'(?s)^\"(.*)\"$|^''(.*)''$', '\\1\\2')")
     for ent, ch in H.ATTR_ENTITIES:
         val = f"replace({val}, '{_sq(ent)}', '{_sq(ch)}')"
-    return f"CASE WHEN {pick} IS NULL THEN NULL WHEN contains({pick}, '=') THEN {val} ELSE '' END AS a_{name}"
+    return f"CASE WHEN {pair} IS NULL THEN NULL WHEN contains({pair}, '=') THEN {val} ELSE '' END"
+
+
+def _attr_name(pair: str) -> str:
+    return f"lower(regexp_extract({pair}, '^({_sq(H.ATTR_NAME)})', 1))"
+
+
+def _attr(name: str) -> str:
+    pick = f"list_filter(pairs, lambda p: {_attr_name('p')} = '{name}')[1]"
+    return f"{_attr_value(pick)} AS a_{name}"
 
 
 def _entity_values() -> str:
@@ -79,7 +90,7 @@ def chain_ctes(pages_sql: str) -> str:
     """CTEs ending in ``r3`` (flagged rows with ``in_region``) and ``blocks`` / ``page_md``."""
     nxt_cols, term = _terminator()
     prune_flag = (f"tag IN {_lst(H.NON_CONTENT_TAGS + H.CHROME_TAGS)} OR list_has_any(cls, {_arr(H.CHROME_CLASSES)})")
-    hidden = "(contains(replace(coalesce(a_style, ''), ' ', ''), 'display:none') OR contains(replace(coalesce(a_style, ''), ' ', ''), 'visibility:hidden'))"
+    hidden = HIDDEN
     nonempty = f"CASE WHEN kind = 'text' AND length({strip('text')}) > 0 THEN {strip('text')} END"
     return f"""
 pg AS ({pages_sql}),
@@ -356,3 +367,28 @@ def rich_pages_sql() -> str:
         "'</main><footer>footer '", did, "'</footer></body></html>'",
     ])
     return f"SELECT doc_id AS page_id, 'https://docs.example.org/' || lang || '/' || {did} AS url, {html} AS html FROM documents"
+
+
+KNOWN_BLOCKS = _lst(H.HEADING_TAGS + ["p", "ul", "ol", "blockquote", "pre", "code", "table", "img", "a"])
+
+
+def chain_sql(pages_sql: str, select: str) -> str:
+    return f"WITH {chain_ctes(pages_sql)}\n{select}"
+
+
+# H3: every attribute of every opening tag, names lower-cased, the first of a repeated name kept
+ATTRS_SQL = f"""
+WITH tk AS (
+  SELECT page_id, CAST(pos AS BIGINT) AS pos, tok FROM (
+    SELECT page_id, unnest(range(len(t))) AS pos, unnest(t) AS tok
+    FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{_sq(H.TOKEN_RE)}') AS t FROM pages))),
+op AS (
+  SELECT page_id, pos, lower(regexp_extract(tok, '{H.TAG_NAME_RE}', 1)) AS tag,
+         regexp_extract_all(regexp_replace(regexp_extract(tok, '^(<[^>]*>?)', 1), '^<[A-Za-z][^{H.SP}/>]*', ''), '{_sq(H.ATTR_RE)}') AS pairs
+  FROM tk
+  WHERE regexp_matches(tok, '^<[A-Za-z]') AND NOT starts_with(tok, '<!--')),
+ex AS (SELECT page_id, pos, tag, unnest(pairs) AS p, unnest(range(len(pairs))) AS i FROM op),
+nm AS (SELECT *, {_attr_name('p')} AS name FROM ex)
+SELECT page_id, pos, tag, name, {_attr_value('p')} AS value
+FROM nm QUALIFY row_number() OVER (PARTITION BY page_id, pos, name ORDER BY i) = 1
+"""

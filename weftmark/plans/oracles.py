@@ -262,4 +262,16 @@ ORACLES = {
     "render_table": OH.blocks_sql(OH.rich_pages_sql(), ["table"]),
     "render_image": OH.blocks_sql(OH.rich_pages_sql(), ["img"]),
     "render_link": OH.blocks_sql(OH.rich_pages_sql(), ["a"]),
+    "prune_non_content": OH.chain_sql(OH.PAGES, "SELECT page_id, pos, kind, tag FROM p3 WHERE NOT removed"),
+    "prune_page_chrome": OH.chain_sql(OH.rich_pages_sql(), "SELECT page_id, pos, tag FROM p1 WHERE pruned AND kind IN ('open', 'void', 'raw')"),
+    "prune_empty_containers": OH.chain_sql(
+        OH.rich_pages_sql(), "SELECT page_id, pos, tag FROM p3 WHERE removed AND NOT pruned AND tag IN ('div', 'span') AND kind = 'open'"),
+    "hidden_filter": OH.chain_sql(OH.rich_pages_sql(), f"SELECT page_id, pos, tag, a_style AS style FROM r3 WHERE in_region AND {OH.HIDDEN}"),
+    "prune_hidden": OH.chain_sql(OH.rich_pages_sql(), f"SELECT page_id, pos, tag, a_style AS style FROM r3 WHERE in_region AND {OH.HIDDEN}"),
+    "link_filter": OH.chain_sql(OH.rich_pages_sql(), "SELECT page_id, blk, block_tag, md FROM blocks WHERE contains(md, '](') OR block_tag = 'a'"),
+    "render_other": OH.chain_sql(OH.rich_pages_sql(), f"SELECT page_id, blk, block_tag, md FROM blocks WHERE block_tag NOT IN {OH.KNOWN_BLOCKS} AND block_kind <> 'text'"),
+    "min_text_filter": OH.chain_sql(
+        OH.rich_pages_sql(),
+        f"SELECT page_id, blk, block_kind, block_tag, md IS NOT NULL AS kept FROM blocks WHERE block_kind = 'text' OR block_tag NOT IN {OH.KNOWN_BLOCKS}"),
+    "html_attrs": OH.ATTRS_SQL,
 }
