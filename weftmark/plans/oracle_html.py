@@ -86,10 +86,13 @@ def _terminator() -> str:
     return ",\n      ".join(cols), "CASE " + " ".join(case) + " END"
 
 
-def chain_ctes(pages_sql: str) -> str:
+def chain_ctes(pages_sql: str, consent: bool = False) -> str:
     """CTEs ending in ``r3`` (flagged rows with ``in_region``) and ``blocks`` / ``page_md``."""
     nxt_cols, term = _terminator()
     prune_flag = (f"tag IN {_lst(H.NON_CONTENT_TAGS + H.CHROME_TAGS)} OR list_has_any(cls, {_arr(H.CHROME_CLASSES)})")
+    if consent:
+        for m in H.CONSENT_MARKERS:
+            prune_flag += f" OR contains(coalesce(a_class, ''), '{m}') OR contains(coalesce(a_id, ''), '{m}')"
     hidden = HIDDEN
     nonempty = f"CASE WHEN kind = 'text' AND length({strip('text')}) > 0 THEN {strip('text')} END"
     return f"""
@@ -372,8 +375,8 @@ def rich_pages_sql() -> str:
 KNOWN_BLOCKS = _lst(H.HEADING_TAGS + ["p", "ul", "ol", "blockquote", "pre", "code", "table", "img", "a"])
 
 
-def chain_sql(pages_sql: str, select: str) -> str:
-    return f"WITH {chain_ctes(pages_sql)}\n{select}"
+def chain_sql(pages_sql: str, select: str, consent: bool = False) -> str:
+    return f"WITH {chain_ctes(pages_sql, consent)}\n{select}"
 
 
 # H3: every attribute of every opening tag, names lower-cased, the first of a repeated name kept

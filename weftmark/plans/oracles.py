@@ -275,3 +275,117 @@ ORACLES = {
         f"SELECT page_id, blk, block_kind, block_tag, md IS NOT NULL AS kept FROM blocks WHERE block_kind = 'text' OR block_tag NOT IN {OH.KNOWN_BLOCKS}"),
     "html_attrs": OH.ATTRS_SQL,
 }
+
+
+# --- summary tables, routing and error rows -------------------------------------------
+
+def _lit(s: str) -> str:
+    """A Python string as a DuckDB literal (newlines kept as they are)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+from ..operators import summary as _M  # noqa: E402
+
+_ROUND1 = f"""
+  p AS ({PLANNED}),
+  mr AS (SELECT doc_id, content, target, (length(content) - 1) // 12000 + 1 AS n FROM p WHERE strategy = 'map-reduce'),
+  ch AS (SELECT doc_id, target, n, i, substring(content, i * 12000 + 1, 12000) AS chunk,
+                {_chunk_target('target', 'n')} AS per
+         FROM (SELECT doc_id, content, target, n, unnest(range(n)) AS i FROM mr)),
+  r1 AS (
+    SELECT CAST(doc_id AS VARCHAR) || ':1:0' AS prompt_id, doc_id, 1 AS round, 0 AS chunk_no, 'gpt-oss:20b' AS model,
+           {_lit(_M.SINGLE_PASS_SYSTEM)} AS system,
+           {_lit(_M.SINGLE_PASS_HEAD)} || CAST(target AS VARCHAR) || {_lit(_M.SINGLE_PASS_MID)} || content || {_lit(_M.SINGLE_PASS_TAIL)} AS prompt,
+           target AS target_tokens, content AS inner_text
+    FROM p WHERE strategy = 'single-pass'
+    UNION ALL
+    SELECT CAST(doc_id AS VARCHAR) || ':1:' || CAST(i + 1 AS VARCHAR), doc_id, 1, CAST(i + 1 AS INTEGER), 'gpt-oss:20b', NULL,
+           {_lit(_M.CHUNK_HEAD)} || CAST(i + 1 AS VARCHAR) || {_lit(_M.CHUNK_MID1)} || CAST(n AS VARCHAR) || {_lit(_M.CHUNK_MID2)}
+             || CAST(per AS VARCHAR) || {_lit(_M.CHUNK_MID3)} || chunk || {_lit(_M.CHUNK_TAIL)},
+           per, chunk
+    FROM ch),
+  a1 AS (SELECT *, substring(inner_text, 1, target_tokens * 4) AS answer FROM r1),
+  red AS (SELECT doc_id, string_agg({_strip('answer')}, {NL} || {NL} ORDER BY chunk_no) AS combined, count(*) AS n_chunks
+          FROM a1 GROUP BY doc_id),
+  r2 AS (
+    SELECT CAST(p.doc_id AS VARCHAR) || ':2:0' AS prompt_id, p.doc_id, 2 AS round, 0 AS chunk_no,
+           {_lit(_M.SINGLE_PASS_HEAD)} || CAST(p.target AS VARCHAR) || {_lit(_M.SINGLE_PASS_MID)} || red.combined || {_lit(_M.SINGLE_PASS_TAIL)} AS prompt,
+           p.target AS target_tokens
+    FROM p JOIN red USING (doc_id) WHERE p.strategy = 'map-reduce')
+"""
+
+_FAILED = f"""
+  WITH s AS ({_summarize_sql()}),
+  l AS (SELECT doc_id, lang FROM documents)
+  SELECT doc_id, used, strategy,
+         CASE WHEN used AND l.lang = 'en' THEN 'error: HTTP Error 500: model unavailable' ELSE fallback_reason END AS fallback_reason,
+         CASE WHEN used AND l.lang = 'en' THEN NULL ELSE final_estimated_tokens END AS final_estimated_tokens
+  FROM s JOIN l USING (doc_id)
+"""
+
+_ALL_REQUESTS = f"""
+  SELECT request_id, url FROM ({REQUESTS})
+  UNION ALL
+  SELECT -(page_id * 8 + variant_no) - 1, url FROM ({VARIANTS}) WHERE variant <> 'as_is'
+"""
+
+_VALIDATED = f"""
+  SELECT request_id, url, clean_url, {URL_ERROR} AS error
+  FROM ({_url_parts(f"SELECT request_id, url, {_strip('url')} AS clean_url FROM ({_ALL_REQUESTS})")})
+"""
+
+_ECHO = f"CASE WHEN url IS NULL THEN NULL WHEN url = '' THEN url ELSE {_strip('url')} END"
+
+_ROUTED = f"""
+  WITH nat AS (
+    SELECT {_strip('url')} AS url, min({{'c': decode(encode(text)), 't': content_type, 'm': TRY_CAST(markdown_tokens_header AS INTEGER)}}) AS n
+    FROM ({RESPONSES})
+    WHERE fetch_error IS NULL AND http_status BETWEEN 200 AND 299 AND starts_with(lower(coalesce(content_type, '')), 'text/markdown')
+    GROUP BY 1),
+  known AS (SELECT DISTINCT {_strip('url')} AS url FROM (SELECT url FROM pages UNION ALL SELECT {DOC_URL} FROM documents)),
+  req AS (SELECT request_id, url, {_strip('url')} AS clean_url FROM ({REQUESTS}))
+  SELECT req.request_id, req.clean_url,
+         CASE WHEN nat.url IS NOT NULL THEN 'native_markdown' ELSE 'playwright' END AS render_method,
+         nat.n.t AS source_content_type, nat.n.m AS markdown_tokens,
+         CASE WHEN nat.url IS NULL AND known.url IS NULL
+              THEN 'Web URL reading failed: no captured response or page for ' || req.clean_url END AS error
+  FROM req LEFT JOIN nat ON nat.url = req.clean_url LEFT JOIN known ON known.url = req.clean_url
+"""
+
+ORACLES.update({
+    "round1_prompts": f"WITH {_ROUND1} SELECT prompt_id, doc_id, round, chunk_no, model, system, prompt, target_tokens FROM r1",
+    "completion_source": f"WITH {_ROUND1} SELECT prompt_id, answer AS response FROM a1",
+    "apply_completions": f"WITH {_ROUND1} SELECT prompt_id, doc_id, chunk_no, answer, CAST(NULL AS VARCHAR) AS call_error FROM a1",
+    "reduce_summaries": f"WITH {_ROUND1} SELECT doc_id, combined, n_chunks FROM red",
+    "prompt_table": f"""WITH {_ROUND1}
+  SELECT prompt_id, doc_id, round, chunk_no, prompt, target_tokens FROM r1
+  UNION ALL SELECT prompt_id, doc_id, round, chunk_no, prompt, target_tokens FROM r2""",
+    "prompt_sink": f"""WITH {_ROUND1}
+  SELECT prompt_id, 'http://localhost:11434' AS host,
+         CASE WHEN system IS NOT NULL AND system <> ''
+              THEN CAST(to_json({{'model': model, 'prompt': prompt, 'stream': false, 'system': system}}) AS VARCHAR)
+              ELSE CAST(to_json({{'model': model, 'prompt': prompt, 'stream': false}}) AS VARCHAR) END AS payload
+  FROM r1""",
+    "summary_plan_report": f"""WITH {_ROUND1},
+  allp AS (SELECT doc_id, round, chunk_no, 'gpt-oss:20b' AS model, prompt FROM r1
+           UNION ALL SELECT doc_id, round, chunk_no, 'gpt-oss:20b', prompt FROM r2),
+  st AS (SELECT *, max(CASE WHEN chunk_no > 0 OR round = 2 THEN 'map-reduce' ELSE 'single-pass' END) OVER (PARTITION BY doc_id) AS strategy FROM allp)
+  SELECT strategy, model, count(DISTINCT doc_id) AS documents, count(*) AS calls, sum({_est('prompt')}) AS prompt_tokens
+  FROM st GROUP BY strategy, model""",
+    "chunk_debug": f"""WITH {_ROUND1}
+  SELECT doc_id, 'map-reduce' AS stage, CAST(n AS BIGINT) AS num_chunks FROM mr""",
+    "summary_error": _FAILED,
+    "request_response_join": _ROUTED,
+    "render_route": f"SELECT request_id, clean_url, render_method FROM ({_ROUTED})",
+    "error_sink": f"SELECT request_id, error, {_ECHO} AS url, 'error' AS status FROM ({_VALIDATED}) WHERE error IS NOT NULL",
+    "error_envelope": f"""
+  SELECT request_id, CAST(to_json({{'error': error, 'url': {_ECHO}, 'status': 'error'}}) AS VARCHAR) AS json
+  FROM ({_VALIDATED}) WHERE error IS NOT NULL""",
+    "prune_consent_nodes": OH.chain_sql(
+        OH.rich_pages_sql(),
+        "SELECT page_id, pos, tag FROM p1 WHERE pruned AND kind = 'open' AND contains(coalesce(a_class, ''), 'cookie')", consent=True),
+    "status_split": f"""
+  SELECT request_id, CASE WHEN error IS NULL THEN clean_url ELSE {_ECHO} END AS url,
+         CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status
+  FROM ({_VALIDATED})""",
+})
