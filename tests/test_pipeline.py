@@ -41,3 +41,23 @@ def test_stream_equals_batch(spark):
     streamed = {r.page_id: r.content for r in jobs.stream_page_markdown(spark, SF).collect()}
     batch = {r.page_id: r.content for r in H.page_markdown(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
     assert streamed == batch
+
+
+def test_repeated_url_is_summarized_once(spark):
+    from weftmark.operators import summary as M
+
+    pages = spark.createDataFrame([(1, "https://x.example/a", "<html><body><p>" + "word " * 400 + "</p></body></html>")],
+                                  "page_id bigint, url string, html string")
+    req = spark.createDataFrame([(i, "https://x.example/a", True, 50) for i in range(6)],
+                                "request_id bigint, url string, use_summarization boolean, summary_target_tokens int")
+    seen = []
+
+    def counting(prompts):
+        seen.append(prompts.count())
+        return M.prefix_summarizer()(prompts)
+
+    res, err = R.read_urls(req, pages, summarizer=counting)
+    rows = res.collect()
+    assert len(rows) == 6 and err.count() == 0
+    assert seen[0] == 1  # one prompt for six identical requests
+    assert {r.content for r in rows} == {rows[0].content} and rows[0].summarization.used

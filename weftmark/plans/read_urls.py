@@ -119,6 +119,30 @@ def envelope_json(df: DataFrame) -> Column:
     )
 
 
+SUMMARY_OPTIONS = ["use_summarization", "summary_target_tokens", "summary_host", "summary_model"]
+
+
+def summarize_distinct(fetched: DataFrame, summarizer: M.Summarizer, options: JobOptions) -> DataFrame:
+    """Summary planning once per distinct (content, summary options), not once per request.
+
+    A URL requested a million times yields one prompt set: the key is the SHA-256
+    of the content plus the options, grouped with map-side partial aggregation
+    (a hot key collapses before the shuffle), and the answer is joined back to
+    every request (AQE broadcasts the distinct side when small, else splits a
+    skewed key).
+    """
+    key = F.concat(F.sha2(F.col("content"), 256), F.to_json(F.struct(*[F.col(c) for c in SUMMARY_OPTIONS])))
+    keyed = fetched.withColumn("skey", key)
+    uniq = keyed.groupBy("skey").agg(
+        F.first("content").alias("content"), *[F.first(c).alias(c) for c in SUMMARY_OPTIONS]
+    )
+    planned = M.summary_options(uniq.withColumnRenamed("skey", "doc_id"), options)
+    done = M.summarize(planned, summarizer, "doc_id").select(
+        F.col("doc_id").alias("skey"), F.col("content").alias("_final"), "summarization"
+    )
+    return keyed.join(done, "skey").drop("content", "skey").withColumnRenamed("_final", "content")
+
+
 def read_urls(requests: DataFrame, pages: DataFrame, responses: DataFrame | None = None,
               summarizer: M.Summarizer | None = None, options: JobOptions | None = None):
     """The whole job. Returns ``(results, errors)``.
@@ -134,9 +158,8 @@ def read_urls(requests: DataFrame, pages: DataFrame, responses: DataFrame | None
     fetched = ok.filter(F.col("error").isNull()).drop("error")
     failed = ok.filter(F.col("error").isNotNull())
 
-    planned = M.summary_options(fetched.withColumnRenamed("request_id", "doc_id"), options)
     summarizer = summarizer or M.prefix_summarizer()
-    done = M.summarize(planned, summarizer, "doc_id").withColumnRenamed("doc_id", "request_id")
+    done = summarize_distinct(fetched, summarizer, options)
     res = done.withColumn("content", truncate_content(F.col("content"), F.col("truncate"), F.col("max_length")))
     res = res.select(
         "request_id", F.col("clean_url").alias("url"), "content", F.lit("markdown").alias("format"), F.lit("success").alias("status"),
