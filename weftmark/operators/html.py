@@ -256,7 +256,7 @@ def text_nodes(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     })
     df = df.filter(~F.col("_is_text") | F.col("_first"))
     return df.select(
-        *[c for c in tokens.columns if c not in ("kind", "val")],
+        *[F.when(~F.col("_is_text"), F.col(c)).alias(c) if c == "tok" else F.col(c) for c in tokens.columns if c not in ("kind", "val")],
         F.when(F.col("_is_text"), F.lit("text")).otherwise(F.col("kind")).alias("kind"),
         F.when(F.col("_is_text"), F.col("_run")).alias("text"),
     )
@@ -443,37 +443,42 @@ def block_units(blocks: DataFrame, key: str = "page_id", part: str | None = None
     opening = _in(kind, OPENING)
     w_blk = _w(keys, "blk")
     run = _running(w_blk)
-    df = blocks.withColumn("root_s", F.min("pos").over(_whole(w_blk))).withColumn(
-        "_is_table", F.first("tag").over(_whole(w_blk)) == "table"
-    )
+    # pass 1 (whole block): root position, table flag, first code element (used by pre blocks,
+    # whose root is not a code element, so "first code in the block" is "first inner code")
+    code = (kind == "open") & (tag == "code")
+    df = blocks.withColumns({
+        "root_s": F.min("pos").over(_whole(w_blk)),
+        "_is_table": F.first("tag").over(_whole(w_blk)) == "table",
+        "code_el": F.min_by(
+            F.when(code, F.struct(pos.alias("s"), F.col("e").alias("e"), F.col("attrs").alias("attrs"))), F.when(code, pos)
+        ).over(_whole(w_blk)),
+    })
     inner = pos > F.col("root_s")
-    reach = F.max(F.when(inner & opening, F.col("e"))).over(_before(w_blk))
-    top = inner & (reach.isNull() | (reach < pos))
-    unit_start = top & (opening | (kind == "text"))
-    df = df.withColumn("_unit_start", unit_start)
-    df = df.withColumn("unit", F.sum(F.when(F.col("_unit_start"), 1).otherwise(0)).over(run))
-    if part:
-        df = df.withColumn("unit", F.when(F.col(part) == "walk", F.col("unit")).otherwise(F.lit(0).cast("bigint")))
 
     def last_el(cond: Column, c: str) -> Column:
         return F.last(F.when(cond, F.col(c)), ignorenulls=True).over(run)
 
+    # pass 2: direct-child test and the enclosing table row / cell
     is_cell = inner & (kind == "open") & _in(tag, ["td", "th"])
     is_tr = inner & (kind == "open") & (tag == "tr")
+    reach = F.max(F.when(inner & opening, F.col("e"))).over(_before(w_blk))
     df = df.withColumns({
+        "_top": inner & (reach.isNull() | (reach < pos)),
         "_cell_s": last_el(is_cell, "pos"), "_cell_e": last_el(is_cell, "e"),
         "_tr_s": last_el(is_tr, "pos"), "_tr_e": last_el(is_tr, "e"),
     })
+    # pass 3: unit number = running count of direct children
+    unit_start = F.col("_top") & (opening | (kind == "text"))
+    df = df.withColumn("unit", F.sum(F.when(unit_start, 1).otherwise(0)).over(run))
+    if part:
+        df = df.withColumn("unit", F.when(F.col(part) == "walk", F.col("unit")).otherwise(F.lit(0).cast("bigint")))
     in_tr = F.col("_is_table") & F.coalesce(F.col("_tr_e") >= pos, F.lit(False))
     in_cell = in_tr & F.coalesce((F.col("_cell_e") >= pos) & (F.col("_cell_s") > F.col("_tr_s")), F.lit(False))
-    df = df.withColumn("trk", F.when(in_tr, F.col("_tr_s")).otherwise(F.lit(-1)))
-    df = df.withColumn("cell", F.when(in_cell, F.col("_cell_s")).otherwise(F.lit(-1)))
-    code = inner & (kind == "open") & (tag == "code")
-    first_code = F.min_by(
-        F.when(code, F.struct(pos.alias("s"), F.col("e").alias("e"), F.col("attrs").alias("attrs"))), F.when(code, pos)
-    ).over(_whole(w_blk))
-    df = df.withColumn("code_el", first_code)
-    return df.drop("_unit_start", "_cell_s", "_cell_e", "_tr_s", "_tr_e", "_is_table")
+    df = df.withColumns({
+        "trk": F.when(in_tr, F.col("_tr_s")).otherwise(F.lit(-1)),
+        "cell": F.when(in_cell, F.col("_cell_s")).otherwise(F.lit(-1)),
+    })
+    return df.drop("_top", "_cell_s", "_cell_e", "_tr_s", "_tr_e", "_is_table")
 
 
 # ---------------------------------------------------------------------------
@@ -508,18 +513,26 @@ def render_blocks(units: DataFrame, key: str = "page_id", part: str | None = Non
     is_root = pos == F.col("root_s")
 
     url_cols = [F.max("url").alias("url")] if "url" in units.columns else []
+    # one ordered array per unit; every text of the unit is derived from it
+    row = F.struct(
+        pos.alias("p"), nonempty.alias("ne"), F.when(is_text, F.col("text")).alias("t"),
+        F.when(is_text & in_code, F.col("text")).alias("c"), F.coalesce(F.col("text"), F.col("tok")).alias("s"),
+    )
     units1 = units.groupBy(*keys, "blk", "trk", "cell", "unit").agg(
         *url_cols,
-        _ordered_join(nonempty, "\n").alias("txt_nl"),
+        F.array_sort(F.collect_list(row)).alias("_rows"),
         head.alias("head"),
         F.first(F.when(is_root, F.struct(kind.alias("kind"), tag.alias("tag"), F.col("attrs").alias("attrs"))), ignorenulls=True).alias("root"),
         F.first("code_el", ignorenulls=True).alias("code_el"),
-        _ordered_join(nonempty, "").alias("txt"),
-        _ordered_join(F.when(is_text, F.col("text")), "").alias("raw"),
-        _ordered_join(F.when(is_text & in_code, F.col("text")), "").alias("code_raw"),
         F.max(F.when(kind == "open", tag == "th")).alias("has_th"),
-        _ordered_join(F.coalesce(F.col("text"), F.col("tok")), "").alias("sig"),
     )
+
+    def joined(field: str, sep: str = "") -> Column:
+        return F.array_join(F.transform(F.col("_rows"), lambda r: r[field]), sep)
+
+    units1 = units1.withColumns({
+        "txt_nl": joined("ne", "\n"), "txt": joined("ne"), "raw": joined("t"), "code_raw": joined("c"), "sig": joined("s"),
+    }).drop("_rows")
     # unit -> part of a paragraph
     h = F.col("head")
     htag = h["tag"]
