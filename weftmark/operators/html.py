@@ -661,12 +661,19 @@ def _render_block(root: Column, rows: Column, code_el: Column) -> Column:
 # The whole chain
 # ---------------------------------------------------------------------------
 
-def prepare(pages: DataFrame, key: str = "page_id", chrome: bool = True, consent: bool = False, repartition: bool = True) -> DataFrame:
-    """Tokens with element extents, prune flags and the main region (H1-H9)."""
+def prepare(pages: DataFrame, key: str = "page_id", chrome: bool = True, consent: bool = False, repartition: bool = True,
+            num_partitions: int | None = None) -> DataFrame:
+    """Tokens with element extents, prune flags and the main region (H1-H9).
+
+    ``num_partitions`` sizes the one exchange; by default it is
+    ``spark.sql.shuffle.partitions`` and AQE coalesces small partitions (set the
+    shuffle partitions, or AQE's initial partition number, to about input bytes /
+    128 MB on large inputs so no task holds more than a few hundred MB of pages).
+    """
     if repartition:
         # the only exchange of the whole chain: every later window and aggregate
         # is keyed by the page key (plus sub-keys) and reuses this partitioning
-        pages = pages.repartition(key)
+        pages = pages.repartition(num_partitions, key) if num_partitions else pages.repartition(key)
     toks = classify_tokens(html_tokens(pages, key))
     items = text_nodes(toks, key)
     el = html_elements(items, key)
@@ -675,14 +682,14 @@ def prepare(pages: DataFrame, key: str = "page_id", chrome: bool = True, consent
 
 
 def page_markdown(pages: DataFrame, key: str = "page_id", chrome: bool = True, consent: bool = False,
-                  repartition: bool = True, denoise: bool = True) -> DataFrame:
+                  repartition: bool = True, denoise: bool = True, num_partitions: int | None = None) -> DataFrame:
     """``(key, url, content, estimated_tokens)``, one row per page.
 
     The main-region walk and the whole-page text fallback (H26) travel through
     the same aggregates as two copies of the rows (``part``), so the token
     chain is computed once.
     """
-    reg = prepare(pages, key, chrome=chrome, consent=consent, repartition=repartition)
+    reg = prepare(pages, key, chrome=chrome, consent=consent, repartition=repartition, num_partitions=num_partitions)
     kind = F.col("kind")
     fb = (kind == "text") & ~F.col("removed")
     walk = F.col("in_region") & ~_in(kind, ["comment", "decl", "none"])
