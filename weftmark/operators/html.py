@@ -98,6 +98,21 @@ _ENTITY_MAP["apos"] = 39
 OPENING = ["open", "void", "raw"]
 
 
+_EXPR_CACHE: dict = {}
+
+
+def _cached(name: str, build):
+    """Build a fixed column expression once per JVM (expressions are immutable and can be
+    shared by any number of DataFrames); saves thousands of driver-to-JVM calls per query."""
+    from pyspark import SparkContext
+
+    k = (name, id(SparkContext._jvm))
+    expr = _EXPR_CACHE.get(k)
+    if expr is None:
+        expr = _EXPR_CACHE[k] = build()
+    return expr
+
+
 def _in(col: Column, values) -> Column:
     return col.isin(list(values))
 
@@ -190,8 +205,7 @@ def html_tokens(pages: DataFrame, key: str = "page_id", html_col: str = "html",
     )
 
 
-def classify_tokens(tokens: DataFrame) -> DataFrame:
-    """Kind, tag, attributes (H3) and decoded value (H4) of each token."""
+def _classify_exprs() -> dict:
     tok = F.col("tok")
     tag = F.lower(F.regexp_extract(tok, TAG_NAME_RE, 1))
     is_tag_open = tok.rlike("^<[A-Za-z]")
@@ -206,14 +220,19 @@ def classify_tokens(tokens: DataFrame) -> DataFrame:
         .when(tok.rlike(ENTITY_TOKEN_RE), F.lit("entity"))
         .otherwise(F.lit("text"))
     )
-    df = tokens.withColumn("kind", kind)
     opening = _in(F.col("kind"), OPENING)
-    val = F.when(F.col("kind") == "text", tok).when(F.col("kind") == "entity", decode_entity(tok))
-    return df.withColumns({
+    return {
+        "kind": kind,
         "tag": F.when(opening | (F.col("kind") == "close"), tag),
         "attrs": F.when(opening, parse_attrs(tok)),
-        "val": val,
-    })
+        "val": F.when(F.col("kind") == "text", tok).when(F.col("kind") == "entity", decode_entity(tok)),
+    }
+
+
+def classify_tokens(tokens: DataFrame) -> DataFrame:
+    """Kind, tag, attributes (H3) and decoded value (H4) of each token."""
+    e = _cached("classify", _classify_exprs)
+    return tokens.withColumn("kind", e["kind"]).withColumns({"tag": e["tag"], "attrs": e["attrs"], "val": e["val"]})
 
 
 def parse_attrs(tok: Column) -> Column:
@@ -266,40 +285,31 @@ def text_nodes(tokens: DataFrame, key: str = "page_id") -> DataFrame:
 # H2: element extents
 # ---------------------------------------------------------------------------
 
-def html_elements(items: DataFrame, key: str = "page_id") -> DataFrame:
-    """H2: add ``e`` (end position, inclusive) to every opening row.
-
-    1. per tag, a running level pairs each open with its close (``lead`` inside
-       the (tag, level) partition);
-    2. ``D`` = number of *paired* elements enclosing the row;
-    3. an element left open ends just before the first later row in the same
-       ``D`` scope that is the enclosing element's close or a tag that implies
-       its end (a new ``p`` ends an open ``p``, a new ``li`` an open ``li``...);
-       with neither, at the end of the page.
-    """
+def _element_steps(key: str) -> list[dict]:
+    """The column steps of ``html_elements`` (each step may read the previous ones)."""
     kind, tag, pos = F.col("kind"), F.col("tag"), F.col("pos")
     is_open = kind == "open"
     is_close = kind == "close"
     delta = F.when(is_open, 1).when(is_close, -1).otherwise(0)
-    df = items.withColumn(
-        "_lvl", F.when(tag.isNotNull(), F.sum(delta).over(_running(_w(key, "tag"))))
-    )
-    df = df.withColumn("_k", F.when(is_open, F.col("_lvl")).when(is_close, F.col("_lvl") + 1))
+    steps = [
+        {"_lvl": F.when(tag.isNotNull(), F.sum(delta).over(_running(_w(key, "tag"))))},
+        {"_k": F.when(is_open, F.col("_lvl")).when(is_close, F.col("_lvl") + 1)},
+    ]
     w_pair = _w(key, "tag", "_k")
-    df = df.withColumns({
+    steps.append({
         "_pair_close": F.when(is_open & (F.lead("kind").over(w_pair) == "close"), F.lead("pos").over(w_pair)),
         "_paired_close": is_close & (F.lag("kind").over(w_pair) == "open") & F.col("_k").isNotNull(),
     })
     d = F.when(is_open & F.col("_pair_close").isNotNull(), 1).when(F.col("_paired_close"), -1).otherwise(0)
     w_pos = _w(key)
-    df = df.withColumns({"_D": F.coalesce(F.sum(d).over(_before(w_pos)), F.lit(0)), "_page_end": F.max("pos").over(_whole(w_pos))})
+    steps.append({"_D": F.coalesce(F.sum(d).over(_before(w_pos)), F.lit(0)), "_page_end": F.max("pos").over(_whole(w_pos))})
     w_scope = _before(_w(key, "_D", desc=True))
     opening = _in(kind, ["open", "void"])
 
     def nxt(cond: Column) -> Column:
         return F.min(F.when(cond, pos)).over(w_scope)
 
-    groups = {}
+    groups: dict = {}
     for t, enders in IMPLIED_END.items():
         groups.setdefault(tuple(enders), []).append(t)
     nxt_cols = {"_scope_close": nxt(F.col("_paired_close")), "_nxt_p": nxt(opening & _in(tag, P_CLOSERS))}
@@ -308,14 +318,32 @@ def html_elements(items: DataFrame, key: str = "page_id") -> DataFrame:
         c = f"_nxt_{i}"
         nxt_cols[c] = nxt(opening & _in(tag, list(enders)))
         term = term.when(_in(tag, tags), F.col(c))
-    df = df.withColumns(nxt_cols)
+    steps.append(nxt_cols)
     limit = F.least(F.col("_scope_close"), term)
     e = (
         F.when(_in(kind, ["void", "raw"]), pos)
         .when(is_open & F.col("_pair_close").isNotNull(), F.col("_pair_close"))
         .when(is_open, F.coalesce(limit - 1, F.col("_page_end")))
     )
-    df = df.withColumns({"e": e, "paired": F.when(is_open, F.col("_pair_close").isNotNull())})
+    steps.append({"e": e, "paired": F.when(is_open, F.col("_pair_close").isNotNull())})
+    return steps
+
+
+def html_elements(items: DataFrame, key: str = "page_id") -> DataFrame:
+    """H2: add ``e`` (end position, inclusive) to every opening row.
+
+    1. per tag, a running level pairs each open with its close (``lead`` inside
+       the (tag, level) partition);
+    2. ``D`` = number of *paired* elements enclosing the row;
+    3. an element left open ends just before the first later row in the same
+       ``D`` scope that is the enclosing element's close or a tag that implies
+       its end (a new ``p`` ends an open ``p``, a new ``li`` an open ``li``...);
+       with neither, at the end of the page.
+    """
+    steps = _cached(f"elements:{key}", lambda: _element_steps(key))
+    df = items
+    for cols in steps:
+        df = df.withColumns(cols)
     return df.drop(*[c for c in df.columns if c.startswith("_") and c != "_page_end"]).withColumnRenamed("_page_end", "page_end")
 
 
@@ -504,6 +532,20 @@ def render_blocks(units: DataFrame, key: str = "page_id", part: str | None = Non
     stage 2 per table row, stage 3 per block.
     """
     keys = [key] + ([part] if part else [])
+    has_url = "url" in units.columns
+    e = _cached(f"render:{has_url}", lambda: _render_exprs(has_url))
+    units1 = units.groupBy(*keys, "blk", "trk", "cell", "unit").agg(*e["agg1"]).withColumns(e["texts"]).drop("_rows")
+    units1 = units1.withColumns(e["unit_parts"])
+    rows2 = units1.groupBy(*keys, "blk", "trk").agg(*e["agg2"]).withColumns(e["row_line"])
+    blocks = rows2.groupBy(*keys, "blk").agg(*e["agg3"])
+    extra = ["url", "txt_nl"] if has_url else ["txt_nl"]
+    return blocks.withColumn("md", e["md"]).select(
+        *keys, "blk", F.col("root")["tag"].alias("block_tag"), F.col("root")["kind"].alias("block_kind"), "md", *extra
+    )
+
+
+def _render_exprs(has_url: bool) -> dict:
+    """The column expressions of the three render stages (built once per JVM)."""
     kind, tag, pos = F.col("kind"), F.col("tag"), F.col("pos")
     is_text = kind == "text"
     stripped = py_strip(F.col("text"))
@@ -511,28 +553,26 @@ def render_blocks(units: DataFrame, key: str = "page_id", part: str | None = Non
     in_code = F.col("code_el").isNull() | ((pos >= F.col("code_el")["s"]) & (pos <= F.col("code_el")["e"]))
     head = F.min_by(F.struct(kind.alias("kind"), tag.alias("tag"), F.col("attrs").alias("attrs"), pos.alias("pos")), pos)
     is_root = pos == F.col("root_s")
+    url_cols = [F.max("url").alias("url")] if has_url else []
 
-    url_cols = [F.max("url").alias("url")] if "url" in units.columns else []
-    # one ordered array per unit; every text of the unit is derived from it
+    # stage 1: one ordered array per unit; every text of the unit is derived from it
     row = F.struct(
         pos.alias("p"), nonempty.alias("ne"), F.when(is_text, F.col("text")).alias("t"),
         F.when(is_text & in_code, F.col("text")).alias("c"), F.coalesce(F.col("text"), F.col("tok")).alias("s"),
     )
-    units1 = units.groupBy(*keys, "blk", "trk", "cell", "unit").agg(
+    agg1 = [
         *url_cols,
         F.array_sort(F.collect_list(row)).alias("_rows"),
         head.alias("head"),
         F.first(F.when(is_root, F.struct(kind.alias("kind"), tag.alias("tag"), F.col("attrs").alias("attrs"))), ignorenulls=True).alias("root"),
         F.first("code_el", ignorenulls=True).alias("code_el"),
         F.max(F.when(kind == "open", tag == "th")).alias("has_th"),
-    )
+    ]
 
     def joined(field: str, sep: str = "") -> Column:
         return F.array_join(F.transform(F.col("_rows"), lambda r: r[field]), sep)
 
-    units1 = units1.withColumns({
-        "txt_nl": joined("ne", "\n"), "txt": joined("ne"), "raw": joined("t"), "code_raw": joined("c"), "sig": joined("s"),
-    }).drop("_rows")
+    texts = {"txt_nl": joined("ne", "\n"), "txt": joined("ne"), "raw": joined("t"), "code_raw": joined("c"), "sig": joined("s")}
     # unit -> part of a paragraph
     h = F.col("head")
     htag = h["tag"]
@@ -546,45 +586,46 @@ def render_blocks(units: DataFrame, key: str = "page_id", part: str | None = Non
         .when(htag == "br", F.lit("\n"))
         .when(h["kind"].isin("open", "void", "raw"), F.when(txt != "", txt))
     )
-    units1 = units1.withColumn("inline", F.when(F.col("unit") > 0, inline))
-    units1 = units1.withColumn("is_li", (F.col("unit") > 0) & (h["kind"] == "open") & (htag == "li"))
+    unit_parts = {
+        "inline": F.when(F.col("unit") > 0, inline),
+        "is_li": (F.col("unit") > 0) & (h["kind"] == "open") & (htag == "li"),
+    }
 
+    # stage 2: table rows (a single group for any other block)
     u = F.struct(
         F.col("cell").alias("cell"), F.col("unit").alias("unit"), F.col("inline").alias("inline"),
         F.col("is_li").alias("is_li"), F.col("txt").alias("txt"), F.col("raw").alias("raw"),
         F.col("code_raw").alias("code_raw"),
     )
-    url_cols2 = [F.max("url").alias("url")] if "url" in units.columns else []
-    rows2 = units1.groupBy(*keys, "blk", "trk").agg(
-        *url_cols2,
+    agg2 = [
+        *url_cols,
         F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct(F.col("cell"), F.col("unit"), F.col("txt_nl")))), lambda x: x["txt_nl"]), lambda x: x != ""), "\n").alias("txt_nl"),
         F.first("root", ignorenulls=True).alias("root"),
         F.first("code_el", ignorenulls=True).alias("code_el"),
         F.array_sort(F.collect_list(u)).alias("units"),
         F.coalesce(F.max("has_th"), F.lit(False)).alias("has_th"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("cell"), F.col("unit"), F.col("sig")))), lambda x: x["sig"]), "").alias("sig"),
-    )
-    cells = F.filter(F.col("units"), lambda x: x["cell"] >= 0)
-    cell_txt = F.transform(cells, lambda x: x["txt"])
-    rows2 = rows2.withColumn("n_cells", F.size(cell_txt)).withColumn(
-        "line", F.when((F.col("trk") >= 0) & (F.size(cell_txt) > 0), F.concat(F.lit("| "), F.array_join(cell_txt, " | "), F.lit(" |")))
-    )
-
+    ]
+    cell_txt = F.transform(F.filter(F.col("units"), lambda x: x["cell"] >= 0), lambda x: x["txt"])
+    row_line = {
+        "n_cells": F.size(cell_txt),
+        "line": F.when((F.col("trk") >= 0) & (F.size(cell_txt) > 0), F.concat(F.lit("| "), F.array_join(cell_txt, " | "), F.lit(" |"))),
+    }
+
+    # stage 3: blocks
     r = F.struct(
         F.col("trk").alias("trk"), F.col("line").alias("line"), F.col("has_th").alias("has_th"),
         F.col("sig").alias("sig"), F.col("n_cells").alias("n"), F.col("units").alias("units"),
     )
-    blocks = rows2.groupBy(*keys, "blk").agg(
-        *url_cols2,
+    agg3 = [
+        *url_cols,
         F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct(F.col("trk"), F.col("txt_nl")))), lambda x: x["txt_nl"]), lambda x: x != ""), "\n").alias("txt_nl"),
         F.first("root", ignorenulls=True).alias("root"),
         F.first("code_el", ignorenulls=True).alias("code_el"),
         F.array_sort(F.collect_list(r)).alias("rows"),
-    )
-    extra = ["url", "txt_nl"] if "url" in units.columns else ["txt_nl"]
-    return blocks.withColumn("md", _render_block(F.col("root"), F.col("rows"), F.col("code_el"))).select(
-        *keys, "blk", F.col("root")["tag"].alias("block_tag"), F.col("root")["kind"].alias("block_kind"), "md", *extra
-    )
+    ]
+    md = _render_block(F.col("root"), F.col("rows"), F.col("code_el"))
+    return {"agg1": agg1, "texts": texts, "unit_parts": unit_parts, "agg2": agg2, "row_line": row_line, "agg3": agg3, "md": md}
 
 
 def _render_block(root: Column, rows: Column, code_el: Column) -> Column:
@@ -711,10 +752,14 @@ def page_markdown(pages: DataFrame, key: str = "page_id", chrome: bool = True, c
         F.array_sort(F.collect_list(walk_md)).alias("_blocks"),
         F.max(F.when(F.col("part") == "fallback", F.col("txt_nl"))).alias("_fb"),
     )
+    return page.select(key, "url", _cached(f"assemble:{denoise}", lambda: _assemble(denoise)).alias("content")).withColumn(
+        "estimated_tokens", _cached("tokens", lambda: token_estimate(F.col("content"))))
+
+
+def _assemble(denoise: bool) -> Column:
+    """H24 join + H25 normalise + H26 fallback (+ N0-N10) over the page aggregate."""
     mds = F.filter(F.transform(F.col("_blocks"), lambda x: x["v"]), lambda x: x.isNotNull())
     md = normalize_lines(F.array_join(mds, "\n"))
     fallback = F.coalesce(F.col("_fb"), F.lit(""))
     md = F.when(md == "", fallback).otherwise(md)
-    if denoise:
-        md = noise_filter(md)
-    return page.select(key, "url", md.alias("content")).withColumn("estimated_tokens", token_estimate(F.col("content")))
+    return noise_filter(md) if denoise else md
