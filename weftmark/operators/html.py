@@ -392,7 +392,11 @@ def prune_flags(elements: DataFrame, key: str = "page_id", chrome: bool = True,
         for m in CONSENT_MARKERS:
             ids = ids | F.coalesce(attrs["class"], F.lit("")).contains(m) | F.coalesce(attrs["id"], F.lit("")).contains(m)
         flag = flag | ids
-    df = elements.withColumn("pruned", _covered(opening & flag, key))
+    # <head> coverage shares this window pass; main_region needs it for the implied-body case
+    df = elements.withColumns({
+        "pruned": _covered(opening & flag, key),
+        "in_head": _covered((kind == "open") & (tag == "head"), key),
+    })
     nonblank = (kind == "text") & ~F.col("pruned") & (F.length(py_strip(F.col("text"))) > 0)
     nxt_nb = F.min(F.when(nonblank, F.col("pos"))).over(_before(_w(key, desc=True)))
     empty = opening & _in(tag, EMPTY_CHECK_TAGS) & ~F.col("pruned") & (nxt_nb.isNull() | (nxt_nb > F.col("e")))
@@ -424,7 +428,7 @@ def main_region(flagged: DataFrame, key: str = "page_id") -> DataFrame:
     cand = F.when(cand["prio"].isNotNull(), cand)
     df = flagged.withColumn("region", F.min(cand).over(Window.partitionBy(key)))
     # no region element at all: the whole document minus <head> (an implied body)
-    in_head = _covered(_in(F.col("kind"), ["open"]) & (F.col("tag") == "head"), key)
+    in_head = F.col("in_head")
     inside = F.when(
         F.col("region").isNull(), ~in_head
     ).otherwise((F.col("pos") >= F.col("region")["s"]) & (F.col("pos") <= F.col("region")["e"]))
