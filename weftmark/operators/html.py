@@ -543,7 +543,7 @@ def render_blocks(units: DataFrame, key: str = "page_id", part: str | None = Non
     rows2 = units1.groupBy(*keys, "blk", "trk").agg(*e["agg2"]).withColumns(e["row_line"])
     blocks = rows2.groupBy(*keys, "blk").agg(*e["agg3"])
     extra = ["url", "txt_nl"] if has_url else ["txt_nl"]
-    return blocks.withColumn("md", e["md"]).select(
+    return blocks.withColumn("_first_sig", e["first_sig"]).withColumn("md", e["md"]).select(
         *keys, "blk", F.col("root")["tag"].alias("block_tag"), F.col("root")["kind"].alias("block_kind"), "md", *extra
     )
 
@@ -628,11 +628,14 @@ def _render_exprs(has_url: bool) -> dict:
         F.first("code_el", ignorenulls=True).alias("code_el"),
         F.array_sort(F.collect_list(r)).alias("rows"),
     ]
-    md = _render_block(F.col("root"), F.col("rows"), F.col("code_el"))
-    return {"agg1": agg1, "texts": texts, "unit_parts": unit_parts, "agg2": agg2, "row_line": row_line, "agg3": agg3, "md": md}
+    # the first table row's signature, computed once per block (not inside the per-row lambda)
+    first_sig = F.try_element_at(F.filter(F.col("rows"), lambda r: r["trk"] >= 0), F.lit(1))["sig"]
+    md = _render_block(F.col("root"), F.col("rows"), F.col("code_el"), F.col("_first_sig"))
+    return {"agg1": agg1, "texts": texts, "unit_parts": unit_parts, "agg2": agg2, "row_line": row_line, "agg3": agg3,
+            "first_sig": first_sig, "md": md}
 
 
-def _render_block(root: Column, rows: Column, code_el: Column) -> Column:
+def _render_block(root: Column, rows: Column, code_el: Column, first_sig: Column) -> Column:
     rtag, rkind = root["tag"], root["kind"]
     all_units = F.flatten(F.transform(rows, lambda r: r["units"]))
     # text of the whole block, every node stripped, glued without separator
@@ -670,7 +673,6 @@ def _render_block(root: Column, rows: Column, code_el: Column) -> Column:
     code = F.when(full_raw != "", F.concat(F.lit("`"), full_raw, F.lit("`")))
     # H20 table: every tr with cells; separator after a row equal to the first row that has th
     trs = F.filter(rows, lambda r: r["trk"] >= 0)
-    first_sig = F.try_element_at(trs, F.lit(1))["sig"]
     tlines = F.transform(
         F.filter(trs, lambda r: r["line"].isNotNull()),
         lambda r: F.when(
