@@ -224,7 +224,8 @@ def _classify_exprs() -> dict:
     return {
         "kind": kind,
         "tag": F.when(opening | (F.col("kind") == "close"), tag),
-        "attrs": F.when(opening, parse_attrs(tok)),
+        "_entries": F.when(opening, attr_entries(tok)),
+        "attrs": attrs_from_entries(F.col("_entries")),
         "val": F.when(F.col("kind") == "text", tok).when(F.col("kind") == "entity", decode_entity(tok)),
     }
 
@@ -232,15 +233,16 @@ def _classify_exprs() -> dict:
 def classify_tokens(tokens: DataFrame) -> DataFrame:
     """Kind, tag, attributes (H3) and decoded value (H4) of each token."""
     e = _cached("classify", _classify_exprs)
-    return tokens.withColumn("kind", e["kind"]).withColumns({"tag": e["tag"], "attrs": e["attrs"], "val": e["val"]})
+    df = tokens.withColumn("kind", e["kind"]).withColumns({"tag": e["tag"], "_entries": e["_entries"], "val": e["val"]})
+    return df.withColumn("attrs", e["attrs"]).drop("_entries")
 
 
-def parse_attrs(tok: Column) -> Column:
-    """H3: attribute map of an opening tag; names lower-cased, first one of a name wins."""
+def attr_entries(tok: Column) -> Column:
+    """H3 (step 1): ``array<struct<k, v>>`` of an opening tag's attributes, in order."""
     open_tag = F.regexp_extract(tok, "^(<[^>]*>?)", 1)
     region = F.regexp_replace(open_tag, f"^<[A-Za-z][^{SP}/>]*", "")
     pairs = F.regexp_extract_all(region, F.lit(ATTR_RE), 0)
-    entries = F.transform(
+    return F.transform(
         pairs,
         lambda p: F.struct(
             F.lower(F.regexp_extract(p, f"^({ATTR_NAME})", 1)).alias("k"),
@@ -252,11 +254,21 @@ def parse_attrs(tok: Column) -> Column:
             ).alias("v"),
         ),
     )
+
+
+def attrs_from_entries(entries: Column) -> Column:
+    """H3 (step 2): the map, first occurrence of a repeated name kept. ``entries`` must be a
+    column reference, so the lambda below reads it instead of re-parsing per attribute."""
     names = F.transform(entries, lambda s: s["k"])
     firsts = F.filter(entries, lambda s, i: F.array_position(names, s["k"]) == i + 1)
     return F.map_from_entries(firsts)
 
 
+def parse_attrs(tok: Column) -> Column:
+    """H3: attribute map of an opening tag; names lower-cased, first one of a name wins."""
+    return attrs_from_entries(attr_entries(tok))
+
+
 def text_nodes(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     """Merge each run of text/entity tokens into one text row.
 
