@@ -106,3 +106,10 @@ def test_driver_pages_drop_chrome(spark):
     for r in rows:
         assert "track(" not in r.content and "<" not in r.content.replace("< ", "")
         assert r.content.startswith("# ")
+
+
+def test_entity_dense_text_run(spark):
+    """60,000 tokens in one text node (text and entities alternating) merge in linear work."""
+    html = "<html><body><p>" + "a&amp;" * 30000 + "</p></body></html>"
+    got = convert(spark, [(1, "u", html)])
+    assert got[1] == "a&" * 30000

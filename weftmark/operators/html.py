@@ -274,22 +274,37 @@ def text_nodes(tokens: DataFrame, key: str = "page_id") -> DataFrame:
 
     The run is joined before any stripping; a run ends at any other token,
     including comments and tags of removed elements (nodes are never merged).
+    A node is one non-text token plus the run after it: one grouped aggregate per
+    node (linear in the run, unlike a whole-run window, which would copy the run's
+    array into each of its rows), then an explode back to at most two rows.
     """
-    is_text = _in(F.col("kind"), ["text", "entity"])
-    w_pos = _w(key)
-    df = tokens.withColumn("_is_text", is_text).withColumn(
-        "_node", F.sum(F.when(is_text, 0).otherwise(1)).over(_running(w_pos))
+    kind, pos = F.col("kind"), F.col("pos")
+    is_text = _in(kind, ["text", "entity"])
+    df = tokens.withColumn("_node", F.sum(F.when(is_text, 0).otherwise(1)).over(_running(_w(key))))
+    extra = [c for c in tokens.columns if c not in (key, "pos", "tok", "kind", "tag", "attrs", "val")]
+    head = F.struct(pos.alias("pos"), F.col("tok").alias("tok"), kind.alias("kind"), F.col("tag").alias("tag"),
+                    F.col("attrs").alias("attrs"))
+    agg = df.groupBy(key, "_node").agg(
+        F.min_by(F.when(~is_text, head), F.when(~is_text, pos)).alias("_h"),
+        F.min(F.when(is_text, pos)).alias("_tpos"),
+        F.array_sort(F.collect_list(F.when(is_text, F.struct(pos.alias("p"), F.col("val").alias("v"))))).alias("_run"),
+        *[F.max(c).alias(c) for c in extra],
     )
-    w_node = _whole(_w(key, "_node"))
-    df = df.withColumns({
-        "_run": F.array_join(F.collect_list(F.when(F.col("_is_text"), F.col("val"))).over(w_node), ""),
-        "_first": F.col("pos") == F.min(F.when(F.col("_is_text"), F.col("pos"))).over(w_node),
-    })
-    df = df.filter(~F.col("_is_text") | F.col("_first"))
-    return df.select(
-        *[F.when(~F.col("_is_text"), F.col(c)).alias(c) if c == "tok" else F.col(c) for c in tokens.columns if c not in ("kind", "val")],
-        F.when(F.col("_is_text"), F.lit("text")).otherwise(F.col("kind")).alias("kind"),
-        F.when(F.col("_is_text"), F.col("_run")).alias("text"),
+    h = F.col("_h")
+    null_s = F.lit(None).cast("string")
+    out_rows = F.array(
+        F.when(h.isNotNull(), F.struct(h["pos"].alias("pos"), h["tok"].alias("tok"), h["kind"].alias("kind"), h["tag"].alias("tag"),
+                                       h["attrs"].alias("attrs"), null_s.alias("text"))),
+        F.when(F.col("_tpos").isNotNull(), F.struct(
+            F.col("_tpos").alias("pos"), null_s.alias("tok"), F.lit("text").alias("kind"), null_s.alias("tag"),
+            F.lit(None).cast("map<string,string>").alias("attrs"),
+            F.array_join(F.transform(F.col("_run"), lambda x: x["v"]), "").alias("text"))),
+    )
+    out = agg.select(key, *extra, F.explode(F.filter(out_rows, lambda r: r.isNotNull())).alias("_r"))
+    return out.select(
+        key, F.col("_r.pos").alias("pos"), F.col("_r.tok").alias("tok"),
+        *[F.when(F.col("_r.pos") == 0, F.col(c)).alias(c) for c in extra],
+        F.col("_r.kind").alias("kind"), F.col("_r.tag").alias("tag"), F.col("_r.attrs").alias("attrs"), F.col("_r.text").alias("text"),
     )
 
 
