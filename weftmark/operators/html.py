@@ -29,7 +29,7 @@ import html.entities as _entities
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS_CLASS, noise_filter, normalize_lines, py_strip, token_estimate
+from ..functions.text import noise_filter, normalize_lines, py_strip, token_estimate
 
 # ---------------------------------------------------------------------------
 # Fixed values (tag lists, selectors and patterns that decide the output).
