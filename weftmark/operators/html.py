@@ -12,8 +12,10 @@ the key there is no further shuffle and no pairwise join:
   interval joins of a naive design and holds for any number of elements;
 * blocks, direct children, list items and table cells are running counts and
   ``last(... ignorenulls)`` lookups inside a (page, block) window;
+* text runs are merged by one grouped aggregate per node (linear in the run);
 * rendering is three small grouped aggregates (unit -> row -> block) and the
-  page assembly is one more (page).
+  page assembly is one more (page). All aggregates group by the page key plus
+  sub-keys, so none of them shuffles.
 
 Column conventions on the token table: ``pos`` token position, ``kind`` one of
 open/close/void/raw/text/comment/decl/none, ``tag`` lower-cased tag name,
