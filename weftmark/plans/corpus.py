@@ -124,7 +124,7 @@ def rich_pages(documents: DataFrame) -> DataFrame:
     ad nodes, page chrome), filled with the document's own text."""
     lines = F.split(F.col("text"), "\n")
     line = lambda i: _esc(F.coalesce(F.try_element_at(lines, F.lit(i)), F.lit("")))
-    first = F.regexp_extract(F.col("text"), "^(\\S+)", 1)
+    first = F.regexp_extract(F.col("text"), "^([^\\t\\n\\x0b\\x0c\\r ]+)", 1)
     sentences = F.filter(F.split(F.coalesce(F.try_element_at(lines, F.lit(2)), F.col("text")), "\\. "), lambda s: F.length(s) > 0)
     lis = F.array_join(F.transform(sentences, lambda s: F.concat(F.lit("<li>"), _esc(s), F.lit("</li>"))), "")
     did = F.col("doc_id").cast("string")
@@ -152,7 +152,7 @@ def rich_pages(documents: DataFrame) -> DataFrame:
 def chrome_only_pages(documents: DataFrame) -> DataFrame:
     """Pages whose body holds only removed chrome, so the whole-page text fallback
     (H26) decides the output: the title survives, navigation does not."""
-    first = F.regexp_extract(F.col("text"), "^(\\S+)", 1)
+    first = F.regexp_extract(F.col("text"), "^([^\\t\\n\\x0b\\x0c\\r ]+)", 1)
     html = F.concat(
         F.lit("<html><head><title>"), _esc(first), F.lit("</title></head><body><nav>"), F.col("lang"),
         F.lit("</nav><div><span> </span></div></body></html>"),

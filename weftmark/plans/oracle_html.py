@@ -395,3 +395,11 @@ nm AS (SELECT *, {_attr_name('p')} AS name FROM ex)
 SELECT page_id, pos, tag, name, {_attr_value('p')} AS value
 FROM nm QUALIFY row_number() OVER (PARTITION BY page_id, pos, name ORDER BY i) = 1
 """
+
+
+def chrome_only_pages_sql() -> str:
+    """The same derivation as ``corpus.chrome_only_pages``."""
+    first = f"regexp_extract(text, '^([^{H.SP}]+)', 1)"
+    html = (f"'<html><head><title>' || {_esc(first)} || '</title></head><body><nav>' || lang || "
+            f"'</nav><div><span> </span></div></body></html>'")
+    return f"SELECT doc_id AS page_id, 'https://docs.example.org/' || lang || '/' || CAST(doc_id AS VARCHAR) AS url, {html} AS html FROM documents"

@@ -274,6 +274,7 @@ ORACLES = {
         OH.rich_pages_sql(),
         f"SELECT page_id, blk, block_kind, block_tag, md IS NOT NULL AS kept FROM blocks WHERE block_kind = 'text' OR block_tag NOT IN {OH.KNOWN_BLOCKS}"),
     "html_attrs": OH.ATTRS_SQL,
+    "empty_fallback_raw": OH.page_markdown_sql(OH.chrome_only_pages_sql()),
 }
 
 

@@ -340,6 +340,11 @@ def empty_fallback(spark, d):
     return H.page_markdown(C.chrome_only_pages(_t(spark, d, "documents")))
 
 
+def empty_fallback_raw(spark, d):
+    """H26 before the noise filter (DuckDB-checkable)."""
+    return H.page_markdown(C.chrome_only_pages(_t(spark, d, "documents")), denoise=False)
+
+
 def summarize_needed(spark, d):
     return summary_options(spark, d).select("doc_id", "enabled", "active", "needed")
 
@@ -481,6 +486,7 @@ QUERIES = {
     "normalize_lines": normalize_lines,
     "assemble_markdown": page_markdown,
     "empty_fallback": empty_fallback,
+    "empty_fallback_raw": empty_fallback_raw,
     "summarize_needed": summarize_needed,
     "summary_strategy": summary_strategy,
     "summary_decision": summarize_documents,
