@@ -113,3 +113,14 @@ def test_entity_dense_text_run(spark):
     html = "<html><body><p>" + "a&amp;" * 30000 + "</p></body></html>"
     got = convert(spark, [(1, "u", html)])
     assert got[1] == "a&" * 30000
+
+
+def test_large_table_and_list(spark):
+    """A 20,000-row table and a 20,000-item list on one page render whole (linear per block)."""
+    n = 20000
+    table = "<table><tr><th>k</th><th>v</th></tr>" + "".join(f"<tr><td>r{i}</td><td>{i}</td></tr>" for i in range(n)) + "</table>"
+    items = "<ul>" + "".join(f"<li>item {i}</li>" for i in range(n)) + "</ul>"
+    got = convert(spark, [(1, "u", f"<html><body>{table}</body></html>"), (2, "u", f"<html><body>{items}</body></html>")])
+    lines = got[1].split("\n")
+    assert lines[:3] == ["| k | v |", "| --- | --- |", "| r0 | 0 |"] and len(lines) == n + 2
+    assert got[2].split("\n")[-1] == f"- item {n - 1}" and got[2].count("\n") == n - 1
