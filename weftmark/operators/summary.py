@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip, token_estimate
 from ..options import JobOptions
+from ..session import checkpointed
 
 # Fixed values (prompt texts and limits must equal the reference's).
 SINGLE_PASS_SYSTEM = (
@@ -194,7 +195,7 @@ def _cut(df: DataFrame, materialize: bool) -> DataFrame:
     """Reliable checkpoint to the shared checkpoint folder: the summarizer runs once per
     prompt even though both rounds read its answers, and a lost executor does not
     re-issue model calls."""
-    return df.checkpoint(eager=True) if materialize else df
+    return checkpointed(df) if materialize else df
 
 
 def summarize(planned: DataFrame, summarizer: Summarizer, key: str = "doc_id", materialize: bool = True) -> DataFrame:

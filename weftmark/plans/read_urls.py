@@ -24,6 +24,7 @@ from ..options import (
     JobOptions,
 )
 from ..schemas import REQUEST
+from ..session import checkpointed
 
 RENDER_NATIVE = "native_markdown"
 RENDER_BROWSER = "playwright"
@@ -154,7 +155,7 @@ def read_urls(requests: DataFrame, pages: DataFrame, responses: DataFrame | None
     options = options or JobOptions()
     ok, bad = routed(requests, responses, pages, options)
     # stage boundary: the routed content feeds both summary rounds and the error split
-    ok = ok.checkpoint(eager=True)
+    ok = checkpointed(ok)
     fetched = ok.filter(F.col("error").isNull()).drop("error")
     failed = ok.filter(F.col("error").isNotNull())
 

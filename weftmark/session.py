@@ -39,17 +39,30 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured shared folder; create a local one only when none is set (tests)."""
+    """Use the configured shared folder; create a local one only for ``local[...]`` sessions (tests).
+
+    On any other master a folder of one machine is not seen by the others, so a missing
+    ``spark.checkpoint.dir`` is an error there.
+    """
     d = checkpoint_dir(spark)
     if d:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(d)
         return d
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share (master is {master})")
     d = tempfile.mkdtemp(prefix="weftmark-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def checkpointed(df):
+    """Eager reliable checkpoint in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for stage tables and stream sinks."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
