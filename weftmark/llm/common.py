@@ -19,19 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared folder; the folder goes when the application ends."""
+    path = scratch_path(spark, f"llm/{label}-{uuid.uuid4().hex}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs its unfinished tasks, not the stages before.
-    The folder goes when the application ends.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, f"llm/{label}-{uuid.uuid4().hex}")
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

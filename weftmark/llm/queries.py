@@ -6,13 +6,20 @@ operator's output. ``ORACLES`` holds DuckDB statements where SQL can express the
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmark.llm.common import table
+from weftmark.llm.common import fold, fresh_path, table
 from weftmark.llm.line_dedup import line_dedup
+from weftmark.llm.mixing import mix_sources
+from weftmark.llm.packing import pack_documents
+from weftmark.llm.pivot_search import exact_top_k
+from weftmark.llm.quality_fm import fit_quality, with_quality
 from weftmark.llm.quality_rules import STOP_WORDS, quality_rules
+from weftmark.llm.rans import read_token_file, write_token_file
 from weftmark.llm.simhash import simhash_components
+from weftmark.llm.toxicity import fit_toxicity, with_toxicity
 from weftmark.llm.url_filter import UrlRule, canonical_url, url_filter, url_parts
 
 URL_RULES = [
@@ -35,11 +42,39 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), folds=4, held_out_fold=2)
+    scored = with_quality(docs.withColumn("held_out", fold("doc_id", 4) == 2), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-file")
+    write_token_file(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_pack_gga(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048, keep_ids=False).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50, max_repeat_percent=50)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mix_sources(docs, entropy_share=0.97, max_repeats=4.0)
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_order", "mix_weight", "mix_repeats")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     parts = url_parts(F.col("url"))
@@ -48,11 +83,24 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), folds=5, held_out_fold=0)
+    scored = with_toxicity(docs.withColumn("held_out", fold("doc_id", 5) == 0), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality_fm": op3_quality_fm,
+    "op4_rans_tokens": op4_rans_tokens,
+    "op5_pack_gga": op5_pack_gga,
+    "op6_pivot_topk": op6_pivot_topk,
     "op7_quality_rules": op7_quality_rules,
+    "op8_mix_sources": op8_mix_sources,
     "op9_url_filter": op9_url_filter,
+    "op10_toxicity": op10_toxicity,
 }
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -60,6 +108,13 @@ _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLES: dict[str, str] = {
+    "op6_pivot_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+                   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op2_line_dedup": f"""
         WITH l AS (SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], {_STRIP}), {_AZ}) AS k
                    FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
@@ -70,7 +125,7 @@ ORACLES: dict[str, str] = {
         FROM l LEFT JOIN bad ON l.k = bad.k GROUP BY doc_id""",
     "op7_quality_rules": f"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
-                          list_filter(string_split(coalesce(text, ''), chr(10)), x -> trim(x, {_STRIP}) <> '') AS l FROM documents),
+                          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {_STRIP}) <> '') AS l FROM documents),
              g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
                    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
              r AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (
@@ -81,9 +136,9 @@ ORACLES: dict[str, str] = {
                           (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
                           len(l) AS n_lines, length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) AS caps,
                           length(regexp_replace(text, '[^!]+', '', 'g')) AS excl,
-                          len(list_filter(w, x -> list_contains({sorted({w for x in STOP_WORDS.values() for w in x.split()})}, lower(trim(x, '.,;:!?"()'))))) AS stops,
-                          len(list_filter(l, x -> regexp_matches(trim(x, {_STRIP}), '^[-*•]'))) AS bullets,
-                          len(list_filter(l, x -> regexp_matches(trim(x, {_STRIP}), '(\\.\\.\\.|…)$'))) AS dots
+                          len(list_filter(w, lambda x: list_contains({sorted({w for x in STOP_WORDS.values() for w in x.split()})}, lower(trim(x, '.,;:!?"()'))))) AS stops,
+                          len(list_filter(l, lambda x: regexp_matches(trim(x, {_STRIP}), '^[-*•]'))) AS bullets,
+                          len(list_filter(l, lambda x: regexp_matches(trim(x, {_STRIP}), '(\\.\\.\\.|…)$'))) AS dots
                    FROM t LEFT JOIN r USING (doc_id)),
              b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -13,8 +13,12 @@ import functools
 import re
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from weftmark.llm.common import small_batches
+
 CACHE_ENTRIES = 600_000
 _SPACED = re.compile(r"[^ ]* (?=\s|$)|\s+")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#$%&|]*)")
@@ -94,3 +98,18 @@ class TextEncoder:
 def encoder(path: str) -> TextEncoder:
     """One encoder for each tokenizer file and worker."""
     return TextEncoder(path)
+
+
+def with_ids(docs: DataFrame, text_col: str, tokenizer: str, end_id: int | None = None) -> DataFrame:
+    """Add ``ids`` (binary, little-endian unsigned 32-bit) of whole texts; null is the empty text.
+
+    ``end_id`` is appended to each document.
+    """
+    small_batches(docs.sparkSession)
+    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+
+    @F.pandas_udf("binary")
+    def ids(texts):
+        return texts.map(lambda t: encoder(tokenizer).ids(t or "") + end)
+
+    return docs.withColumn("ids", ids(F.coalesce(F.col(text_col), F.lit(""))))
