@@ -18,7 +18,7 @@ from weftmark.llm.tokens import encoder
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ODD = ["", " ", "  ", "a  b", " a", "a ", "a \nb", "a\n b", "a\n\nb c\n", "it's don't I'LL we've", "x\x1cy \x1c z", "ª º ß İstanbul ΣΑΣ",
        "<|endoftext|> a<|endoftext|>b <|startoftext|>", "é é ñ", "日本 語", "1234 12a ab1 ,,, ... !!", "a\r\nb", "a.\nB ,c #x#\n|",
-       "\n", "\n\n a", "a  \n  b", "😀 x😀y", "a\u0085b c\u0085 d", "Œuvre ÿ Ÿ ſ K", "w" * 100_000]
+       "\n", "\n\n a", "a  \n  b", "😀 x😀y", "a\u0085b c\u0085 d", "Œuvre ÿ Ÿ ſ K", "w" * 100_000, "ªº µm aª, ÿ. ×y"]
 
 
 def whole(path, text):
@@ -112,7 +112,7 @@ def test_documents_cut_over_blocks(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, None, 4, 5, 6]), pa.array([t.tobytes() for t in texts], pa.binary())], names=["doc_id", "ids"])
     model = rans.Model(np.arange(17), rans.quantised(np.ones(17)))
     monkeypatch.setattr(rans, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 3})())}))
-    blocks = [b for b in rans._blocks([batch], model)]
+    blocks = [b for b in rans._blocks([batch], model, 4)]
     assert len(blocks) > 8
     parts = [r for b in rans._documents(blocks, model) for r in b.to_pylist()]
     for number, t in enumerate(texts):
