@@ -38,4 +38,4 @@ def test_accept_gate(spark):
     rows = [("https://a/1", 200, None, {"Content-Type": "text/markdown"}, b"x")]
     assert run(spark, rows, JobOptions(accept_header="text/html")) == {}
     assert JobOptions.from_env({}).accept_header == "text/markdown, text/plain;q=0.99, text/html;q=0.9, */*;q=0.8"
-    assert JobOptions.from_env({"AMAZING_READER_ACCEPT_HEADER": "application/json"}).accept_header == "application/json"
+    assert JobOptions.from_env({"WEFTMARK_ACCEPT_HEADER": "application/json"}).accept_header == "application/json"

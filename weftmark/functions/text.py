@@ -106,7 +106,7 @@ def truncate_content(content, truncate, max_length) -> Column:
 
 def normalize_lines(c) -> Column:
     """Strip every line, keep at most one blank line in a row, strip the whole."""
-    s = F.regexp_replace(_col(c), f"(?U){HWS_CLASS}*\\n{HWS_CLASS}*", "\n")
+    s = F.array_join(F.transform(F.split(_col(c), "\n"), py_strip), "\n")
     s = F.regexp_replace(s, "\\n{3,}", "\n\n")
     return py_strip(s)
 

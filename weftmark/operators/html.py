@@ -36,14 +36,14 @@ from ..functions.text import noise_filter, normalize_lines, py_strip, token_esti
 # ---------------------------------------------------------------------------
 # Fixed values (tag lists, selectors and patterns that decide the output).
 # ---------------------------------------------------------------------------
-# Lossless tokeniser: comments, raw-text elements, tags (attribute count bounded
-# so a pathological tag degrades to text instead of overflowing the regex
-# engine's stack), declarations, character references, text.
+# Lossless tokeniser: comments, raw-text elements, tags (the possessive group takes any
+# number of quoted attributes without growing the regex engine's stack), declarations,
+# character references, text.
 TOKEN_RE = (
     "(?is)<!--.*?-->"
     "|<script\\b.*?</script[\\t\\n\\x0b\\x0c\\r ]*>|<style\\b.*?</style[\\t\\n\\x0b\\x0c\\r ]*>"
     "|<textarea\\b.*?</textarea[\\t\\n\\x0b\\x0c\\r ]*>"
-    "|</?[a-z][^'\">]*(?:\"[^\"]*\"[^'\">]*|'[^']*'[^'\">]*){0,200}>"
+    "|</?[a-z][^'\">]*(?:\"[^\"]*\"[^'\">]*|'[^']*'[^'\">]*)*+>"
     "|<[!?][^>]*>"
     "|&(?:#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);"
     "|[^<&]+|<|&"
@@ -55,6 +55,8 @@ ATTR_RE = f"({ATTR_NAME})(?:[{SP}]*=[{SP}]*(?:\"[^\"]*\"|'[^']*'|[^{SP}\"'>]+))?
 RAW_RE = "(?is)^(?:" + "|".join(f"<{t}\\b.*</{t}[{SP}]*>" for t in ["script", "style", "textarea"]) + ")$"
 SELF_CLOSE_RE = f"/[{SP}]*>$"
 TAG_NAME_RE = "^</?([A-Za-z][A-Za-z0-9:_-]*)"
+# the same language for an engine without possessive groups
+TOKEN_RE_RE2 = TOKEN_RE.replace(")*+>", ")*>")
 ENTITY_TOKEN_RE = "^&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);$"
 
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "meta", "param", "source", "track", "wbr"]
@@ -160,9 +162,10 @@ def decode_entity(tok: Column) -> Column:
     body = F.regexp_extract(tok, "^&(.*);$", 1)
     is_dec = body.rlike("^#[0-9]+$")
     is_hex = body.rlike("^#[xX][0-9a-fA-F]+$")
-    digits = F.regexp_extract(body, "^#[xX]?([0-9a-fA-F]+)$", 1)
-    dec_cp = F.when(F.length(digits) <= 8, digits.try_cast("bigint"))
-    hex_cp = F.when(F.length(digits) <= 7, F.conv(digits, 16, 10).try_cast("bigint"))
+    # leading zeros do not count; more digits than the range needs are out of it
+    digits = F.regexp_extract(body, "^#[xX]?0*([0-9a-fA-F]*)$", 1)
+    dec_cp = F.when(F.length(digits).between(1, 7), digits.try_cast("bigint"))
+    hex_cp = F.when(F.length(digits).between(1, 6), F.conv(digits, 16, 10).try_cast("bigint"))
     named = F.try_element_at(_entity_lit(), body)
     return (
         F.when(is_dec, _codepoint_to_str(dec_cp))
@@ -171,16 +174,14 @@ def decode_entity(tok: Column) -> Column:
     )
 
 
-# character references decoded inside attribute values, in this order (&amp; last)
-ATTR_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
-                 ("&#x27;", "'"), ("&#34;", '"'), ("&amp;", "&")]
+ATTR_PIECE_RE = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
 
 
 def decode_attr_value(v: Column) -> Column:
-    """Character references inside attribute values (the common named ones and numeric)."""
-    for ent, ch in ATTR_ENTITIES:
-        v = F.replace(v, F.lit(ent), F.lit(ch))
-    return v
+    """H4 inside attribute values: every character reference, as in text."""
+    pieces = F.regexp_extract_all(v, F.lit(ATTR_PIECE_RE), 0)
+    decoded = F.transform(pieces, lambda p: F.when(p.rlike(ENTITY_TOKEN_RE), decode_entity(p)).otherwise(p))
+    return F.when(v.contains("&"), F.array_join(decoded, "")).otherwise(v)
 
 
 # ---------------------------------------------------------------------------
@@ -259,11 +260,14 @@ def attr_entries(tok: Column) -> Column:
 
 
 def attrs_from_entries(entries: Column) -> Column:
-    """H3 (step 2): the map, first occurrence of a repeated name kept. ``entries`` must be a
-    column reference, so the lambda below reads it instead of re-parsing per attribute."""
-    names = F.transform(entries, lambda s: s["k"])
-    firsts = F.filter(entries, lambda s, i: F.array_position(names, s["k"]) == i + 1)
-    return F.map_from_entries(firsts)
+    """H3 (step 2): the map, first occurrence of a repeated name kept.
+
+    Entries are sorted by (name, place) and the first of each name stays. The sorted array is a
+    lambda variable, made once for each tag.
+    """
+    placed = F.array_sort(F.transform(entries, lambda s, i: F.struct(s["k"].alias("k"), i.alias("i"), s["v"].alias("v"))))
+    firsts = F.transform(F.array(placed), lambda es: F.filter(es, lambda s, i: (i == 0) | (F.get(es, i - 1)["k"] != s["k"])))[0]
+    return F.when(entries.isNotNull(), F.map_from_entries(F.transform(firsts, lambda s: F.struct(s["k"], s["v"]))))
 
 
 def parse_attrs(tok: Column) -> Column:
@@ -282,7 +286,11 @@ def text_nodes(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     """
     kind, pos = F.col("kind"), F.col("pos")
     is_text = _in(kind, ["text", "entity"])
-    df = tokens.withColumn("_node", F.sum(F.when(is_text, 0).otherwise(1)).over(_running(_w(key))))
+    # every page has one row at position 0: a second one means two pages under one key
+    twice = F.sum(F.when(pos == 0, 1).otherwise(0)).over(_running(_w(key))) > 1
+    node = F.sum(F.when(is_text, 0).otherwise(1)).over(_running(_w(key)))
+    df = tokens.withColumn("_node", F.when(twice, F.raise_error(F.concat(F.lit(f"two pages have the same {key}: "), F.col(key).cast("string")))
+                                           .cast("long")).otherwise(node))
     extra = [c for c in tokens.columns if c not in (key, "pos", "tok", "kind", "tag", "attrs", "val")]
     head = F.struct(pos.alias("pos"), F.col("tok").alias("tok"), kind.alias("kind"), F.col("tag").alias("tag"),
                     F.col("attrs").alias("attrs"))
@@ -498,48 +506,48 @@ def block_segments(region_rows: DataFrame, key: str = "page_id", part: str | Non
 
 
 def block_units(blocks: DataFrame, key: str = "page_id", part: str | None = None) -> DataFrame:
-    """Direct children, list items, table rows/cells and the code element of each block."""
+    """Direct children, list items and the code element of each block, and the extents of table parts.
+
+    Every table row and cell gets a second row (``kind = 'end'``) at its end position. Running
+    counts of cells, header cells, texts and rows at both places say what the element holds, at
+    any depth: its cells and texts are ranges of the block's cells and texts.
+    """
     keys = [key] + ([part] if part else [])
     kind, tag, pos = F.col("kind"), F.col("tag"), F.col("pos")
-    opening = _in(kind, OPENING)
-    w_blk = _w(keys, "blk")
+    open_part = (kind == "open") & _in(tag, ["td", "th", "tr"])
+    at = F.array(F.struct(F.col("pos").alias("p"), F.lit(0).alias("o")))
+    both = F.when(open_part, F.array(F.struct(F.col("pos").alias("p"), F.lit(0).alias("o")), F.struct(F.col("e").alias("p"), F.lit(1).alias("o")))).otherwise(at)
+    df = blocks.withColumn("_s", pos).withColumn("_at", F.explode(both)).withColumns({
+        "pos": F.col("_at.p"), "_ord": F.col("_at.o"), "kind": F.when(F.col("_at.o") == 1, F.lit("end")).otherwise(kind)}).drop("_at")
+    real = F.col("_ord") == 0
+    opening = real & _in(kind, OPENING)
+    w_blk = Window.partitionBy(*keys, "blk").orderBy("pos", "_ord")
     run = _running(w_blk)
-    # pass 1 (whole block): root position, table flag, first code element (used by pre blocks,
+    # pass 1 (whole block): root position and first code element (used by pre blocks,
     # whose root is not a code element, so "first code in the block" is "first inner code")
     code = (kind == "open") & (tag == "code")
-    df = blocks.withColumns({
+    df = df.withColumns({
         "root_s": F.min("pos").over(_whole(w_blk)),
-        "_is_table": F.first("tag").over(_whole(w_blk)) == "table",
         "code_el": F.min_by(
             F.when(code, F.struct(pos.alias("s"), F.col("e").alias("e"), F.col("attrs").alias("attrs"))), F.when(code, pos)
         ).over(_whole(w_blk)),
     })
     inner = pos > F.col("root_s")
-
-    def last_el(cond: Column, c: str) -> Column:
-        return F.last(F.when(cond, F.col(c)), ignorenulls=True).over(run)
-
-    # pass 2: direct-child test and the enclosing table row / cell
-    is_cell = inner & (kind == "open") & _in(tag, ["td", "th"])
-    is_tr = inner & (kind == "open") & (tag == "tr")
+    # pass 2: direct-child test and the running counts of table parts
     reach = F.max(F.when(inner & opening, F.col("e"))).over(_before(w_blk))
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).over(run)
+    is_open = real & (kind == "open")
     df = df.withColumns({
-        "_top": inner & (reach.isNull() | (reach < pos)),
-        "_cell_s": last_el(is_cell, "pos"), "_cell_e": last_el(is_cell, "e"),
-        "_tr_s": last_el(is_tr, "pos"), "_tr_e": last_el(is_tr, "e"),
+        "_top": real & inner & (reach.isNull() | (reach < pos)),
+        "n_cell": count(is_open & inner & _in(tag, ["td", "th"])), "n_th": count(is_open & inner & (tag == "th")),
+        "n_text": count(real & (kind == "text")), "n_row": count(real),
     })
     # pass 3: unit number = running count of direct children
     unit_start = F.col("_top") & (opening | (kind == "text"))
     df = df.withColumn("unit", F.sum(F.when(unit_start, 1).otherwise(0)).over(run))
     if part:
         df = df.withColumn("unit", F.when(F.col(part) == "walk", F.col("unit")).otherwise(F.lit(0).cast("bigint")))
-    in_tr = F.col("_is_table") & F.coalesce(F.col("_tr_e") >= pos, F.lit(False))
-    in_cell = in_tr & F.coalesce((F.col("_cell_e") >= pos) & (F.col("_cell_s") > F.col("_tr_s")), F.lit(False))
-    df = df.withColumns({
-        "trk": F.when(in_tr, F.col("_tr_s")).otherwise(F.lit(-1)),
-        "cell": F.when(in_cell, F.col("_cell_s")).otherwise(F.lit(-1)),
-    })
-    return df.drop("_top", "_cell_s", "_cell_e", "_tr_s", "_tr_e", "_is_table")
+    return df.drop("_top")
 
 
 # ---------------------------------------------------------------------------
@@ -561,31 +569,30 @@ def _link(text: Column, href: Column) -> Column:
 def render_blocks(units: DataFrame, key: str = "page_id", part: str | None = None) -> DataFrame:
     """One markdown string (or null) per block, in ``blk`` order.
 
-    Stage 1 groups rows per unit (direct child / list item / table cell),
-    stage 2 per table row, stage 3 per block.
+    Stage 1 groups rows per unit (direct child / list item), stage 2 per block.
     """
     keys = [key] + ([part] if part else [])
     has_url = "url" in units.columns
     e = _cached(f"render:{has_url}", lambda: _render_exprs(has_url))
-    units1 = units.groupBy(*keys, "blk", "trk", "cell", "unit").agg(*e["agg1"]).withColumns(e["texts"]).drop("_rows")
+    units1 = units.groupBy(*keys, "blk", "unit").agg(*e["agg1"]).withColumns(e["texts"])
     units1 = units1.withColumns(e["unit_parts"])
-    rows2 = units1.groupBy(*keys, "blk", "trk").agg(*e["agg2"]).withColumns(e["row_line"])
-    blocks = rows2.groupBy(*keys, "blk").agg(*e["agg3"])
+    blocks = units1.groupBy(*keys, "blk").agg(*e["agg2"])
     extra = ["url", "txt_nl"] if has_url else ["txt_nl"]
-    return blocks.withColumn("_first_sig", e["first_sig"]).withColumn("md", e["md"]).select(
+    return blocks.withColumns(e["table"]).withColumn("md", e["md"]).select(
         *keys, "blk", F.col("root")["tag"].alias("block_tag"), F.col("root")["kind"].alias("block_kind"), "md", *extra
     )
 
 
 def _render_exprs(has_url: bool) -> dict:
-    """The column expressions of the three render stages (built once per JVM)."""
+    """The column expressions of the two render stages (built once per JVM)."""
     kind, tag, pos = F.col("kind"), F.col("tag"), F.col("pos")
     is_text = kind == "text"
+    real = kind != "end"
     stripped = py_strip(F.col("text"))
     nonempty = F.when(is_text & (F.length(stripped) > 0), stripped)
     in_code = F.col("code_el").isNull() | ((pos >= F.col("code_el")["s"]) & (pos <= F.col("code_el")["e"]))
-    head = F.min_by(F.struct(kind.alias("kind"), tag.alias("tag"), F.col("attrs").alias("attrs"), pos.alias("pos")), pos)
-    is_root = pos == F.col("root_s")
+    head = F.min_by(F.when(real, F.struct(kind.alias("kind"), tag.alias("tag"), F.col("attrs").alias("attrs"), pos.alias("pos"))), F.when(real, pos))
+    is_root = real & (pos == F.col("root_s"))
     url_cols = [F.max("url").alias("url")] if has_url else []
 
     # stage 1: one ordered array per unit; every text of the unit is derived from it
@@ -593,19 +600,27 @@ def _render_exprs(has_url: bool) -> dict:
         pos.alias("p"), nonempty.alias("ne"), F.when(is_text, F.col("text")).alias("t"),
         F.when(is_text & in_code, F.col("text")).alias("c"), F.coalesce(F.col("text"), F.col("tok")).alias("s"),
     )
+    # a table part's start (its open row) or end (its end row), with the counts before or up to it
+    opened = real & (kind == "open") & (pos > F.col("root_s")) & _in(tag, ["td", "th", "tr"])
+    edge = F.struct(
+        F.col("_s").alias("s"), (tag == "tr").alias("tr"), (F.col("n_cell") - F.when(opened & (tag != "tr"), 1).otherwise(0)).alias("cells"),
+        (F.col("n_th") - F.when(opened & (tag == "th"), 1).otherwise(0)).alias("ths"), F.col("n_text").alias("texts"),
+        (F.col("n_row") - F.when(opened, 1).otherwise(0)).alias("rows"),
+    )
     agg1 = [
         *url_cols,
-        F.array_sort(F.collect_list(row)).alias("_rows"),
+        F.array_sort(F.collect_list(F.when(real, row))).alias("_rows"),
         head.alias("head"),
         F.first(F.when(is_root, F.struct(kind.alias("kind"), tag.alias("tag"), F.col("attrs").alias("attrs"))), ignorenulls=True).alias("root"),
         F.first("code_el", ignorenulls=True).alias("code_el"),
-        F.max(F.when(kind == "open", tag == "th")).alias("has_th"),
+        F.collect_list(F.when(opened, edge)).alias("_starts"),
+        F.collect_list(F.when((kind == "end") & (F.col("_s") > F.col("root_s")), edge)).alias("_ends"),
     ]
 
     def joined(field: str, sep: str = "") -> Column:
         return F.array_join(F.transform(F.col("_rows"), lambda r: r[field]), sep)
 
-    texts = {"txt_nl": joined("ne", "\n"), "txt": joined("ne"), "raw": joined("t"), "code_raw": joined("c"), "sig": joined("s")}
+    texts = {"txt_nl": joined("ne", "\n"), "txt": joined("ne"), "raw": joined("t"), "code_raw": joined("c")}
     # unit -> part of a paragraph
     h = F.col("head")
     htag = h["tag"]
@@ -624,49 +639,76 @@ def _render_exprs(has_url: bool) -> dict:
         "is_li": (F.col("unit") > 0) & (h["kind"] == "open") & (htag == "li"),
     }
 
-    # stage 2: table rows (a single group for any other block)
+    # stage 2: blocks; the rows of a unit stay with it only where a table part is in it
+    has_parts = F.size("_starts") + F.size("_ends") > 0
     u = F.struct(
-        F.col("cell").alias("cell"), F.col("unit").alias("unit"), F.col("inline").alias("inline"),
-        F.col("is_li").alias("is_li"), F.col("txt").alias("txt"), F.col("raw").alias("raw"),
-        F.col("code_raw").alias("code_raw"),
+        F.col("unit").alias("unit"), F.col("inline").alias("inline"), F.col("is_li").alias("is_li"), F.col("txt").alias("txt"),
+        F.col("raw").alias("raw"), F.col("code_raw").alias("code_raw"), F.col("txt_nl").alias("txt_nl"), has_parts.alias("parts"),
+        F.transform("_rows", lambda r: F.struct(r["ne"].alias("ne"), r["t"].alias("t"), r["s"].alias("s"))).alias("rows"),
     )
     agg2 = [
         *url_cols,
-        F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct(F.col("cell"), F.col("unit"), F.col("txt_nl")))), lambda x: x["txt_nl"]), lambda x: x != ""), "\n").alias("txt_nl"),
         F.first("root", ignorenulls=True).alias("root"),
         F.first("code_el", ignorenulls=True).alias("code_el"),
         F.array_sort(F.collect_list(u)).alias("units"),
-        F.coalesce(F.max("has_th"), F.lit(False)).alias("has_th"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("cell"), F.col("unit"), F.col("sig")))), lambda x: x["sig"]), "").alias("sig"),
+        F.array_sort(F.flatten(F.collect_list("_starts"))).alias("starts"),
+        F.array_sort(F.flatten(F.collect_list("_ends"))).alias("ends"),
     ]
-    cell_txt = F.transform(F.filter(F.col("units"), lambda x: x["cell"] >= 0), lambda x: x["txt"])
-    row_line = {
-        "n_cells": F.size(cell_txt),
-        "line": F.when((F.col("trk") >= 0) & (F.size(cell_txt) > 0), F.concat(F.lit("| "), F.array_join(cell_txt, " | "), F.lit(" |"))),
+    is_table = F.col("root")["tag"] == "table"
+    rows = F.flatten(F.transform("units", lambda x: x["rows"]))
+    # both lists hold the same parts in the order of their starts
+    extents = F.when(is_table, F.transform(F.arrays_zip("starts", "ends"), lambda z: F.struct(
+        z["starts"]["tr"].alias("tr"), z["starts"]["cells"].alias("c0"), z["ends"]["cells"].alias("c1"), (z["ends"]["ths"] > z["starts"]["ths"]).alias("th"),
+        z["starts"]["texts"].alias("t0"), z["ends"]["texts"].alias("t1"), z["starts"]["rows"].alias("r0"), z["ends"]["rows"].alias("r1"))))
+    table = {
+        "txt_nl": F.array_join(F.filter(F.transform("units", lambda x: x["txt_nl"]), lambda x: x != ""), "\n"),
+        "table": F.when(is_table, _table_lines(extents, rows)),
     }
+    return {"agg1": agg1, "texts": texts, "unit_parts": unit_parts, "agg2": agg2, "table": table,
+            "md": _render_block(F.col("root"), F.col("units"), F.col("code_el"), F.col("table"))}
 
-    # stage 3: blocks
-    r = F.struct(
-        F.col("trk").alias("trk"), F.col("line").alias("line"), F.col("has_th").alias("has_th"),
-        F.col("sig").alias("sig"), F.col("n_cells").alias("n"), F.col("units").alias("units"),
-    )
-    agg3 = [
-        *url_cols,
-        F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct(F.col("trk"), F.col("txt_nl")))), lambda x: x["txt_nl"]), lambda x: x != ""), "\n").alias("txt_nl"),
-        F.first("root", ignorenulls=True).alias("root"),
-        F.first("code_el", ignorenulls=True).alias("code_el"),
-        F.array_sort(F.collect_list(r)).alias("rows"),
-    ]
-    # the first table row's signature, computed once per block (not inside the per-row lambda)
-    first_sig = F.try_element_at(F.filter(F.col("rows"), lambda r: r["trk"] >= 0), F.lit(1))["sig"]
-    md = _render_block(F.col("root"), F.col("rows"), F.col("code_el"), F.col("_first_sig"))
-    return {"agg1": agg1, "texts": texts, "unit_parts": unit_parts, "agg2": agg2, "row_line": row_line, "agg3": agg3,
-            "first_sig": first_sig, "md": md}
 
+def _range(array: Column, start: Column, stop: Column) -> Column:
+    """Items start … stop - 1, read one by one."""
+    return F.when(stop > start, F.transform(F.sequence(start, stop - 1), lambda i: F.get(array, i.cast("int")))).otherwise(F.slice(array, 1, 0))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, as a lambda variable."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _table_lines(extents: Column, rows: Column) -> Column:
+    """Every tr with all cells below it, at any depth; null without a tr.
+
+    A separator follows each row that has a header cell and equals the first row.
+    """
+    def lines(trs: Column, cells: Column, texts: Column, tokens: Column) -> Column:
+        cell_text = F.transform(cells, lambda c: F.array_join(_range(texts, c["t0"], c["t1"]), ""))
+
+        def line(r: Column, cell: Column, first: Column) -> Column:
+            row = F.concat(F.lit("| "), F.array_join(_range(cell, r["c0"], r["c1"]), " | "), F.lit(" |"))
+            rule = F.concat(F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), (r["c1"] - r["c0"]).cast("int")), " | "), F.lit(" |"))
+            same = F.array_join(_range(tokens, r["r0"], r["r1"]), "") == first
+            return F.when(r["c1"] > r["c0"], F.when(r["th"] & same, F.concat(row, rule)).otherwise(row))
+
+        first = F.when(F.size(trs) > 0, F.array_join(_range(tokens, F.get(trs, F.lit(0))["r0"], F.get(trs, F.lit(0))["r1"]), "")).otherwise(F.lit(""))
+        return _once(cell_text, lambda cell: _once(first, lambda f: F.filter(F.transform(trs, lambda r: line(r, cell, f)), lambda x: x.isNotNull())))
+
+    def with_parts(xs: Column, rs: Column) -> Column:
+        trs = F.filter(xs, lambda x: x["tr"])
+        cells = F.filter(xs, lambda x: ~x["tr"])
+        texts = F.transform(F.filter(rs, lambda r: r["t"].isNotNull()), lambda r: F.coalesce(r["ne"], F.lit("")))
+        tokens = F.transform(rs, lambda r: F.coalesce(r["s"], F.lit("")))
+        made = _once(trs, lambda a: _once(cells, lambda b: _once(texts, lambda c: _once(tokens, lambda d: lines(a, b, c, d)))))
+        text = lambda ls: F.concat(F.lit("\n"), F.array_join(ls, "\n"), F.when(F.size(ls) > 0, F.lit("\n")).otherwise(F.lit("")))
+        return F.when(F.exists(xs, lambda x: x["tr"]), _once(made, text))
 
-def _render_block(root: Column, rows: Column, code_el: Column, first_sig: Column) -> Column:
+    return _once(extents, lambda xs: _once(rows, lambda rs: with_parts(xs, rs)))
+
+
+def _render_block(root: Column, all_units: Column, code_el: Column, table: Column) -> Column:
     rtag, rkind = root["tag"], root["kind"]
-    all_units = F.flatten(F.transform(rows, lambda r: r["units"]))
     # text of the whole block, every node stripped, glued without separator
     full_txt = F.array_join(F.transform(all_units, lambda x: x["txt"]), "")
     full_raw = F.array_join(F.transform(all_units, lambda x: x["raw"]), "")
@@ -700,16 +742,6 @@ def _render_block(root: Column, rows: Column, code_el: Column, first_sig: Column
     pre = F.when(pre_txt != "", F.concat(F.lit("\n```"), lang, F.lit("\n"), py_strip(pre_txt), F.lit("\n```\n")))
     # H19 block-level code
     code = F.when(full_raw != "", F.concat(F.lit("`"), full_raw, F.lit("`")))
-    # H20 table: every tr with cells; separator after a row equal to the first row that has th
-    trs = F.filter(rows, lambda r: r["trk"] >= 0)
-    tlines = F.transform(
-        F.filter(trs, lambda r: r["line"].isNotNull()),
-        lambda r: F.when(
-            r["has_th"] & (r["sig"] == first_sig),
-            F.concat(r["line"], F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), r["n"]), " | "), F.lit(" |")),
-        ).otherwise(r["line"]),
-    )
-    table = F.when(F.size(trs) > 0, F.concat(F.lit("\n"), F.array_join(tlines, "\n"), F.when(F.size(tlines) > 0, F.lit("\n")).otherwise(F.lit(""))))
     # H21 image, H22 link, H23 anything else
     src = F.coalesce(root["attrs"]["src"], F.lit(""))
     image = F.when(src != "", F.concat(F.lit("!["), F.coalesce(root["attrs"]["alt"], F.lit("")), F.lit("]("), src, F.lit(")")))

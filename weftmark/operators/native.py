@@ -12,6 +12,8 @@ from ..functions.text import py_strip
 from ..functions.urls import url_clean
 from ..options import JobOptions
 
+#: Optional sequence or time (as a long) of a capture; larger is later.
+CAPTURE_ORDER = "capture_seq"
 # Charset spellings Python's codec registry maps to the three
 # charsets Spark decodes natively.
 _UTF8 = ["utf-8", "utf8", "u8", "utf", "utf_8", "cp65001"]
@@ -61,13 +63,15 @@ def decode_body(body: Column, charset: Column) -> Column:
     """Decode with the declared charset; unknown charset or bad bytes -> UTF-8 with U+FFFD."""
     cs = F.lower(charset)
     as_utf8 = F.make_valid_utf8(body.cast("string"))
+    # a UDF inside ``when`` runs for every row: all but the legacy charsets send it nulls
+    legacy = ~cs.isin(_UTF8 + _LATIN1 + _ASCII)
     high_byte = F.hex(body).rlike("^(?:..)*?[89A-F]")
     return (
         F.when(body.isNull(), F.lit(None).cast("string"))
         .when(cs.isin(_UTF8), as_utf8)
         .when(cs.isin(_LATIN1), F.decode(body, "ISO-8859-1"))
         .when(cs.isin(_ASCII), F.when(high_byte, as_utf8).otherwise(F.decode(body, "US-ASCII")))
-        .otherwise(_decode_py(body, charset))
+        .otherwise(_decode_py(F.when(legacy, body), F.when(legacy, charset)))
     )
 
 
@@ -91,20 +95,24 @@ def native_markdown(responses: DataFrame, options: JobOptions | None = None) ->
         ct.alias("content_type"),
         header(F.col("headers"), "X-Markdown-Tokens").alias("_tok"),
         F.col("body"),
+        (F.col(CAPTURE_ORDER) if CAPTURE_ORDER in responses.columns else F.lit(0)).cast("long").alias(CAPTURE_ORDER),
     )
-    df = df.filter(F.lit(options.native_enabled) & fetch_ok(F.col("http_status"), F.col("fetch_error")) & is_native_markdown(F.col("content_type")))
+    df = df.filter(F.lit(options.native_enabled) & fetch_ok(F.col("http_status"), F.col("fetch_error")) & is_native_markdown(F.col("content_type")) & F.col("body").isNotNull())
     return df.select(
         "url",
         decode_body(F.col("body"), charset_of(F.col("content_type"))).alias("content"),
         F.col("content_type").alias("source_content_type"),
         markdown_tokens_header(F.col("_tok")).alias("markdown_tokens"),
+        CAPTURE_ORDER,
     )
 
 
 def one_per_url(native: DataFrame) -> DataFrame:
-    """One captured answer per URL, chosen deterministically (partial aggregation first, so a
-    URL captured millions of times is combined map-side before the shuffle)."""
-    pick = F.min(F.struct("content", "source_content_type", "markdown_tokens"))
+    """One captured answer per URL: a non-empty one before an empty one, then the latest by
+    ``capture_seq`` (responses without that column count as simultaneous), then the smallest
+    content. Partial aggregation comes first, so a URL captured millions of times is combined
+    map-side before the shuffle."""
+    pick = F.min(F.struct((F.col("content") == "").alias("empty"), (-F.col(CAPTURE_ORDER)).alias("age"), "content", "source_content_type", "markdown_tokens"))
     return native.groupBy("url").agg(pick.alias("n")).select(
         "url", F.col("n.content").alias("content"), F.col("n.source_content_type").alias("source_content_type"),
         F.col("n.markdown_tokens").alias("markdown_tokens"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip, token_estimate
 from ..options import JobOptions
-from ..session import checkpointed
+from ..session import staged
 
 # Fixed values (prompt texts and limits must equal the reference's).
 SINGLE_PASS_SYSTEM = (
@@ -79,19 +79,17 @@ def summary_options(df: DataFrame, options: JobOptions | None = None) -> DataFra
     ).drop("_flag")
 
 
-def text_chunks(df: DataFrame, text_col: str = "content", key: str = "doc_id", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def text_chunks(df: DataFrame, text_col: str = "content", key: str = "doc_id", chunk_chars: int = CHUNK_CHARS, keep=()) -> DataFrame:
     """M3: fixed code-point slices, no overlap; empty text has no chunk.
 
-    ``(key, chunk_no (1-based), n_chunks, text)``
+    ``(key, chunk_no (1-based), n_chunks, text)`` and the columns named in ``keep``. One regex
+    pass cuts the text, so the cost is linear in its length.
     """
-    t = F.col(text_col)
-    n = F.length(t)
+    n = F.length(F.col(text_col))
     count = F.when(n > 0, F.floor((n - 1) / chunk_chars) + 1).otherwise(F.lit(0)).cast("int")
-    pieces = F.when(
-        n > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(t, i * chunk_chars + 1, chunk_chars))
-    ).otherwise(F.array().cast("array<string>"))
-    return df.select(key, count.alias("n_chunks"), F.posexplode(pieces).alias("chunk_idx", "text")).select(
-        key, (F.col("chunk_idx") + 1).alias("chunk_no"), "n_chunks", "text"
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{chunk_chars}}}"), 0)
+    return df.select(key, *keep, count.alias("n_chunks"), F.posexplode(pieces).alias("chunk_idx", "text")).select(
+        key, (F.col("chunk_idx") + 1).alias("chunk_no"), "n_chunks", "text", *keep
     )
 
 
@@ -126,8 +124,7 @@ def round1_prompts(planned: DataFrame, key: str = "doc_id") -> DataFrame:
         single_pass_prompt(F.col("content"), F.col("s_target")).alias("prompt"), F.col("s_target").alias("target_tokens"),
     )
     mr = planned.filter(F.col("s_strategy") == "map-reduce")
-    ch = text_chunks(mr.select(key, "content"), "content", key)
-    ch = ch.join(mr.select(key, "s_model", "s_host", "s_target"), key)
+    ch = text_chunks(mr, "content", key, keep=("s_model", "s_host", "s_target"))
     per = chunk_target(F.col("s_target"), F.col("n_chunks"))
     chunks = ch.select(
         _pid(F.col(key), 1, F.col("chunk_no")).alias("prompt_id"), F.col(key), F.lit(1).alias("round"), F.col("chunk_no"),
@@ -192,10 +189,29 @@ def prompt_table(planned: DataFrame, summarizer: Summarizer, key: str = "doc_id"
 
 
 def _cut(df: DataFrame, materialize: bool) -> DataFrame:
-    """Reliable checkpoint to the shared checkpoint folder: the summarizer runs once per
-    prompt even though both rounds read its answers, and a lost executor does not
-    re-issue model calls."""
-    return checkpointed(df) if materialize else df
+    """A stage table in the shared folder: the summarizer runs once per prompt even though both
+    rounds read its answers, and a lost executor does not re-issue model calls."""
+    return staged(df, "answers") if materialize else df
+
+
+def not_summarized(planned: DataFrame) -> DataFrame:
+    """M10 + M12 for rows that need no summary: the content stays, no prompt is made."""
+    final = F.when(~F.col("s_active"), F.col("orig_tokens"))
+    return planned.select(*_kept(planned), "content", _meta(final, F.lit(None).cast("string")).alias("summarization"))
+
+
+def _kept(planned: DataFrame) -> list[str]:
+    return [c for c in planned.columns if c != "content" and not c.startswith("s_") and c != "orig_tokens"]
+
+
+def _meta(final_tokens: Column, reason: Column) -> Column:
+    """The nine fields of ``summarization``."""
+    return F.struct(
+        F.col("s_enabled").alias("enabled"), F.col("s_needed").alias("used"), F.col("s_strategy").alias("strategy"),
+        F.col("s_model").alias("model"), F.col("s_host").alias("host"), F.col("s_target").alias("target_tokens"),
+        F.col("orig_tokens").alias("original_estimated_tokens"), final_tokens.alias("final_estimated_tokens"),
+        reason.alias("fallback_reason"),
+    )
 
 
 def summarize(planned: DataFrame, summarizer: Summarizer, key: str = "doc_id", materialize: bool = True) -> DataFrame:
@@ -227,19 +243,7 @@ def summarize(planned: DataFrame, summarizer: Summarizer, key: str = "doc_id", m
         .when(~needed | failed, F.lit(None).cast("bigint"))
         .otherwise(token_estimate(content))
     )
-    meta = F.struct(
-        F.col("s_enabled").alias("enabled"),
-        needed.alias("used"),
-        strategy.alias("strategy"),
-        F.col("s_model").alias("model"),
-        F.col("s_host").alias("host"),
-        target.alias("target_tokens"),
-        orig.alias("original_estimated_tokens"),
-        final_tokens.alias("final_estimated_tokens"),
-        reason.alias("fallback_reason"),
-    )
-    keep_cols = [c for c in planned.columns if c != "content" and not c.startswith("s_") and c != "orig_tokens"]
-    return j.select(*keep_cols, content.alias("content"), meta.alias("summarization"), "num_chunks")
+    return j.select(*_kept(planned), content.alias("content"), _meta(final_tokens, reason).alias("summarization"), "num_chunks")
 
 
 # ---------------------------------------------------------------------------
@@ -258,6 +262,15 @@ def prefix_summarizer(chars_per_token: int = 4) -> Summarizer:
     return run
 
 
+def no_summarizer() -> Summarizer:
+    """Every call fails (M11): a job without a model keeps the originals and says why."""
+
+    def run(prompts: DataFrame) -> DataFrame:
+        return prompts.select("prompt_id", F.lit(None).cast("string").alias("body"), F.lit("no summarizer").alias("error"))
+
+    return run
+
+
 def table_summarizer(completions: DataFrame) -> Summarizer:
     """Completions captured elsewhere (a batch scoring job, a cache), joined by ``prompt_id``."""
 

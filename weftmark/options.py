@@ -7,7 +7,7 @@ else from these options, else from the constant default.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Fixed values (defaults the reference uses).
 DEFAULT_ACCEPT_HEADER = "text/markdown, text/plain;q=0.99, text/html;q=0.9, */*;q=0.8"
@@ -19,10 +19,10 @@ DEFAULT_TRUNCATE = True
 DEFAULT_MAX_LENGTH = 100000
 DEFAULT_USE_SUMMARIZATION = False
 
-ENV_ACCEPT = "AMAZING_READER_ACCEPT_HEADER"
-ENV_HOST = "OLLAMA_HOST"
-ENV_MODEL = "OLLAMA_MODEL"
-ENV_TARGET = "AMAZING_READER_SUMMARY_TOKENS"
+ENV_ACCEPT = "WEFTMARK_ACCEPT_HEADER"
+ENV_HOST = "WEFTMARK_SUMMARY_HOST"
+ENV_MODEL = "WEFTMARK_SUMMARY_MODEL"
+ENV_TARGET = "WEFTMARK_SUMMARY_TOKENS"
 
 
 def _int_or_none(v: str | None) -> int | None:
@@ -44,7 +44,6 @@ class JobOptions:
     prune_consent_nodes: bool = False
     # H5: the browser-side cleanup of the render route
     prune_page_chrome: bool = True
-    extra: dict = field(default_factory=dict)
 
     @staticmethod
     def from_env(environ: dict | None = None, **overrides) -> "JobOptions":

@@ -36,9 +36,10 @@ def requests_from_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def requests_from_documents(documents: DataFrame) -> DataFrame:
+def requests_from_documents(documents: DataFrame, keep=()) -> DataFrame:
     lang = F.col("lang")
     return documents.select(
+        *keep,
         (F.col("doc_id") * 2 + 1).alias("request_id"),
         doc_url(lang, F.col("doc_id")).alias("url"),
         F.lit(None).cast("string").alias("wait_for_selector"),

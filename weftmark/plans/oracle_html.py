@@ -47,9 +47,18 @@ def _classes(x: str) -> str:
 def _attr_value(pair: str) -> str:
     val = (f"regexp_replace(regexp_replace({pair}, '^[^=]*=[{H.SP}]*', ''), "
            f"'(?s)^\"(.*)\"$|^''(.*)''$', '\\1\\2')")
-    for ent, ch in H.ATTR_ENTITIES:
-        val = f"replace({val}, '{_sq(ent)}', '{_sq(ch)}')"
-    return f"CASE WHEN {pair} IS NULL THEN NULL WHEN contains({pair}, '=') THEN {val} ELSE '' END"
+    return f"CASE WHEN {pair} IS NULL THEN NULL WHEN contains({pair}, '=') THEN {_decoded(val)} ELSE '' END"
+
+
+def _decoded(val: str) -> str:
+    """Character references anywhere in ``val``: cut it at references and look each one up."""
+    names = "MAP {" + ", ".join(f"'&{k};': '{_sq(chr(v))}'" for k, v in sorted(H._ENTITY_MAP.items())) + "}"
+    dec = "ltrim(regexp_extract(t, '^&#([0-9]+);$', 1), '0')"
+    hexa = "ltrim(regexp_extract(t, '^&#[xX]([0-9a-fA-F]+);$', 1), '0')"
+    one = (f"CASE WHEN regexp_matches(t, '^&#[0-9]+;$') THEN {_cp(f'CASE WHEN length({dec}) BETWEEN 1 AND 7 THEN TRY_CAST({dec} AS BIGINT) END')} "
+           f"WHEN regexp_matches(t, '^&#[xX][0-9a-fA-F]+;$') THEN {_cp(f"CASE WHEN length({hexa}) BETWEEN 1 AND 6 THEN TRY_CAST('0x' || {hexa} AS BIGINT) END")} "
+           f"ELSE coalesce({names}[t], t) END")
+    return f"CASE WHEN contains({val}, '&') THEN array_to_string(list_transform(regexp_extract_all({val}, '{H.ATTR_PIECE_RE}'), lambda t: {one}), '') ELSE {val} END"
 
 
 def _attr_name(pair: str) -> str:
@@ -100,7 +109,7 @@ pg AS ({pages_sql}),
 tk AS (
   SELECT page_id, CAST(pos AS BIGINT) AS pos, tok FROM (
     SELECT page_id, unnest(range(len(t))) AS pos, unnest(t) AS tok
-    FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{_sq(H.TOKEN_RE)}') AS t FROM pg))),
+    FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{_sq(H.TOKEN_RE_RE2)}') AS t FROM pg))),
 c0 AS (
   SELECT *, CASE WHEN starts_with(tok, '<!--') THEN 'comment'
       WHEN regexp_matches(tok, '^<[!?]') THEN 'decl'
@@ -117,15 +126,15 @@ c1 AS (
          CASE WHEN kind IN {OPENING} THEN regexp_extract_all(
              regexp_replace(regexp_extract(tok, '^(<[^>]*>?)', 1), '^<[A-Za-z][^{H.SP}/>]*', ''), '{_sq(H.ATTR_RE)}') END AS pairs,
          regexp_extract(tok, '^&(.*);$', 1) AS ebody,
-         regexp_extract(regexp_extract(tok, '^&(.*);$', 1), '^#[xX]?([0-9a-fA-F]+)$', 1) AS digits
+         regexp_extract(regexp_extract(tok, '^&(.*);$', 1), '^#[xX]?0*([0-9a-fA-F]*)$', 1) AS digits
   FROM c0),
 c2 AS (
   SELECT c1.* EXCLUDE (pairs, ebody, digits), {_attr('class')}, {_attr('id')}, {_attr('role')}, {_attr('style')},
          {_attr('href')}, {_attr('src')}, {_attr('alt')},
          CASE WHEN kind = 'text' THEN tok
               WHEN kind = 'entity' THEN CASE
-                WHEN regexp_matches(ebody, '^#[0-9]+$') THEN {_cp("CASE WHEN length(digits) <= 8 THEN TRY_CAST(digits AS BIGINT) END")}
-                WHEN regexp_matches(ebody, '^#[xX][0-9a-fA-F]+$') THEN {_cp("CASE WHEN length(digits) <= 7 THEN TRY_CAST('0x' || digits AS BIGINT) END")}
+                WHEN regexp_matches(ebody, '^#[0-9]+$') THEN {_cp("CASE WHEN length(digits) BETWEEN 1 AND 7 THEN TRY_CAST(digits AS BIGINT) END")}
+                WHEN regexp_matches(ebody, '^#[xX][0-9a-fA-F]+$') THEN {_cp("CASE WHEN length(digits) BETWEEN 1 AND 6 THEN TRY_CAST('0x' || digits AS BIGINT) END")}
                 ELSE coalesce(ent.ch, tok) END END AS val
   FROM c1 LEFT JOIN (VALUES {_entity_values()}) ent(name, ch) ON c1.kind = 'entity' AND ent.name = c1.ebody),
 n0 AS (
@@ -213,32 +222,47 @@ b2 AS (
   FROM b1),
 b3 AS (
   SELECT *, sum(CASE WHEN top AND (kind IN {OPENING} OR kind = 'text') THEN 1 ELSE 0 END) OVER wb AS unit,
-         last_value(CASE WHEN pos > root_s AND kind = 'open' AND tag IN ('td', 'th') THEN pos END IGNORE NULLS) OVER wb AS cell_s,
-         last_value(CASE WHEN pos > root_s AND kind = 'open' AND tag IN ('td', 'th') THEN e END IGNORE NULLS) OVER wb AS cell_e,
-         last_value(CASE WHEN pos > root_s AND kind = 'open' AND tag = 'tr' THEN pos END IGNORE NULLS) OVER wb AS tr_s,
-         last_value(CASE WHEN pos > root_s AND kind = 'open' AND tag = 'tr' THEN e END IGNORE NULLS) OVER wb AS tr_e,
          min(CASE WHEN pos > root_s AND kind = 'open' AND tag = 'code' THEN pos END) OVER (PARTITION BY page_id, blk) AS code_s
   FROM b2 WINDOW wb AS (PARTITION BY page_id, blk ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-b4 AS (
-  SELECT *, is_table AND coalesce(tr_e >= pos, false) AS in_tr,
-         max(CASE WHEN pos = code_s THEN e END) OVER (PARTITION BY page_id, blk) AS code_e,
+b5 AS (
+  SELECT *, max(CASE WHEN pos = code_s THEN e END) OVER (PARTITION BY page_id, blk) AS code_e,
          max(CASE WHEN pos = code_s THEN a_class END) OVER (PARTITION BY page_id, blk) AS code_class
   FROM b3),
-b5 AS (
-  SELECT *, CASE WHEN in_tr THEN tr_s ELSE -1 END AS trk,
-         CASE WHEN in_tr AND coalesce(cell_e >= pos AND cell_s > tr_s, false) THEN cell_s ELSE -1 END AS cell
-  FROM b4),
+tb AS (SELECT * FROM b5 WHERE is_table),
+trs AS (SELECT page_id, blk, pos AS tr, e FROM tb WHERE pos > root_s AND kind = 'open' AND tag = 'tr'),
+cells AS (SELECT page_id, blk, pos AS cell, e, tag FROM tb WHERE pos > root_s AND kind = 'open' AND tag IN ('td', 'th')),
+cell_txt AS (
+  SELECT c.page_id, c.blk, c.cell, any_value(c.tag) AS tag, coalesce(string_agg({nonempty}, '' ORDER BY tb.pos), '') AS txt
+  FROM cells c LEFT JOIN tb ON tb.page_id = c.page_id AND tb.blk = c.blk AND tb.pos BETWEEN c.cell AND c.e
+  GROUP BY c.page_id, c.blk, c.cell),
+tr_sig AS (
+  SELECT r.page_id, r.blk, r.tr, string_agg(coalesce(tb.text, tb.tok), '' ORDER BY tb.pos) AS sig
+  FROM trs r JOIN tb ON tb.page_id = r.page_id AND tb.blk = r.blk AND tb.pos BETWEEN r.tr AND r.e
+  GROUP BY r.page_id, r.blk, r.tr),
+tr_line AS (
+  SELECT r.page_id, r.blk, r.tr, count(c.cell) AS n_cells, string_agg(c.txt, ' | ' ORDER BY c.cell) AS cells,
+         coalesce(bool_or(c.tag = 'th'), false) AS has_th
+  FROM trs r LEFT JOIN cell_txt c ON c.page_id = r.page_id AND c.blk = r.blk AND c.cell BETWEEN r.tr AND r.e
+  GROUP BY r.page_id, r.blk, r.tr),
+t2 AS (
+  SELECT l.*, s.sig, CASE WHEN n_cells > 0 THEN '| ' || cells || ' |' END AS line,
+         first_value(s.sig) OVER (PARTITION BY l.page_id, l.blk ORDER BY l.tr ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_sig
+  FROM tr_line l JOIN tr_sig s USING (page_id, blk, tr)),
+t3 AS (
+  SELECT page_id, blk, count(*) AS n_trs, count(line) AS n_lines,
+         string_agg(CASE WHEN has_th AND sig = first_sig
+                         THEN line || {NL} || '| ' || array_to_string(list_transform(range(n_cells), lambda x: '---'), ' | ') || ' |'
+                         ELSE line END, {NL} ORDER BY tr) AS tlines
+  FROM t2 GROUP BY page_id, blk),
 u1 AS (
-  SELECT page_id, blk, trk, cell, unit,
+  SELECT page_id, blk, unit,
          arg_min_null(kind, pos) AS h_kind, arg_min_null(tag, pos) AS h_tag, arg_min_null(a_href, pos) AS h_href,
          arg_min_null(a_src, pos) AS h_src, arg_min_null(a_alt, pos) AS h_alt,
          any_value(code_s) AS code_s, any_value(code_class) AS code_class,
          coalesce(string_agg({nonempty}, '' ORDER BY pos), '') AS txt,
          coalesce(string_agg(CASE WHEN kind = 'text' THEN text END, '' ORDER BY pos), '') AS raw,
-         coalesce(string_agg(CASE WHEN kind = 'text' AND (code_s IS NULL OR (pos >= code_s AND pos <= code_e)) THEN text END, '' ORDER BY pos), '') AS code_raw,
-         bool_or(CASE WHEN kind = 'open' THEN tag = 'th' END) AS has_th,
-         coalesce(string_agg(coalesce(text, tok), '' ORDER BY pos), '') AS sig
-  FROM b5 GROUP BY page_id, blk, trk, cell, unit),
+         coalesce(string_agg(CASE WHEN kind = 'text' AND (code_s IS NULL OR (pos >= code_s AND pos <= code_e)) THEN text END, '' ORDER BY pos), '') AS code_raw
+  FROM b5 GROUP BY page_id, blk, unit),
 u2 AS (
   SELECT *,
     CASE WHEN unit > 0 THEN CASE
@@ -252,37 +276,20 @@ u2 AS (
       WHEN h_kind IN {OPENING} THEN CASE WHEN txt <> '' THEN txt END END END AS inline,
     unit > 0 AND h_kind = 'open' AND h_tag = 'li' AS is_li,
     first_value(h_tag) OVER wbu AS root_tag,
-    sum(CASE WHEN unit > 0 AND h_kind = 'open' AND h_tag = 'li' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, blk ORDER BY trk, cell, unit ROWS UNBOUNDED PRECEDING) AS li_n
-  FROM u1 WINDOW wbu AS (PARTITION BY page_id, blk ORDER BY trk, cell, unit ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-t1 AS (
-  SELECT page_id, blk, trk,
-         count(*) FILTER (WHERE cell >= 0) AS n_cells,
-         string_agg(txt, ' | ' ORDER BY cell, unit) FILTER (WHERE cell >= 0) AS cells,
-         coalesce(bool_or(has_th), false) AS has_th,
-         coalesce(string_agg(sig, '' ORDER BY cell, unit, sig), '') AS sig
-  FROM u2 GROUP BY page_id, blk, trk),
-t2 AS (
-  SELECT *, CASE WHEN trk >= 0 AND n_cells > 0 THEN '| ' || cells || ' |' END AS line,
-         first_value(CASE WHEN trk >= 0 THEN sig END IGNORE NULLS) OVER (PARTITION BY page_id, blk ORDER BY trk ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_sig
-  FROM t1),
-t3 AS (
-  SELECT page_id, blk, count(*) FILTER (WHERE trk >= 0) AS n_trs, count(line) AS n_lines,
-         string_agg(CASE WHEN has_th AND sig = first_sig
-                         THEN line || {NL} || '| ' || array_to_string(list_transform(range(n_cells), lambda x: '---'), ' | ') || ' |'
-                         ELSE line END, {NL} ORDER BY trk) AS tlines
-  FROM t2 WHERE line IS NOT NULL OR trk >= 0 GROUP BY page_id, blk),
+    sum(CASE WHEN unit > 0 AND h_kind = 'open' AND h_tag = 'li' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, blk ORDER BY unit ROWS UNBOUNDED PRECEDING) AS li_n
+  FROM u1 WINDOW wbu AS (PARTITION BY page_id, blk ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 bk AS (
   SELECT page_id, blk,
-         arg_min_null(h_kind, (trk, cell, unit)) AS rkind, arg_min_null(h_tag, (trk, cell, unit)) AS rtag,
-         arg_min_null(h_href, (trk, cell, unit)) AS rhref, arg_min_null(h_src, (trk, cell, unit)) AS rsrc,
-         arg_min_null(h_alt, (trk, cell, unit)) AS ralt,
+         arg_min_null(h_kind, unit) AS rkind, arg_min_null(h_tag, unit) AS rtag,
+         arg_min_null(h_href, unit) AS rhref, arg_min_null(h_src, unit) AS rsrc,
+         arg_min_null(h_alt, unit) AS ralt,
          any_value(code_s) AS code_s, any_value(code_class) AS code_class,
-         coalesce(string_agg(txt, '' ORDER BY trk, cell, unit), '') AS full_txt,
-         coalesce(string_agg(raw, '' ORDER BY trk, cell, unit), '') AS full_raw,
-         coalesce(string_agg(code_raw, '' ORDER BY trk, cell, unit), '') AS code_raw,
-         string_agg(inline, ' ' ORDER BY trk, cell, unit) AS parts,
+         coalesce(string_agg(txt, '' ORDER BY unit), '') AS full_txt,
+         coalesce(string_agg(raw, '' ORDER BY unit), '') AS full_raw,
+         coalesce(string_agg(code_raw, '' ORDER BY unit), '') AS code_raw,
+         string_agg(inline, ' ' ORDER BY unit) AS parts,
          string_agg(CASE WHEN is_li AND txt <> '' THEN CASE WHEN root_tag = 'ul' THEN '- ' ELSE CAST(li_n AS VARCHAR) || '. ' END || txt END,
-                    {NL} ORDER BY trk, cell, unit) AS items
+                    {NL} ORDER BY unit) AS items
   FROM u2 GROUP BY page_id, blk),
 blocks AS (
   SELECT bk.page_id, bk.blk, rtag AS block_tag, rkind AS block_kind,
@@ -384,7 +391,7 @@ ATTRS_SQL = f"""
 WITH tk AS (
   SELECT page_id, CAST(pos AS BIGINT) AS pos, tok FROM (
     SELECT page_id, unnest(range(len(t))) AS pos, unnest(t) AS tok
-    FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{_sq(H.TOKEN_RE)}') AS t FROM pages))),
+    FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{_sq(H.TOKEN_RE_RE2)}') AS t FROM pages))),
 op AS (
   SELECT page_id, pos, lower(regexp_extract(tok, '{H.TAG_NAME_RE}', 1)) AS tag,
          regexp_extract_all(regexp_replace(regexp_extract(tok, '^(<[^>]*>?)', 1), '^<[A-Za-z][^{H.SP}/>]*', ''), '{_sq(H.ATTR_RE)}') AS pairs

@@ -9,7 +9,7 @@ statement here; they are checked against hand-derived rows in ``tests/``.
 from __future__ import annotations
 
 from ..functions.text import HWS_CLASS, WS
-from ..operators.html import _ENTITY_MAP, HEADING_TAGS, TOKEN_RE
+from ..operators.html import _ENTITY_MAP, HEADING_TAGS, TOKEN_RE_RE2
 from . import oracle_html as OH
 
 HWS = HWS_CLASS[1:-1]
@@ -135,7 +135,7 @@ def _chunk_target(target: str, n: str) -> str:
 TOKENS = f"""
   SELECT page_id, CAST(pos AS BIGINT) AS pos, tok FROM (
     SELECT page_id, unnest(range(len(t))) AS pos, unnest(t) AS tok
-    FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{_sq(TOKEN_RE)}') AS t FROM pages))
+    FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{_sq(TOKEN_RE_RE2)}') AS t FROM pages))
 """
 
 ENTITY_VALUES = ", ".join(f"('{_sq(k)}', '{_sq(chr(v))}')" for k, v in sorted(_ENTITY_MAP.items()))
@@ -148,10 +148,10 @@ def _cp_char(cp: str) -> str:
 
 ENTITIES = f"""
   SELECT t.page_id, t.pos, t.tok,
-         CASE WHEN regexp_matches(body, '^#[0-9]+$') THEN {_cp_char("CASE WHEN length(digits) <= 8 THEN TRY_CAST(digits AS BIGINT) END")}
-              WHEN regexp_matches(body, '^#[xX][0-9a-fA-F]+$') THEN {_cp_char("CASE WHEN length(digits) <= 7 THEN TRY_CAST('0x' || digits AS BIGINT) END")}
+         CASE WHEN regexp_matches(body, '^#[0-9]+$') THEN {_cp_char("CASE WHEN length(digits) BETWEEN 1 AND 7 THEN TRY_CAST(digits AS BIGINT) END")}
+              WHEN regexp_matches(body, '^#[xX][0-9a-fA-F]+$') THEN {_cp_char("CASE WHEN length(digits) BETWEEN 1 AND 6 THEN TRY_CAST('0x' || digits AS BIGINT) END")}
               ELSE coalesce(e.ch, t.tok) END AS value
-  FROM (SELECT *, regexp_extract(tok, '^&(.*);$', 1) AS body, regexp_extract(regexp_extract(tok, '^&(.*);$', 1), '^#[xX]?([0-9a-fA-F]+)$', 1) AS digits
+  FROM (SELECT *, regexp_extract(tok, '^&(.*);$', 1) AS body, regexp_extract(regexp_extract(tok, '^&(.*);$', 1), '^#[xX]?0*([0-9a-fA-F]*)$', 1) AS digits
         FROM ({TOKENS}) WHERE regexp_matches(tok, '{ENTITY_RE}')) t
   LEFT JOIN (VALUES {ENTITY_VALUES}) e(name, ch) ON e.name = t.body
 """

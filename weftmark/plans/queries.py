@@ -80,7 +80,8 @@ def fetch_failure_filter(spark, d):
 
 
 def decode_body(spark, d):
-    return N.native_markdown(C.responses_from_documents(_t(spark, d, "documents")))
+    found = N.native_markdown(C.responses_from_documents(_t(spark, d, "documents")))
+    return found.select("url", "content", "source_content_type", "markdown_tokens")
 
 
 def header_int(spark, d):
@@ -119,9 +120,7 @@ def url_normalize(spark, d):
 # --- summary planning ----------------------------------------------------------
 
 def _doc_requests(spark, d):
-    doc = _t(spark, d, "documents")
-    req = C.requests_from_documents(doc)
-    return req.join(doc.select((F.col("doc_id") * 2 + 1).alias("request_id"), "doc_id", F.col("text").alias("content")), "request_id")
+    return C.requests_from_documents(_t(spark, d, "documents"), keep=(F.col("doc_id"), F.col("lang"), F.col("text").alias("content")))
 
 
 def summary_options(spark, d):
@@ -354,7 +353,8 @@ def summary_strategy(spark, d):
 
 
 def render_route(spark, d):
-    return request_response_join(spark, d).select("request_id", "clean_url", "render_method")
+    _, pages, responses = _captures(spark, d)
+    return R.routes(R.valid_requests(all_requests(spark, d))[0], responses, pages).select("request_id", "clean_url", "render_method")
 
 
 def result_envelope(spark, d):
@@ -362,20 +362,23 @@ def result_envelope(spark, d):
 
 
 def error_envelope(spark, d):
-    _, err = _read(spark, d)
-    return err.select("request_id", "json")
+    return R.read_errors(*_captures(spark, d)).select("request_id", "json")
 
 
 # --- results ---------------------------------------------------------------------
 
-def _read(spark, d):
+def _captures(spark, d):
+    """Requests for every page and document, and in every malformed spelling; pages; responses."""
     pages = _t(spark, d, "pages")
     doc = _t(spark, d, "documents")
-    req = C.requests_from_pages(pages).unionByName(C.requests_from_documents(doc))
-    # the malformed spellings of every page URL become requests too, so error rows are exercised
-    req = req.unionByName(C.url_variants(pages).filter(F.col("variant") != "as_is").select(
+    req = all_requests(spark, d).unionByName(C.url_variants(pages).filter(F.col("variant") != "as_is").select(
         (-(F.col("page_id") * 8 + F.col("variant_no")) - 1).cast("bigint").alias("request_id"), "url"), allowMissingColumns=True)
-    return R.read_urls(req, pages.unionByName(C.pages_for_documents(doc)), C.responses_from_documents(doc))
+    return req, pages.unionByName(C.pages_for_documents(doc)), C.responses_from_documents(doc)
+
+
+def _read(spark, d):
+    req, pages, responses = _captures(spark, d)
+    return R.read_urls(req, pages, responses, M.prefix_summarizer())
 
 
 def result_sink(spark, d):
@@ -384,20 +387,17 @@ def result_sink(spark, d):
 
 
 def error_sink(spark, d):
-    _, err = _read(spark, d)
-    return err.select("request_id", "error", "url", "status")
+    return R.read_errors(*_captures(spark, d)).select("request_id", "error", "url", "status")
 
 
 def status_split(spark, d):
-    res, err = _read(spark, d)
-    return R.status_split(res, err)
+    return R.status_split(*_captures(spark, d))
 
 
 def request_response_join(spark, d):
     pages = _t(spark, d, "pages")
     doc = _t(spark, d, "documents")
-    ok, _ = R.routed(C.requests_from_pages(pages).unionByName(C.requests_from_documents(doc)),
-                     C.responses_from_documents(doc), pages.unionByName(C.pages_for_documents(doc)))
+    ok, _ = R.routed(all_requests(spark, d), C.responses_from_documents(doc), pages.unionByName(C.pages_for_documents(doc)))
     return ok.select("request_id", "clean_url", "render_method", "source_content_type", "markdown_tokens", "error")
 
 
@@ -407,8 +407,7 @@ def extraction_report(spark, d):
 
 
 def summary_plan_report(spark, d):
-    return X.summary_plan_report(M.round1_prompts(_planned(spark, d)).unionByName(
-        M.prompt_table(_planned(spark, d), M.prefix_summarizer()).filter(F.col("round") == 2).select(*M.round1_prompts(_planned(spark, d)).columns)))
+    return X.summary_plan_report(M.prompt_table(_planned(spark, d), M.prefix_summarizer()))
 
 
 def noise_audit(spark, d):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import token_estimate, truncate_content
+from ..functions.text import truncate_content
 from ..functions.urls import url_clean, url_echo, url_error
 from ..operators import html as H
 from ..operators import native as N
@@ -24,7 +24,7 @@ from ..options import (
     JobOptions,
 )
 from ..schemas import REQUEST
-from ..session import checkpointed
+from ..session import staged
 
 RENDER_NATIVE = "native_markdown"
 RENDER_BROWSER = "playwright"
@@ -56,39 +56,76 @@ def validate(requests: DataFrame) -> DataFrame:
     return requests.withColumn("error", url_error(F.col("url"))).withColumn("clean_url", url_clean(F.col("url")))
 
 
-def page_markdown_by_url(pages: DataFrame, options: JobOptions) -> DataFrame:
-    md = H.page_markdown(pages, "page_id", chrome=options.prune_page_chrome, consent=options.prune_consent_nodes)
-    pick = F.min(F.struct("page_id", "content"))
-    return md.select(url_clean(F.col("url")).alias("url"), "page_id", "content").groupBy("url").agg(pick.alias("p")).select(
-        "url", F.col("p.content").alias("html_content")
-    )
+def picked_pages(pages: DataFrame) -> DataFrame:
+    """One capture per URL, ``(url, page_id)``: one with HTML before a blank one, then the latest by
+    ``capture_seq`` (pages without that column count as simultaneous), then the smallest page_id.
 
+    Only these narrow columns are shuffled, with map-side partial minima.
+    """
+    seq = (F.col(N.CAPTURE_ORDER) if N.CAPTURE_ORDER in pages.columns else F.lit(0)).cast("long")
+    blank = F.coalesce(F.btrim(F.col("html")) == "", F.lit(True))
+    pick = F.min(F.struct(blank.alias("blank"), (-seq).alias("age"), "page_id"))
+    return pages.select(url_clean(F.col("url")).alias("url"), "page_id", "html", *([N.CAPTURE_ORDER] if N.CAPTURE_ORDER in pages.columns else [])).groupBy(
+        "url").agg(pick.alias("p")).select("url", F.col("p.page_id").alias("page_id"))
 
-def routed(requests: DataFrame, responses: DataFrame | None, pages: DataFrame, options: JobOptions | None = None) -> DataFrame:
-    """J1 + P7: attach content from the native route if there is one, else from the page route."""
-    options = options or JobOptions()
+
+def valid_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(accepted, rejected)`` requests; neither reads a capture."""
     req = validate(request_defaults(requests))
-    ok = req.filter(F.col("error").isNull())
-    if responses is not None and options.native_enabled:
-        nat = N.one_per_url(N.native_markdown(responses, options)).withColumnRenamed("url", "_nurl")
-        ok = ok.join(nat, ok["clean_url"] == nat["_nurl"], "left").drop("_nurl")
-    else:
-        ok = ok.withColumn("content", F.lit(None).cast("string")).withColumn(
-            "source_content_type", F.lit(None).cast("string")).withColumn("markdown_tokens", F.lit(None).cast("int"))
-    pm = page_markdown_by_url(pages, options).withColumnRenamed("url", "_purl")
-    ok = ok.join(pm, ok["clean_url"] == pm["_purl"], "left").drop("_purl")
-    native = F.col("content").isNotNull()
-    ok = ok.select(
-        *[c for c in ok.columns if c not in ("content", "html_content", "source_content_type", "markdown_tokens")],
-        F.when(native, F.lit(RENDER_NATIVE)).otherwise(F.lit(RENDER_BROWSER)).alias("render_method"),
-        F.coalesce(F.col("content"), F.col("html_content")).alias("content"),
-        F.when(native, F.col("source_content_type")).alias("source_content_type"),
-        F.when(native, F.col("markdown_tokens")).alias("markdown_tokens"),
-    )
-    missing = F.col("content").isNull()
-    ok = ok.withColumn("error", F.when(missing, F.concat(F.lit(FAILURE_PREFIX + "no captured response or page for "), F.col("clean_url"))))
-    bad = req.filter(F.col("error").isNotNull())
-    return ok, bad
+    return req.filter(F.col("error").isNull()).drop("error"), req.filter(F.col("error").isNotNull())
+
+
+def _native(responses: DataFrame | None, options: JobOptions) -> DataFrame | None:
+    return N.native_markdown(responses, options) if responses is not None and options.native_enabled else None
+
+
+def content_by_url(accepted: DataFrame, responses: DataFrame | None, pages: DataFrame, options: JobOptions) -> DataFrame:
+    """One row per requested URL that has a capture: the native answer if there is one, else the
+    converted page.
+
+    The cheap route comes first: a page is converted only if its URL is requested and has no
+    native answer. The URL lists that decide this are narrow.
+    """
+    wanted = accepted.select(F.col("clean_url").alias("url")).distinct()
+    native, need = None, wanted
+    if (found := _native(responses, options)) is not None:
+        native = N.one_per_url(found).join(wanted, "url", "left_semi").select(
+            "url", F.lit(RENDER_NATIVE).alias("render_method"), "content", "source_content_type", "markdown_tokens")
+        need = wanted.join(found.select("url").distinct(), "url", "left_anti")
+    ids = picked_pages(pages).join(need, "url", "left_semi")
+    some = pages.join(ids.select("page_id"), "page_id", "left_semi")
+    md = H.page_markdown(some, "page_id", chrome=options.prune_page_chrome, consent=options.prune_consent_nodes)
+    converted = md.select(
+        url_clean(F.col("url")).alias("url"), F.lit(RENDER_BROWSER).alias("render_method"), "content",
+        F.lit(None).cast("string").alias("source_content_type"), F.lit(None).cast("int").alias("markdown_tokens"))
+    return converted if native is None else native.unionByName(converted)
+
+
+def routes(accepted: DataFrame, responses: DataFrame | None, pages: DataFrame, options: JobOptions | None = None) -> DataFrame:
+    """Render method of each request, and the error of one without a capture, from URL lists alone."""
+    options = options or JobOptions()
+    known = pages.select(url_clean(F.col("url")).alias("url"), F.lit(0).alias("native"))
+    if (found := _native(responses, options)) is not None:
+        known = known.unionByName(found.select("url", F.lit(1).alias("native")))
+    known = staged(known.groupBy("url").agg(F.max("native").alias("native")), "known-urls")
+    j = accepted.join(known.select(F.col("url").alias("clean_url"), "native"), "clean_url", "left")
+    method = F.when(F.col("native") == 1, F.lit(RENDER_NATIVE)).otherwise(F.lit(RENDER_BROWSER))
+    error = F.when(F.col("native").isNull(), F.concat(F.lit(FAILURE_PREFIX + "no captured response or page for "), F.col("clean_url")))
+    return j.withColumns({"render_method": method, "error": error}).drop("native")
+
+
+def routed(requests: DataFrame, responses: DataFrame | None, pages: DataFrame, options: JobOptions | None = None):
+    """J1 + P7: ``(accepted requests with their content, rejected requests)``.
+
+    The contents are written as one row per URL first. The join is then between two plain
+    inputs, so the adaptive skew join can split a URL that a third of all requests name.
+    """
+    options = options or JobOptions()
+    accepted, bad = valid_requests(requests)
+    content = staged(content_by_url(accepted, responses, pages, options), "content").withColumnRenamed("url", "clean_url")
+    ok = accepted.join(content, "clean_url", "left")
+    error = F.when(F.col("render_method").isNull(), F.concat(F.lit(FAILURE_PREFIX + "no captured response or page for "), F.col("clean_url")))
+    return ok.withColumn("error", error).withColumn("render_method", F.coalesce("render_method", F.lit(RENDER_BROWSER))), bad
 
 
 def _summarization_json_struct(s: Column) -> Column:
@@ -123,25 +160,22 @@ def envelope_json(df: DataFrame) -> Column:
 SUMMARY_OPTIONS = ["use_summarization", "summary_target_tokens", "summary_host", "summary_model"]
 
 
-def summarize_distinct(fetched: DataFrame, summarizer: M.Summarizer, options: JobOptions) -> DataFrame:
-    """Summary planning once per distinct (content, summary options), not once per request.
+def summarize_distinct(contents: DataFrame, summarizer: M.Summarizer, options: JobOptions) -> DataFrame:
+    """Final content and ``summarization`` for rows with content and summary options.
 
-    A URL requested a million times yields one prompt set: the key is the SHA-256
-    of the content plus the options, grouped with map-side partial aggregation
-    (a hot key collapses before the shuffle), and the answer is joined back to
-    every request (AQE broadcasts the distinct side when small, else splits a
-    skewed key).
+    Rows whose options ask for no summary pass by unchanged. The others are planned once per
+    distinct content and options: the key is a SHA-256, grouped with map-side partial
+    aggregation, and the answers are joined back as a stage table.
     """
-    key = F.concat(F.sha2(F.col("content"), 256), F.to_json(F.struct(*[F.col(c) for c in SUMMARY_OPTIONS])))
-    keyed = fetched.withColumn("skey", key)
-    uniq = keyed.groupBy("skey").agg(
-        F.first("content").alias("content"), *[F.first(c).alias(c) for c in SUMMARY_OPTIONS]
-    )
-    planned = M.summary_options(uniq.withColumnRenamed("skey", "doc_id"), options)
-    done = M.summarize(planned, summarizer, "doc_id").select(
-        F.col("doc_id").alias("skey"), F.col("content").alias("_final"), "summarization"
-    )
-    return keyed.join(done, "skey").drop("content", "skey").withColumnRenamed("_final", "content")
+    planned = M.summary_options(contents, options)
+    needed = staged(planned.filter(F.col("s_needed")).withColumn(
+        "skey", F.concat(F.sha2(F.col("content"), 256), F.to_json(F.struct("s_target", "s_host", "s_model", "s_enabled", "s_active")))), "to-summarize")
+    plain = M.not_summarized(planned.filter(~F.col("s_needed")))
+    own = ["content", "orig_tokens", *[c for c in needed.columns if c.startswith("s_")]]
+    uniq = staged(needed.groupBy("skey").agg(*[F.first(c).alias(c) for c in own]), "contents")
+    done = staged(M.summarize(uniq, summarizer, "skey").select("skey", F.col("content").alias("_final"), "summarization"), "summaries")
+    joined = needed.drop(*own).join(done, "skey").drop("skey").withColumnRenamed("_final", "content")
+    return plain.unionByName(joined)
 
 
 def read_urls(requests: DataFrame, pages: DataFrame, responses: DataFrame | None = None,
@@ -151,35 +185,41 @@ def read_urls(requests: DataFrame, pages: DataFrame, responses: DataFrame | None
     ``results``: request_id, url, content, format, status, echoed options,
     render_method, source_content_type, markdown_tokens, summarization, json.
     ``errors``: request_id, error, url, status, json.
+
+    Without a summarizer, content that needs a summary stays as it is, with the error
+    ``no summarizer`` in its summarization.
     """
     options = options or JobOptions()
-    ok, bad = routed(requests, responses, pages, options)
-    # stage boundary: the routed content feeds both summary rounds and the error split
-    ok = checkpointed(ok)
-    fetched = ok.filter(F.col("error").isNull()).drop("error")
-    failed = ok.filter(F.col("error").isNotNull())
-
-    summarizer = summarizer or M.prefix_summarizer()
-    done = summarize_distinct(fetched, summarizer, options)
-    res = done.withColumn("content", truncate_content(F.col("content"), F.col("truncate"), F.col("max_length")))
+    accepted, _ = valid_requests(requests)
+    content = staged(content_by_url(accepted, responses, pages, options), "content")
+    # what a result's content depends on: the URL and the summary options
+    asked = accepted.select("clean_url", *SUMMARY_OPTIONS).distinct()
+    finals = asked.join(content.withColumnRenamed("url", "clean_url"), "clean_url")
+    rkey = F.to_json(F.struct("clean_url", *SUMMARY_OPTIONS))
+    done = staged(summarize_distinct(finals, summarizer or M.no_summarizer(), options).withColumn("rkey", rkey)
+                  .select("rkey", "content", "render_method", "source_content_type", "markdown_tokens", "summarization"), "finals")
+    res = accepted.withColumn("rkey", rkey).join(done, "rkey")
+    res = res.withColumn("content", truncate_content(F.col("content"), F.col("truncate"), F.col("max_length")))
     res = res.select(
         "request_id", F.col("clean_url").alias("url"), "content", F.lit("markdown").alias("format"), F.lit("success").alias("status"),
         "wait_for_selector", "wait_time", "scroll_to_bottom", "truncate", "max_length",
         "render_method", "source_content_type", "markdown_tokens", "summarization",
     )
-    res = res.withColumn("json", envelope_json(res))
-
-    err_rows = bad.select("request_id", "error", url_echo(F.col("url")).alias("url"), F.lit("error").alias("status")).unionByName(
-        failed.select("request_id", "error", F.col("clean_url").alias("url"), F.lit("error").alias("status"))
-    )
-    err_rows = err_rows.withColumn("json", F.to_json(F.struct("error", "url", "status"), {"ignoreNullFields": "false"}))
-    return res, err_rows
+    return res.withColumn("json", envelope_json(res)), read_errors(requests, pages, responses, options)
 
 
-def status_split(results: DataFrame, errors: DataFrame) -> DataFrame:
-    """one status row per request (success / error)."""
-    return results.select("request_id", "url", "status").unionByName(errors.select("request_id", "url", "status"))
+def read_errors(requests: DataFrame, pages: DataFrame, responses: DataFrame | None = None, options: JobOptions | None = None) -> DataFrame:
+    """P9 + S5: rejected requests and accepted ones without a capture; converts no page."""
+    accepted, bad = valid_requests(requests)
+    failed = routes(accepted, responses, pages, options).filter(F.col("error").isNotNull())
+    err = bad.select("request_id", "error", url_echo(F.col("url")).alias("url"), F.lit("error").alias("status")).unionByName(
+        failed.select("request_id", "error", F.col("clean_url").alias("url"), F.lit("error").alias("status")))
+    return err.withColumn("json", F.to_json(F.struct("error", "url", "status"), {"ignoreNullFields": "false"}))
 
 
-def markdown_tokens_estimate(df: DataFrame) -> DataFrame:
-    return df.withColumn("estimated_tokens", token_estimate(F.col("content")))
+def status_split(requests: DataFrame, pages: DataFrame, responses: DataFrame | None = None, options: JobOptions | None = None) -> DataFrame:
+    """one status row per request (success / error), from URL lists alone."""
+    accepted, bad = valid_requests(requests)
+    known = routes(accepted, responses, pages, options)
+    return known.select("request_id", F.col("clean_url").alias("url"), F.when(F.col("error").isNull(), "success").otherwise("error").alias("status")).unionByName(
+        bad.select("request_id", url_echo(F.col("url")).alias("url"), F.lit("error").alias("status")))

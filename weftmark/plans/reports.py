@@ -25,11 +25,15 @@ def extraction_report(results: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def summary_plan_report(prompts: DataFrame) -> DataFrame:
-    """Documents, model calls and prompt tokens by strategy and model."""
-    strategy = F.when(F.col("chunk_no") > 0, F.lit("map-reduce")).when(F.col("round") == 2, F.lit("map-reduce")).otherwise(F.lit("single-pass"))
-    p = prompts.withColumn("strategy", F.max(strategy).over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("doc_id")))
-    return p.groupBy("strategy", "model").agg(
-        F.countDistinct("doc_id").alias("documents"), F.count("*").alias("calls"),
+    """Documents, model calls and prompt tokens by strategy and model.
+
+    Round-1 prompts carry their strategy: a chunk number for map-reduce, none for single-pass.
+    Every document has exactly one first prompt, so documents are counted without a distinct.
+    """
+    strategy = F.when((F.col("chunk_no") > 0) | (F.col("round") == 2), F.lit("map-reduce")).otherwise(F.lit("single-pass"))
+    first = (F.col("round") == 1) & (F.col("chunk_no") <= 1)
+    return prompts.groupBy(strategy.alias("strategy"), "model").agg(
+        F.count_if(first).alias("documents"), F.count("*").alias("calls"),
         F.sum(token_estimate(F.col("prompt"))).alias("prompt_tokens"),
     )
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -57,13 +58,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def checkpointed(df):
-    """Eager reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for stage tables and stream sinks."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/weftmark/{name}"
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared folder; the folder goes when the application ends."""
+    path = scratch_path(spark, f"{label}-{uuid.uuid4().hex}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Cuts the lineage: a lost executor costs its unfinished tasks, not the stages before. The
+    result is a plain scan, so a join of it can split a skewed key.
+    """
+    path = fresh_path(df.sparkSession, label)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
