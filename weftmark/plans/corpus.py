@@ -119,43 +119,59 @@ def _esc(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+#: Attributes of the wide tag on every Spanish page.
+WIDE_TAG = "<div " + " ".join(f'data-a{i}="{i}"' for i in range(201)) + ">"
+
+
 def rich_pages(documents: DataFrame) -> DataFrame:
-    """A page per document that uses every block kind the converter renders
-    (heading, inline marks, lists, quote, code, table, image, link, hidden and
-    ad nodes, page chrome), filled with the document's own text."""
-    lines = F.split(F.col("text"), "\n")
-    line = lambda i: _esc(F.coalesce(F.try_element_at(lines, F.lit(i)), F.lit("")))
-    first = F.regexp_extract(F.col("text"), "^([^\\t\\n\\x0b\\x0c\\r ]+)", 1)
-    sentences = F.filter(F.split(F.coalesce(F.try_element_at(lines, F.lit(2)), F.col("text")), "\\. "), lambda s: F.length(s) > 0)
-    lis = F.array_join(F.transform(sentences, lambda s: F.concat(F.lit("<li>"), _esc(s), F.lit("</li>"))), "")
-    did = F.col("doc_id").cast("string")
+    """A page per document that uses every block kind the converter renders, filled with all of
+    the document's lines: line i becomes a heading, paragraph, list, quote, code block or table
+    with a table in a cell, in turn. Then follow hidden and ad nodes, an image, links, character
+    references in texts and attributes, and page chrome."""
+    did, lang, src = F.col("doc_id").cast("string"), F.col("lang"), F.col("source")
+    blank = "^([^\\t\\n\\x0b\\x0c\\r ]+)"
+    first = F.regexp_extract(F.col("text"), blank, 1)
+
+    def block(s, i):
+        level = (F.floor(i / 6) % 6 + 1).cast("string")
+        sentences = F.filter(F.split(s, "\\. "), lambda x: F.length(x) > 0)
+        lis = F.array_join(F.transform(sentences, lambda x: F.concat(F.lit("<li>"), _esc(x), F.lit("</li>"))), "")
+        kinds = [
+            F.concat(F.lit("<h"), level, F.lit(">"), _esc(s), F.lit("</h"), level, F.lit(">")),
+            F.concat(F.lit("<p><b>"), _esc(F.regexp_extract(s, blank, 1)), F.lit("</b> "), _esc(s), F.lit(" <a href=\"/d?i="), did, F.lit("&amp;l="),
+                     i.cast("string"), F.lit("\">"), lang, F.lit("</a> <code>n = "), F.col("n_chars").cast("string"), F.lit("</code><br>&copy; "), src, F.lit("</p>")),
+            F.concat(F.lit("<ul>"), lis, F.lit("</ul><ol><li></li><li>"), _esc(s), F.lit("</li></ol>")),
+            F.concat(F.lit("<blockquote>"), _esc(s), F.lit("</blockquote>")),
+            F.concat(F.lit("<pre><code class=\"x language-"), lang, F.lit("\">"), _esc(s), F.lit("</code></pre>")),
+            F.concat(F.lit("<table><tr><th>lang</th><th>text</th></tr><tr><td>"), lang, F.lit("<table><tr><th>in</th><td>"), src, F.lit("</td></tr></table></td><td>"),
+                     _esc(s), F.lit("</td></tr><tr><td>"), did, F.lit("</td></tr></table>")),
+        ]
+        out = kinds[-1]
+        for k in range(5):
+            out = F.when(i % 6 == k, kinds[k]).otherwise(out)
+        return out
+
     html = F.concat(
         F.lit("<!DOCTYPE html><html><head><title>"), _esc(first), F.lit("</title><script>var x = '<p>';</script></head><body>"),
         F.lit("<header><nav><a href=\"/\">Home</a></nav></header><main>"),
-        F.lit("<h2>"), line(1), F.lit("</h2>"),
-        F.lit("<p><b>"), _esc(first), F.lit("</b> "), line(2), F.lit(" <a href=\"/d/"), did, F.lit("\">"), F.col("lang"),
-        F.lit("</a> <code>n = "), F.col("n_chars").cast("string"), F.lit("</code><br>&copy; "), F.col("source"), F.lit("</p>"),
-        F.lit("<ul>"), lis, F.lit("</ul><ol><li></li><li>"), _esc(first), F.lit("</li></ol>"),
-        F.lit("<blockquote>"), line(3), F.lit("</blockquote>"),
-        F.lit("<pre><code class=\"x language-"), F.col("lang"), F.lit("\">"), line(4), F.lit("</code></pre>"),
-        F.lit("<table><tr><th>lang</th><th>source</th></tr><tr><td>"), F.col("lang"), F.lit("</td><td>"), F.col("source"),
-        F.lit("</td></tr></table>"),
+        F.array_join(F.transform(F.split(F.col("text"), "\n"), block), ""),
         F.lit("<div style=\"display: none\">hidden "), did, F.lit("</div><div class=\"ads\">ad "), did, F.lit("</div>"),
-        F.lit("<div><span> </span></div><img src=\"/img/"), did, F.lit(".png\" alt=\""), F.col("lang"), F.lit("\">"),
-        F.lit("<a href=\"javascript:void(0)\">"), F.col("source"), F.lit("</a>"),
-        F.lit("<code>"), F.col("lang"), F.lit("</code><small>"), F.col("source"), F.lit("</small>"),
+        F.lit("<div><span> </span></div><img src=\"/img/"), did, F.lit(".png?a=1&#38;b=2\" alt=\"caf&eacute; &#x2014; "), lang, F.lit("\">"),
+        F.lit("<a href=\"javascript:void(0)\">"), src, F.lit("</a><a href=\"/&lt;"), src, F.lit("&gt;\">&#0000065; &#x00042; "), src, F.lit("</a>"),
+        F.lit("<code>"), lang, F.lit("</code><small>"), src, F.lit("</small>"),
+        F.when(lang == "es", F.concat(F.lit(WIDE_TAG), src, F.lit("</div>"))).otherwise(F.lit("")),
         F.lit("<div class=\"cookie-consent\">consent "), did, F.lit("</div>"),
         F.lit("</main><footer>footer "), did, F.lit("</footer></body></html>"),
     )
-    return documents.select(F.col("doc_id").alias("page_id"), doc_url(F.col("lang"), F.col("doc_id")).alias("url"), html.alias("html"))
+    return documents.select(F.col("doc_id").alias("page_id"), doc_url(lang, F.col("doc_id")).alias("url"), html.alias("html"))
 
 
 def chrome_only_pages(documents: DataFrame) -> DataFrame:
-    """Pages whose body holds only removed chrome, so the whole-page text fallback
-    (H26) decides the output: the title survives, navigation does not."""
-    first = F.regexp_extract(F.col("text"), "^([^\\t\\n\\x0b\\x0c\\r ]+)", 1)
+    """Pages whose body holds only removed chrome, so the whole-page text fallback (H26) decides
+    the output: the title, which holds the whole text, survives, navigation does not."""
+    lines = F.transform(F.split(F.col("text"), "\n"), lambda x: F.concat(F.lit("<a>"), _esc(x), F.lit("</a>")))
     html = F.concat(
-        F.lit("<html><head><title>"), _esc(first), F.lit("</title></head><body><nav>"), F.col("lang"),
+        F.lit("<html><head><title>"), _esc(F.col("text")), F.lit("</title></head><body><nav>"), F.array_join(lines, ""),
         F.lit("</nav><div><span> </span></div></body></html>"),
     )
     return documents.select(F.col("doc_id").alias("page_id"), doc_url(F.col("lang"), F.col("doc_id")).alias("url"), html.alias("html"))

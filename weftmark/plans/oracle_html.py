@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from ..functions.text import HWS_CLASS, WS
 from ..operators import html as H
+from .corpus import WIDE_TAG
 
 NL = "chr(10)"
 HWS = HWS_CLASS[1:-1]
@@ -353,26 +354,30 @@ def _esc(x: str) -> str:
 
 def rich_pages_sql() -> str:
     """The same derivation as ``corpus.rich_pages``."""
-    lines = f"string_split(text, {NL})"
-    line = lambda i: _esc(f"coalesce(({lines})[{i}], '')")
     first = f"regexp_extract(text, '^([^{H.SP}]+)', 1)"
-    sentences = f"list_filter(string_split(coalesce(({lines})[2], text), '. '), lambda s: length(s) > 0)"
-    lis = f"array_to_string(list_transform({sentences}, lambda s: '<li>' || {_esc('s')} || '</li>'), '')"
     did = "CAST(doc_id AS VARCHAR)"
+    level = "CAST(((i - 1) // 6) % 6 + 1 AS VARCHAR)"
+    lis = f"array_to_string(list_transform(list_filter(string_split(s, '. '), lambda x: length(x) > 0), lambda x: '<li>' || {_esc('x')} || '</li>'), '')"
+    kinds = [
+        f"'<h' || {level} || '>' || {_esc('s')} || '</h' || {level} || '>'",
+        f"'<p><b>' || {_esc(f"regexp_extract(s, '^([^{H.SP}]+)', 1)")} || '</b> ' || {_esc('s')} || ' <a href=\"/d?i=' || {did} || '&amp;l=' "
+        f"|| CAST(i - 1 AS VARCHAR) || '\">' || lang || '</a> <code>n = ' || CAST(n_chars AS VARCHAR) || '</code><br>&copy; ' || source || '</p>'",
+        f"'<ul>' || {lis} || '</ul><ol><li></li><li>' || {_esc('s')} || '</li></ol>'",
+        f"'<blockquote>' || {_esc('s')} || '</blockquote>'",
+        f"'<pre><code class=\"x language-' || lang || '\">' || {_esc('s')} || '</code></pre>'",
+        f"'<table><tr><th>lang</th><th>text</th></tr><tr><td>' || lang || '<table><tr><th>in</th><td>' || source || '</td></tr></table></td><td>' "
+        f"|| {_esc('s')} || '</td></tr><tr><td>' || {did} || '</td></tr></table>'",
+    ]
+    case = "CASE " + " ".join(f"WHEN (i - 1) % 6 = {k} THEN {v}" for k, v in enumerate(kinds)) + " END"
+    blocks = f"array_to_string(list_transform(string_split(text, {NL}), lambda s, i: {case}), '')"
     html = " || ".join([
         "'<!DOCTYPE html><html><head><title>'", _esc(first), "'</title><script>var x = ''<p>'';</script></head><body>'",
-        "'<header><nav><a href=\"/\">Home</a></nav></header><main>'",
-        "'<h2>'", line(1), "'</h2>'",
-        "'<p><b>'", _esc(first), "'</b> '", line(2), "' <a href=\"/d/'", did, "'\">'", "lang",
-        "'</a> <code>n = '", "CAST(n_chars AS VARCHAR)", "'</code><br>&copy; '", "source", "'</p>'",
-        "'<ul>'", lis, "'</ul><ol><li></li><li>'", _esc(first), "'</li></ol>'",
-        "'<blockquote>'", line(3), "'</blockquote>'",
-        "'<pre><code class=\"x language-'", "lang", "'\">'", line(4), "'</code></pre>'",
-        "'<table><tr><th>lang</th><th>source</th></tr><tr><td>'", "lang", "'</td><td>'", "source", "'</td></tr></table>'",
+        "'<header><nav><a href=\"/\">Home</a></nav></header><main>'", blocks,
         "'<div style=\"display: none\">hidden '", did, "'</div><div class=\"ads\">ad '", did, "'</div>'",
-        "'<div><span> </span></div><img src=\"/img/'", did, "'.png\" alt=\"'", "lang", "'\">'",
-        "'<a href=\"javascript:void(0)\">'", "source", "'</a>'",
+        "'<div><span> </span></div><img src=\"/img/'", did, "'.png?a=1&#38;b=2\" alt=\"caf&eacute; &#x2014; '", "lang", "'\">'",
+        "'<a href=\"javascript:void(0)\">'", "source", "'</a><a href=\"/&lt;'", "source", "'&gt;\">&#0000065; &#x00042; '", "source", "'</a>'",
         "'<code>'", "lang", "'</code><small>'", "source", "'</small>'",
+        f"CASE WHEN lang = 'es' THEN '{WIDE_TAG}' || source || '</div>' ELSE '' END",
         "'<div class=\"cookie-consent\">consent '", did, "'</div>'",
         "'</main><footer>footer '", did, "'</footer></body></html>'",
     ])
@@ -406,7 +411,14 @@ FROM nm QUALIFY row_number() OVER (PARTITION BY page_id, pos, name ORDER BY i) =
 
 def chrome_only_pages_sql() -> str:
     """The same derivation as ``corpus.chrome_only_pages``."""
-    first = f"regexp_extract(text, '^([^{H.SP}]+)', 1)"
-    html = (f"'<html><head><title>' || {_esc(first)} || '</title></head><body><nav>' || lang || "
-            f"'</nav><div><span> </span></div></body></html>'")
+    lines = f"array_to_string(list_transform(string_split(text, {NL}), lambda x: '<a>' || {_esc('x')} || '</a>'), '')"
+    html = f"'<html><head><title>' || {_esc('text')} || '</title></head><body><nav>' || {lines} || '</nav><div><span> </span></div></body></html>'"
     return f"SELECT doc_id AS page_id, 'https://docs.example.org/' || lang || '/' || CAST(doc_id AS VARCHAR) AS url, {html} AS html FROM documents"
+
+
+def doc_pages_sql() -> str:
+    """The same derivation as ``corpus.pages_for_documents``."""
+    paras = f"array_to_string(list_transform(string_split(text, {NL}), lambda x: '<p>' || x || '</p>'), '')"
+    html = f"'<html><head><title>doc</title></head><body><nav>menu</nav><article>' || {paras} || '</article></body></html>'"
+    return (f"SELECT -(doc_id + 1) AS page_id, 'https://docs.example.org/' || lang || '/' || CAST(doc_id AS VARCHAR) AS url, {html} AS html, "
+            "lang, source FROM documents")
