@@ -583,6 +583,14 @@ def render_blocks(units: DataFrame, key: str = "page_id", part: str | None = Non
     )
 
 
+def inline_parts(units: DataFrame, key: str = "page_id") -> DataFrame:
+    """The inline part of each direct child of a paragraph (nulls left out)."""
+    e = _cached("render:False", lambda: _render_exprs(False))
+    parts = units.groupBy(key, "blk", "unit").agg(*e["agg1"], F.first("root_s").alias("root_s")).withColumns(e["texts"]).withColumns(e["unit_parts"])
+    root = F.first("root", ignorenulls=True).over(Window.partitionBy(key, "blk").orderBy("unit"))
+    return parts.withColumn("_root", root).filter((F.col("_root.tag") == "p") & F.col("inline").isNotNull()).withColumn("tag", F.col("head.tag"))
+
+
 def _render_exprs(has_url: bool) -> dict:
     """The column expressions of the two render stages (built once per JVM)."""
     kind, tag, pos = F.col("kind"), F.col("tag"), F.col("pos")

@@ -1,9 +1,11 @@
 """DuckDB SQL for the queries of ``queries.py`` (the driver's correctness oracle).
 
 Each statement recomputes its query from the same parquet views with DuckDB's
-own functions (RE2 regexes, list functions, window functions). Queries with a
-regex back-reference (DuckDB's RE2 has none) or the full HTML walk have no
-statement here; they are checked against hand-derived rows in ``tests/``.
+own functions (RE2 regexes, list functions, window functions). RE2 has no
+back-reference, which three noise patterns need to find a repeated phrase. A text
+with fewer than two places where the phrase may begin cannot match them, so the
+statements leave those patterns out there; they fail on any other text. Repeats are
+checked against hand-derived rows in ``tests/``.
 """
 
 from __future__ import annotations
@@ -111,7 +113,53 @@ def _noise_core(x: str) -> str:
     return f"(CASE WHEN {x} IS NULL OR {x} = '' THEN {x} ELSE {_strip(s)} END)"
 
 
-PLANNED = f"""
+#: Where the phrase of each pattern with a back-reference may begin.
+REPEAT_STARTS = {
+    "favorite_repeat": "(?i)favorite",
+    "footer_repeat": "(?i)copyright|all rights reserved|privacy policy|terms of service",
+    "breadcrumb_repeat": "(?i)home[" + WS + "]*>",
+}
+
+
+def _no_repeat(x: str, value: str) -> str:
+    many = " OR ".join(f"len(regexp_extract_all({x}, '{r}')) > 1" for r in REPEAT_STARTS.values())
+    return f"(CASE WHEN {many} THEN CAST(error('a phrase may repeat') AS VARCHAR) ELSE {value} END)"
+
+
+def _noise(x: str) -> str:
+    """N0-N10."""
+    return _no_repeat(x, _noise_core(x))
+
+
+def _noise_audit_sql() -> str:
+    names = ["top_stories", "cookie_notice", "share_buttons", "newsletter"]
+    steps, prev = [], "s0"
+    for i, pat in enumerate(NOISE_CORE):
+        pat = _sq(pat.replace("[WS]", "[" + WS + "]"))
+        steps.append(f"t{i + 1} AS (SELECT *, regexp_replace({prev}, '{pat}', '', 'g') AS s{i + 1}, "
+                     f"len(regexp_extract_all({prev}, '{pat}')) AS h{i + 1} FROM t{i})")
+        prev = f"s{i + 1}"
+    rows = [f"SELECT source AS host, '{n}' AS pattern, h{i + 1} AS h, length(s{i}) - length(s{i + 1}) AS r FROM t4" for i, n in enumerate(names)]
+    rows += [f"SELECT source, '{n}', 0, 0 FROM t4" for n in REPEAT_STARTS]
+    return (f"WITH t0 AS (SELECT source, {_no_repeat('text', 'text')} AS s0 FROM documents), {', '.join(steps)}, x AS ({' UNION ALL '.join(rows)}) "
+            "SELECT host, pattern, CAST(sum(h) AS BIGINT) AS hits, CAST(sum(r) AS BIGINT) AS removed_chars, count(*) FILTER (WHERE h > 0) AS documents_hit "
+            "FROM x GROUP BY host, pattern")
+
+
+def _page_md(pages_sql: str) -> str:
+    return (f"WITH {OH.chain_ctes(pages_sql)}, d AS (SELECT page_id, url, {_noise('content')} AS content FROM page_md) "
+            f"SELECT page_id, url, content, {_est('content')} AS estimated_tokens FROM d")
+
+
+PLANNED_SOURCE = f"""
+        SELECT doc_id, text AS content, coalesce(lang = 'fr', false) AS flag,
+               CAST(CASE WHEN lang = 'en' THEN 1000 WHEN lang = 'fr' THEN 100 WHEN lang = 'es' THEN 0 END AS INTEGER) AS target,
+               {_est('text')} AS orig
+        FROM documents"""
+
+
+def _planned(source: str) -> str:
+    return f"""
   SELECT doc_id, content, flag, target, orig,
          enabled, active, needed,
          CASE WHEN needed THEN CASE WHEN orig <= 8000 THEN 'single-pass' ELSE 'map-reduce' END END AS strategy
@@ -120,14 +168,13 @@ PLANNED = f"""
               enabled AND coalesce(target <> 0, false) AND target > 0 AND (flag OR orig > target) AS needed
     FROM (
       SELECT *, flag OR coalesce(target <> 0, false) AS enabled
-      FROM (
-        SELECT doc_id, text AS content, coalesce(lang = 'fr', false) AS flag,
-               CAST(CASE WHEN lang = 'en' THEN 1000 WHEN lang = 'fr' THEN 100 WHEN lang = 'es' THEN 0 END AS INTEGER) AS target,
-               {_est('text')} AS orig
-        FROM documents)))
+      FROM ({source})))
 """
 
 
+PLANNED = _planned(PLANNED_SOURCE)
+
+
 def _chunk_target(target: str, n: str) -> str:
     return f"CAST(greatest(300, floor(CAST({target} AS DOUBLE) * 1.5 / greatest(1, {n}))) AS INTEGER)"
 
@@ -167,10 +214,10 @@ TEXT_NODES = f"""
 """
 
 
-def _summarize_sql() -> str:
+def _summarize_sql(planned: str = PLANNED) -> str:
     sp_ans = "substring(content, 1, target * 4)"
     return f"""
-  WITH p AS ({PLANNED}),
+  WITH p AS ({planned}),
   mr AS (SELECT doc_id, content, target, (length(content) - 1) // 12000 + 1 AS n FROM p WHERE strategy = 'map-reduce'),
   ch AS (SELECT doc_id, target, n, i, substring(content, i * 12000 + 1, 12000) AS chunk
          FROM (SELECT doc_id, content, target, n, unnest(range(n)) AS i FROM mr)),
@@ -237,8 +284,6 @@ ORACLES = {
   SELECT doc_id, CAST(n AS INTEGER) AS n_chunks, {_chunk_target('2000', 'n')} AS chunk_target
   FROM (SELECT doc_id, (length(text) - 1) // 12000 + 1 AS n FROM documents WHERE length(text) > 0)""",
     "summarize_documents": _summarize_sql(),
-    "summary_decision": _summarize_sql(),
-    "summary_meta": _summarize_sql(),
     "summarize_needed": f"SELECT doc_id, enabled, active, needed FROM ({PLANNED})",
     "summary_strategy": f"SELECT doc_id, strategy FROM ({PLANNED})",
     "normalize_lines": f"""
@@ -254,7 +299,6 @@ ORACLES = {
     "block_segments": f"WITH {OH.chain_ctes(OH.PAGES)}\nSELECT page_id, blk, block_tag, block_kind, md FROM blocks",
     "render_heading": OH.blocks_sql(OH.rich_pages_sql(), HEADING_TAGS),
     "render_paragraph": OH.blocks_sql(OH.rich_pages_sql(), ["p"]),
-    "render_inline": OH.blocks_sql(OH.rich_pages_sql(), ["p"]),
     "render_list": OH.blocks_sql(OH.rich_pages_sql(), ["ul", "ol"]),
     "render_blockquote": OH.blocks_sql(OH.rich_pages_sql(), ["blockquote"]),
     "render_code_block": OH.blocks_sql(OH.rich_pages_sql(), ["pre"]),
@@ -267,13 +311,21 @@ ORACLES = {
     "prune_empty_containers": OH.chain_sql(
         OH.rich_pages_sql(), "SELECT page_id, pos, tag FROM p3 WHERE removed AND NOT pruned AND tag IN ('div', 'span') AND kind = 'open'"),
     "hidden_filter": OH.chain_sql(OH.rich_pages_sql(), f"SELECT page_id, pos, tag, a_style AS style FROM r3 WHERE in_region AND {OH.HIDDEN}"),
-    "prune_hidden": OH.chain_sql(OH.rich_pages_sql(), f"SELECT page_id, pos, tag, a_style AS style FROM r3 WHERE in_region AND {OH.HIDDEN}"),
     "link_filter": OH.chain_sql(OH.rich_pages_sql(), "SELECT page_id, blk, block_tag, md FROM blocks WHERE contains(md, '](') OR block_tag = 'a'"),
     "render_other": OH.chain_sql(OH.rich_pages_sql(), f"SELECT page_id, blk, block_tag, md FROM blocks WHERE block_tag NOT IN {OH.KNOWN_BLOCKS} AND block_kind <> 'text'"),
     "min_text_filter": OH.chain_sql(
         OH.rich_pages_sql(),
         f"SELECT page_id, blk, block_kind, block_tag, md IS NOT NULL AS kept FROM blocks WHERE block_kind = 'text' OR block_tag NOT IN {OH.KNOWN_BLOCKS}"),
     "html_attrs": OH.ATTRS_SQL,
+    "noise_filter": f"SELECT doc_id, {_noise('text')} AS content FROM documents",
+    "noise_audit": _noise_audit_sql(),
+    "page_markdown": _page_md(OH.PAGES),
+    "rich_page_markdown": _page_md(OH.rich_pages_sql()),
+    "empty_fallback": _page_md(OH.chrome_only_pages_sql()),
+    "assemble_markdown": f"WITH {OH.chain_ctes(OH.rich_pages_sql())}\n  SELECT page_id, count(*) FILTER (WHERE md IS NOT NULL) AS n_blocks, "
+                         "coalesce(string_agg(md, chr(10) ORDER BY blk), '') AS joined FROM blocks GROUP BY page_id",
+    "prune_hidden": OH.chain_sql(OH.rich_pages_sql(), "SELECT page_id, pos, kind, tag, text FROM b0 WHERE kind = 'text' OR a_style IS NOT NULL"),
+    "render_inline": OH.chain_sql(OH.rich_pages_sql(), "SELECT page_id, blk, unit, h_tag AS tag, inline FROM u2 WHERE root_tag = 'p' AND inline IS NOT NULL"),
     "empty_fallback_raw": OH.page_markdown_sql(OH.chrome_only_pages_sql()),
 }
 
@@ -390,3 +442,72 @@ ORACLES.update({
          CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status
   FROM ({_VALIDATED})""",
 })
+
+
+# --- the whole job ---------------------------------------------------------------------------
+
+_REQUESTS_WITH_OPTIONS = f"""
+  SELECT * FROM ({REQUESTS})
+  UNION ALL
+  SELECT -(page_id * 8 + variant_no) - 1, url, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM ({VARIANTS}) WHERE variant <> 'as_is'
+"""
+
+
+def _results_sql(requests: str) -> str:
+    """The accepted requests of ``requests`` with final content, route and the JSON envelope."""
+    native = f"fetch_error IS NULL AND http_status BETWEEN 200 AND 299 AND starts_with(lower(coalesce(content_type, '')), 'text/markdown')"
+    need = (f"SELECT page_id, url, html FROM pages UNION ALL SELECT page_id, url, html FROM ({OH.doc_pages_sql()}) "
+            f"WHERE url NOT IN (SELECT url FROM ({RESPONSES}) WHERE {native})")
+    md = f"WITH {OH.chain_ctes(need)} SELECT page_id, url, {_noise('content')} AS content FROM page_md"
+    planned = _planned(f"SELECT k AS doc_id, content, use_summarization AS flag, target, {_est('content')} AS orig FROM asked")
+    meta = ("{'enabled': s.enabled, 'used': s.used, 'strategy': s.strategy, 'model': 'gpt-oss:20b', 'host': 'http://localhost:11434', "
+            "'target_tokens': s.target_tokens, 'original_estimated_tokens': s.original_estimated_tokens, "
+            "'final_estimated_tokens': s.final_estimated_tokens, 'fallback_reason': s.fallback_reason}")
+    base = ("'url': r.clean_url, 'content': out, 'format': 'markdown', 'status': 'success', 'wait_for_selector': wait_for_selector, 'wait_time': wait_time, "
+            "'scroll_to_bottom': scroll_to_bottom, 'truncate': truncate, 'max_length': max_length, 'render_method': render_method")
+    js = lambda more: "CAST(to_json({" + base + more + ", 'summarization': " + meta + "}) AS VARCHAR)"
+    return f"""
+  WITH valid AS (
+    SELECT request_id, clean_url, wait_for_selector, CAST(coalesce(wait_time, 2000) AS INTEGER) AS wait_time, coalesce(scroll_to_bottom, true) AS scroll_to_bottom,
+           coalesce(truncate, true) AS truncate, CAST(coalesce(max_length, 100000) AS INTEGER) AS max_length,
+           coalesce(use_summarization, false) AS use_summarization, CAST(summary_target_tokens AS INTEGER) AS target,
+           clean_url || '|' || coalesce(use_summarization, false) || '|' || coalesce(CAST(summary_target_tokens AS VARCHAR), 'none') AS k
+    FROM ({_url_parts(f"SELECT *, {_strip('url')} AS clean_url FROM ({requests})")}) WHERE ({URL_ERROR}) IS NULL),
+  content AS (
+    SELECT url AS c_url, 'native_markdown' AS render_method, text AS content, content_type AS source_content_type,
+           TRY_CAST(markdown_tokens_header AS INTEGER) AS markdown_tokens FROM ({RESPONSES}) WHERE {native}
+    UNION ALL SELECT {_strip('url')}, 'playwright', content, NULL, NULL FROM ({md})),
+  asked AS (SELECT DISTINCT k, use_summarization, target, content, render_method, source_content_type, markdown_tokens FROM valid JOIN content ON c_url = clean_url),
+  s AS ({_summarize_sql(planned)}),
+  r AS (
+    SELECT valid.*, a.render_method, a.source_content_type, a.markdown_tokens,
+           CASE WHEN truncate AND max_length > 0 AND length(s.content) > max_length
+                THEN substring(s.content, 1, max_length) || {NL} || {NL} || '... [content truncated]' ELSE s.content END AS out
+    FROM valid JOIN asked a ON a.k = valid.k JOIN s ON s.doc_id = valid.k)
+  SELECT request_id, clean_url AS url, render_method, out AS content,
+         CASE WHEN render_method = 'playwright' THEN {js("")}
+              WHEN markdown_tokens IS NULL THEN {js(", 'source_content_type': source_content_type")}
+              ELSE {js(", 'source_content_type': source_content_type, 'markdown_tokens': markdown_tokens")} END AS json
+  FROM r JOIN s ON s.doc_id = r.k"""
+
+
+_RESULTS = _results_sql(_REQUESTS_WITH_OPTIONS)
+_HOST = "lower(regexp_extract(netloc, '^(?:[^@]*@)?(\\[[^\\]]*\\]|[^:]*)', 1))"
+
+ORACLES.update({
+    "result_sink": f"SELECT request_id, url, render_method, json FROM ({_RESULTS})",
+    "result_envelope": f"SELECT request_id, json FROM ({_RESULTS})",
+    "summary_meta": f"""WITH s AS ({_summarize_sql()})
+  SELECT doc_id, enabled, used, strategy, 'gpt-oss:20b' AS model, 'http://localhost:11434' AS host, target_tokens, original_estimated_tokens,
+         final_estimated_tokens, fallback_reason FROM s""",
+    "summary_decision": f"""WITH s AS ({_summarize_sql()})
+  SELECT doc_id, CASE WHEN NOT used THEN 'not needed' WHEN fallback_reason IS NOT NULL THEN 'kept' ELSE 'replaced' END AS decision,
+         length(content) AS content_chars FROM s""",
+    "extraction_report": f"""
+  WITH ok AS (SELECT url, render_method, 'success' AS status, length(content) AS chars, {_est('content')} AS tokens FROM ({_RESULTS})),
+  bad AS (SELECT {_ECHO} AS url, 'none' AS render_method, 'error' AS status, 0 AS chars, 0 AS tokens FROM ({_VALIDATED}) WHERE error IS NOT NULL),
+  x AS (SELECT coalesce(url, '') AS clean_url, render_method, status, chars, tokens FROM (SELECT * FROM ok UNION ALL SELECT * FROM bad)),
+  h AS (SELECT {_HOST} AS host, render_method, status, chars, tokens FROM ({_url_parts('SELECT * FROM x')}))
+  SELECT host, render_method, status, count(*) AS requests, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(tokens) AS BIGINT) AS tokens
+  FROM h GROUP BY ROLLUP (host, render_method, status)""",
+})

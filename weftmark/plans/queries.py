@@ -185,6 +185,20 @@ def summarize_documents(spark, d):
     )
 
 
+def summary_meta(spark, d):
+    """All nine fields."""
+    done = M.summarize(_planned(spark, d), M.prefix_summarizer())
+    return done.select("doc_id", "summarization.*")
+
+
+def summary_decision(spark, d):
+    """What became of each content."""
+    done = M.summarize(_planned(spark, d), M.prefix_summarizer())
+    s = F.col("summarization")
+    decision = F.when(~s["used"], "not needed").when(s["fallback_reason"].isNotNull(), "kept").otherwise("replaced")
+    return done.select("doc_id", decision.alias("decision"), F.length("content").cast("bigint").alias("content_chars"))
+
+
 def summary_error(spark, d):
     """Every call for English documents fails; the original is kept with the reason."""
     planned = _planned(spark, d)
@@ -289,6 +303,27 @@ def hidden_filter(spark, d):
     return rows.select("page_id", "pos", "tag", F.col("attrs")["style"].alias("style"))
 
 
+def prune_hidden(spark, d):
+    """The texts and styled elements that survive inside the blocks."""
+    reg = H.prepare(C.rich_pages(_t(spark, d, "documents")))
+    b = H.block_segments(reg.filter(F.col("in_region") & ~F.col("kind").isin("comment", "decl", "none")))
+    return b.filter((F.col("kind") == "text") | F.col("attrs")["style"].isNotNull()).select("page_id", "pos", "kind", "tag", "text")
+
+
+def render_inline(spark, d):
+    """The parts of each paragraph, one row per direct child."""
+    reg = H.prepare(C.rich_pages(_t(spark, d, "documents")))
+    units = H.block_units(H.block_segments(reg.filter(F.col("in_region") & ~F.col("kind").isin("comment", "decl", "none"))))
+    return H.inline_parts(units).select("page_id", "blk", "unit", "tag", "inline")
+
+
+def assemble_markdown(spark, d):
+    """The blocks of each page joined in order, before normalisation."""
+    b = _blocks(spark, d)
+    parts = F.array_sort(F.collect_list(F.when(F.col("md").isNotNull(), F.struct("blk", "md"))))
+    return b.groupBy("page_id").agg(F.count("md").alias("n_blocks"), F.array_join(F.transform(parts, lambda x: x["md"]), "\n").alias("joined"))
+
+
 def link_filter(spark, d):
     b = _blocks(spark, d)
     return b.filter(F.col("md").contains("](") | (F.col("block_tag") == "a")).select("page_id", "blk", "block_tag", "md")
@@ -476,20 +511,20 @@ QUERIES = {
     "render_table": _render(["table"]),
     "render_image": _render(["img"]),
     "render_link": _render(["a"]),
-    "render_inline": _render(["p"]),
+    "render_inline": render_inline,
     "render_inline_code_block": _render(["code"]),
     "render_other": render_other,
     "min_text_filter": min_text_filter,
     "prune_consent_nodes": prune_consent_nodes,
-    "prune_hidden": hidden_filter,
+    "prune_hidden": prune_hidden,
     "normalize_lines": normalize_lines,
-    "assemble_markdown": page_markdown,
+    "assemble_markdown": assemble_markdown,
     "empty_fallback": empty_fallback,
     "empty_fallback_raw": empty_fallback_raw,
     "summarize_needed": summarize_needed,
     "summary_strategy": summary_strategy,
-    "summary_decision": summarize_documents,
-    "summary_meta": summarize_documents,
+    "summary_decision": summary_decision,
+    "summary_meta": summary_meta,
     "render_route": render_route,
     "result_envelope": result_envelope,
     "error_envelope": error_envelope,
