@@ -57,8 +57,13 @@ def test_sum_of_squares_equals_all_pairs():
 
 
 def test_misspelt_words_share_their_subwords():
-    bags = [({"fine": 2, f"word{i % 40}": 1, **({"worthless": 1} if i % 4 == 0 else {})}, int(i % 4 == 0)) for i in range(400)]
-    m = toxicity.fit(bags)
+    texts = [(f"fine fine word{i % 40}" + " worthless" * (i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
+    rows = [(*toxicity.features(t), y) for t, y in texts]
+    among = np.zeros((2, toxicity.BUCKETS))
+    for at, _, y in rows:
+        among[y, at] += 1
+    told = toxicity.telling(among, np.array([300, 100]))
+    m = toxicity.fit([(at[told[at]].astype(np.int64), w[told[at]], y) for at, w, y in rows])
     good, bad = m.score("fine word3 " * 30), m.score("fine wortthless worthles " * 30)
     assert bad > 0.5 > good
 

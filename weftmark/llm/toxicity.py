@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.llm.common import small_batches
+from weftmark.llm.common import small_batches, staged
 from weftmark.llm.labels import labelled_sample
 
 BUCKETS, WIDTH = 1 << 16, 12
@@ -81,41 +81,43 @@ class Subwords:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, logit))))
 
 
-def fit(bags: list[tuple[dict[str, int], int]], seed: int = 5) -> Subwords:
-    """Train on (word counts, label) pairs; without both labels the score is the share of label 1."""
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, share of the padded average) of a whole text; each bucket once."""
+    at, weight = [], []
+    for w, c in Counter(words_of(text)).items():
+        rows = rows_of(w)
+        at += rows
+        weight += [1.0 + math.log(c)] * len(rows)
+    which, back = np.unique(np.array(at, np.int64), return_inverse=True)
+    mass = np.bincount(back, weights=weight, minlength=len(which)) if at else np.zeros(0)
+    return which.astype(np.uint16), (mass / (mass.sum() + PADDING)).astype(np.float32)
+
+
+def telling(among: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each bucket is trained; ``among[y, bucket]`` of ``size[y]`` documents hold it."""
+    odds = np.log((among[1] + 0.5) / (size[1] + 1)) - np.log((among[0] + 0.5) / (size[0] + 1))
+    return np.abs(odds) >= SIGNIFICANT * np.sqrt(1 / (among[1] + 0.5) + 1 / (among[0] + 0.5))
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 5) -> Subwords:
+    """Train on (bucket, share, label) rows that hold only telling buckets.
+
+    Without both labels every score is the share of label 1.
+    """
     rng = np.random.default_rng(seed)
-    share = (sum(y for _, y in bags) + 0.5) / (len(bags) + 1)
-    if len({y for _, y in bags}) < 2:
+    share = (sum(y for _, _, y in rows) + 0.5) / (len(rows) + 1)
+    if len({y for _, _, y in rows}) < 2:
         return Subwords(np.zeros(BUCKETS, np.float32), math.log(share / (1 - share)))
-    known: dict[str, list[int]] = {}
-    data = []
-    for bag, y in bags:
-        at, weight = [], []
-        for w, c in bag.items():
-            rows = known.get(w) or known.setdefault(w, rows_of(w))
-            at += rows
-            weight += [1.0 + math.log(c)] * len(rows)
-        which, back = np.unique(np.array(at, np.int64), return_inverse=True)
-        mass = np.bincount(back, weights=weight) if at else np.zeros(0)
-        data.append((which.astype(np.int32), (mass / (mass.sum() + PADDING)).astype(np.float32), y))
-    del known
-    among = np.zeros((2, BUCKETS))
-    for at, _, y in data:
-        among[y, at] += 1
-    size = np.bincount([y for _, _, y in data], minlength=2)
-    odds = np.log((among[1] + 0.5) / (size[1] + 1)) - np.log((among[0] + 0.5) / (size[0] + 1))
-    told = np.abs(odds) >= SIGNIFICANT * np.sqrt(1 / (among[1] + 0.5) + 1 / (among[0] + 0.5))
-    data = [(at[told[at]], weight[told[at]], y) for at, weight, y in data]
     table = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     head, bias = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.array([math.log(1 - share), math.log(share)], np.float32)
     seen, seen_head = np.full(BUCKETS, CAUTION, np.float32), 1e-8
-    epochs = max(EPOCHS, -(-STEPS // len(data)))
+    epochs = max(EPOCHS, -(-STEPS // len(rows)))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs) + 0.02
-        for i in rng.permutation(len(data)):
-            at, weight, y = data[i]
-            rows = table[at]
-            mean = weight @ rows
+        for i in rng.permutation(len(rows)):
+            at, weight, y = rows[i]
+            own = table[at]
+            mean = weight @ own
             z = mean @ head + bias
             e = np.exp(z - z.max())
             g = e / e.sum()
@@ -123,29 +125,51 @@ def fit(bags: list[tuple[dict[str, int], int]], seed: int = 5) -> Subwords:
             back = head @ g
             g_head = np.outer(mean, g)
             seen[at] += (weight * weight) * float(back @ back)
-            table[at] = rows - (rate * weight / np.sqrt(seen[at]))[:, None] * back
+            table[at] = own - (rate * weight / np.sqrt(seen[at]))[:, None] * back
             seen_head += float((g_head * g_head).sum())
             head -= rate / math.sqrt(seen_head) * g_head
             bias -= 0.05 * rate * g
-    gain = np.where(told, table @ (head[:, 1] - head[:, 0]), 0)
+    gain = np.where(seen > CAUTION, table @ (head[:, 1] - head[:, 0]), 0)  # a row never trained says nothing
     return Subwords(gain.astype(np.float32), float(bias[1] - bias[0]))
 
 
-def _bags(frames):
+def _held(frames):
+    """(label, bucket, documents) of a task's rows; the bucket after the last counts all of them."""
+    among = np.zeros((2, BUCKETS + 1), np.int64)
+    for f in frames:
+        for t, y in zip(f["t"], f["y"], strict=True):
+            among[int(y != 0), features(t)[0].astype(np.int64)] += 1
+            among[int(y != 0), BUCKETS] += 1
+    y, at = np.nonzero(among)
+    yield pd.DataFrame({"y": y, "bucket": at, "n": among[y, at]})
+
+
+def _told(frames, told: np.ndarray):
     for f in frames:
-        bags = [Counter(words_of(t)) for t in f["t"]]
-        yield pd.DataFrame({"words": [list(b) for b in bags], "counts": [list(b.values()) for b in bags], "y": f["y"]})
+        rows = []
+        for t, y in zip(f["t"], f["y"], strict=True):
+            at, share = features(t)
+            rows.append((at[told[at]].tobytes(), share[told[at]].tobytes(), int(y != 0)))
+        yield pd.DataFrame(rows, columns=["bucket", "share", "y"])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", fit_rows: int = FIT_ROWS,
                  folds: int = 5, held_out_fold: int = 0, id_col: str = "doc_id") -> Subwords:
-    """Fit on at most ``fit_rows`` labelled documents outside the held-out fold."""
+    """Fit on at most ``fit_rows`` labelled documents outside the held-out fold.
+
+    Tasks hash the words. The driver gets a count for each bucket and class, and then each
+    document's telling buckets.
+    """
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs.select(F.col(id_col), F.col(text_col).alias("t")), labels, label_col, fit_rows, folds, held_out_fold, id_col)
-    got = sample.select(id_col, "t", "y").mapInPandas(_bags, "words array<string>, counts array<long>, y int").toPandas()
-    bags = [(dict(sorted(zip(w, map(int, c), strict=True))), int(y)) for w, c, y in zip(got["words"], got["counts"], got["y"], strict=True)]
-    bags.sort(key=lambda b: (b[1], list(b[0].items())))  # the order of the rows must not matter
-    return fit(bags)
+    sample = staged(labelled_sample(docs.select(F.col(id_col), F.col(text_col).alias("t")), labels, label_col, fit_rows, folds, held_out_fold, id_col)
+                    .select("t", "y"), "labelled")
+    counts = sample.mapInPandas(_held, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    among = np.zeros((2, BUCKETS + 1))
+    among[counts["y"], counts["bucket"]] = counts["n"]
+    told = telling(among[:, :BUCKETS], among[:, BUCKETS])
+    got = sample.mapInPandas(lambda it: _told(it, told), "bucket binary, share binary, y int").toPandas()
+    rows = sorted(zip(got["bucket"], got["share"], got["y"], strict=True), key=lambda r: (r[2], r[0], r[1]))  # the order must not matter
+    return fit([(np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(w, np.float32), int(y)) for b, w, y in rows])
 
 
 def with_toxicity(docs: DataFrame, model: Subwords, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -169,7 +193,7 @@ _LAST: dict[bytes, Subwords] = {}
 
 def _here(model: Subwords) -> Subwords:
     """This worker's copy of the model, so that its word cache outlives a task."""
-    key = model.gain.tobytes()
+    key = model.gain.tobytes() + repr(model.bias).encode()
     if key not in _LAST:
         _LAST.clear()
         _LAST[key] = model
