@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmark.session import scratch_path
+from weftmark.session import fresh_path, staged
+
+__all__ = ["fresh_path", "staged"]
 
 #: ASCII white space, as a Spark trim set and as a Java character class.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -19,24 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new folder name in the shared folder; the folder goes when the application ends."""
-    path = scratch_path(spark, f"llm/{label}-{uuid.uuid4().hex}")
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs its unfinished tasks, not the stages before.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows of one Arrow batch, as a single text may be many megabytes."""
     if int(spark.conf.get(ARROW_ROWS)) > rows:

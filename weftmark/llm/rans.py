@@ -3,8 +3,8 @@
 A file is a folder with two Parquet tables, so Spark's writers commit it and any store holds it:
 
 * ``model``: (id, freq), the shared frequencies, which sum to 2^SCALE_BITS;
-* ``blocks``: (shard, block, tokens_before, n_tokens, payload). Shards follow the order of the
-  documents, blocks that within a shard.
+* ``blocks``: (shard, block, tokens_before, n_tokens, cut, payload). Shards follow the order of the
+  documents, blocks that within a shard; ``cut`` marks blocks with part of a longer document.
 
 A payload is independent of all others: a header, the documents' ids, places and lengths,
 checkpoints, the 32-bit code words, and a CRC-32 of all that. The tokens are dealt to
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmark.llm.common import small_batches, staged
-from weftmark.llm.tokens import with_ids
+from weftmark.llm.tokens import encoder, with_ids
 
 SCALE_BITS = 18
 LANES, EVERY = 1024, 128
@@ -34,6 +34,7 @@ BLOCK_TOKENS = 1 << 18
 LONGEST_WHOLE = 1 << 20
 LOW = np.uint64(1 << 31)
 MAGIC = b"WRN1"
+BLOCKS = "shard int, block long, tokens_before long, n_tokens long, cut boolean, payload binary"
 HEAD = struct.Struct("<4sIIIIII")  # magic, tokens, lanes, every, documents, checkpoints, words
 DOCUMENT = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("number", "<u8"), ("first", "<u8"), ("whole", "<u8"), ("n", "<u4")])
 
@@ -139,34 +140,39 @@ def decode_block(payload: bytes, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return model.ids[out.reshape(-1)[:n]] if n else np.empty(0, np.uint32), documents
 
 
-def _counts(batches):
+def _ids(column, width: int) -> np.ndarray:
+    """All ids of a binary column, one after another."""
+    return np.frombuffer(b"".join(column.to_pylist()), f"<u{width}")
+
+
+def _counts(batches, width: int):
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for raw in batch.column(0):
-            some = np.bincount(np.frombuffer(raw.as_buffer() or b"", "<u4"))
-            if len(some) > len(total):
-                total, some = some, total
-            total[:len(some)] += some
+        some = np.bincount(_ids(batch.column("ids"), width))
+        if len(some) > len(total):
+            total, some = some, total
+        total[:len(some)] += some
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
 
-def _blocks(batches, model: Model):
+def _blocks(batches, model: Model, width: int):
     """Rows (doc_id, ids) in file order -> block rows of this task's shard."""
     shard = TaskContext.get().partitionId()
     held, docs, size, number, block, before = [], [], 0, 0, 0, 0
 
     def closed():
         nonlocal held, docs, size, block, before
+        cut = any(d[4] > LONGEST_WHOLE for d in docs)
         payload = encode_block(np.concatenate(held) if held else np.empty(0, np.uint32), np.array(docs, DOCUMENT), model)
-        row = pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "tokens_before": before, "n_tokens": size, "payload": payload}], schema=schema)
+        row = pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "tokens_before": before, "n_tokens": size, "cut": cut, "payload": payload}], schema=schema)
         before, block, held, docs, size = before + size, block + 1, [], [], 0
         return row
 
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("tokens_before", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("tokens_before", pa.int64()), ("n_tokens", pa.int64()), ("cut", pa.bool_()), ("payload", pa.binary())])
     for batch in batches:
-        for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-            ids = np.frombuffer(raw.as_buffer() or b"", "<u4")
+        for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            ids = np.frombuffer(raw, f"<u{width}")
             step = BLOCK_TOKENS if len(ids) > LONGEST_WHOLE else max(1, len(ids))
             for first in range(0, max(1, len(ids)), step):
                 part = ids[first:first + step]
@@ -186,9 +192,10 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, id_col: str = "
     Null ids come first, and repeated ids stay next to each other. A null or empty text has the
     end id alone. An empty table gives a file without blocks. Other columns are not read.
     """
-    tokens = staged(with_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", tokenizer, end_id)
-                    .select("doc_id", F.monotonically_increasing_id().alias("uid"), "ids"), "tokens")
-    counts = tokens.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    width = 2 if max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id or 0) < 1 << 16 else 4
+    tokens = staged(with_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", tokenizer, end_id, width)
+                    .select("doc_id", F.monotonically_increasing_id().alias("uid"), "ids"), "tokens", "zstd")
+    counts = tokens.select("ids").mapInArrow(lambda it: _counts(it, width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = counts.orderBy("id").toPandas()  # at most a row for each id of the tokenizer
     ids, freq = found["id"].to_numpy(), quantised(found["n"].to_numpy()) if len(found) else found["n"].to_numpy()
     spark = docs.sparkSession
@@ -196,7 +203,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, id_col: str = "
     model = Model(ids, freq)
     small_batches(spark)
     (tokens.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid").select("doc_id", "ids")
-     .mapInArrow(lambda it: _blocks(it, model), "shard int, block long, tokens_before long, n_tokens long, payload binary")
+     .mapInArrow(lambda it: _blocks(it, model, width), BLOCKS)
      .write.parquet(f"{path}/blocks"))
 
 
@@ -222,7 +229,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a token file: doc_id, start (ids of all documents before it), n_tokens, ids (binary)."""
     rows = spark.read.schema("id long, freq long").parquet(f"{path}/model").toPandas()
     model = Model(rows["id"].to_numpy(), rows["freq"].to_numpy()) if len(rows) else None
-    blocks = spark.read.schema("shard int, block long, tokens_before long, n_tokens long, payload binary").parquet(f"{path}/blocks")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     small_batches(spark, 8)
     # a row for each writing task, so the running total is short
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
@@ -230,14 +237,17 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     for r in shards:
         starts.append((r.shard, total))
         total += r.n
-    parts = blocks.select("shard", "tokens_before", "payload").mapInArrow(
-        lambda it: _documents(it, model), "shard int, number long, doc_id long, before long, first long, whole long, ids binary")
-    parts = parts.join(F.broadcast(spark.createDataFrame(starts, "shard int, shard_start long")), "shard")
-    parts = parts.withColumn("start", F.col("shard_start") + F.col("before"))
+    first = F.broadcast(spark.createDataFrame(starts, "shard int, shard_start long"))
+
+    def decoded(some: DataFrame) -> DataFrame:
+        parts = some.select("shard", "tokens_before", "payload").mapInArrow(
+            lambda it: _documents(it, model), "shard int, number long, doc_id long, before long, first long, whole long, ids binary")
+        return parts.join(first, "shard").withColumn("start", F.col("shard_start") + F.col("before"))
+
     cut = F.col("whole") > LONGEST_WHOLE
-    joined = parts.filter(cut).groupBy("shard", "number").agg(
+    joined = decoded(blocks.filter("cut")).filter(cut).groupBy("shard", "number").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.first("whole").alias("n_tokens"),
         F.sort_array(F.collect_list(F.struct("first", "ids"))).alias("p"))
     joined = joined.withColumn("ids", F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])))
     names = ["doc_id", "start", "n_tokens", "ids"]
-    return parts.filter(~cut).withColumnRenamed("whole", "n_tokens").select(names).unionByName(joined.select(names))
+    return decoded(blocks).filter(~cut).withColumnRenamed("whole", "n_tokens").select(names).unionByName(joined.select(names))

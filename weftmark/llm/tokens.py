@@ -11,17 +11,21 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
+from array import array
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weftmark.llm.common import small_batches
 
-CACHE_ENTRIES = 600_000
-_SPACED = re.compile(r"[^ ]* (?=\s|$)|\s+")
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#$%&|]*)")
+#: A generation of cached pieces; the last full one is kept beside the one that fills.
+CACHE_ENTRIES = 800_000
+#: A space that white space or the end of the text follows.
+_NO_CUT = re.compile(r" (?=\s|$)")
+BIG_ENDIAN = sys.byteorder == "big"
+MARKS = ".,!?;:*#$%&|"
 
 
 def _byte_letters() -> str:
@@ -32,53 +36,72 @@ def _byte_letters() -> str:
 
 
 class _Pieces(dict):
-    """piece -> little-endian unsigned 32-bit ids; ``lead`` stands before the piece in the text."""
+    """piece -> its ids as bytes; ``lead`` stands before the piece in the text."""
 
     def __init__(self, owner: TextEncoder, lead: str):
         super().__init__()
-        self.owner, self.lead = owner, lead
+        self.owner, self.lead, self.before = owner, lead, {}
+        self.lead_letter = owner.letters[ord(lead)] if lead else ""
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece) or self._ids(piece)
         if len(self) >= CACHE_ENTRIES:
+            self.before = dict(self)
             self.clear()
-        own = self.owner
-        if plain := _PLAIN.fullmatch(piece):
-            word, marks = plain.groups()
-            ids = own.merged(self.lead + word) if not marks else self[word] + own.bare[marks]
-        else:
-            head, line, tail = piece.partition("\n")
-            if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
-                ids = self[head] + own.line + own.bare[tail]
-            else:
-                ids = own.encoded(self.lead + piece)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
+    def _ids(self, piece: str) -> bytes:
+        own = self.owner
+        if piece.isalpha() and (piece.isascii() or max(piece) <= "ÿ"):
+            return own.merged(self.lead_letter, piece)
+        word = piece.rstrip(MARKS)
+        if len(word) < len(piece) and word.isalpha() and (word.isascii() or max(word) <= "ÿ"):
+            return self[word] + own.bare[piece[len(word):]]
+        head, line, tail = piece.partition("\n")
+        if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
+            return self[head] + own.line + own.bare[tail]
+        return own.encoded(self.lead + piece)
+
 
 class TextEncoder:
-    """``ids(text)``: what ``encode(text, add_special_tokens=False)`` gives, as little-endian bytes."""
+    """``ids(text)``: what ``encode(text, add_special_tokens=False)`` gives, as little-endian bytes.
 
-    def __init__(self, path: str):
+    ``width`` is the bytes of an id, 4 or 2; two hold ids below 65,536.
+    """
+
+    def __init__(self, path: str, width: int = 4):
+        self.kind = {4: "I", 2: "H"}[width]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.lowers = self.tokenizer.normalizer is not None
         self.letters = _byte_letters()
+        self.merge = self.tokenizer.model.tokenize
         self.line = self.encoded("\n")
         self.bare = _Pieces(self, "")
         self.after_space = self.bare if self.lowers else _Pieces(self, " ")
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array(self.kind, ids)
+        if BIG_ENDIAN:
+            out.byteswap()
+        return out.tobytes()
+
     def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def merged(self, word: str) -> bytes:
-        raw = (word.lower() if self.lowers else word).encode()
-        tokens = self.tokenizer.model.tokenize(raw.decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in tokens], "<u4").tobytes()
+    def merged(self, lead: str, word: str) -> bytes:
+        """Ids of one word of letters by the merge model; ``lead`` is a space's stand-in or empty."""
+        if self.lowers:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return self._bytes([t.id for t in self.merge(lead + word)])
 
     def ids(self, text: str) -> bytes:
         pieces = text.split(" ")
-        if len(pieces) > 1 and _SPACED.search(text):
+        if len(pieces) > 1 and _NO_CUT.search(text):
             pieces = self._joined(pieces)
         return self.bare[pieces[0]] + b"".join(map(self.after_space.__getitem__, pieces[1:]))
 
@@ -95,21 +118,22 @@ class TextEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, width: int = 4) -> TextEncoder:
     """One encoder for each tokenizer file and worker."""
-    return TextEncoder(path)
+    return TextEncoder(path, width)
 
 
-def with_ids(docs: DataFrame, text_col: str, tokenizer: str, end_id: int | None = None) -> DataFrame:
-    """Add ``ids`` (binary, little-endian unsigned 32-bit) of whole texts; null is the empty text.
+def with_ids(docs: DataFrame, text_col: str, tokenizer: str, end_id: int | None = None, width: int = 4) -> DataFrame:
+    """Add ``ids`` (binary, little-endian, ``width`` bytes each) of whole texts; null is the empty text.
 
     ``end_id`` is appended to each document.
     """
     small_batches(docs.sparkSession)
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    end = b"" if end_id is None else int(end_id).to_bytes(width, "little")
 
     @F.pandas_udf("binary")
     def ids(texts):
-        return texts.map(lambda t: encoder(tokenizer).ids(t or "") + end)
+        of = encoder(tokenizer, width).ids
+        return texts.map(lambda t: of(t or "") + end)
 
     return docs.withColumn("ids", ids(F.coalesce(F.col(text_col), F.lit(""))))
