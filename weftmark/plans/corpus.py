@@ -54,7 +54,7 @@ def requests_from_documents(documents: DataFrame, keep=()) -> DataFrame:
     )
 
 
-def responses_from_documents(documents: DataFrame) -> DataFrame:
+def responses_from_documents(documents: DataFrame, keep=()) -> DataFrame:
     """Captured answers for the document URLs.
 
     en: markdown with a token header; fr: quoted charset, non-integer token
@@ -73,6 +73,7 @@ def responses_from_documents(documents: DataFrame) -> DataFrame:
         F.map_from_arrays(F.array(F.lit("content-type")), F.array(ct))
     )
     return documents.select(
+        *keep,
         doc_url(lang, F.col("doc_id")).alias("url"),
         F.when(src == "src7", F.lit(403)).otherwise(F.lit(200)).alias("http_status"),
         F.when(src == "src13", F.lit("timed out")).alias("fetch_error"),
@@ -115,6 +116,13 @@ def url_variants(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(variants).alias("variant_no", "v")).select("page_id", "variant_no", "v.variant", "v.url")
 
 
+def all_page_requests(pages: DataFrame) -> DataFrame:
+    """Each page URL with its options, and every malformed spelling with none."""
+    odd = url_variants(pages).filter(F.col("variant") != "as_is").select(
+        (-(F.col("page_id") * 8 + F.col("variant_no")) - 1).cast("bigint").alias("request_id"), "url")
+    return requests_from_pages(pages).unionByName(odd, allowMissingColumns=True)
+
+
 def _esc(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 

@@ -492,6 +492,7 @@ def _results_sql(requests: str) -> str:
 
 
 _RESULTS = _results_sql(_REQUESTS_WITH_OPTIONS)
+_FROM_PAGES = "request_id < 0 OR request_id % 2 = 0"
 _HOST = "lower(regexp_extract(netloc, '^(?:[^@]*@)?(\\[[^\\]]*\\]|[^:]*)', 1))"
 
 ORACLES.update({
@@ -511,3 +512,19 @@ ORACLES.update({
   SELECT host, render_method, status, count(*) AS requests, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(tokens) AS BIGINT) AS tokens
   FROM h GROUP BY ROLLUP (host, render_method, status)""",
 })
+
+ORACLES.update({
+    "stream_results": f"""
+  SELECT request_id, url, 'success' AS status, json FROM ({_results_sql(f"SELECT * FROM ({_REQUESTS_WITH_OPTIONS}) WHERE {_FROM_PAGES}")})
+  UNION ALL
+  SELECT request_id, {_ECHO}, 'error', CAST(to_json({{'error': error, 'url': {_ECHO}, 'status': 'error'}}) AS VARCHAR)
+  FROM ({_VALIDATED}) WHERE error IS NOT NULL AND ({_FROM_PAGES})""",
+    "stream_light": f"""
+  SELECT doc_id, CAST(NULL AS VARCHAR) AS url_error, url AS clean_url,
+         CAST(45000 + CASE WHEN length(url) - length(replace(url, '/', '')) - 2 > 3 THEN 15000 ELSE 0 END AS INTEGER) AS budget_ms,
+         starts_with(lower(coalesce(content_type, '')), 'text/markdown') AS is_markdown, {_est('text')} AS estimated_tokens,
+         CASE WHEN length(text) > 5000 THEN 5025 ELSE length(text) END AS truncated_chars, {_noise('text')} AS denoised,
+         CAST(i + 1 AS INTEGER) AS chunk_no, CAST(n AS INTEGER) AS n_chunks, length(substring(text, i * 12000 + 1, 12000)) AS chunk_chars,
+         {_chunk_target('2000', 'n')} AS chunk_target
+  FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, (length(text) - 1) // 12000 + 1 AS n FROM ({RESPONSES}) WHERE length(text) > 0))""",
+})

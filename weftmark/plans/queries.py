@@ -406,8 +406,7 @@ def _captures(spark, d):
     """Requests for every page and document, and in every malformed spelling; pages; responses."""
     pages = _t(spark, d, "pages")
     doc = _t(spark, d, "documents")
-    req = all_requests(spark, d).unionByName(C.url_variants(pages).filter(F.col("variant") != "as_is").select(
-        (-(F.col("page_id") * 8 + F.col("variant_no")) - 1).cast("bigint").alias("request_id"), "url"), allowMissingColumns=True)
+    req = C.all_page_requests(pages).unionByName(C.requests_from_documents(doc))
     return req, pages.unionByName(C.pages_for_documents(doc)), C.responses_from_documents(doc)
 
 
@@ -453,7 +452,7 @@ def noise_audit(spark, d):
 
 def stream_results(spark, d):
     from ..streaming import jobs
-    return jobs.stream_page_markdown(spark, d)
+    return jobs.stream_requests(spark, d)
 
 
 def stream_light(spark, d):
