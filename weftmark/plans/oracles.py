@@ -528,3 +528,15 @@ ORACLES.update({
          {_chunk_target('2000', 'n')} AS chunk_target
   FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, (length(text) - 1) // 12000 + 1 AS n FROM ({RESPONSES}) WHERE length(text) > 0))""",
 })
+
+ORACLES.update({
+    "decode_legacy": "SELECT doc_id, regexp_replace(text, '[^\\x{00}-\\x{7f}\\x{a0}-\\x{ff}]', '?', 'g') AS content FROM documents",
+    "accept_gate": f"""
+  SELECT url, accept FROM ({RESPONSES}) CROSS JOIN (VALUES ('default'), ('upper')) a(accept)
+  WHERE fetch_error IS NULL AND http_status BETWEEN 200 AND 299 AND starts_with(lower(coalesce(content_type, '')), 'text/markdown')""",
+    "job_options": """
+  SELECT doc_id, environment, CASE WHEN lang = 'en' THEN 'http://own' WHEN environment = 'set' THEN 'http://env' ELSE 'http://localhost:11434' END AS host,
+         CASE WHEN lang = 'de' THEN 'own-model' WHEN environment = 'set' THEN 'env-model' ELSE 'gpt-oss:20b' END AS model,
+         CAST(CASE WHEN lang = 'en' THEN 5 WHEN environment = 'set' THEN 70 END AS INTEGER) AS target_tokens
+  FROM documents CROSS JOIN (VALUES ('none'), ('set'), ('bad')) e(environment)""",
+})

@@ -15,6 +15,7 @@ from ..functions import urls as U
 from ..operators import html as H
 from ..operators import native as N
 from ..operators import summary as M
+from ..options import ENV_ACCEPT, ENV_HOST, ENV_MODEL, ENV_TARGET, JobOptions
 from . import corpus as C
 from . import read_urls as R
 from . import reports as X
@@ -90,6 +91,35 @@ def header_int(spark, d):
     return r.select("url", h.alias("raw"), N.markdown_tokens_header(h).alias("markdown_tokens"))
 
 
+def decode_legacy(spark, d):
+    """P3 on declared charsets: UTF-16 (fr), windows-1252 (de) and an unknown name (en) need Python, latin-1 (es) does not."""
+    lang, text = F.col("lang"), F.regexp_replace("text", "[^\\x{00}-\\x{7f}\\x{a0}-\\x{ff}]", "?")
+    charset = F.when(lang == "fr", "utf-16").when(lang == "de", "Windows-1252").when(lang == "es", "latin-1").otherwise("no-such-charset")
+    body = F.when(lang == "fr", F.encode(text, "UTF-16")).when(lang.isin("de", "es"), F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    return _t(spark, d, "documents").select("doc_id", N.decode_body(body, charset).alias("content"))
+
+
+def accept_gate(spark, d):
+    """the native route answers only if the Accept header asks for markdown."""
+    r = C.responses_from_documents(_t(spark, d, "documents"))
+    asked = {"default": JobOptions.from_env({}), "upper": JobOptions.from_env({ENV_ACCEPT: " TEXT/MARKDOWN "}), "html": JobOptions.from_env({ENV_ACCEPT: "text/html"})}
+    parts = [N.native_markdown(r, o).select("url", F.lit(name).alias("accept")) for name, o in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def job_options(spark, d):
+    """Request column, else environment, else default, for host, model and target."""
+    lang = F.col("lang")
+    req = _doc_requests(spark, d).withColumns({
+        "summary_host": F.when(lang == "en", "http://own").when(lang == "fr", ""), "summary_model": F.when(lang == "de", "own-model"),
+        "summary_target_tokens": F.when(lang == "en", 5).cast("int")})
+    envs = {"none": {}, "set": {ENV_HOST: "http://env", ENV_MODEL: "env-model", ENV_TARGET: "70"}, "bad": {ENV_HOST: "", ENV_TARGET: "7x"}}
+    parts = [M.summary_options(req, JobOptions.from_env(e)).select(
+        "doc_id", F.lit(name).alias("environment"), F.col("s_host").alias("host"), F.col("s_model").alias("model"), F.col("s_target").alias("target_tokens"))
+        for name, e in envs.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- text --------------------------------------------------------------------
 
 def token_estimate(spark, d):
@@ -474,6 +504,9 @@ QUERIES = {
     "native_markdown_filter": native_markdown_filter,
     "fetch_failure_filter": fetch_failure_filter,
     "decode_body": decode_body,
+    "decode_legacy": decode_legacy,
+    "accept_gate": accept_gate,
+    "job_options": job_options,
     "header_int": header_int,
     "status_split": status_split,
     "request_response_join": request_response_join,
