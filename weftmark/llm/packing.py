@@ -26,6 +26,8 @@ from weftmark.llm.tokens import with_ids
 CAPACITY = 2048
 BLOCK_PIECES = 4096
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 8, 5
+#: Blocks and islands that one task evolves; their rows are few but each takes a while.
+TASK_HOMES = 16
 #: A bin filled less than this is packed again with those of other blocks.
 SETTLED_FILL = 0.98
 
@@ -162,7 +164,7 @@ def _pack_level(items: DataFrame, capacity: int, blocks: int, level: int) -> Dat
             own = sent.select("block", "island", F.col("elite").alias("own"))
             guest = sent.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elite").alias("guest"))
             here = homes.join(own, ["block", "island"]).join(guest, ["block", "island"]).withColumn("elites", F.array("own", "guest")).drop("own", "guest")
-        here = here.repartition("block", "island").select("block", "island", "lens", "elites")
+        here = here.repartition(bucket_count(blocks * ISLANDS, TASK_HOMES), "block", "island").select("block", "island", "lens", "elites")
         sent = staged(here.mapInPandas(lambda it, e=epoch: _islands(it, capacity, e), _ELITE), "elites")
     best = sent.groupBy("block").agg(F.min_by("elite", F.struct("n_bins", -F.col("ratio"), "island")).alias("elite"))
     last = blocks == 1

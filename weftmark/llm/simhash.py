@@ -163,7 +163,6 @@ def _bucket_links(batches, radius: int, most: int):
 
 def fingerprint_links(fps: DataFrame, radius: int = 4, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Distinct ``simhash`` values -> edges (a, b) that connect all pairs within ``radius``."""
-    spark = fps.sparkSession
     masks = covering_masks(radius)
     tables = F.explode(F.array(*[
         F.struct(F.lit(t).alias("t"), F.col("simhash").bitwiseAND(F.lit(_signed(m))).alias("key"))
@@ -178,8 +177,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, max_bucket: int = MAX_BUC
     if radius % 2:
         raise ValueError("a bucket over max_bucket needs an even radius")
     flips = [_signed(sum(1 << i for i in c)) for r in range(radius // 2 + 1) for c in itertools.combinations(range(BITS), r)]
-    around = spark.range(len(flips)).select(F.element_at(F.array(*map(F.lit, flips)), (F.col("id") + 1).cast("int")).alias("flip"))
-    ball = wide.join(F.broadcast(around)).select("a", F.col("a").bitwiseXOR(F.col("flip")).alias("z"))
+    around = F.explode(F.expr(f"array({', '.join(f'{x}L' if x > -(1 << 63) else '(-9223372036854775807L - 1L)' for x in flips)})"))
+    ball = wide.select("a", around.alias("flip")).select("a", F.col("a").bitwiseXOR(F.col("flip")).alias("z"))
     # at most len(flips) fingerprints lie within radius / 2 of a word, so the sets are small
     sets = ball.groupBy("z").agg(F.collect_set("a").alias("s")).filter("size(s) > 1")
     paths = sets.select(F.explode(F.arrays_zip(F.expr("slice(s, 1, size(s) - 1)").alias("a"),

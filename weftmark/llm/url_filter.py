@@ -70,10 +70,10 @@ def _block(url: Column, blocks: int) -> Column:
 
 
 def bloom_blocks(listed: DataFrame, url_col: str, blocks: int) -> DataFrame:
-    """(block, w0 … w7) of the listed URLs, at most ``blocks`` rows."""
-    words = [b.alias(f"w{j}") for j, b in enumerate(_bits(F.col(url_col)))]
+    """(block, __w0 … __w7) of the listed URLs, at most ``blocks`` rows."""
+    words = [b.alias(f"__w{j}") for j, b in enumerate(_bits(F.col(url_col)))]
     return listed.select(_block(F.col(url_col), blocks).alias("block"), *words).groupBy("block").agg(
-        *[F.bit_or(f"w{j}").alias(f"w{j}") for j in range(WORDS)])
+        *[F.bit_or(f"__w{j}").alias(f"__w{j}") for j in range(WORDS)])
 
 
 def in_list(rows: DataFrame, url_col: str, listed: DataFrame, listed_col: str, max_blocks: int = MAX_BLOCKS) -> DataFrame:
@@ -84,8 +84,8 @@ def in_list(rows: DataFrame, url_col: str, listed: DataFrame, listed_col: str, m
     probe = rows.withColumn("__b", _block(F.col(url_col), blocks)).join(F.broadcast(bloom), "__b", "left")
     hit = F.lit(True)
     for j, b in enumerate(_bits(F.col(url_col))):
-        hit = hit & (F.col(f"w{j}").bitwiseAND(b) != 0)
-    probe = probe.withColumn("__hit", F.coalesce(hit, F.lit(False)) & F.col(url_col).isNotNull()).drop("__b", *[f"w{j}" for j in range(WORDS)])
+        hit = hit & (F.col(f"__w{j}").bitwiseAND(b) != 0)
+    probe = probe.withColumn("__hit", F.coalesce(hit, F.lit(False)) & F.col(url_col).isNotNull()).drop("__b", *[f"__w{j}" for j in range(WORDS)])
     exact = probe.filter("__hit").withColumn("__u", F.col(url_col)).join(urls.withColumn("listed", F.lit(True)), "__u", "left")
     missed = probe.filter("not __hit").withColumn("listed", F.lit(False))
     return exact.withColumn("listed", F.coalesce("listed", F.lit(False))).drop("__hit", "__u").unionByName(missed.drop("__hit"))
