@@ -89,20 +89,22 @@ def encode_block(ids: np.ndarray, documents: np.ndarray, model: Model, lanes: in
     at = np.full(steps * lanes, int(np.argmax(model.freq)) if n else 0, np.uint32)
     at[:n] = model.places[ids]
     freq, cum = model.freq[at].reshape(steps, lanes), model.cum[at].reshape(steps, lanes)
-    limit = freq << np.uint64(63 - SCALE_BITS)
-    x, words, out = np.full(lanes, LOW, np.uint64), np.zeros((steps, lanes), np.uint32), np.zeros((steps, lanes), bool)
-    saved = []
+    # with x = q * freq + r the next state is q * 2^bits + r + cum = x + q * (2^bits - freq) + cum
+    rest, limit = np.uint64(1 << SCALE_BITS) - freq, freq << np.uint64(63 - SCALE_BITS)
+    x, words, saved = np.full(lanes, LOW, np.uint64), [], []
     for s in range(steps - 1, -1, -1):
-        over = x >= limit[s]
-        words[s], out[s] = x.astype(np.uint32), over
-        x = np.where(over, x >> np.uint64(32), x)
-        q, r = np.divmod(x, freq[s])
-        x = (q << np.uint64(SCALE_BITS)) + r + cum[s]
+        over = np.flatnonzero(x >= limit[s])
+        full = x[over]
+        words.append(full.astype("<u4"))
+        x[over] = full >> np.uint64(32)
+        x = x + x // freq[s] * rest[s] + cum[s]
         if s % every == 0:
             saved.append((s, x))
-    before = np.concatenate(([0], np.cumsum(out.sum(axis=1))))
+            x = x.copy()
+    words.reverse()
+    before = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))
     marks = b"".join(struct.pack("<Q", int(before[s])) + x.astype("<u8").tobytes() for s, x in reversed(saved))
-    code = words[out].astype("<u4").tobytes()
+    code = b"".join(w.tobytes() for w in words)
     body = HEAD.pack(MAGIC, n, lanes, every, len(documents), len(saved), len(code) // 4) + documents.tobytes() + marks + code
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -120,23 +122,23 @@ def decode_block(payload: bytes, model: Model) -> tuple[np.ndarray, np.ndarray]:
     at += documents.nbytes
     marks = np.frombuffer(body, "<u8", n_marks * (lanes + 1), at).reshape(n_marks, lanes + 1)
     at += marks.nbytes
-    words = np.concatenate((np.frombuffer(body, "<u4", n_words, at).astype(np.uint64), np.zeros(1, np.uint64)))
-    place, x = marks[:, 0].astype(np.int64), marks[:, 1:].astype(np.uint64)
+    words = np.frombuffer(body, "<u4", n_words, at).astype(np.uint64)
+    place, x = marks[:, 0].astype(np.int64).tolist(), marks[:, 1:].astype(np.uint64)
     steps = -(-n // lanes)
     out = np.zeros((n_marks * every, lanes), np.uint32)
     mask, bits = np.uint64((1 << SCALE_BITS) - 1), np.uint64(SCALE_BITS)
     for s in range(min(every, steps)):
         live = n_marks if (n_marks - 1) * every + s < steps else n_marks - 1
-        x, place = x[:live], place[:live]
+        x = x[:live]
         slot = x & mask
-        sym = model.slots[slot]
-        out[s:live * every:every] = sym
-        x = model.freq[sym] * (x >> bits) + slot - model.cum[sym]
+        out[s:live * every:every] = at = model.slots[slot]
+        x = model.freq[at] * (x >> bits) + slot - model.cum[at]
         low = x < LOW
-        taken = np.cumsum(low, axis=1)
-        word = words[np.where(low, place[:, None] + taken - 1, n_words)]
-        x = np.where(low, (x << np.uint64(32)) | word, x)
-        place = place + taken[:, -1]
+        for span in range(live):
+            lanes_low = np.flatnonzero(low[span])
+            end = place[span] + len(lanes_low)
+            x[span, lanes_low] = (x[span, lanes_low] << np.uint64(32)) | words[place[span]:end]
+            place[span] = end
     return model.ids[out.reshape(-1)[:n]] if n else np.empty(0, np.uint32), documents
 
 
