@@ -18,7 +18,7 @@ from weftmark.llm.tokens import encoder
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ODD = ["", " ", "  ", "a  b", " a", "a ", "a \nb", "a\n b", "a\n\nb c\n", "it's don't I'LL we've", "x\x1cy \x1c z", "ª º ß İstanbul ΣΑΣ",
        "<|endoftext|> a<|endoftext|>b <|startoftext|>", "é é ñ", "日本 語", "1234 12a ab1 ,,, ... !!", "a\r\nb", "a.\nB ,c #x#\n|",
-       "\n", "\n\n a", "a  \n  b", "😀 x😀y", "a\u0085b c\u0085 d", "Œuvre ÿ Ÿ ſ K", "w" * 100_000, "ªº µm aª, ÿ. ×y"]
+       "\n", "\n\n a", "a  \n  b", "😀 x😀y", "a\u0085b c\u0085 d", "Œuvre ÿ Ÿ ſ K", "w" * 100_000, "ªº µm aª, ÿ. ×y", "a\nb" * 30_000, "x\n\ny\n z\n" * 500]
 
 
 def whole(path, text):

@@ -59,9 +59,11 @@ class _Pieces(dict):
         word = piece.rstrip(MARKS)
         if len(word) < len(piece) and word.isalpha() and (word.isascii() or max(word) <= "ÿ"):
             return self[word] + own.bare[piece[len(word):]]
-        head, line, tail = piece.partition("\n")
-        if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
-            return self[head] + own.line + own.bare[tail]
+        first, *more = piece.split("\n")
+        ends = [first, *more[:-1]]
+        # a line end with no white space beside it is a word of its own
+        if more and all(x and not x[-1].isspace() for x in ends) and all(x and not x[0].isspace() for x in more):
+            return self[first] + b"".join(own.line + own.bare[x] for x in more)
         return own.encoded(self.lead + piece)
 
 
