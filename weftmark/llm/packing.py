@@ -6,7 +6,8 @@ block lives on several islands, each with a population of groupings (piece -> bi
 injects whole well-filled bins of one parent into the other, removes the bins that hold
 duplicates of them, and puts the displaced pieces back by best fit. After each epoch the
 islands send their elite to the next island. Bins that end up badly filled are pooled
-over blocks and packed again in fewer blocks, until one block is left.
+over blocks and packed again in fewer blocks of the same size, until one block is left or
+a level settles under a tenth of its pieces; the bins of that level stay as they are.
 
 Only (uid, length) takes part in the search, so the texts and ids are not shuffled for it.
 """
@@ -134,8 +135,8 @@ def _islands(batches, capacity: int, epoch: int):
 _ELITE = "block long, island int, n_bins int, ratio double, elite binary"
 
 
-def _placed(batches, capacity: int, level: int, last: bool):
-    """Best grouping of each block -> (uid, length, sequence_id, offset); a null id goes to the next level."""
+def _placed(batches, capacity: int, level: int):
+    """Best grouping of each block -> (uid, length, sequence_id, offset, settled: the bin is well filled)."""
     for frame in batches:
         for block, uids, lens, elite in zip(frame["block"], frame["uids"], frame["lens"], frame["elite"], strict=True):
             lens, bins = np.asarray(lens, np.int64), np.frombuffer(elite, np.int32)
@@ -144,10 +145,9 @@ def _placed(batches, capacity: int, level: int, last: bool):
             ends = np.cumsum(lens[order])
             starts = ends - lens[order]
             first = np.concatenate(([0], np.cumsum(fill)[:-1]))
-            settled = last | (fill[bins[order]] >= SETTLED_FILL * capacity)
-            ids = pd.Series((level << 56) + (int(block) << 24) + bins[order].astype(np.int64)).astype("Int64")
-            yield pd.DataFrame({"uid": np.asarray(uids, np.int64)[order], "length": lens[order], "sequence_id": ids.where(settled),
-                                "offset": starts - first[bins[order]]})
+            ids = (level << 56) + (int(block) << 24) + bins[order].astype(np.int64)
+            yield pd.DataFrame({"uid": np.asarray(uids, np.int64)[order], "length": lens[order], "sequence_id": ids,
+                                "offset": starts - first[bins[order]], "settled": fill[bins[order]] >= SETTLED_FILL * capacity})
 
 
 def _pack_level(items: DataFrame, capacity: int, blocks: int, level: int) -> DataFrame:
@@ -167,24 +167,26 @@ def _pack_level(items: DataFrame, capacity: int, blocks: int, level: int) -> Dat
         here = here.repartition(bucket_count(blocks * ISLANDS, TASK_HOMES), "block", "island").select("block", "island", "lens", "elites")
         sent = staged(here.mapInPandas(lambda it, e=epoch: _islands(it, capacity, e), _ELITE), "elites")
     best = sent.groupBy("block").agg(F.min_by("elite", F.struct("n_bins", -F.col("ratio"), "island")).alias("elite"))
-    last = blocks == 1
     return staged(grouped.join(best, "block").mapInPandas(
-        lambda it: _placed(it, capacity, level, last), "uid long, length long, sequence_id long, offset long"), "placed")
+        lambda it: _placed(it, capacity, level), "uid long, length long, sequence_id long, offset long, settled boolean"), "placed")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
-    """Staged (uid, length) -> (uid, sequence_id, offset); lengths lie in 1 … ``capacity``."""
+    """Staged (uid, length) -> (uid, sequence_id, offset); lengths lie in 1 … ``capacity``.
+
+    A block holds about ``block_pieces`` pieces at every level.
+    """
     full = pieces.filter(F.col("length") >= capacity).select("uid", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     done, items, level = [full], pieces.filter(F.col("length") < capacity).select("uid", "length"), 0
     n = items.count()
     while n:
-        placed = _pack_level(items, capacity, bucket_count(n, block_pieces), level)
-        done.append(placed.filter("sequence_id is not null").select("uid", "sequence_id", "offset"))
-        items = placed.filter("sequence_id is null").select("uid", "length")
-        rest, level = items.count(), level + 1
-        if rest > 0.9 * n:  # these pieces do not mix better elsewhere; the next level settles all it can
-            block_pieces *= 4
-        n = rest
+        blocks = bucket_count(n, block_pieces)
+        placed = _pack_level(items, capacity, blocks, level)
+        rest = placed.filter("not settled").count()
+        # blocks are dealt by hash, so pieces that do not mix in theirs do not mix better in others
+        last = blocks == 1 or rest > 0.9 * n
+        done.append((placed if last else placed.filter("settled")).select("uid", "sequence_id", "offset"))
+        items, n, level = placed.filter("not settled").select("uid", "length"), 0 if last else rest, level + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
