@@ -1,9 +1,37 @@
 """Skewed, repeated and odd input gets the whole job: each test holds one finding of a review."""
 
+import zlib
+
 import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from tests.llm.test_tokens_packing import BYTES, WORDS, check_packing, ids_of
+from weftmark.llm import packing, rans
+from weftmark.llm.common import fresh_path
+from weftmark.llm.tokens import encoder
+
+SPECIAL = ["foo <|endoftext|> bar", "<|endoftext|>", "a<|endoftext|><|startoftext|> \n b", "  <|startoftext|>É x<|endoftext|>\n", "<|ENDOFTEXT|> <|endoftext|"]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_special_tokens_as_the_library_gives_them(path):
+    t = Tokenizer.from_file(path)
+    for text in SPECIAL:
+        assert ids_of(encoder(path).ids(text)) == t.encode(text, add_special_tokens=False).ids
+
 
-from tests.llm.test_tokens_packing import check_packing
-from weftmark.llm import packing
+def test_special_tokens_in_token_file_and_packing(spark):
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    at = fresh_path(spark, "t")
+    rans.write_token_file(docs, at, BYTES)
+    file = {r.doc_id: (r.n_tokens, zlib.crc32(bytes(r.ids))) for r in rans.read_token_file(spark, at).collect()}
+    packed = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(docs, WORDS).collect()}
+    for path, got in ((BYTES, file), (WORDS, packed)):
+        t = Tokenizer.from_file(path)
+        for doc_id, text in enumerate(SPECIAL):
+            ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+            assert got[doc_id] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
 def test_pieces_that_do_not_mix_stay_in_bounded_blocks(spark, monkeypatch):

@@ -4,7 +4,8 @@ Both tokenizer files cut a text into words before they merge, and never across t
 before a space that a non-space character follows. So the ids of a text are the ids of those
 pieces one after another, and each distinct piece needs the tokenizer only once. Pieces of
 plain letters, with punctuation after them, go to the tokenizer's merge model itself; all
-others go through its whole encoder.
+others go through its whole encoder. The string of an added token, such as ``<|endoftext|>``,
+gives that token's id, as in the library.
 """
 
 from __future__ import annotations
@@ -76,7 +77,8 @@ class TextEncoder:
     def __init__(self, path: str, width: int = 4):
         self.kind = {4: "I", 2: "H"}[width]
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = {t.content: self._bytes([i]) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.lowers = self.tokenizer.normalizer is not None
         self.letters = _byte_letters()
         self.merge = self.tokenizer.model.tokenize
@@ -102,6 +104,12 @@ class TextEncoder:
         return self._bytes([t.id for t in self.merge(lead + word)])
 
     def ids(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            # the encoder cuts at added tokens before all else and takes what is between on its own
+            return b"".join(self.added.get(x) or self._between(x) for x in self.added_cut.split(text))
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
         pieces = text.split(" ")
         if len(pieces) > 1 and _NO_CUT.search(text):
             pieces = self._joined(pieces)
