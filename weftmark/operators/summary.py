@@ -79,16 +79,18 @@ def summary_options(df: DataFrame, options: JobOptions | None = None) -> DataFra
     ).drop("_flag")
 
 
-def text_chunks(df: DataFrame, text_col: str = "content", key: str = "doc_id", chunk_chars: int = CHUNK_CHARS, keep=()) -> DataFrame:
+def text_chunks(df: DataFrame, text_col: str = "content", key: str = "doc_id", chunk_chars: int = CHUNK_CHARS, keep=(), outer: bool = False) -> DataFrame:
     """M3: fixed code-point slices, no overlap; empty text has no chunk.
 
     ``(key, chunk_no (1-based), n_chunks, text)`` and the columns named in ``keep``. One regex
-    pass cuts the text, so the cost is linear in its length.
+    pass cuts the text, so the cost is linear in its length. With ``outer``, an empty or null
+    text gives one row with ``n_chunks`` 0 and a null ``chunk_no`` and ``text``.
     """
     n = F.length(F.col(text_col))
     count = F.when(n > 0, F.floor((n - 1) / chunk_chars) + 1).otherwise(F.lit(0)).cast("int")
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{chunk_chars}}}"), 0)
-    return df.select(key, *keep, count.alias("n_chunks"), F.posexplode(pieces).alias("chunk_idx", "text")).select(
+    explode = F.posexplode_outer if outer else F.posexplode
+    return df.select(key, *keep, count.alias("n_chunks"), explode(pieces).alias("chunk_idx", "text")).select(
         key, (F.col("chunk_idx") + 1).alias("chunk_no"), "n_chunks", "text", *keep
     )
 
