@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 from tests.llm.test_tokens_packing import BYTES, WORDS, check_packing, ids_of
 from weftmark.llm import packing, rans
 from weftmark.llm.common import fresh_path
+from weftmark.llm.line_dedup import line_dedup
 from weftmark.llm.tokens import encoder
 
 SPECIAL = ["foo <|endoftext|> bar", "<|endoftext|>", "a<|endoftext|><|startoftext|> \n b", "  <|startoftext|>É x<|endoftext|>\n", "<|ENDOFTEXT|> <|endoftext|"]
@@ -53,3 +54,10 @@ def test_pieces_that_do_not_mix_stay_in_bounded_blocks(spark, monkeypatch):
         packing._best_fit(np.argsort(-sizes, kind="stable"), sizes, plain, [], 128, 0)
         assert n <= 1.05 * len(set(plain.tolist()))
     assert max(per_block) <= 50
+
+
+def test_repeated_rows_are_one_document_for_line_dedup(spark):
+    rows = [(1, "often\nalone")] * 12 + [(i, f"often\nown {i}") for i in range(2, 11)] + [(None, "no id")] * 10 + [(None, "few")] * 9
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted(
+        [(1, "alone")] * 12 + [(i, f"own {i}") for i in range(2, 11)] + [(0, "")] * 10 + [(0, "few")] * 9)

@@ -23,8 +23,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Drop every line whose key is found in at least ``min_documents`` documents.
 
     A key is the line without ASCII white space at its ends and with A-Z lowered; keys shorter
-    than ``min_chars`` code points always stay. Each input row is a document, also if it repeats
-    another. Null and empty texts are one empty line, and come back as the empty text. All
+    than ``min_chars`` code points always stay. Rows of one id are one document; each row with a
+    null id is one of its own. Null and empty texts are one empty line, and come back as the empty text. All
     columns are kept, ``text_col`` is replaced, and ``n_lines`` and ``n_dropped`` (long) are
     added (or replace columns of these names). An empty table gives no rows.
     """
@@ -36,11 +36,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         i.cast("int").alias("at"), F.btrim(x, F.lit(BLANKS)).alias("k")))
     keyed = F.transform(F.filter(keyed, lambda x: F.char_length(x["k"]) >= min_chars), lambda x: F.struct(
         x["at"].alias("at"), _digest(x["k"]).alias("k")))
-    found = staged(docs.select(*rid, keyed.alias("ls")), "line-keys")
-    per_document = found.select(F.explode(F.array_distinct(F.col("ls.k"))).alias("k"))
-    listed = staged(per_document.groupBy("k").count().filter(F.col("count") >= min_documents).select("k"), "lines")
-    at = found.select("r", "s", F.explode("ls").alias("l")).select("r", "s", F.col("l.at"), F.col("l.k"))
-    lost = staged(at.join(listed, "k", "left_semi").groupBy("r", "s").agg(F.collect_set("at").alias("lost")), "lost")
+    found = staged(docs.select(*rid, F.col(id_col).alias("id"), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("row"),
+                               keyed.alias("ls")), "line-keys")
+    # no key is in more documents than rows, so only keys of enough rows are counted by document
+    per_row = found.select(F.explode(F.array_distinct(F.col("ls.k"))).alias("k"))
+    often = staged(per_row.groupBy("k").count().filter(F.col("count") >= min_documents).select("k"), "often")
+    at = found.select("r", "s", "id", "row", F.explode("ls").alias("l")).select("r", "s", "id", "row", F.col("l.at"), F.col("l.k"))
+    hits = staged(at.join(often, "k", "left_semi"), "hits")
+    listed = staged(hits.select("k", "id", "row").distinct().groupBy("k").count().filter(F.col("count") >= min_documents).select("k"), "lines")
+    lost = staged(hits.join(listed, "k", "left_semi").groupBy("r", "s").agg(F.collect_set("at").alias("lost")), "lost")
     out = docs.withColumns({"__r": rid[0], "__s": rid[1]}).join(
         lost.select(F.col("r").alias("__r"), F.col("s").alias("__s"), F.col("lost").alias("__lost")), ["__r", "__s"], "left")
     gone = F.coalesce("__lost", F.array().cast("array<int>"))
