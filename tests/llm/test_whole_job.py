@@ -9,7 +9,10 @@ from tokenizers import Tokenizer
 from tests.llm.test_tokens_packing import BYTES, WORDS, check_packing, ids_of
 from weftmark.llm import packing, rans
 from weftmark.llm.common import fresh_path
+from weftmark.llm.components import connected_components
+from weftmark.llm.labels import labelled_sample
 from weftmark.llm.line_dedup import line_dedup
+from weftmark.llm.simhash import fingerprint_links
 from weftmark.llm.tokens import encoder
 
 SPECIAL = ["foo <|endoftext|> bar", "<|endoftext|>", "a<|endoftext|><|startoftext|> \n b", "  <|startoftext|>É x<|endoftext|>\n", "<|ENDOFTEXT|> <|endoftext|"]
@@ -61,3 +64,10 @@ def test_repeated_rows_are_one_document_for_line_dedup(spark):
     got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted(
         [(1, "alone")] * 12 + [(i, f"own {i}") for i in range(2, 11)] + [(0, "")] * 10 + [(0, "few")] * 9)
+
+
+def test_label_sample_takes_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"copy {i % 2}") for i in range(40)] + [(i, "own") for i in range(2, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", 8, 1, 5).select("doc_id", "y").collect()
+    assert sorted(map(tuple, got)) == [(i, i % 2) for i in range(1, 9)]
