@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from tests.llm.test_dedup import plain_components
 from tests.llm.test_tokens_packing import BYTES, WORDS, check_packing, ids_of
 from weftmark.llm import packing, rans
 from weftmark.llm.common import fresh_path
@@ -71,3 +72,15 @@ def test_label_sample_takes_one_row_of_an_id(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")
     got = labelled_sample(docs, labels, "toxic", 8, 1, 5).select("doc_id", "y").collect()
     assert sorted(map(tuple, got)) == [(i, i % 2) for i in range(1, 9)]
+
+
+@pytest.mark.parametrize("radius", [1, 3])
+def test_odd_radius_links_wide_buckets(spark, radius):
+    rng = np.random.default_rng(radius)
+    fps = sorted({int(x) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4))) for x in rng.integers(0, 2**62, 12) for _ in range(8)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    nodes = spark.createDataFrame([(x,) for x in signed], "simhash long")
+    root = {r.node: r.root for r in connected_components(fingerprint_links(nodes, radius, max_bucket=2)).collect()}
+    want = dict(zip(signed, (signed[i] for i in plain_components(list(enumerate(fps)), radius)), strict=True))
+    same = lambda of: {frozenset(x for x in signed if of.get(x, x) == of.get(y, y)) for y in signed}
+    assert same(root) == same(want)

@@ -10,7 +10,8 @@ Only distinct fingerprints are hashed into tables. Within a bucket a search from
 members links each group as a path, which keeps vertex degrees small. A bucket with more than
 ``MAX_BUCKET`` distinct fingerprints is never gathered: its members go through the words at
 up to r/2 flips around them instead. Two fingerprints within r share such a word, and two that
-share one are within r, so those links are exact as well and their number is linear.
+share one are within r, so those links are exact as well and their number is linear. For an odd
+r they meet at (r + 1)/2 flips, and the bits of those that share a word are counted.
 """
 
 from __future__ import annotations
@@ -161,6 +162,14 @@ def _bucket_links(batches, radius: int, most: int):
         yield closed([held])
 
 
+def _set_links(batches, radius: int):
+    """Rows with a set ``s`` of fingerprints -> (a, b) path edges through its groups within ``radius``."""
+    for batch in batches:
+        edges = [e for s in batch.column("s").to_pylist() for e in bucket_paths(np.array(s, np.int64).view(np.uint64), radius)]
+        ends = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 4, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Distinct ``simhash`` values -> edges (a, b) that connect all pairs within ``radius``."""
     masks = covering_masks(radius)
@@ -174,13 +183,14 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, max_bucket: int = MAX_BUC
     edges = links.filter("b is not null")
     if not wide.head(1):
         return edges
-    if radius % 2:
-        raise ValueError("a bucket over max_bucket needs an even radius")
-    flips = [_signed(sum(1 << i for i in c)) for r in range(radius // 2 + 1) for c in itertools.combinations(range(BITS), r)]
+    half = (radius + 1) // 2
+    flips = [_signed(sum(1 << i for i in c)) for r in range(half + 1) for c in itertools.combinations(range(BITS), r)]
     around = F.explode(F.expr(f"array({', '.join(f'{x}L' if x > -(1 << 63) else '(-9223372036854775807L - 1L)' for x in flips)})"))
     ball = wide.select("a", around.alias("flip")).select("a", F.col("a").bitwiseXOR(F.col("flip")).alias("z"))
-    # at most len(flips) fingerprints lie within radius / 2 of a word, so the sets are small
+    # at most len(flips) fingerprints lie within ``half`` of a word, so the sets are small
     sets = ball.groupBy("z").agg(F.collect_set("a").alias("s")).filter("size(s) > 1")
+    if radius % 2:  # two in a set may differ in radius + 1 bits
+        return edges.unionByName(sets.select("s").mapInArrow(lambda it: _set_links(it, radius), "a long, b long"))
     paths = sets.select(F.explode(F.arrays_zip(F.expr("slice(s, 1, size(s) - 1)").alias("a"),
                                                F.expr("slice(s, 2, size(s) - 1)").alias("b"))).alias("e"))
     return edges.unionByName(paths.select("e.a", "e.b"))
