@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmark.llm.common import fold, fresh_path, table
+from weftmark.llm.common import BLANK_CLASS, fold, fresh_path, table
+from weftmark.llm.decontaminate import find_contamination
 from weftmark.llm.line_dedup import line_dedup
 from weftmark.llm.mixing import mix_sources
 from weftmark.llm.packing import pack_documents
@@ -18,9 +19,11 @@ from weftmark.llm.pivot_search import exact_top_k
 from weftmark.llm.quality_fm import fit_quality, with_quality
 from weftmark.llm.quality_rules import STOP_WORDS, quality_rules
 from weftmark.llm.rans import read_token_file, write_token_file
+from weftmark.llm.runs import collapse_runs
 from weftmark.llm.simhash import simhash_components
 from weftmark.llm.toxicity import fit_toxicity, with_toxicity
 from weftmark.llm.url_filter import UrlRule, canonical_url, url_filter, url_parts
+from weftmark.llm.whitening import whiten
 
 URL_RULES = [
     UrlRule("net/", "block"),
@@ -90,6 +93,45 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """The contract's texts for op11: where crc32 of the id ends in 0, the words from one place on repeat with a period."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+    w, n = F.col("w"), F.col("n")
+    plain = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all(
+        F.coalesce("text", F.lit("")), F.lit(BLANK_CLASS.replace("[", "[^") + "+"), 0)).alias("w")).withColumn("n", F.size("w"))
+    at = plain.withColumn("a", (F.col("g") % n).cast("int")).withColumn(
+        "p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    a, p = F.col("a"), F.col("p")
+    cycle = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    changed = F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(cycle, F.lit(1), n - a)), " ")
+    return at.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collapse_runs(with_planted_period(table(spark, sf_dir, "documents")), min_words=24, min_repeats=3)
+    best = F.col("best_run")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * best_run.length div best_run.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=1024, shift=100_000, components=8)
+    return done.select("vec_id", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "c"), "n", "deviation", "identity_error").select(
+        "vec_id", (F.col("k") + 1).alias("component"), "n", F.col("deviation").cast("long").alias("deviation"), "c.whitened", "c.explained", "identity_error")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -101,6 +143,9 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_runs": op11_runs,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_whitening": op13_whitening,
 }
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -158,4 +203,38 @@ ORACLES: dict[str, str] = {
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
                WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict
         FROM c""",
+    "op11_runs": f"""
+        WITH c AS (SELECT doc_id, {_WORDS} AS w, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+                            string_split(doc_id::VARCHAR, ''), lambda ch: [ord(ch)::BIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))),
+                            lambda v, x: CASE WHEN x < 256 THEN xor(v, x) ELSE xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) AS h
+                   FROM documents),
+             g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, (h // 10) % 8 AS e FROM c),
+             x AS (SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + e) END AS p FROM g),
+             t AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1]) ELSE w END AS w FROM x),
+             k AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 16], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, n - 15)) AS i FROM t)),
+             m AS (SELECT k.doc_id, j.i - k.i AS q, k.i FROM k JOIN k j ON k.doc_id = j.doc_id AND k.s = j.s AND j.i > k.i),
+             d AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+             l AS (SELECT doc_id, min(i) AS start, count(*) + 15 + q AS length, q FROM d GROUP BY doc_id, q, island),
+             r AS (SELECT doc_id, start, length, min(q) AS period FROM l WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+             o AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s,
+                          first({{'start': start, 'length': length, 'period': period}} ORDER BY length / period DESC, start, period) AS b FROM r GROUP BY doc_id),
+             u AS (SELECT doc_id, i, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(0, n)) AS i FROM t)),
+             z AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s FROM u
+                   WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = u.doc_id AND u.i >= r.start + r.period AND u.i < r.start + r.length) GROUP BY doc_id)
+        SELECT t.doc_id, coalesce(o.n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period,
+               (1000 * b.length // b.period)::BIGINT AS exponent_milli, sha256(coalesce(o.s, '')) AS runs_sha256, sha256(coalesce(z.s, '')) AS collapsed_sha256
+        FROM t LEFT JOIN o USING (doc_id) LEFT JOIN z USING (doc_id)""",
+    "op12_decontaminate": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+             i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+             n AS (SELECT item, w, least(10, len(w)) AS l FROM i WHERE len(w) > 0),
+             v AS (SELECT DISTINCT item, l, array_to_string(w[k:k + l - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS k FROM n)),
+             p AS (SELECT doc_id, l, k, array_to_string(w[k:k + l - 1], ' ') AS s
+                   FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT l FROM n))),
+             f AS (SELECT p.doc_id, p.k, p.l, v.item FROM p JOIN v ON p.l = v.l AND p.s = v.s),
+             h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + l)) AS x FROM f) GROUP BY doc_id),
+             t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM f) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(t.s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
