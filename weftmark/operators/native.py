@@ -107,13 +107,14 @@ def native_markdown(responses: DataFrame, options: JobOptions | None = None) ->
     )
 
 
-def one_per_url(native: DataFrame) -> DataFrame:
+def one_per_url(native: DataFrame, keep_order: bool = False) -> DataFrame:
     """One captured answer per URL: a non-empty one before an empty one, then the latest by
     ``capture_seq`` (responses without that column count as simultaneous), then the smallest
     content. Partial aggregation comes first, so a URL captured millions of times is combined
-    map-side before the shuffle."""
+    map-side before the shuffle. ``keep_order`` adds ``capture_seq`` of the one taken."""
     pick = F.min(F.struct((F.col("content") == "").alias("empty"), (-F.col(CAPTURE_ORDER)).alias("age"), "content", "source_content_type", "markdown_tokens"))
     return native.groupBy("url").agg(pick.alias("n")).select(
         "url", F.col("n.content").alias("content"), F.col("n.source_content_type").alias("source_content_type"),
         F.col("n.markdown_tokens").alias("markdown_tokens"),
+        *([(-F.col("n.age")).alias(CAPTURE_ORDER)] if keep_order else []),
     )

@@ -183,3 +183,29 @@ def chrome_only_pages(documents: DataFrame) -> DataFrame:
         F.lit("</nav><div><span> </span></div></body></html>"),
     )
     return documents.select(F.col("doc_id").alias("page_id"), doc_url(F.col("lang"), F.col("doc_id")).alias("url"), html.alias("html"))
+
+
+def request_time(page_id):
+    return F.timestamp_seconds(F.lit(1_700_000_000) + page_id % 3600)
+
+
+def timed_requests(pages: DataFrame) -> DataFrame:
+    """Page requests, and their malformed spellings, with the time each was made."""
+    page = F.when(F.col("request_id") >= 0, F.floor(F.col("request_id") / 2)).otherwise(F.floor((-F.col("request_id") - 1) / 8))
+    return all_page_requests(pages).withColumn("request_time", request_time(page))
+
+
+def timed_notices(index: DataFrame) -> DataFrame:
+    """Notices of captured pages. A capture comes half an hour early for URLs with ``?page=``, two hours
+    late for ones with ``utm_source``, never for ones that end in ``#top``, and five minutes after
+    the request for all others."""
+    u = F.col("url")
+    delay = F.when(u.contains("?page="), F.expr("interval -30 minutes")).when(u.contains("utm_source"), F.expr("interval 2 hours")).otherwise(F.expr("interval 5 minutes"))
+    return index.filter(~u.endswith("#top")).withColumn("capture_time", request_time(F.col("page_id")) + delay)
+
+
+def closing_row(timed: DataFrame) -> DataFrame:
+    """A row long after all others that asks for nothing and captures nothing: it lets every window close."""
+    far = F.timestamp_seconds(F.lit(1_700_000_000 + 7 * 86_400))
+    own = {"request_time": far, "capture_time": far, "url": F.lit(""), "native": F.lit(False)}
+    return timed.sparkSession.range(1).select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in timed.schema.fields])

@@ -529,6 +529,32 @@ ORACLES.update({
   FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, (length(text) - 1) // 12000 + 1 AS n FROM ({RESPONSES}) WHERE length(text) > 0))""",
 })
 
+_PAGE_REQUESTS = f"SELECT * FROM ({_REQUESTS_WITH_OPTIONS}) WHERE {_FROM_PAGES}"
+_IN_TIME = "(NOT ends_with(clean_url, '#top') AND (contains(clean_url, '?page=') OR NOT contains(clean_url, 'utm_source')))"
+_LATE = "'Web URL reading failed: no captured response or page for ' || clean_url"
+_IS_NATIVE = "fetch_error IS NULL AND http_status BETWEEN 200 AND 299 AND starts_with(lower(coalesce(content_type, '')), 'text/markdown')"
+
+ORACLES.update({
+    "stream_waiting": f"""
+  SELECT request_id, url, 'success' AS status, json FROM (SELECT *, url AS clean_url FROM ({_results_sql(_PAGE_REQUESTS)})) WHERE {_IN_TIME}
+  UNION ALL
+  SELECT request_id, {_ECHO}, 'error', CAST(to_json({{'error': error, 'url': {_ECHO}, 'status': 'error'}}) AS VARCHAR)
+  FROM ({_VALIDATED}) WHERE error IS NOT NULL AND ({_FROM_PAGES})
+  UNION ALL
+  SELECT request_id, clean_url, 'error', CAST(to_json({{'error': {_LATE}, 'url': clean_url, 'status': 'error'}}) AS VARCHAR)
+  FROM ({_VALIDATED}) WHERE error IS NULL AND ({_FROM_PAGES}) AND NOT {_IN_TIME}""",
+    "committed_batches": f"""
+  SELECT request_id, CASE WHEN error IS NULL THEN clean_url ELSE {_ECHO} END AS url, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, 'pages' AS batch
+  FROM ({_VALIDATED}) WHERE {_FROM_PAGES}""",
+    "capture_store": f"""
+  WITH c AS (
+    SELECT {_strip('url')} AS url, 0 AS rank, NULL AS page_id FROM ({RESPONSES}) WHERE {_IS_NATIVE}
+    UNION ALL SELECT {_strip('url')}, CASE WHEN trim(coalesce(html, '')) = '' THEN 2 ELSE 1 END, page_id FROM pages
+    UNION ALL SELECT {DOC_URL}, 1, -(doc_id + 1) FROM documents),
+  b AS (SELECT url, min({{'rank': rank, 'page_id': page_id}}) AS p FROM c GROUP BY url)
+  SELECT url, p.rank = 0 AS native, p.page_id AS page_id FROM b WHERE url IN (SELECT clean_url FROM ({_VALIDATED}) WHERE error IS NULL)""",
+})
+
 ORACLES.update({
     "decode_legacy": "SELECT doc_id, regexp_replace(text, '[^\\x{00}-\\x{7f}\\x{a0}-\\x{ff}]', '?', 'g') AS content FROM documents",
     "accept_gate": f"""

@@ -16,6 +16,10 @@ from ..operators import html as H
 from ..operators import native as N
 from ..operators import summary as M
 from ..options import ENV_ACCEPT, ENV_HOST, ENV_MODEL, ENV_TARGET, JobOptions
+from ..session import fresh_path
+from ..sources.captures import create_captures
+from ..sources.commits import read_committed
+from ..sources.io import write_results
 from . import corpus as C
 from . import read_urls as R
 from . import reports as X
@@ -440,9 +444,15 @@ def _captures(spark, d):
     return req, pages.unionByName(C.pages_for_documents(doc)), C.responses_from_documents(doc)
 
 
-def _read(spark, d):
+def _store(spark, d):
+    """Requests, and a capture store of the pages and responses."""
     req, pages, responses = _captures(spark, d)
-    return R.read_urls(req, pages, responses, M.prefix_summarizer())
+    return req, create_captures(spark, fresh_path(spark, "captures"), pages, responses)
+
+
+def _read(spark, d):
+    req, store = _store(spark, d)
+    return R.read_urls(req, store, summarizer=M.prefix_summarizer())
 
 
 def result_sink(spark, d):
@@ -485,6 +495,27 @@ def stream_results(spark, d):
     return jobs.stream_requests(spark, d)
 
 
+def stream_waiting(spark, d):
+    from ..streaming import jobs
+    return jobs.stream_waiting(spark, d)
+
+
+def capture_store(spark, d):
+    """The capture that a store's index picks for each requested URL."""
+    req, store = _store(spark, d)
+    wanted = R.valid_requests(req)[0].select(F.col("clean_url").alias("url")).distinct()
+    return store.picks(wanted).select("url", "native", "page_id")
+
+
+def committed_batches(spark, d):
+    """S4 + S5: results and errors of the page requests committed as one batch and read back by the manifest."""
+    pages = _t(spark, d, "pages")
+    at = fresh_path(spark, "sink")
+    write_results(*R.read_urls(C.all_page_requests(pages), pages), at, batch="pages")
+    results, errors = read_committed(spark, at)
+    return results.select("request_id", "url", "status", "batch").unionByName(errors.select("request_id", "url", "status", "batch"))
+
+
 def stream_light(spark, d):
     from ..streaming import jobs
     return jobs.stream_light(spark, d)
@@ -570,4 +601,7 @@ QUERIES = {
     "noise_audit": noise_audit,
     "stream_results": stream_results,
     "stream_light": stream_light,
+    "stream_waiting": stream_waiting,
+    "capture_store": capture_store,
+    "committed_batches": committed_batches,
 }

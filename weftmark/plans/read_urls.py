@@ -25,6 +25,7 @@ from ..options import (
 )
 from ..schemas import REQUEST
 from ..session import staged
+from ..sources.captures import CaptureStore
 
 RENDER_NATIVE = "native_markdown"
 RENDER_BROWSER = "playwright"
@@ -79,14 +80,41 @@ def _native(responses: DataFrame | None, options: JobOptions) -> DataFrame | Non
     return N.native_markdown(responses, options) if responses is not None and options.native_enabled else None
 
 
-def content_by_url(accepted: DataFrame, responses: DataFrame | None, pages: DataFrame, options: JobOptions) -> DataFrame:
+NATIVE_COLUMNS = ["content", "source_content_type", "markdown_tokens"]
+
+
+def _converted(pages: DataFrame, options: JobOptions, repartition: bool = True) -> DataFrame:
+    """Content rows of the page route; ``repartition`` is False for pages that lie in their key's buckets."""
+    return H.page_markdown(pages, "page_id", chrome=options.prune_page_chrome, consent=options.prune_consent_nodes, repartition=repartition)
+
+
+def stored_content(store: CaptureStore, picks: DataFrame, options: JobOptions, capture: Column) -> DataFrame:
+    """Contents of staged ``picks`` of a store: ``(capture, render_method, content, …)``.
+
+    ``capture`` names a pick, by its columns (``url, native, page_id, ingest``). The picks are
+    narrow; contents stay in their buckets up to the result.
+    """
+    native = store.native_contents(picks).join(picks.filter("native").select("url", "ingest", capture.alias("capture")).distinct(), ["url", "ingest"])
+    native = native.select("capture", F.lit(RENDER_NATIVE).alias("render_method"), *NATIVE_COLUMNS)
+    pages = _converted(store.picked_pages(picks), options, repartition=False).select("page_id", "content")
+    named = pages.join(picks.filter(~F.col("native")).select("page_id", capture.alias("capture")).distinct(), "page_id")
+    return native.unionByName(named.select(
+        "capture", F.lit(RENDER_BROWSER).alias("render_method"), "content",
+        F.lit(None).cast("string").alias("source_content_type"), F.lit(None).cast("int").alias("markdown_tokens")))
+
+
+def content_by_url(accepted: DataFrame, responses: DataFrame | None, pages: DataFrame | CaptureStore, options: JobOptions) -> DataFrame:
     """One row per requested URL that has a capture: the native answer if there is one, else the
     converted page.
 
     The cheap route comes first: a page is converted only if its URL is requested and has no
-    native answer. The URL lists that decide this are narrow.
+    native answer. The URL lists that decide this are narrow. With a capture store in place of
+    ``pages`` (``responses`` is then not read) the store's index decides, and contents are not exchanged.
     """
     wanted = accepted.select(F.col("clean_url").alias("url")).distinct()
+    if isinstance(pages, CaptureStore):
+        picks = staged(pages.picks(wanted, options), "picks")
+        return stored_content(pages, picks, options, F.col("url")).withColumnRenamed("capture", "url")
     native, need = None, wanted
     if (found := _native(responses, options)) is not None:
         native = N.one_per_url(found).join(wanted, "url", "left_semi").select(
@@ -94,27 +122,33 @@ def content_by_url(accepted: DataFrame, responses: DataFrame | None, pages: Data
         need = wanted.join(found.select("url").distinct(), "url", "left_anti")
     ids = picked_pages(pages).join(need, "url", "left_semi")
     some = pages.join(ids.select("page_id"), "page_id", "left_semi")
-    md = H.page_markdown(some, "page_id", chrome=options.prune_page_chrome, consent=options.prune_consent_nodes)
-    converted = md.select(
+    converted = _converted(some, options).select(
         url_clean(F.col("url")).alias("url"), F.lit(RENDER_BROWSER).alias("render_method"), "content",
         F.lit(None).cast("string").alias("source_content_type"), F.lit(None).cast("int").alias("markdown_tokens"))
     return converted if native is None else native.unionByName(converted)
 
 
-def routes(accepted: DataFrame, responses: DataFrame | None, pages: DataFrame, options: JobOptions | None = None) -> DataFrame:
+def _no_capture(clean_url: Column) -> Column:
+    return F.concat(F.lit(FAILURE_PREFIX + "no captured response or page for "), clean_url)
+
+
+def routes(accepted: DataFrame, responses: DataFrame | None, pages: DataFrame | CaptureStore, options: JobOptions | None = None) -> DataFrame:
     """Render method of each request, and the error of one without a capture, from URL lists alone."""
     options = options or JobOptions()
-    known = pages.select(url_clean(F.col("url")).alias("url"), F.lit(0).alias("native"))
-    if (found := _native(responses, options)) is not None:
-        known = known.unionByName(found.select("url", F.lit(1).alias("native")))
+    if isinstance(pages, CaptureStore):
+        known = pages.picks(options=options).select("url", F.col("native").cast("int").alias("native"))
+    else:
+        known = pages.select(url_clean(F.col("url")).alias("url"), F.lit(0).alias("native"))
+        if (found := _native(responses, options)) is not None:
+            known = known.unionByName(found.select("url", F.lit(1).alias("native")))
     known = staged(known.groupBy("url").agg(F.max("native").alias("native")), "known-urls")
     j = accepted.join(known.select(F.col("url").alias("clean_url"), "native"), "clean_url", "left")
     method = F.when(F.col("native") == 1, F.lit(RENDER_NATIVE)).otherwise(F.lit(RENDER_BROWSER))
-    error = F.when(F.col("native").isNull(), F.concat(F.lit(FAILURE_PREFIX + "no captured response or page for "), F.col("clean_url")))
+    error = F.when(F.col("native").isNull(), _no_capture(F.col("clean_url")))
     return j.withColumns({"render_method": method, "error": error}).drop("native")
 
 
-def routed(requests: DataFrame, responses: DataFrame | None, pages: DataFrame, options: JobOptions | None = None):
+def routed(requests: DataFrame, responses: DataFrame | None, pages: DataFrame | CaptureStore, options: JobOptions | None = None):
     """J1 + P7: ``(accepted requests with their content, rejected requests)``.
 
     The contents are written as one row per URL first. The join is then between two plain
@@ -124,7 +158,7 @@ def routed(requests: DataFrame, responses: DataFrame | None, pages: DataFrame, o
     accepted, bad = valid_requests(requests)
     content = staged(content_by_url(accepted, responses, pages, options), "content").withColumnRenamed("url", "clean_url")
     ok = accepted.join(content, "clean_url", "left")
-    error = F.when(F.col("render_method").isNull(), F.concat(F.lit(FAILURE_PREFIX + "no captured response or page for "), F.col("clean_url")))
+    error = F.when(F.col("render_method").isNull(), _no_capture(F.col("clean_url")))
     return ok.withColumn("error", error).withColumn("render_method", F.coalesce("render_method", F.lit(RENDER_BROWSER))), bad
 
 
@@ -178,7 +212,7 @@ def summarize_distinct(contents: DataFrame, summarizer: M.Summarizer, options: J
     return plain.unionByName(joined)
 
 
-def read_urls(requests: DataFrame, pages: DataFrame, responses: DataFrame | None = None,
+def read_urls(requests: DataFrame, pages: DataFrame | CaptureStore, responses: DataFrame | None = None,
               summarizer: M.Summarizer | None = None, options: JobOptions | None = None):
     """The whole job. Returns ``(results, errors)``.
 
@@ -186,16 +220,23 @@ def read_urls(requests: DataFrame, pages: DataFrame, responses: DataFrame | None
     render_method, source_content_type, markdown_tokens, summarization, json.
     ``errors``: request_id, error, url, status, json.
 
-    Without a summarizer, content that needs a summary stays as it is, with the error
-    ``no summarizer`` in its summarization.
+    The captures are a ``CaptureStore``, or a ``pages`` and a ``responses`` table. Without a
+    summarizer, content that needs a summary stays as it is, with the error ``no summarizer`` in
+    its summarization.
     """
     options = options or JobOptions()
     accepted, _ = valid_requests(requests)
-    content = staged(content_by_url(accepted, responses, pages, options), "content")
-    # what a result's content depends on: the URL and the summary options
-    asked = accepted.select("clean_url", *SUMMARY_OPTIONS).distinct()
-    finals = asked.join(content.withColumnRenamed("url", "clean_url"), "clean_url")
-    rkey = F.to_json(F.struct("clean_url", *SUMMARY_OPTIONS))
+    content = staged(content_by_url(accepted, responses, pages, options), "content").withColumnRenamed("url", "capture")
+    res = results_of(accepted.withColumn("capture", F.col("clean_url")), content, summarizer, options)
+    return res, read_errors(requests, pages, responses, options)
+
+
+def results_of(accepted: DataFrame, content: DataFrame, summarizer: M.Summarizer | None, options: JobOptions) -> DataFrame:
+    """Result rows of the accepted requests whose ``capture`` is in ``content`` (staged, a row for each capture)."""
+    # what a result's content depends on: the capture and the summary options
+    asked = accepted.select("capture", *SUMMARY_OPTIONS).distinct()
+    finals = asked.join(content, "capture")
+    rkey = F.to_json(F.struct("capture", *SUMMARY_OPTIONS))
     done = staged(summarize_distinct(finals, summarizer or M.no_summarizer(), options).withColumn("rkey", rkey)
                   .select("rkey", "content", "render_method", "source_content_type", "markdown_tokens", "summarization"), "finals")
     res = accepted.withColumn("rkey", rkey).join(done, "rkey")
@@ -205,19 +246,37 @@ def read_urls(requests: DataFrame, pages: DataFrame, responses: DataFrame | None
         "wait_for_selector", "wait_time", "scroll_to_bottom", "truncate", "max_length",
         "render_method", "source_content_type", "markdown_tokens", "summarization",
     )
-    return res.withColumn("json", envelope_json(res)), read_errors(requests, pages, responses, options)
+    return res.withColumn("json", envelope_json(res))
 
 
-def read_errors(requests: DataFrame, pages: DataFrame, responses: DataFrame | None = None, options: JobOptions | None = None) -> DataFrame:
+def read_picked(requests: DataFrame, store: CaptureStore, summarizer: M.Summarizer | None = None, options: JobOptions | None = None):
+    """``(results, errors)`` of requests that carry their capture: ``native, page_id, ingest``, all null where none came."""
+    options = options or JobOptions()
+    pick = ["native", "page_id", "ingest"]
+    accepted, bad = valid_requests(requests)
+    key = F.to_json(F.struct(F.col("clean_url").alias("url"), *pick))
+    found = accepted.filter(F.col("native").isNotNull()).withColumn("capture", key)
+    picks = staged(found.select(F.col("clean_url").alias("url"), *pick).distinct(), "picks")
+    content = staged(stored_content(store, picks, options, F.to_json(F.struct("url", *pick))), "content")
+    failed = accepted.filter(F.col("native").isNull()).withColumn("error", _no_capture(F.col("clean_url")))
+    return results_of(found, content, summarizer, options), error_rows(bad, failed)
+
+
+def read_errors(requests: DataFrame, pages: DataFrame | CaptureStore, responses: DataFrame | None = None, options: JobOptions | None = None) -> DataFrame:
     """P9 + S5: rejected requests and accepted ones without a capture; converts no page."""
     accepted, bad = valid_requests(requests)
     failed = routes(accepted, responses, pages, options).filter(F.col("error").isNotNull())
+    return error_rows(bad, failed)
+
+
+def error_rows(bad: DataFrame, failed: DataFrame) -> DataFrame:
+    """Error rows of rejected requests (``url`` echoed) and of accepted ones that failed (``clean_url``)."""
     err = bad.select("request_id", "error", url_echo(F.col("url")).alias("url"), F.lit("error").alias("status")).unionByName(
         failed.select("request_id", "error", F.col("clean_url").alias("url"), F.lit("error").alias("status")))
     return err.withColumn("json", F.to_json(F.struct("error", "url", "status"), {"ignoreNullFields": "false"}))
 
 
-def status_split(requests: DataFrame, pages: DataFrame, responses: DataFrame | None = None, options: JobOptions | None = None) -> DataFrame:
+def status_split(requests: DataFrame, pages: DataFrame | CaptureStore, responses: DataFrame | None = None, options: JobOptions | None = None) -> DataFrame:
     """one status row per request (success / error), from URL lists alone."""
     accepted, bad = valid_requests(requests)
     known = routes(accepted, responses, pages, options)

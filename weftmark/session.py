@@ -81,3 +81,23 @@ def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of input, as the source counts them, for one partition of pages.
+PARTITION_BYTES = 64 << 20
+
+
+def size_partitions(df: DataFrame, each: int = PARTITION_BYTES) -> int:
+    """Partitions for an exchange of ``df``: its estimated bytes over ``each``, and at least ``spark.sql.shuffle.partitions``.
+
+    The estimate is the optimizer's own for the plan, which begins with the files' sizes.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(1 << 17, -(-size // each)))
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, on any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

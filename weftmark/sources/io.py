@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import COMPLETION, PAGE, REQUEST, RESPONSE
+from .commits import write_batch
 
 
 def _read(spark: SparkSession, path: str, schema, fmt: str) -> DataFrame:
@@ -41,17 +42,13 @@ def read_completions(spark: SparkSession, path: str, fmt: str = "json") -> DataF
     return _read(spark, path, COMPLETION, fmt)
 
 
-def write_results(results: DataFrame, errors: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """S4 + S5: successes under ``path/results``, failures under ``path/errors`` (quarantine).
+def write_results(results: DataFrame, errors: DataFrame, path: str, fmt: str = "parquet", batch: str | int = 0) -> None:
+    """S4 + S5: successes under ``path/results``, failures under ``path/errors`` (quarantine), committed together.
 
-    ``fmt='json'`` writes the JSON envelopes one per line (``json`` column as text).
+    ``fmt='json'`` writes the JSON envelopes one per line (``json`` column as text). Writing a batch
+    again replaces both sides of it. Read with ``commits.read_committed``.
     """
-    if fmt == "json":
-        results.select("json").write.mode(mode).text(f"{path}/results")
-        errors.select("json").write.mode(mode).text(f"{path}/errors")
-        return
-    results.write.mode(mode).format(fmt).save(f"{path}/results")
-    errors.write.mode(mode).format(fmt).save(f"{path}/errors")
+    write_batch(results, errors, path, batch, fmt)
 
 
 def write_prompts(prompts: DataFrame, path: str, mode: str = "overwrite") -> None:
