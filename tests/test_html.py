@@ -71,6 +71,22 @@ RULES = [
     ("no_rows", "<table><caption>t</caption></table><p>after</p>", "after"),
     ("zeros", "<p>&#000000065;&#x0000042; &#0; &#1114112; &#x110000;</p>", "AB \ufffd \ufffd \ufffd"),
     ("attr_references", '<main><img src="a?x=1&#38;y=2" alt="caf&eacute; &#8212; &nope; &"></main>', "![café — &nope; &](a?x=1&y=2)"),
+    ("bare_references", "<p>&copy 2020 &notit; &ampx &AMP &#65 &#x42C AT&T &nope; &copyright &apos &lt</p>", "© 2020 ¬it; &x & A Ь AT&T &nope; ©right &apos <"),
+    ("bare_references_in_attr", '<main><img alt="&copy &copyright &lt=1 &lt; &notit; &#65" src="/s?a=1&copy=2&reg"></main>',
+     "![© &copyright &lt=1 < &notit; A](/s?a=1&copy=2®)"),
+    ("gt_in_link", '<a title="a > b" href="/keep">go on</a>', "[go on](/keep)"),
+    ("gt_in_image", '<main><img alt="5 > 3" src="/i.png"></main>', "![5 > 3](/i.png)"),
+    ("gt_in_style", '<div style="a>b; display:none">secret</div><p>seen</p>', "seen"),
+    ("gt_in_data", "<div data-x='1>2' class='ads'>buy</div><p>seen</p>", "seen"),
+    ("apostrophe_in_value", "<div title=it's class=ads>buy</div><p title=it's>see'n</p>", "see'n"),
+    ("custom_element", "<p>one</p><style-guide>two</style-guide><p>three</p>", "one\n\ntwo\nthree"),
+    ("link_in_link", '<p><a href="/1">one <a href="/2">two</a> three</a> four</p>', "[one](/1) [two](/2) three four"),
+    ("open_comment", "<p>before</p><!-- never <p>closed", "before"),
+    ("empty_comments", "<p>a<!-->b<!--->c</p>", "a b c"),
+    ("open_script", "<p>before</p><script>var a = '<p>'; // never closed", "before"),
+    ("script_end_with_blank", "<script>1</script x><p>after</p>", "after"),
+    ("open_quote", '<p>before</p><a href="/x>text<p>lost</p>', "before"),
+    ("open_tag", "<p>before</p><a href=/x", "before"),
     ("attr_first_wins", '<main><img src="one" SRC="two" src="three"></main>', "![](one)"),
 ]
 
@@ -152,6 +168,17 @@ def test_entity_dense_text_run(spark):
     assert got[1] == "a&" * 30000
 
 
+@pytest.mark.parametrize("unit", ["<!-- x ", "<script> ", '<a b="', "<p ", "</style ", "<! ", "&a", "<a b='\"", "<textarea\n", "<a =\"x\" "])
+def test_unclosed_constructs_take_linear_time(spark, unit):
+    import time
+
+    html = unit * (1_000_000 // len(unit))
+    df = spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string")
+    t0 = time.time()
+    assert H.html_tokens(df).agg({"tok": "count"}).first()[0] >= 1
+    assert time.time() - t0 < 20
+
+
 def test_large_table_and_list(spark):
     """A 20,000-row table and a 20,000-item list on one page render whole (linear per block)."""
     n = 20000

@@ -36,28 +36,29 @@ from ..functions.text import noise_filter, normalize_lines, py_strip, token_esti
 # ---------------------------------------------------------------------------
 # Fixed values (tag lists, selectors and patterns that decide the output).
 # ---------------------------------------------------------------------------
-# Lossless tokeniser: comments, raw-text elements, tags (the possessive group takes any
-# number of quoted attributes without growing the regex engine's stack), declarations,
-# character references, text.
+# ASCII whitespace spelled out so the same patterns mean the same in Java and RE2
+SP = "\\t\\n\\x0b\\x0c\\r "
+# A quote opens a quoted value only after '='; in it, '>' does not end the tag. The possessive loop
+# takes any number of attributes without growing the regex engine's stack.
+TAG_BODY = f"(?:[^>=]++|=[{SP}]*+(?:\"[^\"]*+(?:\"|\\z)|'[^']*+(?:'|\\z))?+)*+"
+# Lossless tokeniser: comments, raw-text elements, tags, declarations, character references, text.
+# What is never closed runs to the end of the page, as in an HTML5 tokeniser. So a pattern that has
+# scanned far ahead never fails, and the whole page takes linear time.
 TOKEN_RE = (
-    "(?is)<!--.*?-->"
-    "|<script\\b.*?</script[\\t\\n\\x0b\\x0c\\r ]*>|<style\\b.*?</style[\\t\\n\\x0b\\x0c\\r ]*>"
-    "|<textarea\\b.*?</textarea[\\t\\n\\x0b\\x0c\\r ]*>"
-    "|</?[a-z][^'\">]*(?:\"[^\"]*\"[^'\">]*|'[^']*'[^'\">]*)*+>"
-    "|<[!?][^>]*>"
-    "|&(?:#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);"
+    "(?is)<!--(?:-?>|.*?(?:-->|\\z))"
+    + "".join(f"|<{t}[{SP}/>].*?(?:</{t}(?:[{SP}/][^>]*)?(?:>|\\z)|\\z)" for t in ("script", "style", "textarea"))
+    + f"|</?[a-z]{TAG_BODY}(?:>|\\z)"
+    "|<[!?][^>]*(?:>|\\z)"
+    "|&(?:#[0-9]+;?|#x[0-9a-f]+;?|[a-z][a-z0-9]*;?)"
     "|[^<&]+|<|&"
 )
-# ASCII whitespace spelled out so the same patterns mean the same in Java and RE2
-SP = "\\t\\n\\x0b\\x0c\\r "
 ATTR_NAME = f"[^{SP}\"'>/=]+"
-ATTR_RE = f"({ATTR_NAME})(?:[{SP}]*=[{SP}]*(?:\"[^\"]*\"|'[^']*'|[^{SP}\"'>]+))?"
-RAW_RE = "(?is)^(?:" + "|".join(f"<{t}\\b.*</{t}[{SP}]*>" for t in ["script", "style", "textarea"]) + ")$"
+ATTR_RE = f"({ATTR_NAME})(?:[{SP}]*=[{SP}]*(?:\"[^\"]*\"|'[^']*'|[^{SP}\"'>][^{SP}>]*))?"
+OPENING_TAG_RE = f"(?is)^(<[a-z]{TAG_BODY}>?)"
+RAW_RE = f"(?is)^<(?:script|style|textarea)[{SP}/>]"
 SELF_CLOSE_RE = f"/[{SP}]*>$"
 TAG_NAME_RE = "^</?([A-Za-z][A-Za-z0-9:_-]*)"
-# the same language for an engine without possessive groups
-TOKEN_RE_RE2 = TOKEN_RE.replace(")*+>", ")*>")
-ENTITY_TOKEN_RE = "^&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);$"
+ENTITY_TOKEN_RE = "^&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)$"
 
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "meta", "param", "source", "track", "wbr"]
 RAW_TAGS = ["script", "style", "textarea"]
@@ -98,6 +99,9 @@ IMPLIED_END = {
 # standard library's table (plus &apos;).
 _ENTITY_MAP = dict(_entities.name2codepoint)
 _ENTITY_MAP["apos"] = 39
+# Names that HTML5 also takes without a semicolon, from the same library's table.
+_BARE_MAP = {k: v for k, v in _entities.html5.items() if not k.endswith(";")}
+_BARE_LENGTHS = sorted({len(k) for k in _BARE_MAP}, reverse=True)
 
 OPENING = ["open", "void", "raw"]
 
@@ -144,12 +148,13 @@ def _sql_str(v: str) -> str:
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-# one SQL literal (a single driver-to-JVM call) instead of 504 literal columns
-_ENTITY_SQL = "map(" + ", ".join(f"{_sql_str(k)}, {_sql_str(chr(v))}" for k, v in sorted(_ENTITY_MAP.items())) + ")"
+# one SQL literal (a single driver-to-JVM call) instead of hundreds of literal columns
+def _map_sql(pairs: dict) -> str:
+    return "map(" + ", ".join(f"{_sql_str(k)}, {_sql_str(v)}" for k, v in sorted(pairs.items())) + ")"
 
 
-def _entity_lit() -> Column:
-    return F.expr(_ENTITY_SQL)
+_ENTITY_SQL = _map_sql({k: chr(v) for k, v in _ENTITY_MAP.items()})
+_BARE_SQL = _map_sql(_BARE_MAP)
 
 
 def _codepoint_to_str(cp: Column) -> Column:
@@ -157,30 +162,42 @@ def _codepoint_to_str(cp: Column) -> Column:
     return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
 
 
-def decode_entity(tok: Column) -> Column:
-    """H4: decode one character reference token; unknown names stay as written."""
-    body = F.regexp_extract(tok, "^&(.*);$", 1)
-    is_dec = body.rlike("^#[0-9]+$")
-    is_hex = body.rlike("^#[xX][0-9a-fA-F]+$")
+def _numeric(tok: Column) -> Column:
+    """The character of a numeric reference token, or null; its semicolon may be missing."""
+    is_dec = tok.rlike("^&#[0-9]")
+    is_hex = tok.rlike("^&#[xX]")
     # leading zeros do not count; more digits than the range needs are out of it
-    digits = F.regexp_extract(body, "^#[xX]?0*([0-9a-fA-F]*)$", 1)
+    digits = F.regexp_extract(tok, "^&#[xX]?0*([0-9a-fA-F]*);?$", 1)
     dec_cp = F.when(F.length(digits).between(1, 7), digits.try_cast("bigint"))
     hex_cp = F.when(F.length(digits).between(1, 6), F.conv(digits, 16, 10).try_cast("bigint"))
-    named = F.try_element_at(_entity_lit(), body)
-    return (
-        F.when(is_dec, _codepoint_to_str(dec_cp))
-        .when(is_hex, _codepoint_to_str(hex_cp))
-        .otherwise(F.coalesce(named, tok))
-    )
+    return F.when(is_dec, _codepoint_to_str(dec_cp)).when(is_hex, _codepoint_to_str(hex_cp))
 
 
-ATTR_PIECE_RE = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
+def _named(tok: Column) -> Column:
+    """The character of a named reference token that has its semicolon, or null."""
+    return F.try_element_at(F.expr(_ENTITY_SQL), F.regexp_extract(tok, "^&(.*);$", 1))
+
+
+def decode_entity(tok: Column) -> Column:
+    """H4: decode one character reference token of a text; unknown names stay as written.
+
+    Without its semicolon, or with more letters than a known name, a reference means the longest
+    name it begins with that HTML5 takes bare, and the rest is text: ``&notit;`` is ``¬it;``.
+    """
+    body = F.substr(tok, F.lit(2))
+    bare = [F.concat(F.try_element_at(F.expr(_BARE_SQL), F.substr(body, F.lit(1), F.lit(n))), F.substr(body, F.lit(n + 1))) for n in _BARE_LENGTHS]
+    return F.coalesce(_numeric(tok), _named(tok), *bare, tok)
+
+
+ATTR_PIECE_RE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*[;=]?)|[^&]+|&"
 
 
 def decode_attr_value(v: Column) -> Column:
-    """H4 inside attribute values: every character reference, as in text."""
+    """H4 inside attribute values. Without its semicolon a name counts only as a whole, and not before
+    ``=``, so that ``?a=1&copy=2`` keeps its parameter."""
     pieces = F.regexp_extract_all(v, F.lit(ATTR_PIECE_RE), 0)
-    decoded = F.transform(pieces, lambda p: F.when(p.rlike(ENTITY_TOKEN_RE), decode_entity(p)).otherwise(p))
+    bare = lambda p: F.try_element_at(F.expr(_BARE_SQL), F.substr(p, F.lit(2)))
+    decoded = F.transform(pieces, lambda p: F.when(p.startswith("&"), F.coalesce(_numeric(p), _named(p), bare(p), p)).otherwise(p))
     return F.when(v.contains("&"), F.array_join(decoded, "")).otherwise(v)
 
 
@@ -212,11 +229,13 @@ def _classify_exprs() -> dict:
     tok = F.col("tok")
     tag = F.lower(F.regexp_extract(tok, TAG_NAME_RE, 1))
     is_tag_open = tok.rlike("^<[A-Za-z]")
+    unclosed = tok.rlike("^</?[A-Za-z]") & ~tok.endswith(">")  # a tag that the page ends in
     kind = (
         F.when(tok.isNull(), F.lit("none"))
         .when(tok.startswith("<!--"), F.lit("comment"))
         .when(tok.rlike("^<[!?]"), F.lit("decl"))
         .when(tok.rlike(RAW_RE), F.lit("raw"))
+        .when(unclosed, F.lit("decl"))
         .when(tok.rlike("^</[A-Za-z]"), F.lit("close"))
         .when(is_tag_open & (_in(tag, VOID_TAGS) | tok.rlike(SELF_CLOSE_RE)), F.lit("void"))
         .when(is_tag_open, F.lit("open"))
@@ -242,7 +261,7 @@ def classify_tokens(tokens: DataFrame) -> DataFrame:
 
 def attr_entries(tok: Column) -> Column:
     """H3 (step 1): ``array<struct<k, v>>`` of an opening tag's attributes, in order."""
-    open_tag = F.regexp_extract(tok, "^(<[^>]*>?)", 1)
+    open_tag = F.regexp_extract(tok, OPENING_TAG_RE, 1)
     region = F.regexp_replace(open_tag, f"^<[A-Za-z][^{SP}/>]*", "")
     pairs = F.regexp_extract_all(region, F.lit(ATTR_RE), 0)
     return F.transform(
@@ -330,12 +349,14 @@ def _element_steps(key: str) -> list[dict]:
     delta = F.when(is_open, 1).when(is_close, -1).otherwise(0)
     steps = [
         {"_lvl": F.when(tag.isNotNull(), F.sum(delta).over(_running(_w(key, "tag"))))},
-        {"_k": F.when(is_open, F.col("_lvl")).when(is_close, F.col("_lvl") + 1)},
+        # links do not nest: all their opens and closes are on one level
+        {"_k": F.when((is_open | is_close) & (tag == "a"), F.lit(0)).when(is_open, F.col("_lvl")).when(is_close, F.col("_lvl") + 1)},
     ]
     w_pair = _w(key, "tag", "_k")
     steps.append({
         "_pair_close": F.when(is_open & (F.lead("kind").over(w_pair) == "close"), F.lead("pos").over(w_pair)),
         "_paired_close": is_close & (F.lag("kind").over(w_pair) == "open") & F.col("_k").isNotNull(),
+        "_next_link": F.when(is_open & (tag == "a") & (F.lead("kind").over(w_pair) == "open"), F.lead("pos").over(w_pair)),
     })
     d = F.when(is_open & F.col("_pair_close").isNotNull(), 1).when(F.col("_paired_close"), -1).otherwise(0)
     w_pos = _w(key)
@@ -356,7 +377,7 @@ def _element_steps(key: str) -> list[dict]:
         nxt_cols[c] = nxt(opening & _in(tag, list(enders)))
         term = term.when(_in(tag, tags), F.col(c))
     steps.append(nxt_cols)
-    limit = F.least(F.col("_scope_close"), term)
+    limit = F.least(F.col("_scope_close"), term, F.col("_next_link"))
     e = (
         F.when(_in(kind, ["void", "raw"]), pos)
         .when(is_open & F.col("_pair_close").isNotNull(), F.col("_pair_close"))
@@ -376,6 +397,8 @@ def html_elements(items: DataFrame, key: str = "page_id") -> DataFrame:
        ``D`` scope that is the enclosing element's close or a tag that implies
        its end (a new ``p`` ends an open ``p``, a new ``li`` an open ``li``...);
        with neither, at the end of the page.
+
+    A link never holds a link: a new ``a`` ends the open one, and the close left over is ignored.
     """
     steps = _cached(f"elements:{key}", lambda: _element_steps(key))
     df = items

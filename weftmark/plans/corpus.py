@@ -168,6 +168,9 @@ def rich_pages(documents: DataFrame) -> DataFrame:
         F.lit("<a href=\"javascript:void(0)\">"), src, F.lit("</a><a href=\"/&lt;"), src, F.lit("&gt;\">&#0000065; &#x00042; "), src, F.lit("</a>"),
         F.lit("<code>"), lang, F.lit("</code><small>"), src, F.lit("</small>"),
         F.when(lang == "es", F.concat(F.lit(WIDE_TAG), src, F.lit("</div>"))).otherwise(F.lit("")),
+        F.lit("<a title=\"a > b\" href=\"/keep?x=1&copy=2&lt\">"), src, F.lit("</a><img alt='5 > 3' src=\"/i.png\"><div data-x=\"1>2\" class=\"ads\">ad "), did,
+        F.lit("</div><div title=it's style=\"a>b; display:none\">hidden "), did, F.lit("</div><p>&copy 2020 &notit; &ampx &#65 &AMP</p>"),
+        F.lit("<p><a href=\"/one\">"), lang, F.lit(" <a href=\"/two\">"), src, F.lit("</a> after</a></p>"),
         F.lit("<div class=\"cookie-consent\">consent "), did, F.lit("</div>"),
         F.lit("</main><footer>footer "), did, F.lit("</footer></body></html>"),
     )

@@ -51,15 +51,52 @@ def _attr_value(pair: str) -> str:
     return f"CASE WHEN {pair} IS NULL THEN NULL WHEN contains({pair}, '=') THEN {_decoded(val)} ELSE '' END"
 
 
+def _map(pairs: dict) -> str:
+    return "MAP {" + ", ".join(f"'{_sq(k)}': '{_sq(v)}'" for k, v in sorted(pairs.items())) + "}"
+
+
+def _numeric(t: str) -> tuple[str, str]:
+    """(whether ``t`` is a numeric reference, its character)."""
+    dec, hexa = (f"ltrim(regexp_extract({t}, '^&#{x}', 1), '0')" for x in ("([0-9]+)", "[xX]([0-9a-fA-F]+)"))
+    one = (f"CASE WHEN regexp_matches({t}, '^&#[0-9]') THEN {_cp(f'CASE WHEN length({dec}) BETWEEN 1 AND 7 THEN TRY_CAST({dec} AS BIGINT) END')} "
+           f"ELSE {_cp(f"CASE WHEN length({hexa}) BETWEEN 1 AND 6 THEN TRY_CAST('0x' || {hexa} AS BIGINT) END")} END")
+    return f"starts_with({t}, '&#')", one
+
+
+def text_reference(t: str) -> str:
+    """A reference token of a text: numeric, a whole name, else its longest beginning that needs no semicolon."""
+    is_number, number = _numeric(t)
+    whole = _map({f"&{k};": chr(v) for k, v in H._ENTITY_MAP.items()})
+    bare = _map({f"&{k}": v for k, v in H._BARE_MAP.items()})
+    tries = ", ".join(f"{bare}[substr({t}, 1, {n})] || substr({t}, {n + 1})" for n in range(max(map(len, H._BARE_MAP)) + 1, 2, -1))
+    return f"CASE WHEN {is_number} THEN {number} ELSE coalesce({whole}[{t}], {tries}, {t}) END"
+
+
 def _decoded(val: str) -> str:
     """Character references anywhere in ``val``: cut it at references and look each one up."""
-    names = "MAP {" + ", ".join(f"'&{k};': '{_sq(chr(v))}'" for k, v in sorted(H._ENTITY_MAP.items())) + "}"
-    dec = "ltrim(regexp_extract(t, '^&#([0-9]+);$', 1), '0')"
-    hexa = "ltrim(regexp_extract(t, '^&#[xX]([0-9a-fA-F]+);$', 1), '0')"
-    one = (f"CASE WHEN regexp_matches(t, '^&#[0-9]+;$') THEN {_cp(f'CASE WHEN length({dec}) BETWEEN 1 AND 7 THEN TRY_CAST({dec} AS BIGINT) END')} "
-           f"WHEN regexp_matches(t, '^&#[xX][0-9a-fA-F]+;$') THEN {_cp(f"CASE WHEN length({hexa}) BETWEEN 1 AND 6 THEN TRY_CAST('0x' || {hexa} AS BIGINT) END")} "
-           f"ELSE coalesce({names}[t], t) END")
-    return f"CASE WHEN contains({val}, '&') THEN array_to_string(list_transform(regexp_extract_all({val}, '{H.ATTR_PIECE_RE}'), lambda t: {one}), '') ELSE {val} END"
+    is_number, number = _numeric("t")
+    names = _map({f"&{k};": chr(v) for k, v in H._ENTITY_MAP.items()} | {f"&{k}": v for k, v in H._BARE_MAP.items()})
+    pieces = f"regexp_extract_all({val}, '&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*[;=]?|&|[^&]+')"
+    one = f"CASE WHEN regexp_matches(t, '^&#([0-9]|[xX][0-9a-fA-F])') THEN {number} ELSE coalesce({names}[t], t) END"
+    return f"CASE WHEN contains({val}, '&') THEN array_to_string(list_transform({pieces}, lambda t: {one}), '') ELSE {val} END"
+
+
+#: The token rules once more, in RE2 and in other words than the Spark chain's.
+_TAG = f"(?:[^>=]|=[{H.SP}]*(?:\"[^\"]*(?:\"|\\z)|'[^']*(?:'|\\z))?)*"
+TOKENS_RE2 = "|".join([
+    "(?s:<!--(?:>|->|.*?-->|.*))",
+    *(f"(?is:<{t}[{H.SP}/>].*?</{t}(?:[{H.SP}/][^>]*)?(?:>|\\z)|<{t}[{H.SP}/>].*)" for t in ("script", "style", "textarea")),
+    f"<[A-Za-z]{_TAG}>?", f"</[A-Za-z]{_TAG}>?", "<![^>]*>?", "<[?][^>]*>?",
+    "&#[0-9]+;?", "&#[xX][0-9a-fA-F]+;?", "&[A-Za-z][A-Za-z0-9]*;?", "[^<&]+", "<", "&"])
+_PAIRS = (f"regexp_extract_all(regexp_replace(regexp_extract(tok, '{_sq(f"^<[A-Za-z]{_TAG}")}'), '^<[A-Za-z][^{H.SP}/>]*', ''), "
+          f"'{_sq(f"[^{H.SP}\"'>/=]+(?:[{H.SP}]*=[{H.SP}]*(?:\"[^\"]*\"|'[^']*'|[^{H.SP}\"'>][^{H.SP}>]*))?")}')")
+
+
+def tokens_of(pages: str) -> str:
+    """``(page_id, pos, tok)`` of the pages of a table or subquery."""
+    return f"""SELECT page_id, CAST(pos AS BIGINT) AS pos, tok FROM (
+    SELECT page_id, unnest(range(len(t))) AS pos, unnest(t) AS tok
+    FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{_sq(TOKENS_RE2)}') AS t FROM {pages}))"""
 
 
 def _attr_name(pair: str) -> str:
@@ -71,10 +108,6 @@ def _attr(name: str) -> str:
     return f"{_attr_value(pick)} AS a_{name}"
 
 
-def _entity_values() -> str:
-    return ", ".join(f"('{_sq(k)}', '{_sq(chr(v))}')" for k, v in sorted(H._ENTITY_MAP.items()))
-
-
 def _cp(cp: str) -> str:
     return f"CASE WHEN {cp} BETWEEN 1 AND 1114111 AND NOT ({cp} BETWEEN 55296 AND 57343) THEN chr(CAST({cp} AS INTEGER)) ELSE chr(65533) END"
 
@@ -107,37 +140,28 @@ def chain_ctes(pages_sql: str, consent: bool = False) -> str:
     nonempty = f"CASE WHEN kind = 'text' AND length({strip('text')}) > 0 THEN {strip('text')} END"
     return f"""
 pg AS ({pages_sql}),
-tk AS (
-  SELECT page_id, CAST(pos AS BIGINT) AS pos, tok FROM (
-    SELECT page_id, unnest(range(len(t))) AS pos, unnest(t) AS tok
-    FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{_sq(H.TOKEN_RE_RE2)}') AS t FROM pg))),
+tk AS ({tokens_of("pg")}),
 c0 AS (
   SELECT *, CASE WHEN starts_with(tok, '<!--') THEN 'comment'
       WHEN regexp_matches(tok, '^<[!?]') THEN 'decl'
-      WHEN regexp_matches(tok, '{_sq(H.RAW_RE)}') THEN 'raw'
+      WHEN regexp_matches(tok, '(?i)^<(script|style|textarea)[{H.SP}/>]') THEN 'raw'
+      WHEN regexp_matches(tok, '^</?[A-Za-z]') AND NOT ends_with(tok, '>') THEN 'decl'
       WHEN regexp_matches(tok, '^</[A-Za-z]') THEN 'close'
       WHEN regexp_matches(tok, '^<[A-Za-z]') AND (lower(regexp_extract(tok, '{H.TAG_NAME_RE}', 1)) IN {_lst(H.VOID_TAGS)}
            OR regexp_matches(tok, '{H.SELF_CLOSE_RE}')) THEN 'void'
       WHEN regexp_matches(tok, '^<[A-Za-z]') THEN 'open'
-      WHEN regexp_matches(tok, '{H.ENTITY_TOKEN_RE}') THEN 'entity'
+      WHEN regexp_matches(tok, '^&#?[A-Za-z0-9]') THEN 'entity'
       ELSE 'text' END AS kind
   FROM tk),
 c1 AS (
   SELECT *, CASE WHEN kind IN ('open', 'void', 'raw', 'close') THEN lower(regexp_extract(tok, '{H.TAG_NAME_RE}', 1)) END AS tag,
-         CASE WHEN kind IN {OPENING} THEN regexp_extract_all(
-             regexp_replace(regexp_extract(tok, '^(<[^>]*>?)', 1), '^<[A-Za-z][^{H.SP}/>]*', ''), '{_sq(H.ATTR_RE)}') END AS pairs,
-         regexp_extract(tok, '^&(.*);$', 1) AS ebody,
-         regexp_extract(regexp_extract(tok, '^&(.*);$', 1), '^#[xX]?0*([0-9a-fA-F]*)$', 1) AS digits
+         CASE WHEN kind IN {OPENING} THEN {_PAIRS} END AS pairs
   FROM c0),
 c2 AS (
-  SELECT c1.* EXCLUDE (pairs, ebody, digits), {_attr('class')}, {_attr('id')}, {_attr('role')}, {_attr('style')},
+  SELECT c1.* EXCLUDE (pairs), {_attr('class')}, {_attr('id')}, {_attr('role')}, {_attr('style')},
          {_attr('href')}, {_attr('src')}, {_attr('alt')},
-         CASE WHEN kind = 'text' THEN tok
-              WHEN kind = 'entity' THEN CASE
-                WHEN regexp_matches(ebody, '^#[0-9]+$') THEN {_cp("CASE WHEN length(digits) BETWEEN 1 AND 7 THEN TRY_CAST(digits AS BIGINT) END")}
-                WHEN regexp_matches(ebody, '^#[xX][0-9a-fA-F]+$') THEN {_cp("CASE WHEN length(digits) BETWEEN 1 AND 6 THEN TRY_CAST('0x' || digits AS BIGINT) END")}
-                ELSE coalesce(ent.ch, tok) END END AS val
-  FROM c1 LEFT JOIN (VALUES {_entity_values()}) ent(name, ch) ON c1.kind = 'entity' AND ent.name = c1.ebody),
+         CASE WHEN kind = 'text' THEN tok WHEN kind = 'entity' THEN {text_reference('tok')} END AS val
+  FROM c1),
 n0 AS (
   SELECT *, kind IN ('text', 'entity') AS is_text,
          sum(CASE WHEN kind IN ('text', 'entity') THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS node
@@ -153,10 +177,11 @@ e1 AS (
              OVER (PARTITION BY page_id, tag ORDER BY pos ROWS UNBOUNDED PRECEDING) END AS lvl,
          {_classes('a_class')} AS cls
   FROM it),
-e2 AS (SELECT *, CASE WHEN kind = 'open' THEN lvl WHEN kind = 'close' THEN lvl + 1 END AS k FROM e1),
+e2 AS (SELECT *, CASE WHEN tag = 'a' AND kind IN ('open', 'close') THEN 0 WHEN kind = 'open' THEN lvl WHEN kind = 'close' THEN lvl + 1 END AS k FROM e1),
 e3 AS (
   SELECT *, CASE WHEN kind = 'open' AND lead(kind) OVER w = 'close' THEN lead(pos) OVER w END AS pair_close,
-         (kind = 'close' AND lag(kind) OVER w = 'open' AND k IS NOT NULL) AS paired_close
+         (kind = 'close' AND lag(kind) OVER w = 'open' AND k IS NOT NULL) AS paired_close,
+         CASE WHEN kind = 'open' AND tag = 'a' AND lead(kind) OVER w = 'open' THEN lead(pos) OVER w END AS next_link
   FROM e2 WINDOW w AS (PARTITION BY page_id, tag, k ORDER BY pos)),
 e4 AS (
   SELECT *, coalesce(sum(CASE WHEN kind = 'open' AND pair_close IS NOT NULL THEN 1 WHEN paired_close THEN -1 ELSE 0 END)
@@ -171,7 +196,7 @@ e5 AS (
 el AS (
   SELECT *, CASE WHEN kind IN ('void', 'raw') THEN pos
                  WHEN kind = 'open' AND pair_close IS NOT NULL THEN pair_close
-                 WHEN kind = 'open' THEN coalesce(least(scope_close, {term}) - 1, page_end) END AS e,
+                 WHEN kind = 'open' THEN coalesce(least(scope_close, {term}, next_link) - 1, page_end) END AS e,
          CASE WHEN kind = 'open' THEN pair_close IS NOT NULL END AS paired
   FROM e5),
 p1 AS (
@@ -378,6 +403,9 @@ def rich_pages_sql() -> str:
         "'<a href=\"javascript:void(0)\">'", "source", "'</a><a href=\"/&lt;'", "source", "'&gt;\">&#0000065; &#x00042; '", "source", "'</a>'",
         "'<code>'", "lang", "'</code><small>'", "source", "'</small>'",
         f"CASE WHEN lang = 'es' THEN '{WIDE_TAG}' || source || '</div>' ELSE '' END",
+        "'<a title=\"a > b\" href=\"/keep?x=1&copy=2&lt\">'", "source", "'</a><img alt=''5 > 3'' src=\"/i.png\"><div data-x=\"1>2\" class=\"ads\">ad '", did,
+        "'</div><div title=it''s style=\"a>b; display:none\">hidden '", did, "'</div><p>&copy 2020 &notit; &ampx &#65 &AMP</p>'",
+        "'<p><a href=\"/one\">'", "lang", "' <a href=\"/two\">'", "source", "'</a> after</a></p>'",
         "'<div class=\"cookie-consent\">consent '", did, "'</div>'",
         "'</main><footer>footer '", did, "'</footer></body></html>'",
     ])
@@ -393,15 +421,11 @@ def chain_sql(pages_sql: str, select: str, consent: bool = False) -> str:
 
 # H3: every attribute of every opening tag, names lower-cased, the first of a repeated name kept
 ATTRS_SQL = f"""
-WITH tk AS (
-  SELECT page_id, CAST(pos AS BIGINT) AS pos, tok FROM (
-    SELECT page_id, unnest(range(len(t))) AS pos, unnest(t) AS tok
-    FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{_sq(H.TOKEN_RE_RE2)}') AS t FROM pages))),
+WITH tk AS ({tokens_of("pages")}),
 op AS (
-  SELECT page_id, pos, lower(regexp_extract(tok, '{H.TAG_NAME_RE}', 1)) AS tag,
-         regexp_extract_all(regexp_replace(regexp_extract(tok, '^(<[^>]*>?)', 1), '^<[A-Za-z][^{H.SP}/>]*', ''), '{_sq(H.ATTR_RE)}') AS pairs
+  SELECT page_id, pos, lower(regexp_extract(tok, '{H.TAG_NAME_RE}', 1)) AS tag, {_PAIRS} AS pairs
   FROM tk
-  WHERE regexp_matches(tok, '^<[A-Za-z]') AND NOT starts_with(tok, '<!--')),
+  WHERE regexp_matches(tok, '^<[A-Za-z]') AND (ends_with(tok, '>') OR regexp_matches(tok, '(?i)^<(script|style|textarea)[{H.SP}/>]'))),
 ex AS (SELECT page_id, pos, tag, unnest(pairs) AS p, unnest(range(len(pairs))) AS i FROM op),
 nm AS (SELECT *, {_attr_name('p')} AS name FROM ex)
 SELECT page_id, pos, tag, name, {_attr_value('p')} AS value

@@ -11,7 +11,7 @@ checked against hand-derived rows in ``tests/``.
 from __future__ import annotations
 
 from ..functions.text import HWS_CLASS, WS
-from ..operators.html import _ENTITY_MAP, HEADING_TAGS, TOKEN_RE_RE2
+from ..operators.html import HEADING_TAGS
 from . import oracle_html as OH
 
 HWS = HWS_CLASS[1:-1]
@@ -179,28 +179,11 @@ def _chunk_target(target: str, n: str) -> str:
     return f"CAST(greatest(300, floor(CAST({target} AS DOUBLE) * 1.5 / greatest(1, {n}))) AS INTEGER)"
 
 
-TOKENS = f"""
-  SELECT page_id, CAST(pos AS BIGINT) AS pos, tok FROM (
-    SELECT page_id, unnest(range(len(t))) AS pos, unnest(t) AS tok
-    FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{_sq(TOKEN_RE_RE2)}') AS t FROM pages))
-"""
-
-ENTITY_VALUES = ", ".join(f"('{_sq(k)}', '{_sq(chr(v))}')" for k, v in sorted(_ENTITY_MAP.items()))
-ENTITY_RE = "^&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);$"
-
-
-def _cp_char(cp: str) -> str:
-    return f"CASE WHEN {cp} BETWEEN 1 AND 1114111 AND NOT ({cp} BETWEEN 55296 AND 57343) THEN chr(CAST({cp} AS INTEGER)) ELSE chr(65533) END"
+TOKENS = OH.tokens_of("pages")
 
 
 ENTITIES = f"""
-  SELECT t.page_id, t.pos, t.tok,
-         CASE WHEN regexp_matches(body, '^#[0-9]+$') THEN {_cp_char("CASE WHEN length(digits) BETWEEN 1 AND 7 THEN TRY_CAST(digits AS BIGINT) END")}
-              WHEN regexp_matches(body, '^#[xX][0-9a-fA-F]+$') THEN {_cp_char("CASE WHEN length(digits) BETWEEN 1 AND 6 THEN TRY_CAST('0x' || digits AS BIGINT) END")}
-              ELSE coalesce(e.ch, t.tok) END AS value
-  FROM (SELECT *, regexp_extract(tok, '^&(.*);$', 1) AS body, regexp_extract(regexp_extract(tok, '^&(.*);$', 1), '^#[xX]?0*([0-9a-fA-F]*)$', 1) AS digits
-        FROM ({TOKENS}) WHERE regexp_matches(tok, '{ENTITY_RE}')) t
-  LEFT JOIN (VALUES {ENTITY_VALUES}) e(name, ch) ON e.name = t.body
+  SELECT page_id, pos, tok, {OH.text_reference('tok')} AS value FROM ({TOKENS}) WHERE regexp_matches(tok, '^&#?[A-Za-z0-9]')
 """
 
 TEXT_NODES = f"""
