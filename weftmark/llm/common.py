@@ -12,17 +12,18 @@ __all__ = ["fresh_path", "staged"]
 #: ASCII white space, as a Spark trim set and as a Java character class.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = "[\\x20\\x09-\\x0D]"
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of one Arrow batch, as a single text may be many megabytes."""
-    if int(spark.conf.get(ARROW_ROWS)) > rows:
-        spark.conf.set(ARROW_ROWS, str(rows))
+def free_prefix(df: DataFrame) -> str:
+    """Underscores that no column of ``df`` begins with, for helper columns beside the input's."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
 
 
 def ascii_lower(c: Column) -> Column:

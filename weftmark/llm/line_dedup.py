@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.llm.common import BLANKS, ascii_lower, staged
+from weftmark.llm.common import BLANKS, ascii_lower, free_prefix, staged
 
 
 def _digest(key: Column) -> Column:
@@ -31,7 +31,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
     # equal (id, text) rows lose the same lines, so a digest of both serves as the row's key
-    rid = [F.xxhash64(F.col(id_col), F.col(text_col)).alias("r"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("s")]
+    row = [F.col(id_col), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull()]  # hashes pass over nulls
+    rid = [F.xxhash64(*row).alias("r"), F.xxhash64(F.lit(1), *row).alias("s")]
     keyed = F.transform(F.split(ascii_lower(text), "\n", -1), lambda x, i: F.struct(
         i.cast("int").alias("at"), F.btrim(x, F.lit(BLANKS)).alias("k")))
     keyed = F.transform(F.filter(keyed, lambda x: F.char_length(x["k"]) >= min_chars), lambda x: F.struct(
@@ -45,9 +46,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = staged(at.join(often, "k", "left_semi"), "hits")
     listed = staged(hits.select("k", "id", "row").distinct().groupBy("k").count().filter(F.col("count") >= min_documents).select("k"), "lines")
     lost = staged(hits.join(listed, "k", "left_semi").groupBy("r", "s").agg(F.collect_set("at").alias("lost")), "lost")
-    out = docs.withColumns({"__r": rid[0], "__s": rid[1]}).join(
-        lost.select(F.col("r").alias("__r"), F.col("s").alias("__s"), F.col("lost").alias("__lost")), ["__r", "__s"], "left")
-    gone = F.coalesce("__lost", F.array().cast("array<int>"))
+    r, s, at = (free_prefix(docs) + x for x in ("r", "s", "lost"))
+    out = docs.withColumns({r: rid[0], s: rid[1]}).join(lost.select(F.col("r").alias(r), F.col("s").alias(s), F.col("lost").alias(at)), [r, s], "left")
+    gone = F.coalesce(at, F.array().cast("array<int>"))
     # the split lines are a lambda variable, so that they are made once for each text
     kept = F.transform(F.array(lines), lambda ls: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.element_at(ls, i + 1)), "\n"))[0]
@@ -55,4 +56,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "n_lines": F.size(lines).cast("long"),
         "n_dropped": F.size(gone).cast("long"),
         text_col: F.when(F.size(gone) == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept),
-    }).drop("__r", "__s", "__lost")
+    }).drop(r, s, at)

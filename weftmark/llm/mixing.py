@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftmark.llm.common import BLANK_CLASS, BLANKS, staged
+from weftmark.llm.common import BLANK_CLASS, BLANKS, free_prefix, staged
 
 BLOCK_ROWS = 2048
 HALVINGS, JOBS = 5, 9
@@ -54,18 +54,22 @@ def _bracket(sources: DataFrame, holds) -> tuple[float, float]:
 
 
 def source_weights(counts: DataFrame, entropy_share: float | None = None, max_repeats: float | None = None,
-                   budget_tokens: int | None = None) -> DataFrame:
+                   budget_tokens: int | None = None, entropy_gain: float | None = None, budget_share: float | None = None) -> DataFrame:
     """Staged (key, tokens, rows) of each source -> the same with weight, repeats, full, rest.
 
     ``budget_tokens`` None sets the budget so that the largest source is used exactly once and
-    all others at least once. ``entropy_share``: the weights have at least this share of the
-    largest possible entropy. ``max_repeats``: no source is repeated more often. Where both are
+    all others at least once; ``budget_share`` sets it to that share of all tokens.
+    ``entropy_share``: the weights have at least this share of the largest possible entropy.
+    ``entropy_gain``: they close that part of the gap between the entropy as found and the largest
+    possible. ``max_repeats``: no source is repeated more often. Where both are
     given, the limit on repeats comes first; one that no exponent can meet leaves the shares
     as found. ``full`` whole passes and ``rest`` tokens of one more realise the weight.
     """
     total = counts.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     if not total.n:
         return counts.withColumns({"weight": F.lit(0.0), "repeats": F.lit(0.0), "full": F.lit(0).cast("long"), "rest": F.lit(0).cast("long")})
+    if budget_share is not None:
+        budget_tokens = round(budget_share * total.t)
     sources = counts.withColumn("lp", F.log(F.col("tokens") / F.lit(float(total.t))))
     ends = sources.agg(F.min("lp").alias("lo"), F.max("lp").alias("hi")).first()
 
@@ -75,10 +79,17 @@ def source_weights(counts: DataFrame, entropy_share: float | None = None, max_re
             return math.exp((r.a - 1) * (ends.lo - ends.hi))
         return budget_tokens / total.t * math.exp((r.a - 1) * ends.lo) / r.z
 
-    a = 0.0
+    def entropy(r) -> float:
+        return math.log(r.z) - r.a * r.e / r.z
+
+    a, targets = 0.0, []
     if entropy_share is not None:
-        target = entropy_share * math.log(total.n)
-        a = _bracket(sources, lambda r: math.log(r.z) - r.a * r.e / r.z >= target)[0]
+        targets.append(entropy_share * math.log(total.n))
+    if entropy_gain is not None:
+        found = entropy(_moments(sources, [1.0])[0])
+        targets.append(found + entropy_gain * (math.log(total.n) - found))
+    if targets:
+        a = _bracket(sources, lambda r: entropy(r) >= max(targets))[0]
     if max_repeats is not None:
         a = max(a, _bracket(sources, lambda r: most(r) > max_repeats)[1])
     z = _moments(sources, [a])[0].z
@@ -86,13 +97,13 @@ def source_weights(counts: DataFrame, entropy_share: float | None = None, max_re
     repeats = F.exp(F.lit(a - 1) * (F.col("lp") - F.lit(ends.hi))) if budget_tokens is None else weight * F.lit(float(budget_tokens)) / F.col("tokens")
     out = sources.withColumns({"weight": weight, "repeats": repeats})
     quota = F.round(F.col("repeats") * F.col("tokens")).cast("long")
-    return out.withColumns({"full": F.floor(quota / F.col("tokens")), "__q": quota}).withColumn(
-        "rest", F.col("__q") - F.col("full") * F.col("tokens")).drop("__q", "lp")
+    return out.withColumns({"full": F.floor(quota / F.col("tokens")), "quota": quota}).withColumn(
+        "rest", F.col("quota") - F.col("full") * F.col("tokens")).drop("quota", "lp")
 
 
 def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
                 entropy_share: float | None = None, max_repeats: float | None = None, budget_tokens: int | None = None,
-                seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                entropy_gain: float | None = None, budget_share: float | None = None, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Repeat or leave out documents so that each source meets its weight; see ``source_weights``.
 
     Adds ``mix_epoch`` (pass, from 0), ``mix_block`` and ``mix_order`` (long; sorting by the three
@@ -102,12 +113,14 @@ def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_
     miss its quota by less than one document and its copies. An empty table gives no rows; added
     columns replace input columns of their names.
     """
+    names = ["mix_epoch", "mix_block", "mix_order", "mix_weight", "mix_repeats"]
+    p = free_prefix(docs)
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    place = {"__key": key, "__h": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)),
-             "mix_order": F.xxhash64(F.lit(seed), F.lit("order"), F.col(id_col), F.col(text_col))}
-    rows = staged(docs.select(key.alias("key"), place["__h"].alias("h"), place["mix_order"].alias("o"), word_count(F.col(text_col)).alias("tokens")), "mix-rows")
+    row = [F.col(id_col), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull()]  # hashes pass over nulls
+    hashed, placed = F.xxhash64(F.lit(seed), *row), F.xxhash64(F.lit(seed), F.lit("order"), *row)
+    rows = staged(docs.select(key.alias("key"), hashed.alias("h"), placed.alias("o"), word_count(F.col(text_col)).alias("tokens")), "mix-rows")
     counts = staged(rows.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "mix-sources")
-    sources = staged(source_weights(counts, entropy_share, max_repeats, budget_tokens)
+    sources = staged(source_weights(counts, entropy_share, max_repeats, budget_tokens, entropy_gain, budget_share)
                      .withColumn("blocks", F.ceil(F.col("rows") / block_rows)), "mix-weights")
 
     block = lambda h: F.pmod(F.col(h), F.col("blocks"))
@@ -121,13 +134,12 @@ def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_
     inside = inside.withColumn("upto", F.sum("t").over(upto("key", "b").orderBy("o"))).filter("upto <= room")
     cut = inside.groupBy("key").agg(F.max("o").alias("cut"))
     plan = staged(sources.join(edge.select("key", F.col("b").alias("edge")), "key", "left").join(cut, "key", "left").select(
-        F.col("key").alias("__key"), F.col("blocks").alias("__blocks"), F.col("edge").alias("__edge"), F.col("cut").alias("__cut"),
-        F.col("full").alias("__full"), F.col("weight").alias("mix_weight"), F.col("repeats").alias("mix_repeats")), "mix-plan")
-
-    names = ["mix_epoch", "mix_block", "mix_order", "mix_weight", "mix_repeats"]
-    out = docs.drop(*names).withColumns(place).join(plan, "__key")
-    out = out.withColumn("mix_block", order("__key", F.pmod("__h", "__blocks")))
-    more = (F.col("mix_block") < F.col("__edge")) | ((F.col("mix_block") == F.col("__edge")) & (F.col("mix_order") <= F.col("__cut")))
-    copies = (F.col("__full") + F.coalesce(more, F.lit(False)).cast("long")).cast("int")
-    out = out.withColumn("__n", copies).filter("__n > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    return out.select(*[c for c in docs.columns if c not in names], *names)
+        F.col("key").alias(f"{p}key"), F.col("blocks").alias(f"{p}blocks"), F.col("edge").alias(f"{p}edge"), F.col("cut").alias(f"{p}cut"),
+        F.col("full").alias(f"{p}full"), F.col("weight").alias("mix_weight"), F.col("repeats").alias("mix_repeats")), "mix-plan")
+
+    out = docs.drop(*names).withColumns({f"{p}key": key, f"{p}h": hashed, "mix_order": placed}).join(plan, f"{p}key")
+    out = out.withColumn("mix_block", order(f"{p}key", F.pmod(f"{p}h", f"{p}blocks")))
+    more = (F.col("mix_block") < F.col(f"{p}edge")) | ((F.col("mix_block") == F.col(f"{p}edge")) & (F.col("mix_order") <= F.col(f"{p}cut")))
+    copies = (F.col(f"{p}full") + F.coalesce(more, F.lit(False)).cast("long")).cast("int")
+    out = out.withColumn(f"{p}n", copies).filter(F.col(f"{p}n") > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col(f"{p}n") - 1)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], *names)

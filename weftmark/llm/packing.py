@@ -29,6 +29,8 @@ BLOCK_PIECES = 4096
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 8, 5
 #: Blocks and islands that one task evolves; their rows are few but each takes a while.
 TASK_HOMES = 16
+#: Each level settles a tenth of its pieces at least, so what is left after these is next to nothing.
+MOST_LEVELS = 100
 #: A bin filled less than this is packed again with those of other blocks.
 SETTLED_FILL = 0.98
 
@@ -184,7 +186,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int =
         placed = _pack_level(items, capacity, blocks, level)
         rest = placed.filter("not settled").count()
         # blocks are dealt by hash, so pieces that do not mix in theirs do not mix better in others
-        last = blocks == 1 or rest > 0.9 * n
+        last = blocks == 1 or rest > 0.9 * n or level == MOST_LEVELS
         done.append((placed if last else placed.filter("settled")).select("uid", "sequence_id", "offset"))
         items, n, level = placed.filter("not settled").select("uid", "length"), 0 if last else rest, level + 1
     out = done[0]

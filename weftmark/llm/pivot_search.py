@@ -22,11 +22,14 @@ from weftmark.llm.common import bucket_count, staged
 PIVOTS, PIVOT_SAMPLE = 32, 2048
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
 CHUNK = 512
+#: Scaled components lie below this, so that products of up to 1,024 dimensions fit 64 bits.
+LARGEST = 1 << 26
 
 
-def usable(vector: Column) -> Column:
-    """False for a null vector and for one that holds a null, NaN or infinite component."""
-    fine = F.forall(vector, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))), F.lit(False)))
+def usable(vector: Column, scale: int = 256) -> Column:
+    """False for a null vector and for one that holds a null, NaN, infinite or too large component."""
+    small = lambda x: F.abs(x.cast("double")) * F.lit(float(scale)) < F.lit(float(LARGEST))
+    fine = F.forall(vector, lambda x: F.coalesce(~F.isnan(x.cast("double")) & small(x), F.lit(False)))
     return F.coalesce(fine, F.lit(False))
 
 
@@ -66,6 +69,9 @@ def search_block(q_id, q, q_d, ids, v, d, k: int) -> list[tuple[int, int, int]]:
     """(query id, id, score) of each query's k best others in one block, ties to the smaller id."""
     out, xx = [], (v * v).sum(1)
     d = np.ascontiguousarray(d.T)
+    # doubles hold small products exactly; beyond, whole numbers of 64 bits do
+    big = max([np.abs(x).max() for x in (q, v) if x.size], default=0) ** 2 * v.shape[1] >= 1 << 53
+    whole = v.astype(np.int64) if big else v
     for one, vec, gaps in zip(q_id, q, q_d, strict=True):
         bound = np.abs(d[0] - gaps[0]) if len(d) else np.zeros(len(ids))
         for p in range(1, len(d)):
@@ -79,7 +85,7 @@ def search_block(q_id, q, q_d, ids, v, d, k: int) -> list[tuple[int, int, int]]:
             if len(best) == k and most[order[at]] < -best[-1][0]:
                 break
             some = order[at:at + CHUNK]
-            score, of = v[some] @ vec, ids[some]
+            score, of = whole[some] @ (vec.astype(np.int64) if big else vec), ids[some]
             keep = of != one
             if len(best) == k:
                 keep &= score >= -best[-1][0]
@@ -94,14 +100,14 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec
                 query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best others of each row that ``is_query`` marks.
 
-    Components become floor(scale * x) with x as double; the score is their integer inner
-    product, exact while it stays below 2^53. Rows with a null id or an unusable vector take no
-    part; shorter vectors count as padded with zeros. Repeated rows (id and vector) count once;
+    Components become floor(scale * x) with x as double; the score is their exact integer inner
+    product. Rows with a null id or an unusable vector take no part, nor does a vector with
+    |scale * x| of 2^26 or more in it; shorter vectors count as padded with zeros. Repeated rows (id and vector) count once;
     an id with several vectors counts with the best of them. Ties go to the smaller id. With
     fewer than k others all are returned, so a lone row or an empty table gives none.
     """
     good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    good = good.filter(F.col("id").isNotNull() & usable(F.col("e"))).select(
+    good = good.filter(F.col("id").isNotNull() & usable(F.col("e"), scale)).select(
         "id", F.transform("e", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double")).alias("v"), "q").distinct()
     rows = staged(good, "vectors")
     facts = rows.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("q")).first()

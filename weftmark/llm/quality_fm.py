@@ -18,7 +18,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.llm.common import small_batches
 from weftmark.llm.labels import labelled_sample
 
 HASHED, FACTORS = 1 << 13, 8
@@ -129,7 +128,6 @@ def _size(docs: DataFrame, size_col: str | None):
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", size_col: str | None = "n_chars",
                 fit_rows: int = FIT_ROWS, folds: int = 4, held_out_fold: int = 2, id_col: str = "doc_id") -> Machine:
     """Fit on at most ``fit_rows`` labelled documents outside the held-out fold."""
-    small_batches(docs.sparkSession)
     sample = labelled_sample(docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("t"), _size(docs, size_col).alias("c")),
                              labels, label_col, fit_rows, folds, held_out_fold, id_col)
     got = sample.select("t", "c", "y", id_col).mapInPandas(
@@ -146,8 +144,6 @@ def with_quality(docs: DataFrame, model: Machine, text_col: str = "text", size_c
     the text's length in bytes. Rows are scored one by one, so repeated rows score alike; an empty
     table gives no rows; an input column named ``out_col`` is replaced.
     """
-    small_batches(docs.sparkSession)
-
     @F.pandas_udf("double")
     def score(text: pd.Series, size: pd.Series) -> pd.Series:
         return pd.Series([model.score(*features(t, c)) for t, c in zip(text, size, strict=True)], dtype="float64")

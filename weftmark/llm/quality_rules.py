@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.llm.common import BLANK_CLASS, BLANKS
+from weftmark.llm.common import BLANKS, BLANK_CLASS, free_prefix
 
 SYMBOLS = "#*$%&|<>"
 # Frequent function words of English, German, French and Spanish.
@@ -73,30 +73,31 @@ def _matches(text: Column, pattern: str) -> Column:
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the counts that the rules divide, all long. A null or empty text has zero of each."""
     # bulky helper columns stay attributes: each is used more than once, so no projection inlines it
-    out = docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
+    t, w, l, g = (free_prefix(docs) + x for x in "twlg")  # noqa: E741
+    out = docs.withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
     out = out.withColumns({
-        "__w": F.filter(F.split("__t", BLANK_CLASS + "+"), lambda w: w != ""),
-        "__l": F.filter(F.split("__t", "\n", -1), lambda x: F.char_length(F.btrim(x, F.lit(BLANKS))) > 0),
+        w: F.filter(F.split(t, BLANK_CLASS + "+"), lambda w: w != ""),
+        l: F.filter(F.split(t, "\n", -1), lambda x: F.char_length(F.btrim(x, F.lit(BLANKS))) > 0),
     })
-    windows = F.transform(F.array("__w"), lambda ws: F.transform(
+    windows = F.transform(F.array(w), lambda ws: F.transform(
         F.when(F.size(ws) >= 4, F.sequence(F.lit(0), F.size(ws) - 3)).otherwise(F.array().cast("array<int>")),
         lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2))))[0]
-    out = out.withColumn("__g", windows)
+    out = out.withColumn(g, windows)
     stop = sorted({w for line in STOP_WORDS.values() for w in line.split()})
     starts = lambda marks: (lambda x: F.btrim(x, F.lit(BLANKS)).rlike(marks))
     return out.withColumns({
-        "n_words": F.size("__w").cast("long"),
-        "word_chars": F.char_length(F.array_join("__w", "")).cast("long"),
-        "n_symbols": _matches(F.col("__t"), SYMBOLS),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "n_repeat_words": _repeated_words(F.col("__w"), F.col("__g")),
-        "n_full_lines": F.size("__l").cast("long"),
-        "n_capitals": _matches(F.col("__t"), "\\p{Lu}"),
-        "n_exclamations": _matches(F.col("__t"), "!"),
-        "n_stop_words": F.size(F.filter("__w", lambda w: F.lower(F.btrim(w, F.lit(".,;:!?\"()"))).isin(stop))).cast("long"),
-        "n_bullet_lines": F.size(F.filter("__l", starts("^[-*\\u2022]"))).cast("long"),
-        "n_ellipsis_lines": F.size(F.filter("__l", starts("(\\.\\.\\.|\\u2026)$"))).cast("long"),
-    }).drop("__t", "__w", "__l", "__g")
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.char_length(F.array_join(w, "")).cast("long"),
+        "n_symbols": _matches(F.col(t), SYMBOLS),
+        "n_dup_lines": (F.size(l) - F.size(F.array_distinct(l))).cast("long"),
+        "n_repeat_words": _repeated_words(F.col(w), F.col(g)),
+        "n_full_lines": F.size(l).cast("long"),
+        "n_capitals": _matches(F.col(t), "\\p{Lu}"),
+        "n_exclamations": _matches(F.col(t), "!"),
+        "n_stop_words": F.size(F.filter(w, lambda w: F.lower(F.btrim(w, F.lit(".,;:!?\"()"))).isin(stop))).cast("long"),
+        "n_bullet_lines": F.size(F.filter(l, starts("^[-*\\u2022]"))).cast("long"),
+        "n_ellipsis_lines": F.size(F.filter(l, starts("(\\.\\.\\.|\\u2026)$"))).cast("long"),
+    }).drop(t, w, l, g)
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, min_words: int = 50,

@@ -10,10 +10,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmark.llm.common import BLANK_CLASS, fold, fresh_path, table
+from weftmark.llm.common import BLANK_CLASS, fold, fresh_path, staged, table
 from weftmark.llm.decontaminate import find_contamination
 from weftmark.llm.line_dedup import line_dedup
-from weftmark.llm.mixing import mix_sources
+from weftmark.llm.mixing import mix_sources, source_weights, word_count
 from weftmark.llm.packing import pack_documents
 from weftmark.llm.pivot_search import exact_top_k
 from weftmark.llm.quality_fm import fit_quality, with_quality
@@ -33,6 +33,8 @@ URL_RULES = [
 ]
 #: Pages on hosts with these words, and canonical URLs that several pages share, make the list.
 UNWANTED_HOSTS = "casino|bets|pills"
+#: Weights half-way to the greatest entropy, over three quarters of the tokens.
+MIX = {"entropy_gain": 0.5, "budget_share": 0.75}
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +76,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mix_sources(docs, entropy_share=0.97, max_repeats=4.0)
+    mixed = mix_sources(docs, **MIX)
     return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_order", "mix_weight", "mix_repeats")
 
 
+def mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and quota of each source that op8 realises."""
+    docs = table(spark, sf_dir, "documents")
+    counts = staged(docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(
+        F.sum(word_count(F.col("text"))).alias("tokens"), F.count("*").alias("rows")), "mix-sources")
+    return source_weights(counts, **MIX).select("source", "tokens", F.round("weight", 8).alias("weight"), F.round("repeats", 8).alias("repeats"), "full", "rest")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     parts = url_parts(F.col("url"))
@@ -146,13 +156,30 @@ QUERIES = {
     "op11_runs": op11_runs,
     "op12_decontaminate": op12_decontaminate,
     "op13_whitening": op13_whitening,
+    "mix_weights": mix_weights,
 }
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_ENTROPY = "(ln(list_sum(list_transform(lp, lambda x: exp({a} * x)))) - {a} * list_sum(list_transform(lp, lambda x: exp({a} * x) * x)) / list_sum(list_transform(lp, lambda x: exp({a} * x))))"
+
 ORACLES: dict[str, str] = {
+    "mix_weights": f"""
+        WITH RECURSIVE s AS (SELECT coalesce(source, '') AS source, sum(greatest(1, len({_WORDS}))) AS tokens FROM documents GROUP BY 1),
+             t AS (SELECT sum(tokens) AS t, count(*) AS n FROM s),
+             l AS (SELECT list(ln(tokens / t) ORDER BY source) AS lp, any_value(t) AS t, any_value(n) AS n FROM s, t),
+             g AS (SELECT *, {_ENTROPY.format(a="1.0")} AS found FROM l),
+             b(i, lo, hi) AS (
+               SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+               SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END
+               FROM (SELECT i, lo, hi, mid, {_ENTROPY.format(a="mid")} >= found + {MIX["entropy_gain"]} * (ln(n) - found) AS ok
+                     FROM (SELECT *, (lo + hi) / 2 AS mid FROM b WHERE i < 45) m, g)),
+             a AS (SELECT lo AS a, list_sum(list_transform(lp, lambda x: exp(lo * x))) AS z, t FROM b, g WHERE i = 45),
+             w AS (SELECT source, tokens, exp(a * ln(tokens / t)) / z AS weight, exp(a * ln(tokens / t)) / z * round_even({MIX["budget_share"]} * t, 0) / tokens AS repeats FROM s, a)
+        SELECT source, tokens::BIGINT AS tokens, round(weight, 8) AS weight, round(repeats, 8) AS repeats,
+               (round(repeats * tokens)::BIGINT // tokens)::BIGINT AS full, (round(repeats * tokens)::BIGINT % tokens)::BIGINT AS rest FROM w""",
     "op6_pivot_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -8,9 +8,11 @@ vector is the average over all its words' rows, where a word that occurs c times
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.llm.common import small_batches, staged
+from weftmark.llm.common import staged
 from weftmark.llm.labels import labelled_sample
 
 BUCKETS, WIDTH = 1 << 16, 12
@@ -34,6 +36,8 @@ SIGNIFICANT = 2.0
 #: Zero rows in each average, so that the noise of a few words cannot decide.
 PADDING = 800
 CACHE_WORDS = 300_000
+#: Buckets that are held at a time, and the longest word whose buckets are listed at once.
+PART = 1 << 16
 _EDGES = ".,;:!?\"'()[]{}#*$%&|<>"
 
 
@@ -48,6 +52,16 @@ def rows_of(word: str) -> list[int]:
     return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
 
 
+def rows_in_parts(word: str) -> Iterator[np.ndarray]:
+    """The same buckets in parts of bounded size, for a long unbroken run of characters."""
+    whole = f"<{word}>"
+    yield np.array([zlib.crc32(whole.encode()) % BUCKETS])
+    for n in range(SHORTEST, LONGEST + 1):
+        last = len(whole) - n + 1
+        for a in range(0, last, PART):
+            yield np.array([zlib.crc32(whole[i:i + n].encode()) % BUCKETS for i in range(a, min(a + PART, last))])
+
+
 @dataclass
 class Subwords:
     """``gain``: a bucket's difference of the two logits; ``bias``: that of the classes."""
@@ -62,8 +76,10 @@ class Subwords:
     def _word(self, word: str) -> tuple[float, int]:
         got = self.cache.get(word)
         if got is None:
-            at = rows_of(word)
-            got = (float(self.gain[at].sum()), len(at))
+            parts = [rows_of(word)] if len(word) <= PART else rows_in_parts(word)
+            got = (0.0, 0)
+            for at in parts:
+                got = (got[0] + float(self.gain[at].sum()), got[1] + len(at))
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
             if len(word) <= 64:
@@ -83,14 +99,24 @@ class Subwords:
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, share of the padded average) of a whole text; each bucket once."""
+    mass = np.zeros(BUCKETS)
     at, weight = [], []
+
+    def fold():
+        np.add.at(mass, np.array(at, np.int64), np.array(weight))
+        at.clear()
+        weight.clear()
+
     for w, c in Counter(words_of(text)).items():
-        rows = rows_of(w)
-        at += rows
-        weight += [1.0 + math.log(c)] * len(rows)
-    which, back = np.unique(np.array(at, np.int64), return_inverse=True)
-    mass = np.bincount(back, weights=weight, minlength=len(which)) if at else np.zeros(0)
-    return which.astype(np.uint16), (mass / (mass.sum() + PADDING)).astype(np.float32)
+        share = 1.0 + math.log(c)
+        for rows in [rows_of(w)] if len(w) <= PART else rows_in_parts(w):
+            at.extend(rows)
+            weight.extend([share] * len(rows))
+            if len(at) >= PART:
+                fold()
+    fold()
+    which = np.flatnonzero(mass)
+    return which.astype(np.uint16), (mass[which] / (mass.sum() + PADDING)).astype(np.float32)
 
 
 def telling(among: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -160,7 +186,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", t
     Tasks hash the words. The driver gets a count for each bucket and class, and then each
     document's telling buckets.
     """
-    small_batches(docs.sparkSession)
     sample = staged(labelled_sample(docs.select(F.col(id_col), F.col(text_col).alias("t")), labels, label_col, fit_rows, folds, held_out_fold, id_col)
                     .select("t", "y"), "labelled")
     counts = sample.mapInPandas(_held, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -179,21 +204,20 @@ def with_toxicity(docs: DataFrame, model: Subwords, text_col: str = "text", out_
     one, so repeated rows score alike; an empty table gives no rows; an input column named
     ``out_col`` is replaced.
     """
-    small_batches(docs.sparkSession)
+    key = hashlib.sha256(model.gain.tobytes() + repr(model.bias).encode()).hexdigest()
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return text.map(_here(model).score).astype("float64")
+        return text.map(_here(key, model).score).astype("float64")
 
     return docs.withColumn(out_col, score(F.col(text_col)))
 
 
-_LAST: dict[bytes, Subwords] = {}
+_LAST: dict[str, Subwords] = {}
 
 
-def _here(model: Subwords) -> Subwords:
+def _here(key: str, model: Subwords) -> Subwords:
     """This worker's copy of the model, so that its word cache outlives a task."""
-    key = model.gain.tobytes() + repr(model.bias).encode()
     if key not in _LAST:
         _LAST.clear()
         _LAST[key] = model

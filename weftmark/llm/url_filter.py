@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.llm.common import ascii_lower, staged
+from weftmark.llm.common import ascii_lower, free_prefix, staged
 
 WORDS = 8
 MAX_BLOCKS = 1 << 17  # 8 MB of filter words
@@ -70,25 +70,27 @@ def _block(url: Column, blocks: int) -> Column:
 
 
 def bloom_blocks(listed: DataFrame, url_col: str, blocks: int) -> DataFrame:
-    """(block, __w0 … __w7) of the listed URLs, at most ``blocks`` rows."""
-    words = [b.alias(f"__w{j}") for j, b in enumerate(_bits(F.col(url_col)))]
+    """(block, w0 … w7) of the listed URLs, at most ``blocks`` rows."""
+    words = [b.alias(f"w{j}") for j, b in enumerate(_bits(F.col(url_col)))]
     return listed.select(_block(F.col(url_col), blocks).alias("block"), *words).groupBy("block").agg(
-        *[F.bit_or(f"__w{j}").alias(f"__w{j}") for j in range(WORDS)])
+        *[F.bit_or(f"w{j}").alias(f"w{j}") for j in range(WORDS)])
 
 
 def in_list(rows: DataFrame, url_col: str, listed: DataFrame, listed_col: str, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """Add ``listed`` (boolean): whether ``url_col`` is among ``listed_col``; null is never listed."""
-    urls = staged(listed.select(F.col(listed_col).alias("__u")).filter("__u is not null").distinct(), "listed")
+    p = free_prefix(rows)
+    u, block, hit, words = f"{p}u", f"{p}b", f"{p}hit", [f"{p}w{j}" for j in range(WORDS)]
+    urls = staged(listed.select(F.col(listed_col).alias(u)).filter(F.col(u).isNotNull()).distinct(), "listed")
     blocks = max(1, min(max_blocks, -(-urls.count() // URLS_PER_BLOCK)))
-    bloom = staged(bloom_blocks(urls, "__u", blocks).withColumnRenamed("block", "__b"), "bloom")
-    probe = rows.withColumn("__b", _block(F.col(url_col), blocks)).join(F.broadcast(bloom), "__b", "left")
-    hit = F.lit(True)
-    for j, b in enumerate(_bits(F.col(url_col))):
-        hit = hit & (F.col(f"__w{j}").bitwiseAND(b) != 0)
-    probe = probe.withColumn("__hit", F.coalesce(hit, F.lit(False)) & F.col(url_col).isNotNull()).drop("__b", *[f"__w{j}" for j in range(WORDS)])
-    exact = probe.filter("__hit").withColumn("__u", F.col(url_col)).join(urls.withColumn("listed", F.lit(True)), "__u", "left")
-    missed = probe.filter("not __hit").withColumn("listed", F.lit(False))
-    return exact.withColumn("listed", F.coalesce("listed", F.lit(False))).drop("__hit", "__u").unionByName(missed.drop("__hit"))
+    bloom = staged(bloom_blocks(urls, u, blocks).toDF(block, *words), "bloom")
+    probe = rows.drop("listed").withColumn(block, _block(F.col(url_col), blocks)).join(F.broadcast(bloom), block, "left")
+    every = F.lit(True)
+    for w, b in zip(words, _bits(F.col(url_col)), strict=True):
+        every = every & (F.col(w).bitwiseAND(b) != 0)
+    probe = probe.withColumn(hit, F.coalesce(every, F.lit(False)) & F.col(url_col).isNotNull()).drop(block, *words)
+    exact = probe.filter(hit).withColumn(u, F.col(url_col)).join(urls.withColumn("listed", F.lit(True)), u, "left")
+    missed = probe.filter(~F.col(hit)).withColumn("listed", F.lit(False))
+    return exact.withColumn("listed", F.coalesce("listed", F.lit(False))).drop(hit, u).unionByName(missed.drop(hit))
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, rules: list[UrlRule], url_col: str = "url", listed_col: str = "canonical",
@@ -101,8 +103,9 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[UrlRule], url_co
     an empty table gives no rows, and added columns replace input columns of their names.
     """
     parts = url_parts(F.col(url_col))
+    v = free_prefix(pages) + "v"
     out = pages.drop("listed").withColumns(parts)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = out.withColumns({"canonical": canonical_url(F.col("host"), F.col("path")), "rule": rule, "__v": verdict})
+    out = out.withColumns({"canonical": canonical_url(F.col("host"), F.col("path")), "rule": rule, v: verdict})
     out = in_list(out, "canonical", listed, listed_col, max_blocks)
-    return out.withColumn("verdict", F.coalesce("__v", F.when(F.col("listed"), "block").otherwise("allow"))).drop("__v")
+    return out.withColumn("verdict", F.coalesce(v, F.when(F.col("listed"), "block").otherwise("allow"))).drop(v)
