@@ -20,3 +20,13 @@ def test_page_chain_has_one_exchange_and_no_join(spark):
     assert "ReadSchema: struct<page_id:bigint,url:string,html:string>" in plan
     # no Python in the chain
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+
+
+def test_partitions_follow_the_input(spark):
+    from weftmark.session import size_partitions
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    size = sum(len(open(f.removeprefix("file://"), "rb").read()) for f in pages.inputFiles())
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert size_partitions(pages, each=1 << 40) == least
+    assert size_partitions(pages, each=size // 50) in (50, 51)

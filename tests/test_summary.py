@@ -67,3 +67,25 @@ def test_map_reduce_counts(spark):
     assert "summarized chunk\n\nsummarized chunk" in [p for p in prompts if p.round == 2][0].prompt
     got = summ(spark, [(1, "long text " * 4000, False, 100)], fixed("summarized chunk"))
     assert got[0][0] == "summarized chunk" and got[0][3] == "map-reduce"
+
+
+def test_one_answer_for_each_prompt(spark):
+    prompts = spark.createDataFrame([("p1", 1), ("p2", 1), ("p3", 1), ("p4", 1)], "prompt_id string, doc_id long")
+    body = lambda t: '{"response": "%s"}' % t
+    calls = [("p1", None, "timed out", 1), ("p1", body("late"), None, 3), ("p1", body("early"), None, 2), ("p1", None, "again", 9),
+             ("p2", body("b"), None, 1), ("p2", body("a"), None, 1), ("p2", body("a"), None, 1), ("p3", None, "y", 1), ("p3", None, "x", 1)]
+    done = spark.createDataFrame(calls, "prompt_id string, body string, error string, call_seq long")
+    got = {r.prompt_id: (r.answer, r.call_error) for r in M.apply_completions(prompts, done).collect()}
+    assert got == {"p1": ("late", None), "p2": ("a", None), "p3": ("", "x"), "p4": ("", "no completion for prompt p4")}
+    assert M.apply_completions(prompts, done.drop("call_seq")).count() == 4
+
+
+def test_call_options_in_the_payload(spark):
+    import json
+
+    prompts = spark.createDataFrame([("p1", "h", "m", "say \"it\"", "sys"), ("p2", "h", "m", "x", None)], "prompt_id string, host string, model string, prompt string, system string")
+    options = {"temperature": 0.2, "num_ctx": 8192, "stop": ["a", "'b'"]}
+    got = {r.prompt_id: json.loads(r.payload) for r in M.prompt_payload(prompts, options).collect()}
+    assert got == {"p1": {"model": "m", "prompt": 'say "it"', "stream": False, "system": "sys", "options": options},
+                   "p2": {"model": "m", "prompt": "x", "stream": False, "options": options}}
+    assert all("options" not in json.loads(r.payload) for r in M.prompt_payload(prompts, {}).collect())

@@ -67,6 +67,13 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def literal_map(pairs: dict[str, str]) -> Column:
+    """A constant map as one small expression, which the optimizer folds; a map of hundreds of literals
+    slows every rule of every plan that holds it. Keys and values hold neither U+E000 nor U+E001."""
+    assert not any("\ue000" in x or "\ue001" in x for kv in pairs.items() for x in kv)
+    return F.str_to_map(F.lit("\ue000".join(f"{k}\ue001{v}" for k, v in sorted(pairs.items()))), F.lit("\ue000"), F.lit("\ue001"))
+
+
 # The characters Python's str.strip() removes, derived from str.isspace() (the same set as WS).
 PY_WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 

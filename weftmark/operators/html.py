@@ -31,7 +31,8 @@ import html.entities as _entities
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import noise_filter, normalize_lines, py_strip, token_estimate
+from ..functions.text import literal_map, noise_filter, normalize_lines, py_strip, token_estimate
+from ..session import size_partitions
 
 # ---------------------------------------------------------------------------
 # Fixed values (tag lists, selectors and patterns that decide the output).
@@ -144,17 +145,12 @@ def _whole(w):
     return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def _sql_str(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _entities_lit() -> Column:
+    return literal_map({k: chr(v) for k, v in _ENTITY_MAP.items()})
 
 
-# one SQL literal (a single driver-to-JVM call) instead of hundreds of literal columns
-def _map_sql(pairs: dict) -> str:
-    return "map(" + ", ".join(f"{_sql_str(k)}, {_sql_str(v)}" for k, v in sorted(pairs.items())) + ")"
-
-
-_ENTITY_SQL = _map_sql({k: chr(v) for k, v in _ENTITY_MAP.items()})
-_BARE_SQL = _map_sql(_BARE_MAP)
+def _bare_lit() -> Column:
+    return literal_map(_BARE_MAP)
 
 
 def _codepoint_to_str(cp: Column) -> Column:
@@ -175,7 +171,7 @@ def _numeric(tok: Column) -> Column:
 
 def _named(tok: Column) -> Column:
     """The character of a named reference token that has its semicolon, or null."""
-    return F.try_element_at(F.expr(_ENTITY_SQL), F.regexp_extract(tok, "^&(.*);$", 1))
+    return F.try_element_at(_entities_lit(), F.regexp_extract(tok, "^&(.*);$", 1))
 
 
 def decode_entity(tok: Column) -> Column:
@@ -185,7 +181,7 @@ def decode_entity(tok: Column) -> Column:
     name it begins with that HTML5 takes bare, and the rest is text: ``&notit;`` is ``¬it;``.
     """
     body = F.substr(tok, F.lit(2))
-    bare = [F.concat(F.try_element_at(F.expr(_BARE_SQL), F.substr(body, F.lit(1), F.lit(n))), F.substr(body, F.lit(n + 1))) for n in _BARE_LENGTHS]
+    bare = [F.concat(F.try_element_at(_bare_lit(), F.substr(body, F.lit(1), F.lit(n))), F.substr(body, F.lit(n + 1))) for n in _BARE_LENGTHS]
     return F.coalesce(_numeric(tok), _named(tok), *bare, tok)
 
 
@@ -196,7 +192,7 @@ def decode_attr_value(v: Column) -> Column:
     """H4 inside attribute values. Without its semicolon a name counts only as a whole, and not before
     ``=``, so that ``?a=1&copy=2`` keeps its parameter."""
     pieces = F.regexp_extract_all(v, F.lit(ATTR_PIECE_RE), 0)
-    bare = lambda p: F.try_element_at(F.expr(_BARE_SQL), F.substr(p, F.lit(2)))
+    bare = lambda p: F.try_element_at(_bare_lit(), F.substr(p, F.lit(2)))
     decoded = F.transform(pieces, lambda p: F.when(p.startswith("&"), F.coalesce(_numeric(p), _named(p), bare(p), p)).otherwise(p))
     return F.when(v.contains("&"), F.array_join(decoded, "")).otherwise(v)
 
@@ -804,14 +800,16 @@ def prepare(pages: DataFrame, key: str = "page_id", chrome: bool = True, consent
             num_partitions: int | None = None) -> DataFrame:
     """Tokens with element extents, prune flags and the main region (H1-H9).
 
-    ``num_partitions`` sizes the one exchange; by default it is
-    ``spark.sql.shuffle.partitions`` and AQE coalesces small partitions (set the
-    shuffle partitions, or AQE's initial partition number, to about input bytes /
-    128 MB on large inputs so no task holds more than a few hundred MB of pages).
+    ``num_partitions`` sizes the one exchange. By default that follows the optimizer's estimate of
+    the pages' bytes, 64 MB of them a partition; where ``spark.sql.shuffle.partitions`` is more than that, AQE
+    coalesces what comes out small.
     """
     if repartition:
         # the only exchange of the whole chain: every later window and aggregate
         # is keyed by the page key (plus sub-keys) and reuses this partitioning
+        if num_partitions is None:
+            sized = size_partitions(pages)
+            num_partitions = sized if sized > int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
         pages = pages.repartition(num_partitions, key) if num_partitions else pages.repartition(key)
     toks = classify_tokens(html_tokens(pages, key))
     items = text_nodes(toks, key)

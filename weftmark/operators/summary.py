@@ -9,6 +9,7 @@ answers joined back in chunk order.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -136,11 +137,15 @@ def round1_prompts(planned: DataFrame, key: str = "doc_id") -> DataFrame:
     return single.unionByName(chunks)
 
 
-def prompt_payload(prompts: DataFrame) -> DataFrame:
-    """The JSON body of each model call (model, prompt, stream=false, system if set)."""
-    with_sys = F.to_json(F.struct(F.col("model"), F.col("prompt"), F.lit(False).alias("stream"), F.col("system")))
-    without = F.to_json(F.struct(F.col("model"), F.col("prompt"), F.lit(False).alias("stream")))
-    payload = F.when(F.col("system").isNotNull() & (F.col("system") != ""), with_sys).otherwise(without)
+def prompt_payload(prompts: DataFrame, options: dict | None = None) -> DataFrame:
+    """The JSON body of each model call (model, prompt, stream=false, system if set, options if any).
+
+    ``options`` are the model's call options, the same for all calls; an empty dict is left out.
+    """
+    base = [F.col("model"), F.col("prompt"), F.lit(False).alias("stream")]
+    more = [F.from_json(F.lit(json.dumps(options)), F.schema_of_json(F.lit(json.dumps(options)))).alias("options")] if options else []
+    payload = F.when(F.col("system").isNotNull() & (F.col("system") != ""), F.to_json(F.struct(*base, F.col("system"), *more))).otherwise(
+        F.to_json(F.struct(*base, *more)))
     return prompts.select("prompt_id", "host", payload.alias("payload"))
 
 
@@ -149,9 +154,21 @@ def completion_text(body: Column) -> Column:
     return F.coalesce(F.get_json_object(body, "$.response"), F.lit(""))
 
 
+def one_completion(completions: DataFrame) -> DataFrame:
+    """One answer for each prompt, ``(prompt_id, body, error)``, however often its call was made.
+
+    A call that succeeded comes before one that failed, then the latest by the optional
+    ``call_seq``, then the smallest body and error. Partial minima come before the shuffle.
+    """
+    seq = (F.col("call_seq") if "call_seq" in completions.columns else F.lit(0)).cast("long")
+    failed = F.col("error").isNotNull() | F.col("body").isNull()
+    pick = F.min(F.struct(failed.alias("failed"), (-seq).alias("age"), "body", "error"))
+    return completions.groupBy("prompt_id").agg(pick.alias("c")).select("prompt_id", "c.body", "c.error")
+
+
 def apply_completions(prompts: DataFrame, completions: DataFrame) -> DataFrame:
-    """M7: answer per prompt; a missing completion counts as a failed call."""
-    c = completions.select("prompt_id", F.col("body").alias("_body"), F.col("error").alias("_err"))
+    """M7: one answer per prompt (see ``one_completion``); a missing completion counts as a failed call."""
+    c = one_completion(completions).select("prompt_id", F.col("body").alias("_body"), F.col("error").alias("_err"))
     j = prompts.join(c, "prompt_id", "left")
     err = F.when(F.col("_body").isNull() & F.col("_err").isNull(), F.concat(F.lit("no completion for prompt "), F.col("prompt_id"))).otherwise(F.col("_err"))
     return j.select(*prompts.columns, completion_text(F.col("_body")).alias("answer"), err.alias("call_error"))
@@ -277,6 +294,6 @@ def table_summarizer(completions: DataFrame) -> Summarizer:
     """Completions captured elsewhere (a batch scoring job, a cache), joined by ``prompt_id``."""
 
     def run(prompts: DataFrame) -> DataFrame:
-        return prompts.select("prompt_id").join(completions.select("prompt_id", "body", "error"), "prompt_id", "inner")
+        return prompts.select("prompt_id").join(completions.select("prompt_id", "body", "error", *[c for c in completions.columns if c == "call_seq"]), "prompt_id", "inner")
 
     return run

@@ -80,7 +80,7 @@ def _native(responses: DataFrame | None, options: JobOptions) -> DataFrame | Non
     return N.native_markdown(responses, options) if responses is not None and options.native_enabled else None
 
 
-NATIVE_COLUMNS = ["content", "source_content_type", "markdown_tokens"]
+NATIVE_COLUMNS = ["content", "source_content_type", "markdown_tokens", "decode_error"]
 
 
 def _converted(pages: DataFrame, options: JobOptions, repartition: bool = True) -> DataFrame:
@@ -89,7 +89,7 @@ def _converted(pages: DataFrame, options: JobOptions, repartition: bool = True)
 
 
 def stored_content(store: CaptureStore, picks: DataFrame, options: JobOptions, capture: Column) -> DataFrame:
-    """Contents of staged ``picks`` of a store: ``(capture, render_method, content, …)``.
+    """Contents of staged ``picks`` of a store: ``(capture, render_method, content, …, decode_error)``.
 
     ``capture`` names a pick, by its columns (``url, native, page_id, ingest``). The picks are
     narrow; contents stay in their buckets up to the result.
@@ -100,7 +100,7 @@ def stored_content(store: CaptureStore, picks: DataFrame, options: JobOptions, c
     named = pages.join(picks.filter(~F.col("native")).select("page_id", capture.alias("capture")).distinct(), "page_id")
     return native.unionByName(named.select(
         "capture", F.lit(RENDER_BROWSER).alias("render_method"), "content",
-        F.lit(None).cast("string").alias("source_content_type"), F.lit(None).cast("int").alias("markdown_tokens")))
+        F.lit(None).cast("string").alias("source_content_type"), F.lit(None).cast("int").alias("markdown_tokens"), F.lit(None).cast("string").alias("decode_error")))
 
 
 def content_by_url(accepted: DataFrame, responses: DataFrame | None, pages: DataFrame | CaptureStore, options: JobOptions) -> DataFrame:
@@ -118,13 +118,13 @@ def content_by_url(accepted: DataFrame, responses: DataFrame | None, pages: Data
     native, need = None, wanted
     if (found := _native(responses, options)) is not None:
         native = N.one_per_url(found).join(wanted, "url", "left_semi").select(
-            "url", F.lit(RENDER_NATIVE).alias("render_method"), "content", "source_content_type", "markdown_tokens")
+            "url", F.lit(RENDER_NATIVE).alias("render_method"), *NATIVE_COLUMNS)
         need = wanted.join(found.select("url").distinct(), "url", "left_anti")
     ids = picked_pages(pages).join(need, "url", "left_semi")
     some = pages.join(ids.select("page_id"), "page_id", "left_semi")
     converted = _converted(some, options).select(
         url_clean(F.col("url")).alias("url"), F.lit(RENDER_BROWSER).alias("render_method"), "content",
-        F.lit(None).cast("string").alias("source_content_type"), F.lit(None).cast("int").alias("markdown_tokens"))
+        F.lit(None).cast("string").alias("source_content_type"), F.lit(None).cast("int").alias("markdown_tokens"), F.lit(None).cast("string").alias("decode_error"))
     return converted if native is None else native.unionByName(converted)
 
 
@@ -136,16 +136,17 @@ def routes(accepted: DataFrame, responses: DataFrame | None, pages: DataFrame |
     """Render method of each request, and the error of one without a capture, from URL lists alone."""
     options = options or JobOptions()
     if isinstance(pages, CaptureStore):
-        known = pages.picks(options=options).select("url", F.col("native").cast("int").alias("native"))
+        known = pages.picks(options=options).select("url", F.col("native").cast("int").alias("native"), "decode_error")
     else:
-        known = pages.select(url_clean(F.col("url")).alias("url"), F.lit(0).alias("native"))
+        known = pages.select(url_clean(F.col("url")).alias("url"), F.lit(0).alias("native"), F.lit(None).cast("string").alias("decode_error"))
         if (found := _native(responses, options)) is not None:
-            known = known.unionByName(found.select("url", F.lit(1).alias("native")))
-    known = staged(known.groupBy("url").agg(F.max("native").alias("native")), "known-urls")
-    j = accepted.join(known.select(F.col("url").alias("clean_url"), "native"), "clean_url", "left")
+            known = known.unionByName(found.select("url", F.lit(1).alias("native"), F.coalesce("decode_error", F.lit("")).alias("decode_error")))
+    # a URL fails if none of its native answers is readable
+    known = staged(known.groupBy("url").agg(F.max("native").alias("native"), F.nullif(F.min("decode_error"), F.lit("")).alias("decode_error")), "known-urls")
+    j = accepted.join(known.select(F.col("url").alias("clean_url"), "native", "decode_error"), "clean_url", "left")
     method = F.when(F.col("native") == 1, F.lit(RENDER_NATIVE)).otherwise(F.lit(RENDER_BROWSER))
-    error = F.when(F.col("native").isNull(), _no_capture(F.col("clean_url")))
-    return j.withColumns({"render_method": method, "error": error}).drop("native")
+    error = F.when(F.col("native").isNull(), _no_capture(F.col("clean_url"))).otherwise(F.col("decode_error"))
+    return j.withColumns({"render_method": method, "error": error}).drop("native", "decode_error")
 
 
 def routed(requests: DataFrame, responses: DataFrame | None, pages: DataFrame | CaptureStore, options: JobOptions | None = None):
@@ -158,8 +159,8 @@ def routed(requests: DataFrame, responses: DataFrame | None, pages: DataFrame |
     accepted, bad = valid_requests(requests)
     content = staged(content_by_url(accepted, responses, pages, options), "content").withColumnRenamed("url", "clean_url")
     ok = accepted.join(content, "clean_url", "left")
-    error = F.when(F.col("render_method").isNull(), _no_capture(F.col("clean_url")))
-    return ok.withColumn("error", error).withColumn("render_method", F.coalesce("render_method", F.lit(RENDER_BROWSER))), bad
+    error = F.when(F.col("render_method").isNull(), _no_capture(F.col("clean_url"))).otherwise(F.col("decode_error"))
+    return ok.withColumn("error", error).withColumn("render_method", F.coalesce("render_method", F.lit(RENDER_BROWSER))).drop("decode_error"), bad
 
 
 def _summarization_json_struct(s: Column) -> Column:
@@ -235,7 +236,7 @@ def results_of(accepted: DataFrame, content: DataFrame, summarizer: M.Summarizer
     """Result rows of the accepted requests whose ``capture`` is in ``content`` (staged, a row for each capture)."""
     # what a result's content depends on: the capture and the summary options
     asked = accepted.select("capture", *SUMMARY_OPTIONS).distinct()
-    finals = asked.join(content, "capture")
+    finals = asked.join(content.filter("decode_error is null").drop("decode_error"), "capture")
     rkey = F.to_json(F.struct("capture", *SUMMARY_OPTIONS))
     done = staged(summarize_distinct(finals, summarizer or M.no_summarizer(), options).withColumn("rkey", rkey)
                   .select("rkey", "content", "render_method", "source_content_type", "markdown_tokens", "summarization"), "finals")
@@ -250,15 +251,15 @@ def results_of(accepted: DataFrame, content: DataFrame, summarizer: M.Summarizer
 
 
 def read_picked(requests: DataFrame, store: CaptureStore, summarizer: M.Summarizer | None = None, options: JobOptions | None = None):
-    """``(results, errors)`` of requests that carry their capture: ``native, page_id, ingest``, all null where none came."""
+    """``(results, errors)`` of requests that carry their capture: ``native, page_id, ingest, decode_error``, all null where none came."""
     options = options or JobOptions()
     pick = ["native", "page_id", "ingest"]
     accepted, bad = valid_requests(requests)
     key = F.to_json(F.struct(F.col("clean_url").alias("url"), *pick))
-    found = accepted.filter(F.col("native").isNotNull()).withColumn("capture", key)
+    found = accepted.filter(F.col("native").isNotNull() & F.col("decode_error").isNull()).withColumn("capture", key)
     picks = staged(found.select(F.col("clean_url").alias("url"), *pick).distinct(), "picks")
     content = staged(stored_content(store, picks, options, F.to_json(F.struct("url", *pick))), "content")
-    failed = accepted.filter(F.col("native").isNull()).withColumn("error", _no_capture(F.col("clean_url")))
+    failed = accepted.withColumn("error", F.when(F.col("native").isNull(), _no_capture(F.col("clean_url"))).otherwise(F.col("decode_error"))).filter(F.col("error").isNotNull())
     return results_of(found, content, summarizer, options), error_rows(bad, failed)
 
 

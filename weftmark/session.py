@@ -88,13 +88,16 @@ PARTITION_BYTES = 64 << 20
 
 
 def size_partitions(df: DataFrame, each: int = PARTITION_BYTES) -> int:
-    """Partitions for an exchange of ``df``: its estimated bytes over ``each``, and at least ``spark.sql.shuffle.partitions``.
+    """Partitions for an exchange of ``df``: the bytes of its inputs over ``each``, and at least ``spark.sql.shuffle.partitions``.
 
-    The estimate is the optimizer's own for the plan, which begins with the files' sizes.
+    The bytes are the optimizer's for the tables that the plan reads, such as the sizes of files. Inputs
+    whose size it does not know, such as rows given by the driver, count nothing.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1 << 17, -(-size // each)))
+    return max(least, min(1 << 16, -(-size // each)))
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

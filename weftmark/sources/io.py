@@ -51,8 +51,8 @@ def write_results(results: DataFrame, errors: DataFrame, path: str, fmt: str = "
     write_batch(results, errors, path, batch, fmt)
 
 
-def write_prompts(prompts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The model-call payloads as JSON lines ``{"prompt_id", "host", "payload"}``."""
+def write_prompts(prompts: DataFrame, path: str, mode: str = "overwrite", options: dict | None = None) -> None:
+    """The model-call payloads as JSON lines ``{"prompt_id", "host", "payload"}``; ``options`` go into each payload."""
     from ..operators.summary import prompt_payload
 
-    prompt_payload(prompts).select(F.to_json(F.struct("prompt_id", "host", "payload")).alias("value")).write.mode(mode).text(path)
+    prompt_payload(prompts, options).select(F.to_json(F.struct("prompt_id", "host", "payload")).alias("value")).write.mode(mode).text(path)
