@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmark.llm.common import staged, table
+from weftmark.llm.common import free_prefix, staged, table
 from weftmark.llm.line_dedup import line_dedup
 from weftmark.llm.mixing import mix_sources
 from weftmark.llm.packing import pack_documents
@@ -31,7 +31,8 @@ from weftmark.llm.toxicity import fit_toxicity, with_toxicity
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), folds=5, held_out_fold=0)
-    return with_toxicity(docs, model, out_col="__toxic").filter(F.col("__toxic") < 0.5).select(*docs.columns)
+    score = free_prefix(docs) + "score"
+    return with_toxicity(docs, model, out_col=score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
