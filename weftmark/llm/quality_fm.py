@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,8 +145,8 @@ def with_quality(docs: DataFrame, model: Machine, text_col: str = "text", size_c
     the text's length in bytes. Rows are scored one by one, so repeated rows score alike; an empty
     table gives no rows; an input column named ``out_col`` is replaced.
     """
-    @F.pandas_udf("double")
-    def score(text: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([model.score(*features(t, c)) for t, c in zip(text, size, strict=True)], dtype="float64")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array, sizes: pa.Array) -> pa.Array:
+        return pa.array((model.score(*features(t.as_py(), c)) for t, c in zip(texts, sizes.to_pylist(), strict=True)), pa.float64())
 
     return docs.withColumn(out_col, score(F.col(text_col).cast("binary"), _size(docs, size_col)))

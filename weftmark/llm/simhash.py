@@ -82,9 +82,9 @@ def fingerprint(raw: bytes | None, k: int) -> int:
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 4) -> DataFrame:
     """Add ``simhash`` (long, the 64 bits). An input column of that name is replaced."""
-    @F.pandas_udf("long")
-    def simhash(raw):
-        return raw.map(lambda t: _signed(fingerprint(t, shingle))).astype("int64")
+    @F.arrow_udf("long")
+    def simhash(raw: pa.Array) -> pa.Array:
+        return pa.array((_signed(fingerprint(t.as_py(), shingle)) for t in raw), pa.int64())  # one text at a time
 
     return docs.withColumn("simhash", simhash(F.col(text_col).cast("binary")))
 

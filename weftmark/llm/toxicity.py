@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,9 +207,10 @@ def with_toxicity(docs: DataFrame, model: Subwords, text_col: str = "text", out_
     """
     key = hashlib.sha256(model.gain.tobytes() + repr(model.bias).encode()).hexdigest()
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return text.map(_here(key, model).score).astype("float64")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        of = _here(key, model).score
+        return pa.array((of(t.as_py()) for t in texts), pa.float64())  # one text at a time
 
     return docs.withColumn(out_col, score(F.col(text_col)))
 
