@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +15,24 @@ __all__ = ["fresh_path", "staged"]
 #: ASCII white space, as a Spark trim set and as a Java character class.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = "[\\x20\\x09-\\x0D]"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most ``rows`` rows in an Arrow batch of the jobs run within; the session's own setting comes back after."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 def free_prefix(df: DataFrame) -> str:
     """Underscores that no column of ``df`` begins with, for helper columns beside the input's."""
     prefix = "__"

@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.llm.common import bucket_count, staged
-from weftmark.llm.tokens import with_ids
+from weftmark.llm.common import bucket_count, small_batches, staged
+from weftmark.llm.tokens import BATCH_TEXTS, with_ids
 
 CAPACITY = 2048
 BLOCK_PIECES = 4096
@@ -219,5 +219,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     made = document_pieces(docs, tokenizer, id_col, text_col, end_id, capacity)
     made = made.select("doc_id", "piece", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"),
                        *(["ids"] if keep_ids else []), F.monotonically_increasing_id().alias("uid"))
-    pieces = staged(made, "pieces")
+    with small_batches(docs.sparkSession, BATCH_TEXTS):
+        pieces = staged(made, "pieces")
     return pieces.join(pack_pieces(pieces.select("uid", "length"), capacity), "uid").drop("uid")

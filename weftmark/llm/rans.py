@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmark.llm.common import small_batches, staged
-from weftmark.llm.tokens import encoder, with_ids
+from weftmark.llm.tokens import BATCH_TEXTS, encoder, with_ids
 
 SCALE_BITS = 18
 LANES, EVERY = 1024, 128
@@ -192,18 +192,21 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, id_col: str = "
     """Write the ids of every whole text to a token file at ``path`` in ascending order of the id.
 
     Null ids come first, and repeated ids stay next to each other. A null or empty text has the
-    end id alone. An empty table gives a file without blocks. Other columns are not read.
+    end id alone. An empty table gives a file without blocks. Other columns are not read. The format
+    holds ids of documents as 64-bit integers; a column of another type is an error.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}; a token file holds integer ids")
     width = 2 if max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id or 0) < 1 << 16 else 4
-    tokens = staged(with_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", tokenizer, end_id, width)
-                    .select("doc_id", F.monotonically_increasing_id().alias("uid"), "ids"), "tokens", "zstd")
+    with small_batches(docs.sparkSession, BATCH_TEXTS):
+        tokens = staged(with_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", tokenizer, end_id, width)
+                        .select("doc_id", F.monotonically_increasing_id().alias("uid"), "ids"), "tokens", "zstd")
     counts = tokens.select("ids").mapInArrow(lambda it: _counts(it, width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = counts.orderBy("id").toPandas()  # at most a row for each id of the tokenizer
     ids, freq = found["id"].to_numpy(), quantised(found["n"].to_numpy()) if len(found) else found["n"].to_numpy()
     spark = docs.sparkSession
     spark.createDataFrame([(int(i), int(f)) for i, f in zip(ids, freq, strict=True)], "id long, freq long").coalesce(1).write.parquet(f"{path}/model")
     model = Model(ids, freq)
-    small_batches(spark)
     (tokens.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid").select("doc_id", "ids")
      .mapInArrow(lambda it: _blocks(it, model, width), BLOCKS)
      .write.parquet(f"{path}/blocks"))
@@ -211,7 +214,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, id_col: str = "
 
 def _documents(batches, model: Model):
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
             ids, docs = decode_block(row["payload"], model)
             ends = np.cumsum(docs["n"], dtype=np.int64)
             starts = ends - docs["n"]
@@ -232,7 +236,6 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("id long, freq long").parquet(f"{path}/model").toPandas()
     model = Model(rows["id"].to_numpy(), rows["freq"].to_numpy()) if len(rows) else None
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    small_batches(spark, 8)
     # a row for each writing task, so the running total is short
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
     starts, total = [], 0
@@ -247,9 +250,11 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
         return parts.join(first, "shard").withColumn("start", F.col("shard_start") + F.col("before"))
 
     cut = F.col("whole") > LONGEST_WHOLE
-    joined = decoded(blocks.filter("cut")).filter(cut).groupBy("shard", "number").agg(
+    some_cut = staged(decoded(blocks.filter("cut")), "cut-blocks")
+    joined = some_cut.filter(cut).groupBy("shard", "number").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.first("whole").alias("n_tokens"),
-        F.sort_array(F.collect_list(F.struct("first", "ids"))).alias("p"))
-    joined = joined.withColumn("ids", F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])))
+        F.sort_array(F.collect_list(F.struct("first", F.hex("ids").alias("ids")))).alias("p"))
+    joined = joined.withColumn("ids", F.unhex(F.array_join(F.transform("p", lambda x: x["ids"]), "")))
     names = ["doc_id", "start", "n_tokens", "ids"]
-    return decoded(blocks).filter(~cut).withColumnRenamed("whole", "n_tokens").select(names).unionByName(joined.select(names))
+    whole = decoded(blocks.filter("not cut")).unionByName(some_cut).filter(~cut).withColumnRenamed("whole", "n_tokens")
+    return whole.select(names).unionByName(joined.select(names))

@@ -15,18 +15,23 @@ import re
 import sys
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftmark.llm.common import small_batches
-
 #: A generation of cached pieces; the last full one is kept beside the one that fills.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 400_000
+#: Texts that are encoded together; jobs that write ids set their Arrow batches to as many.
+BATCH_TEXTS = 1024
 #: A space that white space or the end of the text follows.
 _NO_CUT = re.compile(r" (?=\s|$)")
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 BIG_ENDIAN = sys.byteorder == "big"
 MARKS = ".,!?;:*#$%&|"
+_IN_CLASS = re.escape(MARKS)
 
 
 def _byte_letters() -> str:
@@ -127,6 +132,56 @@ class TextEncoder:
         return [" ".join(group) for group in out]
 
 
+    def batch(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """``ids(text) + end`` of each text, null being empty."""
+        if not len(texts):
+            return pa.array([], pa.binary())
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = pc.match_substring_regex(texts, f" ([{_SPACES}]|$)") if len(texts) else None
+        for a in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, a))
+        alone = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        cut = pc.if_else(whole, "", texts)  # texts with such places are encoded on their own
+        pieces = pc.split_pattern(cut, " ")
+        starts = pieces.offsets.to_numpy()
+        starts, stops = starts[:-1] - starts[0], starts[1:] - starts[0]
+        pieces = pieces.flatten()
+        forms = pieces.dictionary_encode()
+        number = forms.indices.to_numpy().astype(np.int64)
+        # the first piece of a text has no space before it
+        bare = [self.bare[x] for x in pieces.take(pa.array(starts)).to_pylist()]
+        for i, t in zip(alone.tolist(), texts.take(pa.array(alone)).to_pylist(), strict=True):
+            bare[i] = self.ids(t)
+        known = self._forms(forms.dictionary)
+        number[starts] = len(known) + np.arange(len(texts))
+        number = np.insert(number, stops, len(known) + len(texts))
+        table = pa.concat_arrays([known, pa.array([*bare, end], pa.large_binary())])
+        return _gathered(table, number, stops + np.arange(1, len(texts) + 1)).cast(pa.binary())
+
+    def _forms(self, forms: pa.Array) -> pa.Array:
+        """Ids of distinct pieces after a space; words of letters are looked up without the marks behind them."""
+        word = pc.utf8_rtrim(forms, characters=MARKS)
+        marked = pc.and_(pc.not_equal(pc.binary_length(word), pc.binary_length(forms)), pc.utf8_is_alpha(word))
+        marked = pc.and_(marked, pc.equal(pc.utf8_length(word), pc.utf8_length(pc.replace_substring_regex(word, "[^\\x00-\\x{ff}]", ""))))
+        marks = pc.replace_substring_regex(forms.filter(marked), f"^[^{_IN_CLASS}]+", "").dictionary_encode()
+        words = pc.if_else(marked, word, forms).dictionary_encode()
+        table = pa.array([*map(self.after_space.__getitem__, words.dictionary.to_pylist()),
+                          *map(self.bare.__getitem__, marks.dictionary.to_pylist())], pa.large_binary())
+        number = words.indices.to_numpy().astype(np.int64)
+        at = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        number = np.insert(number, at + 1, len(words.dictionary) + marks.indices.to_numpy().astype(np.int64))
+        stops = np.arange(1, len(forms) + 1) + np.cumsum(marked.to_numpy(zero_copy_only=False))
+        return _gathered(table, number, stops)
+
+
+def _gathered(table: pa.Array, number: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """One value for each of ``stops``: the values of ``table`` at the numbers up to it, joined."""
+    offsets = np.frombuffer(table.buffers()[1], np.int64, len(table) + 1)
+    data = table.take(pa.array(number)).buffers()[2] or pa.py_buffer(b"")
+    upto = np.concatenate([[0], np.cumsum(np.diff(offsets)[number])])[np.concatenate([[0], stops])]
+    return pa.Array.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(upto), data])
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, width: int = 4) -> TextEncoder:
     """One encoder for each tokenizer file and worker."""
@@ -138,12 +193,13 @@ def with_ids(docs: DataFrame, text_col: str, tokenizer: str, end_id: int | None
 
     ``end_id`` is appended to each document.
     """
-    small_batches(docs.sparkSession)
     end = b"" if end_id is None else int(end_id).to_bytes(width, "little")
 
-    @F.pandas_udf("binary")
-    def ids(texts):
-        of = encoder(tokenizer, width).ids
-        return texts.map(lambda t: of(t or "") + end)
+    @F.arrow_udf("binary")
+    def ids(texts: pa.Array) -> pa.Array:
+        own = encoder(tokenizer, width)
+        out = [own.batch(texts.slice(i, BATCH_TEXTS), end) for i in range(0, max(1, len(texts)), BATCH_TEXTS)]
+        pa.default_memory_pool().release_unused()
+        return pa.concat_arrays(out)
 
     return docs.withColumn("ids", ids(F.coalesce(F.col(text_col), F.lit(""))))
