@@ -30,3 +30,22 @@ def test_partitions_follow_the_input(spark):
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert size_partitions(pages, each=1 << 40) == least
     assert size_partitions(pages, each=size // 50) in (50, 51)
+
+
+def test_pages_are_cut_finely_enough_for_their_tokens(spark, tmp_path):
+    """Partitions follow the files by the MB, at any size of the input, and AQE leaves them so."""
+    import secrets
+
+    pages = [(i, "u", f"<p>{secrets.token_hex(400_000)}</p>") for i in range(8)]
+    least = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for times in (1, 2):
+            spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages")
+            size = sum(f.stat().st_size for f in (tmp_path / "pages").glob("*.parquet"))
+            assert size > times * 3_000_000
+            plan = H.prepare(spark.read.parquet(f"{tmp_path}/pages"))._jdf.queryExecution().executedPlan().toString()
+            (n,) = re.findall(r"Exchange hashpartitioning\(page_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)
+            assert int(n) in (-(-size // (1 << 20)), -(-size // (1 << 20)) + 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", least)
