@@ -49,3 +49,32 @@ def test_pages_are_cut_finely_enough_for_their_tokens(spark, tmp_path):
             assert int(n) in (-(-size // (1 << 20)), -(-size // (1 << 20)) + 1)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", least)
+
+
+#: Queries over pages made of the documents, of which every one takes its rows through the page chain.
+CHAIN = ["render_inline_code_block", "render_other", "assemble_markdown", "render_heading", "render_list", "render_image", "render_code_block", "render_table",
+         "render_blockquote", "render_paragraph", "min_text_filter", "render_link", "render_inline", "prune_hidden", "hidden_filter", "prune_empty_containers"]
+
+
+def test_every_chain_query_has_one_exchange_sized_by_its_input(spark, tmp_path):
+    """Pages move once, into a partition for each MB of documents; nothing after that exchanges or joins."""
+    import secrets
+
+    from weftmark.plans.queries import QUERIES
+
+    docs = [(i, secrets.token_hex(400_000), "en", "src1", 800_000) for i in range(8)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    size = sum(f.stat().st_size for f in (tmp_path / "documents.parquet").glob("*.parquet"))
+    assert size > 3_000_000
+    least = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for name in CHAIN:
+            plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+            exchanges = re.findall(r"Exchange (.*)", plan)
+            assert len(exchanges) == 1, (name, exchanges)
+            (n,) = re.findall(r"^hashpartitioning\(page_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", exchanges[0])
+            assert int(n) in (-(-size // (1 << 20)), -(-size // (1 << 20)) + 1), name
+            assert "Join" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", least)
