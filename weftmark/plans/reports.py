@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import NOISE_PATTERNS, noise_hits, noise_step, token_estimate
+from ..functions.text import NOISE_PATTERNS, noise_hits, noise_may_match, noise_step, token_estimate
 from ..functions.urls import url_host
 
 
@@ -39,16 +39,20 @@ def summary_plan_report(prompts: DataFrame) -> DataFrame:
 
 
 def noise_audit(docs: DataFrame) -> DataFrame:
-    """Matches and characters removed per noise pattern and host (``docs``: host, content)."""
-    cols = []
-    s = F.col("content")
-    for name, _ in NOISE_PATTERNS:
-        after = noise_step(s, name)
-        cols.append(F.struct(F.lit(name).alias("pattern"), noise_hits(s, name).cast("bigint").alias("hits"),
-                             (F.length(s) - F.length(after)).cast("bigint").alias("removed_chars")))
-        s = after
-    per = docs.select("host", F.explode(F.array(*cols)).alias("x"))
-    return per.groupBy("host", F.col("x.pattern").alias("pattern")).agg(
-        F.sum("x.hits").alias("hits"), F.sum("x.removed_chars").alias("removed_chars"),
-        F.count_if(F.col("x.hits") > 0).alias("documents_hit"),
-    )
+    """Matches and characters removed per noise pattern and host (``docs``: host, content).
+
+    A document is one row: each pattern runs once over the text that the one before it left, and only
+    where one of the pattern's literals occurs. The patterns become rows after the aggregate.
+    """
+    names = [name for name, _ in NOISE_PATTERNS]
+    df = docs.select("host", F.col("content").alias("_s"))
+    for i, name in enumerate(names):
+        s = F.col("_s")
+        df = df.withColumn("_may", noise_may_match(s, [name]))
+        none = F.when(s.isNotNull(), F.lit(0))
+        df = df.withColumns({f"_hits{i}": F.when(F.col("_may"), noise_hits(s, name)).otherwise(none).cast("bigint"),
+                             "_after": F.when(F.col("_may"), noise_step(s, name)).otherwise(s)})
+        df = df.withColumn(f"_chars{i}", (F.length(s) - F.length("_after")).cast("bigint")).drop("_s").withColumnRenamed("_after", "_s")
+    sums = [F.struct(F.lit(name).alias("pattern"), F.sum(f"_hits{i}").alias("hits"), F.sum(f"_chars{i}").alias("removed_chars"),
+                     F.count_if(F.col(f"_hits{i}") > 0).alias("documents_hit")) for i, name in enumerate(names)]
+    return df.groupBy("host").agg(F.array(*sums).alias("_x")).select("host", F.explode("_x").alias("x")).select("host", "x.*")
