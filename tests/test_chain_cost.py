@@ -12,7 +12,7 @@ from .conftest import SF
 
 PAGES = "page_id long, url string, html string"
 #: Queries whose pages go through one aggregate that follows the order of the windows before it.
-SORTED = ["assemble_markdown", "link_filter", "render_code_block", "render_heading", "render_image"]
+SORTED = ["assemble_markdown", "link_filter", "render_code_block", "render_heading", "render_image", "render_inline_code_block"]
 
 
 def _plan(df):
