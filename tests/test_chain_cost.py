@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftmark.operators import html as H
+from weftmark.options import JobOptions
 from weftmark.plans.queries import QUERIES
+from weftmark.plans.read_urls import _converted
 
 from .conftest import SF
 
@@ -70,3 +72,11 @@ def test_rows_of_no_block_start_stay_together(spark):
     firsts = rows.groupBy("blk").agg(F.min("pos").alias("p"), F.min("root_s").alias("a"), F.max("root_s").alias("b")).collect()
     assert firsts and all(r.p == r.a == r.b for r in firsts)
     assert sorted(r.blk for r in firsts)[0] == 0
+
+
+@pytest.mark.parametrize("repartition", [True])
+def test_page_route_takes_rows_as_the_windows_sorted_them(spark, repartition):
+    """The conversion below ``request_response_join`` (pages moved to their key) and ``stream_results`` (pages in their buckets)."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    plan = _plan(_converted(pages if repartition else pages.repartition(2, "page_id"), JobOptions(), repartition))
+    assert _count(plan, "ObjectHashAggregate") == 0 and _count(plan, "SortAggregate") == 4
