@@ -74,7 +74,7 @@ def test_rows_of_no_block_start_stay_together(spark):
     assert sorted(r.blk for r in firsts)[0] == 0
 
 
-@pytest.mark.parametrize("repartition", [True])
+@pytest.mark.parametrize("repartition", [True, False])
 def test_page_route_takes_rows_as_the_windows_sorted_them(spark, repartition):
     """The conversion below ``request_response_join`` (pages moved to their key) and ``stream_results`` (pages in their buckets)."""
     pages = spark.read.parquet(f"{SF}/pages.parquet")
