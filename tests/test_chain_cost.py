@@ -14,7 +14,7 @@ from .conftest import SF
 
 PAGES = "page_id long, url string, html string"
 #: Queries whose pages go through one aggregate that follows the order of the windows before it.
-SORTED = ["assemble_markdown", "link_filter", "render_code_block", "render_heading", "render_image", "render_inline_code_block", "render_link", "render_other", "render_paragraph", "render_table", "rich_page_markdown", "rich_page_markdown_raw", "render_blockquote", "min_text_filter", "render_list", "render_inline", "empty_fallback"]
+SORTED = ["assemble_markdown", "link_filter", "render_code_block", "render_heading", "render_image", "render_inline_code_block", "render_link", "render_other", "render_paragraph", "render_table", "rich_page_markdown", "rich_page_markdown_raw", "render_blockquote", "min_text_filter", "render_list", "render_inline", "empty_fallback", "empty_fallback_raw"]
 
 
 def _plan(df):
